@@ -316,6 +316,16 @@ def _search_select() -> str:
     return ", ".join(cols)
 
 
+def _corr_select() -> str:
+    cols = ["NumOrgs", "NumFollowers", "TotalMedals", "KernelsCreated", "UserKernelScore", "AvgPerRanking", "Expert"]
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) "
+                         f"AS corr FROM train_in")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE = {
     # sources
     "s_scan_counts": q("", """
@@ -383,6 +393,7 @@ SELECT 'non_experts', count(*) FROM non_experts UNION ALL
 SELECT 'non_experts_downsampled', count(*) FROM ne_down UNION ALL
 SELECT 'train', count(*) FROM train UNION ALL
 SELECT 'unlabelled', count(*) FROM unlabelled"""),
+    "a_corr_matrix": q(MODEL, _corr_select()),
     "a_confusion": q(MODEL, """
 SELECT a.actual, p.predicted,
   CAST((SELECT count(*) FROM holdout_pred h WHERE h.Expert = a.actual AND h.ExpertisePred = p.predicted) AS BIGINT) AS n

@@ -20,6 +20,7 @@ from .plans import features as fe
 from .plans import model as mo
 from .plans import search as se
 from .plans import skills as sk
+from .session import materialize
 from .sources.bindings import community
 
 # The skill searched by the registered search query (a tag of the bound data).
@@ -40,7 +41,8 @@ def _c(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    return _memo(spark, sf_dir, "features", lambda: fe.user_features(_c(spark, sf_dir)))
+    # reused by every cohort/model query: materialised once
+    return _memo(spark, sf_dir, "features", lambda: materialize(fe.user_features(_c(spark, sf_dir))))
 
 
 def _cohorts(spark, sf_dir):

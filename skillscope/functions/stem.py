@@ -42,10 +42,11 @@ def _apply_pass(t: Column, rules) -> Column:
 
 
 def stem_token(t: Column) -> Column:
-    """All passes on one token column (for scalar use)."""
-    for rules in STEM_PASSES:
-        t = _apply_pass(t, rules)
-    return t
+    """All passes on one token column.  Goes through a one-element array so
+    each pass sees its input as a single lambda variable (nesting the passes
+    directly would copy each pass's expression into the next one's many
+    references)."""
+    return F.element_at(stem_tokens(F.array(t)), 1)
 
 
 def stem_tokens(tokens: Column) -> Column:

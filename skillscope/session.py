@@ -45,3 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="skillscope-ckpt-")
     sc.setCheckpointDir(scratch)
     return scratch
+
+
+def materialize(df):
+    """Cut a reused intermediate's lineage with a reliable checkpoint in the
+    session's checkpoint folder (never a local checkpoint: a lost executor
+    must not lose the data)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
