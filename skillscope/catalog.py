@@ -317,7 +317,8 @@ def t_explode_split(spark, sf_dir):
 
 def t_vocab_stem(spark, sf_dir):
     docs = _c(spark, sf_dir).t.documents
-    toks = docs.select("doc_id", F.explode(F.array_distinct(clean_tokens("text"))).alias("token"))
+    toks = docs.select("doc_id", F.explode_outer(F.array_distinct(clean_tokens("text"))).alias("token")).filter(
+        F.col("token").isNotNull())
     vocab = toks.groupBy("token").agg(F.count(F.lit(1)).alias("doc_count"))
     return vocab.select("token", stem_token(F.col("token")).alias("stem"), "doc_count")
 

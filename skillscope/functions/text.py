@@ -29,12 +29,24 @@ SPACE_RE = r"[\t\n\x0B\f\r\p{Z}]+"
 LINK_RE = r"https?://[^ ]+"
 LETTER_RE = r"[a-zA-Z]"
 PUNCT_RE = r"\p{Punct}"
+# a whole space-delimited token without an ASCII letter
+NO_LETTER_TOKEN_RE = r"(?<![^ ])[^a-zA-Z ]+(?![^ ])"
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    Projections are collapsed by the optimizer, so an expensive column (the
+    cleaned token array) referenced several times by the next projection
+    would be recomputed at each reference; binding it as the single element
+    of a one-element array makes every use read one variable."""
+    return F.element_at(F.transform(F.array(_c(value)), body), 1)
+
+
 def strip_html(col) -> Column:
     """drop script/style blocks and comments, turn tags into spaces,
     decode a fixed entity list once.  Rows without '<' or '&' skip the
@@ -65,11 +77,17 @@ def normalized_text(col) -> Column:
 
 
 def word_tokens(col) -> Column:
-    """F16-F18 on already normalised text: split on spaces, keep tokens with
-    an ASCII letter, delete ASCII punctuation, lowercase."""
-    raw = F.split(_c(col), " ")
-    kept = F.filter(raw, lambda t: t.rlike(LETTER_RE))
-    return F.transform(kept, lambda t: F.lower(F.regexp_replace(t, PUNCT_RE, "")))
+    """F16-F18 on already normalised (single-spaced) text: the tokens are the
+    space-delimited words that contain an ASCII letter, with ASCII
+    punctuation deleted, lowercased.
+
+    Done on the whole text (two regular-expression passes per document, then
+    a split) rather than per token: deleting punctuation never adds or
+    removes a letter or a space, so it commutes with the split and the
+    letter test."""
+    s = F.regexp_replace(_c(col), PUNCT_RE, "")
+    s = F.regexp_replace(s, NO_LETTER_TOKEN_RE, "")
+    return F.array_remove(F.split(F.lower(s), " "), "")
 
 
 def clean_tokens(col) -> Column:

@@ -14,7 +14,10 @@ compute the same numbers with work spread over the cluster:
 4. inside each (keys, bucket): running sum of counts over the sorted values
 5. join the per-value statistics back to the rows on (keys, v)
 
-so each row learns ``less`` (rows of its partition that sort before it) and
+(Inputs whose bounded row count proves them small skip all this and use a
+plain window, see ``SINGLE_TASK_MAX_ROWS``.)
+
+Each row learns ``less`` (rows of its partition that sort before it) and
 ``eq`` (rows with the same value); with the partition size ``n`` and null
 count, percent_rank and the pandas average percentile are column arithmetic.
 
@@ -37,6 +40,12 @@ from pyspark.sql import types as T
 # A distinct-value table at most this long is ranked in one bucket (a
 # bounded, single small sort) when its type has no quantile sketch.
 SINGLE_BUCKET_MAX = 1_000_000
+# Inputs of at most this many rows (checked by a bounded count) are ranked
+# with a plain window: one task per partition key holds at most this many
+# rows.  Larger inputs take the distributed path.  Session setting:
+# ``skillscope.rank.singleTaskMaxRows`` (0 forces the distributed path).
+SINGLE_TASK_MAX_ROWS = 2_000_000
+CONF_SINGLE_TASK_MAX = "skillscope.rank.singleTaskMaxRows"
 _ALL = "_rk_all"
 
 
@@ -110,6 +119,37 @@ def _per_value(base: DataFrame, keys: list[str], spec: RankSpec, cuts) -> DataFr
             .select(*keys, v, (F.col("_rk_off") + F.col("_rk_in")).alias(less), F.col("_rk_eq").alias(eq)))
 
 
+def _single_task_max(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(CONF_SINGLE_TASK_MAX, str(SINGLE_TASK_MAX_ROWS)))
+
+
+def _windowed(df: DataFrame, specs: list[RankSpec], keys: list[str]) -> DataFrame:
+    """The same statistics with plain window functions (bounded inputs only)."""
+    out = df
+    for s in specs:
+        v = F.col(s.value)
+        if s.kind == "percent":
+            nulls_first = (not s.descending) if s.nulls_first is None else s.nulls_first
+            if s.descending:
+                o = v.desc_nulls_first() if nulls_first else v.desc_nulls_last()
+            else:
+                o = v.asc_nulls_first() if nulls_first else v.asc_nulls_last()
+            out = out.withColumn(s.out, F.percent_rank().over(Window.partitionBy(*keys).orderBy(o)))
+        else:
+            w_all = Window.partitionBy(*keys)
+            w_ord = Window.partitionBy(*keys).orderBy(v.asc_nulls_last())
+            rank = F.rank().over(w_ord)
+            if s.kind == "ordinal":
+                expr = F.when(v.isNull(), F.lit(None).cast("long")).otherwise(rank.cast("long"))
+            else:
+                ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, s.value))
+                nn = F.count(v).over(w_all)
+                expr = F.when(v.isNull(), F.lit(None).cast("double")).otherwise(
+                    (rank + (ties - 1) / 2.0) / nn.cast("double"))
+            out = out.withColumn(s.out, expr)
+    return out
+
+
 def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
     """Add one exact rank column per spec, all ranked within ``partition_by``.
 
@@ -117,7 +157,17 @@ def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | lis
     average_pct: pandas ``groupby(keys)[value].rank(pct=True)`` (ties get
                  their mean rank, divided by the non-null count; nulls null)
     ordinal:     ``rank()`` (1-based; = ``row_number()`` for distinct values)
+
+    Inputs proven small by a bounded count use plain windows; all others use
+    the distributed histogram/bucket plan described in the module docstring.
     """
+    limit = _single_task_max(df)
+    if limit > 0 and df.limit(limit + 1).count() <= limit:
+        return _windowed(df, specs, list(partition_by))
+    return _rank_distributed(df, specs, partition_by)
+
+
+def _rank_distributed(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
     keys = list(partition_by)
     base = df
     if not keys:

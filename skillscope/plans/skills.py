@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NO_MEDAL_CODE
-from ..functions.text import clean_tokens, keyword_tokens, stemmed_tokens
+from ..functions.text import clean_tokens, keyword_tokens, let, stemmed_tokens
 from ..operators.ranking import RankSpec, average_rank_pct, rank_columns
-from ..operators.tagging import prepare_taxonomy, tag_documents
+from ..operators.tagging import prepare_taxonomy, tag_mentions
+from ..session import materialize
 
 
 # ---- kernel branch (C10) ----------------------------------------------------
@@ -90,18 +91,23 @@ def forum_message_rows(messages: DataFrame, topics: DataFrame, forums: DataFrame
             .select("MessageId", "UserId", "ForumTopicId", "Title", "Message"))
 
 
+def _phrase_list(t):
+    n = F.size(t)
+    heads = F.slice(t, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    bigrams = F.transform(heads, lambda w, i: F.when(
+        (F.length(w) >= 4) & (F.length(F.element_at(t, i + 2)) >= 4), F.concat_ws(" ", w, F.element_at(t, i + 2))))
+    unigrams = F.filter(t, lambda w: F.length(w) >= 4)
+    return F.array_distinct(F.filter(F.concat(unigrams, bigrams), lambda x: x.isNotNull()))
+
+
 def phrase_candidates(documents: DataFrame) -> DataFrame:
     """Per English document, the distinct unstemmed tokens of length >= 4 and
     bigrams of two adjacent such tokens (input of the phrase taxonomy)."""
-    toks = documents.filter(F.col("lang") == "en").select("doc_id", clean_tokens("text").alias("t"))
-    n = F.size("t")
-    bigrams = F.transform(
-        F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.when((F.length(F.element_at("t", i)) >= 4) & (F.length(F.element_at("t", i + 1)) >= 4),
-                         F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1))))
-    unigrams = F.filter("t", lambda w: F.length(w) >= 4)
-    cands = F.array_distinct(F.filter(F.concat(unigrams, bigrams), lambda x: x.isNotNull()))
-    return toks.select("doc_id", F.explode(cands).alias("phrase"))
+    docs = documents.filter(F.col("lang") == "en")
+    # explode_outer + null filter: a plain explode's inferred size filter
+    # would be pushed below and clean the text a second time
+    out = docs.select("doc_id", F.explode_outer(let(clean_tokens("text"), _phrase_list)).alias("phrase"))
+    return out.filter(F.col("phrase").isNotNull())
 
 
 def phrase_taxonomy(documents: DataFrame, tags: DataFrame) -> DataFrame:
@@ -124,10 +130,21 @@ def keyword_taxonomy(phrases: DataFrame) -> DataFrame:
 
 
 def message_mentions(messages: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """One row per matched mention (MessageId, UserId, Name)."""
-    toks = messages.select("MessageId", "UserId", stemmed_tokens("Message").alias("tokens"))
-    tagged = tag_documents(toks, "tokens", ["MessageId", "UserId"], taxonomy)
-    return tagged.select("MessageId", "UserId", F.explode("names").alias("Name"))
+    """One row per matched mention (MessageId, UserId,
+    ForumTopicId, Name), tagged straight from the message rows (no shuffle
+    of message text)."""
+    toks = messages.filter(F.col("Message").isNotNull()).select(
+        "MessageId", "UserId", "ForumTopicId", stemmed_tokens("Message").alias("tokens"))
+    return tag_mentions(toks, "tokens", ["MessageId", "UserId", "ForumTopicId"], taxonomy).select(
+        "MessageId", "UserId", "ForumTopicId", "Name")
+
+
+def on_forum_path(mentions: DataFrame, topics: DataFrame, forums: DataFrame) -> DataFrame:
+    """J20 applied after tagging: keep mentions whose topic belongs to a
+    forum (a semi join on the small topic x forum table, so only mention
+    rows move, never message text)."""
+    path = topics.select("ForumTopicId", "ForumId").join(forums.select("ForumId"), "ForumId", "left_semi")
+    return mentions.join(path.select("ForumTopicId"), "ForumTopicId", "left_semi")
 
 
 def mention_counts(mentions: DataFrame) -> DataFrame:
@@ -143,11 +160,16 @@ def discussion_skill_scores(counts: DataFrame) -> DataFrame:
 
 def discussion_pipeline(c, html: bool = False) -> dict:
     """The whole discussion branch over a bound community."""
-    phrases = phrase_taxonomy(c.t.documents, c.tags())
-    taxonomy = keyword_taxonomy(phrases)
+    # both are at most one row per tag; materialised once so the corpus scan
+    # behind them runs once, not again for each eager size/length check
+    phrases = materialize(phrase_taxonomy(c.t.documents, c.tags()))
+    taxonomy = materialize(keyword_taxonomy(phrases))
     msgs = forum_message_rows(c.forum_messages(html), c.forum_topics(html), c.forums(html))
-    mentions = message_mentions(msgs, taxonomy)
-    counts = mention_counts(mentions)
+    mentions = on_forum_path(message_mentions(c.forum_messages(html), taxonomy),
+                             c.forum_topics(html), c.forums(html))
+    # counts feed both the size check and the ranking: materialised once so
+    # the text is cleaned and tagged once
+    counts = materialize(mention_counts(mentions))
     return {"phrases": phrases, "taxonomy": taxonomy, "messages": msgs, "mentions": mentions,
             "counts": counts, "scores": discussion_skill_scores(counts)}
 

@@ -50,8 +50,21 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Ensure CPU-heavy per-row work (text cleaning) runs on every core: when
+    a scan yields fewer partitions than the session's parallelism (one large
+    file with one row group), redistribute it round-robin.  On a cluster the
+    input already has thousands of splits and this is a no-op."""
+    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 class DriverTables:
-    """Lazy accessor for the driver's parquet tables under one folder."""
+    """Lazy accessor for the driver's parquet tables under one folder.  Text
+    tables (documents, pages, conversations) are spread over the session's
+    parallelism when their scan is narrower (see :func:`spread`)."""
+
+    TEXT = ("documents", "pages", "conversations")
 
     NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
              "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -65,5 +78,6 @@ class DriverTables:
         if name.startswith("_") or name not in self.NAMES:
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            self._cache[name] = spread(df) if name in self.TEXT else df
         return self._cache[name]
