@@ -199,7 +199,7 @@ def a_content_means(spark, sf_dir):
 
 def a_tag_means(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return _rounded(sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), c.tags()))
+    return _rounded(sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), c.tags(), c.kernel_bound()))
 
 
 def a_mentions(spark, sf_dir):
@@ -245,11 +245,13 @@ def w_rankings_pct(spark, sf_dir):
 
 
 def w_item_pct(spark, sf_dir):
-    return _rounded(sk.kernel_item_scores(_c(spark, sf_dir).kernels()))
+    c = _c(spark, sf_dir)
+    return _rounded(sk.kernel_item_scores(c.kernels(), c.kernel_bound()))
 
 
 def w_team_pct(spark, sf_dir):
-    return _rounded(sk.team_scores(_c(spark, sf_dir).teams()))
+    c = _c(spark, sf_dir)
+    return _rounded(sk.team_scores(c.teams(), size_bound=c.team_bound()))
 
 
 def w_team_pct_by_competition(spark, sf_dir):
@@ -383,15 +385,17 @@ def c_kernel_scores(spark, sf_dir):
 
 def c_comp_scores(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return _rounded(sk.competition_skill_scores(c.teams(), c.competition_tags(), c.tags(), c.team_memberships()))
+    return _rounded(sk.competition_skill_scores(c.teams(), c.competition_tags(), c.tags(), c.team_memberships(),
+                                                size_bound=c.team_bound()))
 
 
 def c_skill_scores_raw(spark, sf_dir):
     def build():
         c = _c(spark, sf_dir)
         tags = c.tags()
-        kernel = sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), tags)
-        comp = sk.competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships())
+        kernel = sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), tags, c.kernel_bound())
+        comp = sk.competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships(),
+                                           size_bound=c.team_bound())
         return sk.combine_skill_scores(comp, kernel, _disc(spark, sf_dir)["scores"])
     return _memo(spark, sf_dir, "skills", build)
 

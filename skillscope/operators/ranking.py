@@ -150,7 +150,8 @@ def _windowed(df: DataFrame, specs: list[RankSpec], keys: list[str]) -> DataFram
     return out
 
 
-def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
+def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = (),
+                 size_bound: DataFrame | None = None) -> DataFrame:
     """Add one exact rank column per spec, all ranked within ``partition_by``.
 
     percent:     ``percent_rank()`` over ``partitionBy(keys).orderBy(value)``
@@ -160,9 +161,13 @@ def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | lis
 
     Inputs proven small by a bounded count use plain windows; all others use
     the distributed histogram/bucket plan described in the module docstring.
+    ``size_bound`` is an optional cheaper frame with at least as many rows as
+    ``df`` (e.g. the user dimension for a per-user frame); it is counted
+    instead of ``df``, so the check does not run ``df``'s plan.
     """
     limit = _single_task_max(df)
-    if limit > 0 and df.limit(limit + 1).count() <= limit:
+    probe = df if size_bound is None else size_bound
+    if limit > 0 and probe.limit(limit + 1).count() <= limit:
         return _windowed(df, specs, list(partition_by))
     return _rank_distributed(df, specs, partition_by)
 
@@ -210,16 +215,19 @@ def _rank_distributed(df: DataFrame, specs: list[RankSpec], partition_by: tuple
 
 
 def percent_rank(df: DataFrame, value: str, out: str, *, descending: bool = False,
-                 nulls_first: bool | None = None, partition_by: tuple | list = ()) -> DataFrame:
+                 nulls_first: bool | None = None, partition_by: tuple | list = (),
+                 size_bound: DataFrame | None = None) -> DataFrame:
     """Exact ``percent_rank()`` of one column (see :func:`rank_columns`)."""
-    return rank_columns(df, [RankSpec(value, out, "percent", descending, nulls_first)], partition_by)
+    return rank_columns(df, [RankSpec(value, out, "percent", descending, nulls_first)], partition_by, size_bound)
 
 
-def average_rank_pct(df: DataFrame, value: str, out: str, *, partition_by: tuple | list = ()) -> DataFrame:
+def average_rank_pct(df: DataFrame, value: str, out: str, *, partition_by: tuple | list = (),
+                     size_bound: DataFrame | None = None) -> DataFrame:
     """pandas ``rank(pct=True)`` of one column within ``partition_by``."""
-    return rank_columns(df, [RankSpec(value, out, "average_pct")], partition_by)
+    return rank_columns(df, [RankSpec(value, out, "average_pct")], partition_by, size_bound)
 
 
-def ordinal(df: DataFrame, value: str, out: str, *, partition_by: tuple | list = ()) -> DataFrame:
+def ordinal(df: DataFrame, value: str, out: str, *, partition_by: tuple | list = (),
+            size_bound: DataFrame | None = None) -> DataFrame:
     """1-based ``rank()`` by ``value`` as a long column."""
-    return rank_columns(df, [RankSpec(value, out, "ordinal")], partition_by)
+    return rank_columns(df, [RankSpec(value, out, "ordinal")], partition_by, size_bound)

@@ -75,21 +75,23 @@ def kernel_features(active: DataFrame, kernels: DataFrame) -> DataFrame:
         F.coalesce("KernelsCreated", F.lit(0)).alias("KernelsCreated"),
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("KernelsAvgViews", "KernelsAvgComments", "KernelsAvgVotes")],
     )
+    # one row per active user: the user table bounds the size check
     out = rank_columns(base, [RankSpec("KernelsAvgViews", "KernelsViewsPerRanking"),
                               RankSpec("KernelsAvgComments", "KernelsCommentsPerRanking"),
-                              RankSpec("KernelsAvgVotes", "KernelsVotesPerRanking")])
+                              RankSpec("KernelsAvgVotes", "KernelsVotesPerRanking")], size_bound=active)
     score = (F.col("KernelsViewsPerRanking") + F.col("KernelsCommentsPerRanking") + F.col("KernelsVotesPerRanking")) / 3
     return out.select("UserId", "KernelsCreated", "KernelsViewsPerRanking", "KernelsCommentsPerRanking",
                       "KernelsVotesPerRanking", score.alias("UserKernelScore"))
 
 
-def ranking_percentiles(active: DataFrame, achievements: DataFrame) -> DataFrame:
+def ranking_percentiles(active: DataFrame, achievements: DataFrame, size_bound: DataFrame | None = None) -> DataFrame:
     """Percentile of HighestRanking inside each achievement
     type over all users, ordered descending as coded (the largest value gets
     0), one column per type.  One partitioned ranking replaces three global
     windows."""
     ranked = achievements.select("UserId", "AchievementType", "HighestRanking").na.drop()
-    pct = percent_rank(ranked, "HighestRanking", "_pct", descending=True, partition_by=["AchievementType"])
+    pct = percent_rank(ranked, "HighestRanking", "_pct", descending=True, partition_by=["AchievementType"],
+                       size_bound=size_bound)
     per_user = pct.groupBy("UserId").agg(
         *[F.max(F.when(F.col("AchievementType") == t, F.col("_pct"))).alias(c) for t, c in RANKING_COLUMN.items()])
     return active.select("UserId").join(per_user, "UserId", "left")
@@ -113,5 +115,5 @@ def user_features(c) -> DataFrame:
            .join(membership_counts(active, c.user_organizations(), c.user_followers()), "UserId", "left")
            .join(medal_totals(active, ach), "UserId", "left")
            .join(kernel_features(active, c.kernels()), "UserId", "left")
-           .join(ranking_percentiles(active, ach), "UserId", "left"))
+           .join(ranking_percentiles(active, ach, c.achievement_bound()), "UserId", "left"))
     return out.select(*FEATURE_COLUMNS)

@@ -59,7 +59,7 @@ def fit(train: DataFrame, label: str = "Expert", c: float = LOGISTIC_C, features
     data = assemble(train, features).withColumn("label", F.col(label).cast("double"))
     n = data.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(n, 1)),
-                            elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=200, tol=1e-8)
+                            elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=100, tol=1e-4)
     return lr.fit(data)
 
 

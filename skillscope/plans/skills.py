@@ -24,32 +24,35 @@ from ..session import materialize
 
 
 # ---- kernel branch (C10) ----------------------------------------------------
-def kernel_item_scores(kernels: DataFrame) -> DataFrame:
+def kernel_item_scores(kernels: DataFrame, size_bound: DataFrame | None = None) -> DataFrame:
     """Per-kernel percentiles, ascending, nulls first (-> 0), and their mean."""
     k = kernels.select("KernelId", "UserId", "TotalViews", "TotalComments", "TotalVotes")
     k = rank_columns(k, [RankSpec("TotalViews", "KernelsViewsPercentile"),
                          RankSpec("TotalComments", "KernelsCommentsPercentile"),
-                         RankSpec("TotalVotes", "KernelsVotesPercentile")])
+                         RankSpec("TotalVotes", "KernelsVotesPercentile")], size_bound=size_bound)
     score = (F.col("KernelsViewsPercentile") + F.col("KernelsCommentsPercentile") + F.col("KernelsVotesPercentile")) / 3
     return k.withColumn("KernelScore", score)
 
 
-def kernel_tag_rows(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame) -> DataFrame:
+def kernel_tag_rows(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame,
+                    size_bound: DataFrame | None = None) -> DataFrame:
     """Scored kernels with their tag names (kernels without a named tag drop)."""
-    scored = kernel_item_scores(kernels).select("KernelId", "UserId", "KernelScore")
+    scored = kernel_item_scores(kernels, size_bound).select("KernelId", "UserId", "KernelScore")
     return (scored.join(kernel_tags.select("KernelId", "TagId"), "KernelId", "inner")
             .join(tags.select("TagId", "Name"), "TagId", "inner")
             .filter(F.col("Name").isNotNull()))
 
 
-def kernel_skill_scores(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame) -> DataFrame:
+def kernel_skill_scores(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame,
+                        size_bound: DataFrame | None = None) -> DataFrame:
     """Mean kernel score per (user, tag); null users never become user 0 (Q7)."""
-    rows = kernel_tag_rows(kernels, kernel_tags, tags).filter(F.col("UserId").isNotNull())
+    rows = kernel_tag_rows(kernels, kernel_tags, tags, size_bound).filter(F.col("UserId").isNotNull())
     return rows.groupBy("UserId", "Name").agg(F.coalesce(F.avg("KernelScore"), F.lit(0.0)).alias("KernelScore"))
 
 
 # ---- competition branch (C11) ---------------------------------------------------
-def team_scores(teams: DataFrame, *, compat: bool = False, per_competition: bool = False) -> DataFrame:
+def team_scores(teams: DataFrame, *, compat: bool = False, per_competition: bool = False,
+                size_bound: DataFrame | None = None) -> DataFrame:
     """Teams with a first submission; leaderboard percentile (rank
     descending; a missing rank scores 0, Q2) and medal percentile (no medal
     = 4, descending so gold scores highest, Q1); CompScore is their mean.
@@ -61,7 +64,8 @@ def team_scores(teams: DataFrame, *, compat: bool = False, per_competition: bool
     parts = ["CompetitionId"] if per_competition else []
     t2 = t2.withColumn("_medal", F.coalesce(F.col("Medal"), F.lit(NO_MEDAL_CODE)))
     t2 = rank_columns(t2, [RankSpec("PublicLeaderboardRank", "RankPer", "percent", True, not compat),
-                           RankSpec("_medal", "MedalPer", "percent", not compat)], parts).drop("_medal")
+                           RankSpec("_medal", "MedalPer", "percent", not compat)], parts,
+                      size_bound=size_bound).drop("_medal")
     return t2.withColumn("CompScore", (F.col("RankPer") + F.col("MedalPer")) / 2)
 
 
@@ -192,8 +196,9 @@ def combine_skill_scores(comp: DataFrame, kernel: DataFrame, disc: DataFrame) ->
 def skill_scores(c, html: bool = False) -> DataFrame:
     """C11: SkillScores(UserId, Name, CompScore, KernelScore, DiscScore, SkillScore)."""
     tags = c.tags()
-    kernel = kernel_skill_scores(c.kernels(), c.kernel_tags(), tags)
-    comp = competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships())
+    kernel = kernel_skill_scores(c.kernels(), c.kernel_tags(), tags, c.kernel_bound())
+    comp = competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships(),
+                                    size_bound=c.team_bound())
     disc = discussion_pipeline(c, html)["scores"]
     return combine_skill_scores(comp, kernel, disc)
 

@@ -225,6 +225,17 @@ class Community:
     def team_memberships(self):
         return team_memberships(self.t)
 
+    # cheap frames with at least as many rows as a binding, for size checks
+    def kernel_bound(self):
+        return active_orders(self.t).select("o_orderkey")
+
+    def team_bound(self):
+        return self.t.lineitem.select("l_orderkey")
+
+    def achievement_bound(self):
+        return self.t.customer.select("c_custkey").unionByName(self.t.customer.select("c_custkey")).unionByName(
+            self.t.customer.select("c_custkey"))
+
     def forum_messages(self, html: bool = False):
         return forum_messages(self.t, html)
 

@@ -1,0 +1,8 @@
+"""Structured Streaming form of the discussion branch.
+
+The reference has no streaming; this module only shows that the discussion
+operators are stream-ready: cleaning and tagging are per-row expressions,
+the forum path is a stream-static semi join and the mention counts are a
+streaming aggregation kept in the state store."""
+
+from .discussion import mention_counts_stream  # noqa: F401

@@ -1,0 +1,22 @@
+"""Mention counts per (user, tag) over a stream of forum messages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.skills import message_mentions, on_forum_path
+
+
+def mention_counts_stream(messages: DataFrame, taxonomy: DataFrame, topics: DataFrame,
+                          forums: DataFrame) -> DataFrame:
+    """A streaming DataFrame of (UserId, Name, Count) in update mode.
+
+    ``messages`` is a streaming frame with MessageId, UserId, ForumTopicId and
+    Message; ``taxonomy`` (from ``plans.skills.keyword_taxonomy``), ``topics``
+    and ``forums`` are static.  Exactly the batch operators: T1-T4 per row,
+    the forum path as a stream-static semi join, A9 as a stateful
+    aggregation (state: one count per (user, tag))."""
+    mentions = on_forum_path(message_mentions(messages, taxonomy), topics, forums)
+    return mentions.filter(F.col("UserId").isNotNull()).groupBy("UserId", "Name").agg(
+        F.count(F.lit(1)).alias("Count"))
