@@ -91,6 +91,18 @@ forum_topics AS (
 ),
 forums AS (
   SELECT DISTINCT ForumId, 'forum ' || CAST(ForumId AS VARCHAR) AS Title FROM forum_topics
+),
+forum_messages_html AS (
+  SELECT page_id AS MessageId, page_id % 50 AS ForumTopicId,
+         CASE WHEN page_id % 17 = 0 THEN NULL ELSE page_id % 150 END AS UserId,
+         html AS Message
+  FROM pages
+),
+forum_topics_html AS (
+  SELECT DISTINCT ForumTopicId, ForumTopicId % 7 AS ForumId FROM forum_messages_html
+),
+forums_html AS (
+  SELECT DISTINCT ForumId, 'forum ' || CAST(ForumId AS VARCHAR) AS Title FROM forum_topics_html
 )
 """
 

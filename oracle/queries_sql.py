@@ -274,6 +274,9 @@ disc_scores AS (
   FROM mention_counts)
 """
 
+DISC_HTML = (DISC.replace("FROM forum_messages m JOIN forum_topics tp", "FROM forum_messages_html m JOIN forum_topics_html tp")
+             .replace("JOIN forums f ON", "JOIN forums_html f ON"))
+
 SKILL_SCORES = SKILLS.rstrip() + "," + DISC.rstrip() + """,
 skill_union AS (
   SELECT UserId, Name, CompScore, NULL::DOUBLE AS KernelScore, NULL::DOUBLE AS DiscScore FROM comp_scores
@@ -387,6 +390,7 @@ messages AS (
                                    "round(KernelsAvgVotes, 6) AS KernelsAvgVotes FROM kernel_user"),
     "a_tag_means": q(SKILLS, "SELECT UserId, Name, round(KernelScore, 6) AS KernelScore FROM kernel_scores"),
     "a_mentions": q(SKILLS.rstrip() + "," + DISC, "SELECT UserId, Name, Count FROM mention_counts"),
+    "a_mentions_html": q(SKILLS.rstrip() + "," + DISC_HTML, "SELECT UserId, Name, Count FROM mention_counts"),
     "a_counts": q(COHORTS, """
 SELECT 'experts' AS cohort, count(*) AS n FROM experts UNION ALL
 SELECT 'non_experts', count(*) FROM non_experts UNION ALL

@@ -206,6 +206,12 @@ def a_mentions(spark, sf_dir):
     return _disc(spark, sf_dir)["counts"]
 
 
+def a_mentions_html(spark, sf_dir):
+    """A9 over raw HTML messages (pages): markup, scripts, styles, comments,
+    entities and links go through F11-F14 before tagging."""
+    return _memo(spark, sf_dir, "disc_html", lambda: sk.discussion_pipeline(_c(spark, sf_dir), html=True))["counts"]
+
+
 def a_counts(spark, sf_dir):
     parts = _cohorts(spark, sf_dir)
     cols = []
@@ -362,10 +368,20 @@ def m_auc(spark, sf_dir):
     return _rounded(mo.roc_auc(_holdout_predictions(spark, sf_dir)))
 
 
+def _fitted(spark, sf_dir):
+    def build():
+        train = co.model_inputs(_cohorts(spark, sf_dir)["train"])
+        return mo.fit(mo.holdout_split(train).filter(F.col("is_holdout") == 0))
+    return _memo(spark, sf_dir, "model", build)
+
+
+def m_coefficients(spark, sf_dir):
+    """M6: intercept and coefficients of the fitted model (no SQL oracle)."""
+    return mo.coefficients(_fitted(spark, sf_dir), spark)
+
+
 def m_logistic_fit_score(spark, sf_dir):
-    parts = _cohorts(spark, sf_dir)
-    train = co.model_inputs(parts["train"])
-    model = mo.fit(mo.holdout_split(train).filter(F.col("is_holdout") == 0))
+    model = _fitted(spark, sf_dir)
     pop = co.model_inputs(co.population(_features(spark, sf_dir)))
     return mo.score(model, pop).select("UserId", "ExpertisePred", "ExpertiseScore")
 

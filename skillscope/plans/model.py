@@ -72,9 +72,8 @@ def score(model, df: DataFrame, features=FEATURES) -> DataFrame:
             .drop("features", "rawPrediction", "probability", "prediction"))
 
 
-def coefficients(model, features=FEATURES) -> DataFrame:
+def coefficients(model, spark, features=FEATURES) -> DataFrame:
     """M6: intercept and coefficients as a small DataFrame."""
-    spark = model.summary.predictions.sparkSession if model.hasSummary else None
     rows = [("intercept", float(model.intercept))] + [(f, float(w)) for f, w in zip(features, model.coefficients)]
     return spark.createDataFrame(rows, "term string, weight double")
 
