@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 # A distinct-value table at most this long is ranked in one bucket (a
 # bounded, single small sort) when its type has no quantile sketch.
 SINGLE_BUCKET_MAX = 1_000_000
@@ -174,23 +176,33 @@ def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | lis
 
 def _rank_distributed(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
     keys = list(partition_by)
-    base = df
-    if not keys:
-        base = df.withColumn(_ALL, F.lit(0))
+    # The input feeds one histogram per column, the sizes and the join-back;
+    # those branches prune different columns, so exchange reuse cannot share
+    # them.  One reliable checkpoint makes every branch read the same copy
+    # (and survives executor loss) instead of recomputing the input each time.
+    base = materialize(df)
+    global_sizes = not keys
+    if global_sizes:
+        base = base.withColumn(_ALL, F.lit(0))
         keys = [_ALL]
     numeric = [s for s in specs if isinstance(base.schema[s.value].dataType, T.NumericType)]
     for s in specs:
         if s.descending and s not in numeric:
             raise ValueError("descending order is supported for numeric values")
     cuts = _numeric_cuts(base, numeric) if numeric else {}
-    sizes = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rk_n"),
-        *[F.count(F.when(F.col(s.value).isNull(), 1)).alias(f"_rk_nnull_{s.out}") for s in specs])
+    size_aggs = [F.count(F.lit(1)).alias("_rk_n"),
+                 *[F.count(F.when(F.col(s.value).isNull(), 1)).alias(f"_rk_nnull_{s.out}") for s in specs]]
     out = base
     for s in specs:
         out = out.join(_per_value(base, keys, s, cuts.get(s.out) if s in numeric else None),
                        on=[*keys, s.value], how="left")
-    out = out.join(sizes, on=keys, how="inner")
+    if global_sizes:
+        # whole-input sizes as one scalar subquery (no join on a constant key,
+        # which the planner would turn into a nested-loop cross join)
+        sizes = base.select(F.struct(*size_aggs)).scalar()
+        out = out.select("*", *[sizes[f].alias(f) for f in ["_rk_n"] + [f"_rk_nnull_{s.out}" for s in specs]])
+    else:
+        out = out.join(base.groupBy(*keys).agg(*size_aggs), on=keys, how="inner")
     helpers = ["_rk_n"]
     n = F.col("_rk_n")
     for s in specs:
