@@ -92,15 +92,23 @@ def _bucket_numeric(hn: DataFrame, ov: str, cuts: list[float]) -> DataFrame:
     return out.withColumn("_rk_b", F.col("_rk_bd").cast("int")).drop("_rk_ovd", "_rk_bd")
 
 
-def _bucket_other(hn: DataFrame, ov: str) -> DataFrame:
+def _other_cuts(hn: DataFrame, ov: str) -> list:
+    """Cut points for values without a quantile sketch (strings): none when
+    the distinct-value table is provably small, else a bounded sample."""
     total = hn.limit(SINGLE_BUCKET_MAX + 1).count()
     if total <= SINGLE_BUCKET_MAX:
-        return hn.withColumn("_rk_b", F.lit(0))
+        return []
     nb = _n_buckets(hn)
     frac = min(1.0, 20.0 * nb / hn.count())
     sample = sorted({r[0] for r in hn.select(ov).sample(False, frac, 7).collect() if r[0] is not None})
     step = max(1, len(sample) // nb)
-    arr = F.array(*[F.lit(c) for c in sample[step::step]])
+    return sample[step::step]
+
+
+def _bucket_other(hn: DataFrame, ov: str, cuts: list) -> DataFrame:
+    if not cuts:
+        return hn.withColumn("_rk_b", F.lit(0))
+    arr = F.array(*[F.lit(c) for c in cuts])
     return hn.withColumn("_rk_b", F.size(F.filter(arr, lambda c: c <= F.col(ov))))
 
 
@@ -110,14 +118,22 @@ def _per_value(base: DataFrame, keys: list[str], spec: RankSpec, cuts) -> DataFr
     ov = "_rk_ov"
     hist = base.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_rk_eq")).filter(F.col(v).isNotNull())
     hn = hist.withColumn(ov, -F.col(v) if spec.descending else F.col(v))
-    hb = _bucket_numeric(hn, ov, cuts) if cuts is not None else _bucket_other(hn, ov)
+    if cuts is None:
+        cuts = _other_cuts(hn, ov)
+        hb = _bucket_other(hn, ov, cuts)
+    else:
+        hb = _bucket_numeric(hn, ov, cuts)
+    w_in = Window.partitionBy(*keys, "_rk_b").orderBy(ov).rowsBetween(Window.unboundedPreceding, -1)
+    within = hb.withColumn("_rk_in", F.coalesce(F.sum("_rk_eq").over(w_in), F.lit(0)))
+    less, eq = f"_rk_less_{spec.out}", f"_rk_eq_{spec.out}"
+    if not cuts:
+        # one bucket: every offset is 0 (and a join on constant keys would be
+        # planned as a nested-loop cross join)
+        return within.select(*keys, v, F.col("_rk_in").alias(less), F.col("_rk_eq").alias(eq))
     per_bucket = hb.groupBy(*keys, "_rk_b").agg(F.sum("_rk_eq").alias("_rk_bc"))
     w_off = Window.partitionBy(*keys).orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*keys, "_rk_b", F.coalesce(F.sum("_rk_bc").over(w_off), F.lit(0)).alias("_rk_off"))
-    w_in = Window.partitionBy(*keys, "_rk_b").orderBy(ov).rowsBetween(Window.unboundedPreceding, -1)
-    less, eq = f"_rk_less_{spec.out}", f"_rk_eq_{spec.out}"
-    return (hb.withColumn("_rk_in", F.coalesce(F.sum("_rk_eq").over(w_in), F.lit(0)))
-            .join(offsets, on=[*keys, "_rk_b"], how="inner")
+    return (within.join(offsets, on=[*keys, "_rk_b"], how="inner")
             .select(*keys, v, (F.col("_rk_off") + F.col("_rk_in")).alias(less), F.col("_rk_eq").alias(eq)))
 
 

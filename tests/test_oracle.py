@@ -31,3 +31,16 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 25
     assert df.columns[:3] == ["Rank", "Name", "Expertise Score"]
+
+
+def test_no_cross_joins_in_any_plan(spark):
+    """No registered query plans a cartesian or nested-loop join."""
+    from skillscope import catalog
+    catalog._MEMO.clear()
+    bad = []
+    for name, fn in catalog.QUERIES.items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        if "NestedLoop" in plan or "Cartesian" in plan:
+            bad.append(name)
+    catalog._MEMO.clear()
+    assert not bad, bad
