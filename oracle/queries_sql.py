@@ -380,7 +380,7 @@ g2 AS (SELECT UserId, Name, coalesce(max(CompScore), 0) AS CompScore, coalesce(m
 messages AS (
   SELECT m.MessageId, m.UserId, m.ForumTopicId, f.Title, m.Message
   FROM forum_messages m JOIN forum_topics tp ON tp.ForumTopicId = m.ForumTopicId JOIN forums f ON f.ForumId = tp.ForumId
-  WHERE m.Message IS NOT NULL)""", "SELECT MessageId, UserId, ForumTopicId, Title, length(Message) AS message_chars "
+  WHERE m.Message IS NOT NULL)""", "SELECT MessageId, UserId, ForumTopicId, Title, CAST(length(Message) AS INTEGER) AS message_chars "
                                    "FROM messages"),
     # aggregations
     "a_distinct_counts": q(FEATURES, "SELECT UserId, NumOrgs, NumFollowers, KernelsCreated FROM features"),
