@@ -360,6 +360,10 @@ SELECT 'forums', count(*) FROM forums"""),
                              "FROM teams WHERE ScoreFirstSubmittedDate IS NOT NULL"),
     "f_point_lookup": q("", "SELECT * FROM users WHERE UserName = 'Customer#000000001'"),
     "f_skill_list": q("", "SELECT Name FROM tags"),
+    "f_user_skill_lookup": q(MODEL.rstrip() + "," + SKILL_SCORES, """
+SELECT s.UserId, s.DisplayName, k.Name, round(k.DiscScore, 6) AS DiscScore, round(k.SkillScore, 6) AS SkillScore
+FROM scored s JOIN skill_scores k ON k.UserId = s.UserId
+WHERE s.UserId = 11 AND k.Name IN ('blue rod', 'cold gear', 'hot plate')"""),
     # joins
     "j_left_counts": q(FEATURES, "SELECT UserId, NumOrgs, NumFollowers FROM membership"),
     "j_inner_medals": q(FEATURES, "SELECT UserId, AchievementType, g AS TotalGold, s AS TotalSilver, "
@@ -483,6 +487,10 @@ SELECT round((sum(CASE WHEN Expert = 1 THEN r END) - sum(Expert) * (sum(Expert)
     "c_skill_scores": q(SKILL_SCORES, "SELECT UserId, Name, round(CompScore, 6) AS CompScore, "
                                       "round(KernelScore, 6) AS KernelScore, round(DiscScore, 6) AS DiscScore, "
                                       "round(SkillScore, 6) AS SkillScore FROM skill_scores"),
+    "c_users_and_skills": q(MODEL.rstrip() + "," + SKILL_SCORES, """
+SELECT s.UserId, k.Name, round(s.ExpertiseScore, 6) AS ExpertiseScore, round(coalesce(k.SkillScore, 0), 6) AS SkillScore,
+       round(s.ExpertiseScore * 0.25 + coalesce(k.SkillScore, 0) * 0.75, 6) AS CombinedScore
+FROM scored s LEFT JOIN skill_scores k ON k.UserId = s.UserId"""),
     "c_expert_search": q(MODEL.rstrip() + "," + SKILL_SCORES.rstrip() + f""",
 uas AS (
   SELECT s.*, k.Name, k.SkillScore, s.ExpertiseScore * 0.25 + k.SkillScore * 0.75 AS CombinedScore

@@ -124,6 +124,14 @@ def f_point_lookup(spark, sf_dir):
     return _c(spark, sf_dir).users().filter(F.col("UserName") == "Customer#000000001")
 
 
+def f_user_skill_lookup(spark, sf_dir):
+    """one user's scores for a set of tags (point lookup on the joined
+    users-and-skills table)."""
+    uas = se.users_and_skills(_scored_population(spark, sf_dir), c_skill_scores_raw(spark, sf_dir))
+    return _rounded(uas.filter((F.col("UserId") == 11) & F.col("Name").isin("blue rod", "cold gear", "hot plate"))
+                    .select("UserId", "DisplayName", "Name", "DiscScore", "SkillScore"))
+
+
 def f_skill_list(spark, sf_dir):
     return se.list_skills(_c(spark, sf_dir).tags())
 
@@ -289,6 +297,19 @@ def o_downsample(spark, sf_dir):
     return _cohorts(spark, sf_dir)["non_experts_downsampled"].select("UserId", "Expert")
 
 
+def o_seeded_sample(spark, sf_dir):
+    """O4 as coded in the reference: Bernoulli sample without replacement,
+    fraction 0.2, seed 1 (engine-specific draw: rows-only check)."""
+    return _cohorts(spark, sf_dir)["non_experts"].sample(False, DOWNSAMPLE_FRACTION, 1).select("UserId")
+
+
+def o_random_split(spark, sf_dir):
+    """O6 as coded: random 80/20 split (seeded here), flagged (rows-only check)."""
+    train = _cohorts(spark, sf_dir)["train"].select("UserId", "Expert")
+    fit_part, holdout = train.randomSplit([0.8, 0.2], seed=1)
+    return fit_part.withColumn("is_holdout", F.lit(0)).unionByName(holdout.withColumn("is_holdout", F.lit(1)))
+
+
 def o_hash_split(spark, sf_dir):
     return mo.holdout_split(_cohorts(spark, sf_dir)["train"]).select("UserId", "Expert", "is_holdout")
 
@@ -420,6 +441,13 @@ def c_skill_scores(spark, sf_dir):
     return _rounded(c_skill_scores_raw(spark, sf_dir))
 
 
+def c_users_and_skills(spark, sf_dir):
+    """J23 + P7: every active user with each of their skills (or none) and
+    CombinedScore = 0.25 * ExpertiseScore + 0.75 * SkillScore."""
+    uas = se.users_and_skills(_scored_population(spark, sf_dir), c_skill_scores_raw(spark, sf_dir))
+    return _rounded(uas.select("UserId", "Name", "ExpertiseScore", "SkillScore", "CombinedScore"))
+
+
 def c_expert_search(spark, sf_dir):
     users = _scored_population(spark, sf_dir)
     return _rounded(se.expertise_finding(users, c_skill_scores_raw(spark, sf_dir), SEARCH_SKILL))

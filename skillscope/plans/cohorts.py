@@ -42,7 +42,10 @@ def non_experts(features: DataFrame, rule: NonExpertRule = NonExpertRule()) -> D
 
 def cohorts(features: DataFrame, fraction: float = DOWNSAMPLE_FRACTION) -> dict:
     """Experts, non-experts, the balanced training set (U1) and the
-    unlabelled rest (J12, left anti join)."""
+    unlabelled rest (J12, left anti join).
+
+    ``features`` is read by several branches; pass a materialised frame
+    (``session.materialize``) so the feature plan runs once."""
     ex = experts(features)
     ne = non_experts(features)
     ne_down = downsample(ne, "UserId", ex, fraction)
