@@ -418,6 +418,8 @@ FROM (VALUES (0), (1)) a(actual), (VALUES (0), (1)) p(predicted)"""),
                            "KernelScore"]) + " FROM kernel_items"),
     "w_team_pct": q(SKILLS, "SELECT TeamId, CompetitionId, Medal, PublicLeaderboardRank, round(RankPer, 6) AS RankPer, "
                             "round(MedalPer, 6) AS MedalPer, round(CompScore, 6) AS CompScore FROM team_scores"),
+    "w_team_rank_pct": q(SKILLS, "SELECT TeamId, PublicLeaderboardRank, round(RankPer, 6) AS RankPer FROM team_scores"),
+    "w_medal_pct": q(SKILLS, "SELECT TeamId, Medal, round(MedalPer, 6) AS MedalPer FROM team_scores"),
     "w_team_pct_by_competition": q(SKILLS.rstrip() + """,
 tpc AS (SELECT *,
   percent_rank() OVER (PARTITION BY CompetitionId ORDER BY PublicLeaderboardRank DESC NULLS FIRST) AS RankPer,

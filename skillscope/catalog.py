@@ -268,6 +268,16 @@ def w_team_pct(spark, sf_dir):
     return _rounded(sk.team_scores(c.teams(), size_bound=c.team_bound()))
 
 
+def w_team_rank_pct(spark, sf_dir):
+    """Leaderboard percentile of each team with a first submission."""
+    return w_team_pct(spark, sf_dir).select("TeamId", "PublicLeaderboardRank", "RankPer")
+
+
+def w_medal_pct(spark, sf_dir):
+    """Medal percentile (no medal = 4) of each team with a first submission."""
+    return w_team_pct(spark, sf_dir).select("TeamId", "Medal", "MedalPer")
+
+
 def w_team_pct_by_competition(spark, sf_dir):
     return _rounded(sk.team_scores(_c(spark, sf_dir).teams(), per_competition=True))
 

@@ -66,3 +66,12 @@ def test_tidy_split(spark):
     assert got == ["a", "b c", "x"]
     kept = [r["v"] for r in df.select(F.explode(tidy_split("s", keep=True)).alias("v")).collect()]
     assert kept == ["a, b c", "a", "b c", "x"]
+
+
+def test_encode_categorical(spark):
+    from skillscope.plans.model import encode_categorical
+    df = spark.createDataFrame([(1, "a", 0), (2, "b", 1), (3, "a", 1)], "id int, cat string, Ranked int")
+    out = encode_categorical(df, ["cat", "Ranked"])
+    assert dict(out.dtypes)["Ranked"] == "double"
+    vecs = {r["id"]: r["cat_vec"].toArray().tolist() for r in out.collect()}
+    assert vecs[1] == vecs[3] and vecs[1] != vecs[2]
