@@ -13,7 +13,7 @@ Combination:        the three long frames are unioned and grouped once on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NO_MEDAL_CODE
@@ -95,13 +95,23 @@ def forum_message_rows(messages: DataFrame, topics: DataFrame, forums: DataFrame
             .select("MessageId", "UserId", "ForumTopicId", "Title", "Message"))
 
 
-def _phrase_list(t):
+def _bigram_list(t, frequent: list[str] | None = None):
+    """Adjacent pairs of tokens of length >= 4 (optionally both in ``frequent``)."""
     n = F.size(t)
     heads = F.slice(t, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    bigrams = F.transform(heads, lambda w, i: F.when(
-        (F.length(w) >= 4) & (F.length(F.element_at(t, i + 2)) >= 4), F.concat_ws(" ", w, F.element_at(t, i + 2))))
+
+    def pair(w, i):
+        nxt = F.element_at(t, i + 2)
+        ok = (F.length(w) >= 4) & (F.length(nxt) >= 4)
+        if frequent is not None:
+            ok = ok & w.isin(frequent) & nxt.isin(frequent)
+        return F.when(ok, F.concat_ws(" ", w, nxt))
+    return F.transform(heads, pair)
+
+
+def _phrase_list(t):
     unigrams = F.filter(t, lambda w: F.length(w) >= 4)
-    return F.array_distinct(F.filter(F.concat(unigrams, bigrams), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.concat(unigrams, _bigram_list(t)), lambda x: x.isNotNull()))
 
 
 def phrase_candidates(documents: DataFrame) -> DataFrame:
@@ -114,14 +124,53 @@ def phrase_candidates(documents: DataFrame) -> DataFrame:
     return out.filter(F.col("phrase").isNotNull())
 
 
+def _distinct_per_doc(docs: DataFrame, phrases_of) -> DataFrame:
+    out = docs.select("doc_id", F.explode_outer(let(clean_tokens("text"), phrases_of)).alias("phrase"))
+    return out.filter(F.col("phrase").isNotNull())
+
+
+# A frequent-word set at most this large is checked in-row (hash-set IN).
+PRUNE_MAX_WORDS = 50_000
+# Corpora of at most this many English documents (bounded count) are counted
+# in one pass; larger ones take the pruned two-pass plan.
+PRUNE_MIN_DOCS = 1_000_000
+
+
+def phrase_frequencies(documents: DataFrame, k: int, prune: bool | None = None) -> DataFrame:
+    """Document counts of the candidate phrases that can reach the top ``k``.
+
+    Exact pruning: a bigram occurs in no more documents than either of its
+    words, and the k-th best phrase is at least as frequent as the k-th best
+    word (T).  So only bigrams of two words with count >= T are counted; all
+    other bigrams cannot enter the top k.  This keeps the bigram shuffle to
+    pairs of frequent words instead of every distinct pair in the corpus."""
+    docs = documents.filter(F.col("lang") == "en")
+    if prune is None:
+        prune = docs.select("doc_id").limit(PRUNE_MIN_DOCS + 1).count() > PRUNE_MIN_DOCS
+    if not prune:
+        return phrase_candidates(documents).groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
+    uni = _distinct_per_doc(docs, lambda t: F.array_distinct(F.filter(t, lambda w: F.length(w) >= 4)))
+    uni_freq = uni.groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
+    kth = uni_freq.orderBy(F.col("doc_count").desc(), F.col("phrase").asc()).limit(k).agg(
+        F.min("doc_count").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    frequent = None
+    if k > 0 and kth["n"] >= k:
+        words = uni_freq.filter(F.col("doc_count") >= kth["t"]).select("phrase")
+        if words.limit(PRUNE_MAX_WORDS + 1).count() <= PRUNE_MAX_WORDS:
+            frequent = [r["phrase"] for r in words.collect()]
+    bi = _distinct_per_doc(docs, lambda t: F.array_distinct(_bigram_list(t, frequent)))
+    bi_freq = bi.groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
+    return uni_freq.unionByName(bi_freq)
+
+
 def phrase_taxonomy(documents: DataFrame, tags: DataFrame) -> DataFrame:
     """Binding of the skill taxonomy to the prose: the i-th tag (by TagId)
     is paired with the i-th most frequent candidate phrase by document count,
     ties by text.  Top-k (k = number of tags) is the feature here."""
     k = tags.count()
-    freq = phrase_candidates(documents).groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
+    freq = phrase_frequencies(documents, k)
     top = freq.orderBy(F.col("doc_count").desc(), F.col("phrase").asc()).limit(k)
-    from pyspark.sql import Window
+    # at most k rows after the limit: the ordinal window is bounded by the tag count
     ranked = top.withColumn("TagId", F.row_number().over(
         Window.orderBy(F.col("doc_count").desc(), F.col("phrase").asc())).cast("long"))
     return tags.join(ranked, "TagId", "inner").select("TagId", "Name", "phrase", "doc_count")

@@ -75,3 +75,18 @@ def test_encode_categorical(spark):
     assert dict(out.dtypes)["Ranked"] == "double"
     vecs = {r["id"]: r["cat_vec"].toArray().tolist() for r in out.collect()}
     assert vecs[1] == vecs[3] and vecs[1] != vecs[2]
+
+
+def test_pruned_phrase_frequencies_keep_the_top_k(spark):
+    """The two-pass pruned count yields the same top k as the one-pass count."""
+    from conftest import SF_SMALL
+    from skillscope.plans.skills import phrase_frequencies
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    k = 40
+
+    def top(df):
+        return [tuple(r) for r in df.orderBy(F.col("doc_count").desc(), F.col("phrase").asc()).limit(k).collect()]
+    full = phrase_frequencies(docs, k, prune=False)
+    pruned = phrase_frequencies(docs, k, prune=True)
+    assert top(full) == top(pruned)
+    assert pruned.count() < full.count()
