@@ -84,3 +84,19 @@ def test_distributed_plan_single_partition_only_over_bucket_totals(spark, distri
 def test_ordinal_strings(spark, distributed_ranks):
     df = spark.createDataFrame([("b",), ("a",), ("c",)], "Name string")
     assert {r["Name"]: r["o"] for r in ordinal(df, "Name", "o").collect()} == {"a": 1, "b": 2, "c": 3}
+
+
+def test_hot_value_does_not_make_a_big_bucket(spark):
+    """A value held by a third of all rows is one histogram row, and the
+    quantile buckets of the histogram stay balanced."""
+    from skillscope.operators.ranking import _bucket_numeric, _n_buckets, _numeric_cuts
+    n = 30000
+    df = spark.range(n).withColumn("v", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")))
+    hist = df.groupBy("v").agg(F.count(F.lit(1)).alias("_rk_eq"))
+    assert hist.filter("v = 0").first()["_rk_eq"] == n // 3
+    spec = RankSpec("v", "p")
+    cuts = _numeric_cuts(hist, [spec])["p"]
+    hb = _bucket_numeric(hist.withColumn("_rk_ov", F.col("v")), "_rk_ov", cuts)
+    sizes = [r["c"] for r in hb.groupBy("_rk_b").agg(F.count(F.lit(1)).alias("c")).collect()]
+    n_hist = hist.count()
+    assert max(sizes) <= 3 * n_hist / _n_buckets(hist) + 1
