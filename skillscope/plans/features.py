@@ -27,22 +27,27 @@ def active_users(users: DataFrame, tiers=ACTIVE_TIERS) -> DataFrame:
     return users.filter(F.col("PerformanceTier").isin(*tiers))
 
 
+def _org_counts(orgs: DataFrame) -> DataFrame:
+    return orgs.groupBy("UserId").agg(F.countDistinct("OrganizationId").alias("NumOrgs"))
+
+
+def _follower_counts(followers: DataFrame) -> DataFrame:
+    return followers.groupBy("UserId").agg(F.countDistinct("FollowingUserId").alias("NumFollowers"))
+
+
+_MEMBERSHIP = [F.coalesce("NumOrgs", F.lit(0)).alias("NumOrgs"),
+               F.coalesce("NumFollowers", F.lit(0)).alias("NumFollowers")]
+
+
 def membership_counts(active: DataFrame, orgs: DataFrame, followers: DataFrame) -> DataFrame:
     """Distinct organisations and follow edges per user (0 if none)."""
-    n_orgs = orgs.groupBy("UserId").agg(F.countDistinct("OrganizationId").alias("NumOrgs"))
-    n_fol = followers.groupBy("UserId").agg(F.countDistinct("FollowingUserId").alias("NumFollowers"))
     return (active.select("UserId")
-            .join(n_orgs, "UserId", "left")
-            .join(n_fol, "UserId", "left")
-            .select("UserId",
-                    F.coalesce("NumOrgs", F.lit(0)).alias("NumOrgs"),
-                    F.coalesce("NumFollowers", F.lit(0)).alias("NumFollowers")))
+            .join(_org_counts(orgs), "UserId", "left")
+            .join(_follower_counts(followers), "UserId", "left")
+            .select("UserId", *_MEMBERSHIP))
 
 
-def medal_totals(active: DataFrame, achievements: DataFrame) -> DataFrame:
-    """gold/silver/bronze per type as one pivoting
-    aggregation; a type's columns are null when the user has no row of that
-    type, and ``TotalMedals`` is null unless all three types exist (Q15)."""
+def _medal_pivot(achievements: DataFrame) -> DataFrame:
     aggs = []
     for typ, sfx in TYPE_SUFFIX.items():
         is_t = F.col("AchievementType") == typ
@@ -57,31 +62,42 @@ def medal_totals(active: DataFrame, achievements: DataFrame) -> DataFrame:
         cols += [F.when(has, g).alias(f"TotalGold{sfx}"), F.when(has, s).alias(f"TotalSilver{sfx}"),
                  F.when(has, b).alias(f"TotalBronze{sfx}"), F.when(has, g + s + b).alias(f"Total{sfx}")]
     medals = per_user.select("UserId", *cols)
-    medals = medals.withColumn("TotalMedals", F.col("TotalDisc") + F.col("TotalComp") + F.col("TotalScript"))
-    return active.select("UserId").join(medals, "UserId", "left")
+    return medals.withColumn("TotalMedals", F.col("TotalDisc") + F.col("TotalComp") + F.col("TotalScript"))
 
 
-def kernel_features(active: DataFrame, kernels: DataFrame) -> DataFrame:
-    """Kernels authored, mean views/comments/votes
-    (0 when none), their global percentiles and their mean ``UserKernelScore``."""
-    per_author = kernels.groupBy("UserId").agg(
+def medal_totals(active: DataFrame, achievements: DataFrame) -> DataFrame:
+    """gold/silver/bronze per type as one pivoting
+    aggregation; a type's columns are null when the user has no row of that
+    type, and ``TotalMedals`` is null unless all three types exist (Q15)."""
+    return active.select("UserId").join(_medal_pivot(achievements), "UserId", "left")
+
+
+def _author_stats(kernels: DataFrame) -> DataFrame:
+    return kernels.groupBy("UserId").agg(
         F.countDistinct("KernelId").alias("KernelsCreated"),
         F.avg("TotalViews").alias("KernelsAvgViews"),
         F.avg("TotalComments").alias("KernelsAvgComments"),
         F.avg("TotalVotes").alias("KernelsAvgVotes"),
     )
-    base = active.select("UserId").join(per_author, "UserId", "left").select(
-        "UserId",
-        F.coalesce("KernelsCreated", F.lit(0)).alias("KernelsCreated"),
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("KernelsAvgViews", "KernelsAvgComments", "KernelsAvgVotes")],
-    )
+
+
+_AUTHOR = [F.coalesce("KernelsCreated", F.lit(0)).alias("KernelsCreated"),
+           *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("KernelsAvgViews", "KernelsAvgComments", "KernelsAvgVotes")]]
+_KERNEL_RANKS = [RankSpec("KernelsAvgViews", "KernelsViewsPerRanking"),
+                 RankSpec("KernelsAvgComments", "KernelsCommentsPerRanking"),
+                 RankSpec("KernelsAvgVotes", "KernelsVotesPerRanking")]
+_USER_KERNEL_SCORE = ((F.col("KernelsViewsPerRanking") + F.col("KernelsCommentsPerRanking")
+                       + F.col("KernelsVotesPerRanking")) / 3).alias("UserKernelScore")
+
+
+def kernel_features(active: DataFrame, kernels: DataFrame) -> DataFrame:
+    """Kernels authored, mean views/comments/votes
+    (0 when none), their global percentiles and their mean ``UserKernelScore``."""
+    base = active.select("UserId").join(_author_stats(kernels), "UserId", "left").select("UserId", *_AUTHOR)
     # one row per active user: the user table bounds the size check
-    out = rank_columns(base, [RankSpec("KernelsAvgViews", "KernelsViewsPerRanking"),
-                              RankSpec("KernelsAvgComments", "KernelsCommentsPerRanking"),
-                              RankSpec("KernelsAvgVotes", "KernelsVotesPerRanking")], size_bound=active)
-    score = (F.col("KernelsViewsPerRanking") + F.col("KernelsCommentsPerRanking") + F.col("KernelsVotesPerRanking")) / 3
+    out = rank_columns(base, _KERNEL_RANKS, size_bound=active)
     return out.select("UserId", "KernelsCreated", "KernelsViewsPerRanking", "KernelsCommentsPerRanking",
-                      "KernelsVotesPerRanking", score.alias("UserKernelScore"))
+                      "KernelsVotesPerRanking", _USER_KERNEL_SCORE)
 
 
 def ranking_percentiles(active: DataFrame, achievements: DataFrame, size_bound: DataFrame | None = None) -> DataFrame:
@@ -89,12 +105,15 @@ def ranking_percentiles(active: DataFrame, achievements: DataFrame, size_bound:
     type over all users, ordered descending as coded (the largest value gets
     0), one column per type.  One partitioned ranking replaces three global
     windows."""
+    return active.select("UserId").join(_ranking_pivot(achievements, size_bound), "UserId", "left")
+
+
+def _ranking_pivot(achievements: DataFrame, size_bound: DataFrame | None = None) -> DataFrame:
     ranked = achievements.select("UserId", "AchievementType", "HighestRanking").na.drop()
     pct = percent_rank(ranked, "HighestRanking", "_pct", descending=True, partition_by=["AchievementType"],
                        size_bound=size_bound)
-    per_user = pct.groupBy("UserId").agg(
+    return pct.groupBy("UserId").agg(
         *[F.max(F.when(F.col("AchievementType") == t, F.col("_pct"))).alias(c) for t, c in RANKING_COLUMN.items()])
-    return active.select("UserId").join(per_user, "UserId", "left")
 
 
 FEATURE_COLUMNS = [
@@ -108,12 +127,22 @@ FEATURE_COLUMNS = [
 
 
 def user_features(c) -> DataFrame:
-    """The user feature table over active users (one row per user)."""
+    """The user feature table over active users (one row per user).
+
+    One chain of left joins of per-user aggregates onto the active users (all
+    on UserId, so the user side keeps its partitioning), then the W1 ranks on
+    the joined table."""
     active = active_users(c.users())
     ach = c.user_achievements()
-    out = (active
-           .join(membership_counts(active, c.user_organizations(), c.user_followers()), "UserId", "left")
-           .join(medal_totals(active, ach), "UserId", "left")
-           .join(kernel_features(active, c.kernels()), "UserId", "left")
-           .join(ranking_percentiles(active, ach, c.achievement_bound()), "UserId", "left"))
+    joined = (active
+              .join(_org_counts(c.user_organizations()), "UserId", "left")
+              .join(_follower_counts(c.user_followers()), "UserId", "left")
+              .join(_medal_pivot(ach), "UserId", "left")
+              .join(_author_stats(c.kernels()), "UserId", "left")
+              .join(_ranking_pivot(ach, c.achievement_bound()), "UserId", "left"))
+    filled = ("NumOrgs", "NumFollowers", "KernelsCreated", "KernelsAvgViews", "KernelsAvgComments",
+              "KernelsAvgVotes")
+    base = joined.select(*[c_ for c_ in joined.columns if c_ not in filled], *_MEMBERSHIP, *_AUTHOR)
+    out = rank_columns(base, _KERNEL_RANKS, size_bound=active).withColumn(
+        "UserKernelScore", _USER_KERNEL_SCORE)
     return out.select(*FEATURE_COLUMNS)
