@@ -1,12 +1,7 @@
 """Dictionary phrase tagging (T3, T4): case-insensitive, word-bounded,
 leftmost-longest, non-overlapping, repeats kept, canonical names returned.
 
-No per-row keyword trie.  (Generators are the ``_outer`` forms throughout:
-the plain ones make the optimizer infer a ``size(array) > 0`` filter and
-push it below the projection, which would evaluate the whole token
-expression again; empty documents fall out at the keyword join instead.)
-
-  Each document's token array becomes an array of
+No per-row keyword trie.  Each document's token array becomes an array of
 candidate n-grams ``(start, -len, gram)`` for len = 1..L (L = the longest
 taxonomy phrase); candidates are sorted by (start asc, len desc) and a left
 fold keeps one iff it starts at or after the end of the last kept one.  Two
@@ -20,6 +15,11 @@ ways to keep only the n-grams that are taxonomy keywords:
 * join (any taxonomy size): explode the n-grams, equi-join with the
   taxonomy, gather each document's matches (bounded by its own tokens) and
   fold them.
+
+Generators are the ``_outer`` forms throughout: the plain ones make the
+optimizer infer a ``size(array) > 0`` filter and push it below the
+projection, which would evaluate the whole token expression again; empty
+documents fall out at the keyword join instead.
 """
 
 from __future__ import annotations

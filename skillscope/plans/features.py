@@ -35,8 +35,9 @@ def _follower_counts(followers: DataFrame) -> DataFrame:
     return followers.groupBy("UserId").agg(F.countDistinct("FollowingUserId").alias("NumFollowers"))
 
 
-_MEMBERSHIP = [F.coalesce("NumOrgs", F.lit(0)).alias("NumOrgs"),
-               F.coalesce("NumFollowers", F.lit(0)).alias("NumFollowers")]
+def _membership():
+    return [F.coalesce("NumOrgs", F.lit(0)).alias("NumOrgs"),
+            F.coalesce("NumFollowers", F.lit(0)).alias("NumFollowers")]
 
 
 def membership_counts(active: DataFrame, orgs: DataFrame, followers: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def membership_counts(active: DataFrame, orgs: DataFrame, followers: DataFrame)
     return (active.select("UserId")
             .join(_org_counts(orgs), "UserId", "left")
             .join(_follower_counts(followers), "UserId", "left")
-            .select("UserId", *_MEMBERSHIP))
+            .select("UserId", *_membership()))
 
 
 def _medal_pivot(achievements: DataFrame) -> DataFrame:
@@ -81,23 +82,26 @@ def _author_stats(kernels: DataFrame) -> DataFrame:
     )
 
 
-_AUTHOR = [F.coalesce("KernelsCreated", F.lit(0)).alias("KernelsCreated"),
-           *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("KernelsAvgViews", "KernelsAvgComments", "KernelsAvgVotes")]]
+def _author():
+    return [F.coalesce("KernelsCreated", F.lit(0)).alias("KernelsCreated"),
+            *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("KernelsAvgViews", "KernelsAvgComments",
+                                                             "KernelsAvgVotes")]]
 _KERNEL_RANKS = [RankSpec("KernelsAvgViews", "KernelsViewsPerRanking"),
                  RankSpec("KernelsAvgComments", "KernelsCommentsPerRanking"),
                  RankSpec("KernelsAvgVotes", "KernelsVotesPerRanking")]
-_USER_KERNEL_SCORE = ((F.col("KernelsViewsPerRanking") + F.col("KernelsCommentsPerRanking")
-                       + F.col("KernelsVotesPerRanking")) / 3).alias("UserKernelScore")
+def _user_kernel_score():
+    return ((F.col("KernelsViewsPerRanking") + F.col("KernelsCommentsPerRanking")
+             + F.col("KernelsVotesPerRanking")) / 3).alias("UserKernelScore")
 
 
 def kernel_features(active: DataFrame, kernels: DataFrame) -> DataFrame:
     """Kernels authored, mean views/comments/votes
     (0 when none), their global percentiles and their mean ``UserKernelScore``."""
-    base = active.select("UserId").join(_author_stats(kernels), "UserId", "left").select("UserId", *_AUTHOR)
+    base = active.select("UserId").join(_author_stats(kernels), "UserId", "left").select("UserId", *_author())
     # one row per active user: the user table bounds the size check
     out = rank_columns(base, _KERNEL_RANKS, size_bound=active)
     return out.select("UserId", "KernelsCreated", "KernelsViewsPerRanking", "KernelsCommentsPerRanking",
-                      "KernelsVotesPerRanking", _USER_KERNEL_SCORE)
+                      "KernelsVotesPerRanking", _user_kernel_score())
 
 
 def ranking_percentiles(active: DataFrame, achievements: DataFrame, size_bound: DataFrame | None = None) -> DataFrame:
@@ -142,7 +146,7 @@ def user_features(c) -> DataFrame:
               .join(_ranking_pivot(ach, c.achievement_bound()), "UserId", "left"))
     filled = ("NumOrgs", "NumFollowers", "KernelsCreated", "KernelsAvgViews", "KernelsAvgComments",
               "KernelsAvgVotes")
-    base = joined.select(*[c_ for c_ in joined.columns if c_ not in filled], *_MEMBERSHIP, *_AUTHOR)
+    base = joined.select(*[c_ for c_ in joined.columns if c_ not in filled], *_membership(), *_author())
     out = rank_columns(base, _KERNEL_RANKS, size_bound=active).withColumn(
-        "UserKernelScore", _USER_KERNEL_SCORE)
+        "UserKernelScore", _user_kernel_score())
     return out.select(*FEATURE_COLUMNS)

@@ -44,3 +44,13 @@ def test_no_cross_joins_in_any_plan(spark):
             bad.append(name)
     catalog._MEMO.clear()
     assert not bad, bad
+
+
+def test_import_without_a_session():
+    """The driver may import the entry module before any session exists."""
+    import subprocess
+    import sys
+    from conftest import ROOT
+    code = "import sys; sys.path.insert(0, %r); import __spark_entry__ as E, bench; print(len(E.queries()))" % ROOT
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=ROOT)
+    assert out.returncode == 0, out.stderr[-2000:]
