@@ -52,10 +52,10 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def spread(df: DataFrame) -> DataFrame:
     """Ensure CPU-heavy per-row work (text cleaning) runs on every core: when
-    a scan yields fewer partitions than the session's parallelism (one large
-    file with one row group), redistribute it round-robin.  On a cluster the
+    a scan yields fewer partitions than there are cores (one large file with
+    one row group), redistribute it round-robin over the cores.  On a cluster the
     input already has thousands of splits and this is a no-op."""
-    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    target = df.sparkSession.sparkContext.defaultParallelism  # total executor cores
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
