@@ -212,10 +212,11 @@ def discussion_skill_scores(counts: DataFrame) -> DataFrame:
 
 
 def discussion_pipeline(c, html: bool = False) -> dict:
-    """The whole discussion branch over a bound community."""
+    """The whole discussion branch over a community (driver bindings or CSV
+    exports); ``c.skill_phrases()`` gives (TagId, Name, phrase)."""
     # both are at most one row per tag; materialised once so the corpus scan
     # behind them runs once, not again for each eager size/length check
-    phrases = materialize(phrase_taxonomy(c.t.documents, c.tags()))
+    phrases = materialize(c.skill_phrases())
     taxonomy = materialize(keyword_taxonomy(phrases))
     msgs = forum_message_rows(c.forum_messages(html), c.forum_topics(html), c.forums(html))
     mentions = on_forum_path(message_mentions(c.forum_messages(html), taxonomy),

@@ -237,6 +237,12 @@ class Community:
         return self.t.customer.select("c_custkey").unionByName(self.t.customer.select("c_custkey")).unionByName(
             self.t.customer.select("c_custkey"))
 
+    def skill_phrases(self):
+        """Tag names paired with frequent phrases of the prose (FIXTURES C):
+        the driver's tag names never occur in its documents."""
+        from ..plans.skills import phrase_taxonomy
+        return phrase_taxonomy(self.t.documents, self.tags())
+
     def forum_messages(self, html: bool = False):
         return forum_messages(self.t, html)
 

@@ -9,6 +9,7 @@ Driver tables: parquet, one file per table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .schemas import RENAMES, SCHEMAS
 
@@ -18,28 +19,38 @@ def _rename(df: DataFrame, table: str) -> DataFrame:
     return df.withColumnsRenamed(renames) if renames else df
 
 
+def _by_name(df: DataFrame, table: str) -> DataFrame:
+    """Declared columns by header name, cast to their declared types; a
+    declared column missing from the file becomes a typed null.  Exports
+    differ in extra columns and column order, so positions are not trusted."""
+    have = set(df.columns)
+    cols = [(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in SCHEMAS[table].fields]
+    return df.select(*cols)
+
+
 def read_csv_table(spark: SparkSession, path: str, table: str | None = None, infer: bool = False) -> DataFrame:
-    """Read one community CSV export; declared schema when the table is known."""
+    """Read one community CSV export.  Known tables: header row read as
+    strings (no inference pass) and the declared columns taken by name with
+    their declared types.  Unknown tables: inference as a fallback."""
     reader = spark.read.option("header", True)
     if table in SCHEMAS and not infer:
-        reader = reader.schema(SCHEMAS[table])
-    else:
-        reader = reader.option("inferSchema", True)
-    df = reader.csv(path)
+        return _rename(_by_name(reader.csv(path), table), table)
+    df = reader.option("inferSchema", True).csv(path)
     return _rename(df, table) if table else df
 
 
 def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Forum messages: bodies carry commas, quotes and newlines."""
+    """Forum messages: bodies carry commas, quotes and newlines (multi-line
+    records, doubled-quote escapes)."""
     df = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
-        .schema(SCHEMAS["ForumMessages"])
         .csv(path)
     )
-    return _rename(df, "ForumMessages")
+    return _rename(_by_name(df, "ForumMessages"), "ForumMessages")
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
