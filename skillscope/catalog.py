@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .config import DOWNSAMPLE_FRACTION, TOP_SKILLS_SIZE
-from .functions.text import clean_message, clean_tokens, normalized_text, stemmed_tokens, tidy_split
+from .functions.text import clean_message, clean_tokens, normalized_text, tidy_split
 from .functions.stem import stem_token
-from .operators.ranking import RankSpec, rank_columns
-from .operators.sampling import downsample, hash_sample
+from .operators.sampling import hash_sample
 from .plans import cohorts as co
 from .plans import features as fe
 from .plans import model as mo
@@ -184,7 +183,6 @@ def j_forum_path(spark, sf_dir):
 
 # ---- aggregations ----------------------------------------------------------------------
 def a_distinct_counts(spark, sf_dir):
-    c = _c(spark, sf_dir)
     f = _features(spark, sf_dir)
     return f.select("UserId", "NumOrgs", "NumFollowers", "KernelsCreated")
 
@@ -346,8 +344,6 @@ def t_token_clean(spark, sf_dir):
 
 def t_explode_split(spark, sf_dir):
     """tidy split of each message's comma-joined match list."""
-    tagged = _disc(spark, sf_dir)["mentions"].groupBy("MessageId").agg(
-        F.count(F.lit(1)).alias("n"))
     m = _disc(spark, sf_dir)["mentions"]
     listed = m.groupBy("MessageId").agg(F.array_join(F.array_sort(F.collect_list("Name")), ",").alias("names"))
     return listed.select("MessageId", F.explode(tidy_split("names")).alias("Name")).groupBy("MessageId", "Name").agg(

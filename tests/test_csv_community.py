@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from skillscope.plans import cohorts as co
 from skillscope.plans import features as fe
 from skillscope.plans import model as mo
