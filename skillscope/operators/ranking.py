@@ -216,7 +216,10 @@ def _rank_distributed(df: DataFrame, specs: list[RankSpec], partition_by: tuple
         # whole-input sizes as one scalar subquery (no join on a constant key,
         # which the planner would turn into a nested-loop cross join)
         sizes = base.select(F.struct(*size_aggs)).scalar()
-        out = out.select("*", *[sizes[f].alias(f) for f in ["_rk_n"] + [f"_rk_nnull_{s.out}" for s in specs]])
+        # bound once to a column, so the subquery runs once (not per field)
+        out = out.withColumn("_rk_sz", sizes)
+        out = out.select("*", *[F.col("_rk_sz")[f].alias(f) for f in ["_rk_n"] + [f"_rk_nnull_{s.out}" for s in specs]])
+        out = out.drop("_rk_sz")
     else:
         out = out.join(base.groupBy(*keys).agg(*size_aggs), on=keys, how="inner")
     helpers = ["_rk_n"]
