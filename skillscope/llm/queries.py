@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, neighbour_quality, sharding
+from . import compression, licences, line_chunks, neighbour_quality, quotations, sharding, simhash
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -32,10 +32,34 @@ def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in reply order, without quotes, with the message it answers."""
+    return quotations.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, compression ratios and verdict of every document."""
     return compression.quality_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_neighbour_quality, op7_compression_bands)}
+def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line or document that matches a licence template."""
+    return licences.scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+
+
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the line chunks that repeat an earlier one."""
+    return line_chunks.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id", "text", "n_removed_lines")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_neighbour_quality, op3_quotation_linking, op7_compression_bands, op8_simhash_gray,
+    op9_licence_scan, op10_line_chunks)}
 ORACLE_SQL: dict[str, str] = {}
