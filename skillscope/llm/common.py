@@ -73,11 +73,12 @@ def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-#: Odd multiplier of the window hashes (fixed value, 2**64 divided by the golden ratio).
+#: Odd multipliers of the window hashes (fixed values, from the fractions of the golden ratio and of the root of 3).
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_2 = np.uint64(0xBB67AE8584CAA73B)
 
 
-def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, length: int, base: np.uint64 = BASE) -> np.ndarray:
     """Hash of every run of ``length`` consecutive word hashes.
 
     A run of twice the length is made from two runs of half the length, so the
@@ -90,11 +91,11 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
         while left:
             if left & 1:
                 part = power[done:len(hashes) - length + done + 1]
-                out = part if out is None else mixed(out * BASE ^ part)
+                out = part if out is None else mixed(out * base ^ part)
                 done += size
             left >>= 1
             if left:
-                power = mixed(power[:-size] * BASE ^ power[size:])
+                power = mixed(power[:-size] * base ^ power[size:])
                 size *= 2
     return out
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, licences, line_chunks, neighbour_quality, quotations, sharding, simhash
+from . import compression, licences, line_chunks, neighbour_quality, quotations, repeated_windows, sharding, simhash
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -37,6 +37,12 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a 50-word window of an earlier document covers, and what is left."""
+    found = repeated_windows.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, compression ratios and verdict of every document."""
     return compression.quality_rows(table(spark, sf_dir, "documents"))
@@ -60,6 +66,6 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_neighbour_quality, op3_quotation_linking, op7_compression_bands, op8_simhash_gray,
-    op9_licence_scan, op10_line_chunks)}
+    op1_sharding, op2_neighbour_quality, op3_quotation_linking, op5_repeated_windows, op7_compression_bands,
+    op8_simhash_gray, op9_licence_scan, op10_line_chunks)}
 ORACLE_SQL: dict[str, str] = {}
