@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, licences, line_chunks, neighbour_quality, quotations, repeated_windows, sharding, simhash
+from . import compression, decontamination, licences, line_chunks, neighbour_quality, quotations, repeated_windows, sharding, simhash
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -37,6 +37,12 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+def op4_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which it holds a copy, exact or edited."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word", "end_word")
+
+
 def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a 50-word window of an earlier document covers, and what is left."""
     found = repeated_windows.without_repeats(table(spark, sf_dir, "documents"))
@@ -66,6 +72,6 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_neighbour_quality, op3_quotation_linking, op5_repeated_windows, op7_compression_bands,
+    op1_sharding, op2_neighbour_quality, op3_quotation_linking, op4_rare_seed_alignment, op5_repeated_windows, op7_compression_bands,
     op8_simhash_gray, op9_licence_scan, op10_line_chunks)}
 ORACLE_SQL: dict[str, str] = {}
