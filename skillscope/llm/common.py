@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
 
@@ -50,6 +50,20 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column_as(df: DataFrame, name: str, alias: str) -> Column:
+    """A column under another name; left alone where it has that name already,
+    so that two uses of one scan stay equal plans and can share a shuffle."""
+    return df[f"`{name}`"] if name == alias else df[f"`{name}`"].alias(alias)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def slices(batches, rows: int):
     """Arrow batches cut into (zero-copy) slices of at most ``rows`` rows, so
     that what a task holds per step does not follow the reader's batch size."""

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 #: A chunk may end after a line whose rolling hash is divisible by this: one line in DIVISOR is a candidate.
 DIVISOR = 2
@@ -83,30 +83,45 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select("id", "mark", "c.code", F.xxhash64("c.chunk").alias("hash")))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, removed): for each document, known by id and hash of its
-    text, the codes of chunks that equal an earlier chunk."""
+def known_by(docs: DataFrame, rows: DataFrame, id_col: str, mark: str) -> Column:
+    """Join condition between documents and (id, mark) rows."""
+    return docs[f"`{id_col}`"].eqNullSafe(rows["id"]) & (docs[mark] == rows["mark"])
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 removed_col: str | None = None) -> DataFrame:
+    """``docs`` with the text of every row rid of repeated chunks; with
+    ``removed_col``, also a column of that name with the removed lines' count."""
     chunks = stored(chunk_rows(docs, id_col, text_col), "chunks")
-    repeated = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    # written first, so that the join sees two plain shuffles and can split a chunk that very many documents share
+    repeated = stored(chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"),
+                      "repeated")
     wanted = stored(chunks.join(repeated, "hash", "left_semi").groupBy("id", "mark")
                     .agg(F.collect_set("code").alias("wanted")), "wanted")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body")).withColumn(
-        "mark", F.xxhash64("body"))
-    found = (rows.join(wanted, same_document(rows, wanted)).select(rows["id"], rows["mark"], "body", "wanted")
-             .select("id", "mark", F.explode("wanted").alias("code"), F.split("body", "\n").alias("lines"))
+    # both joins below read the documents under the same key: where no other column is asked for,
+    # the texts are shuffled once
+    mark = free_name(docs, "mark")
+    rows = docs.withColumn(mark, F.xxhash64(docs[f"`{text_col}`"]))
+    body = rows[f"`{text_col}`"]
+    found = (rows.join(wanted, known_by(rows, wanted, id_col, mark))
+             .select(wanted["id"], wanted["mark"], F.explode("wanted").alias("code"), F.split(body, "\n").alias("lines"))
              .select("id", "mark", "code", chunk_text(F.col("lines"), F.col("code")).alias("chunk")))
     # equal bytes meet in one pre-aggregated group, which only remembers its first occurrence
     order = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "code")
     first = (found.groupBy(F.xxhash64("chunk").alias("hash"), "chunk").agg(F.min(order).alias("first"))
              .select("first.id", "first.mark", "first.code").groupBy("id", "mark")
              .agg(F.collect_set("code").alias("kept")))
-    both = wanted.join(first, same_document(wanted, first), "left").select(wanted["id"], wanted["mark"], "wanted", "kept")
+    same = wanted["id"].eqNullSafe(first["id"]) & (wanted["mark"] == first["mark"])
     removed = F.array_except("wanted", F.coalesce("kept", F.array().cast("array<bigint>")))
-    return both.select("id", "mark", removed.alias("removed")).filter(F.size("removed") > 0)
-
-
-def same_document(a: DataFrame, b: DataFrame) -> Column:
-    return a["id"].eqNullSafe(b["id"]) & (a["mark"] == b["mark"])
+    gone = (wanted.join(first, same, "left").select(wanted["id"], wanted["mark"], removed.alias("_removed"))
+            .filter(F.size("_removed") > 0))
+    out = rows.join(gone, known_by(rows, gone, id_col, mark), "left")
+    removed = gone["_removed"]
+    text = F.when(removed.isNull(), body).otherwise(kept_text(body, removed)).alias(text_col)
+    lines = F.when(removed.isNull(), 0).otherwise(
+        F.aggregate(removed, F.lit(0).cast("bigint"), lambda n, c: n + c % SPAN)).cast("bigint")
+    return out.select(*[text if c == text_col else docs[f"`{c}`"] for c in docs.columns],
+                      *([lines.alias(removed_col)] if removed_col else []))
 
 
 def kept_text(text: Column, removed: Column) -> Column:
@@ -114,16 +129,3 @@ def kept_text(text: Column, removed: Column) -> Column:
     lines = F.split(text, "\n")
     left = bound(chunk_codes(lines), lambda codes: F.array_except(codes, removed))
     return F.array_join(F.transform(left, lambda c: chunk_text(lines, c)), "\n")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` as struct ``row`` (unchanged), its new ``text``
-    and ``n_removed_lines``."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"))
-    gone = repeats(docs, id_col, text_col)
-    text, removed = F.col("row").getField(text_col), F.col("removed")
-    return rows.join(gone, same_document(rows, gone), "left").select(
-        "row", F.when(removed.isNull(), text).otherwise(kept_text(text, removed)).alias("text"),
-        F.when(removed.isNull(), 0).otherwise(F.aggregate(removed, F.lit(0).cast("bigint"), lambda n, c: n + c % SPAN))
-        .cast("bigint").alias("n_removed_lines"))

@@ -67,8 +67,8 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the line chunks that repeat an earlier one."""
-    return line_chunks.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "row.doc_id", "text", "n_removed_lines")
+    return line_chunks.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    removed_col="n_removed_lines")
 
 
 QUERIES = {f.__name__: f for f in (
