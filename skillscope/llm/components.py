@@ -16,8 +16,9 @@ from .common import drop_stored, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``links`` (a, b), root being its
-    component's least node.  Self links and repeated links do no harm."""
+    """(node, root) of every node of ``links`` (a, b) that is not itself the
+    least node, the root, of its component.  Self links and repeated links do
+    no harm."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .filter("a <> b").distinct(), "links")
     before = None
@@ -34,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*").filter("a <> b").distinct())
         after = stored(small, "links")
-        # exact 128-bit-free check: number of links and an order-free checksum in decimals
+        # the links stay as they are once their number and an order-free checksum do
         state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         drop_stored(edges)
         edges = after

@@ -113,7 +113,7 @@ def occurrences(text: np.ndarray, order: np.ndarray, model: PieceModel) -> tuple
     """Ranges [low, high) of the suffix array that begin with each longer
     piece, found for all pieces together, a few characters a time."""
     step = 3  # code points compared at once, packed into one number
-    padded = np.concatenate([text, np.full(model.pieces.shape[1] + step, SEPARATOR + 1)])
+    padded = np.concatenate([text, np.zeros(model.pieces.shape[1] + step, np.int64)])
     packed = (padded[:-2] << 42) + (padded[1:-1] << 21) + padded[2:]
     n = len(model.lengths)
     low, high = np.zeros(n, np.int64), np.full(n, len(text), np.int64)

@@ -7,9 +7,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontamination, licences, line_chunks, neighbour_quality, quotations, repeated_windows, sharding, simhash
+from . import compression, decontamination, licences, line_chunks, neighbour_quality, piece_matching, quotations
+from . import repeated_windows, sharding, simhash
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
+#: Model file of the tokenizer; the session setting of this name overrides the path.
+MODEL_SETTING = "skillscope.llm.piece_model"
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def piece_model(spark: SparkSession) -> piece_matching.PieceModel:
+    return piece_matching.load(spark.conf.get(MODEL_SETTING, MODEL_PATH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +57,11 @@ def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op6_piece_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding gives its text back."""
+    return piece_matching.round_trips(table(spark, sf_dir, "documents"), piece_model(spark))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, compression ratios and verdict of every document."""
     return compression.quality_rows(table(spark, sf_dir, "documents"))
@@ -71,7 +84,13 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     removed_col="n_removed_lines")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline, applied to documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sharding, op2_neighbour_quality, op3_quotation_linking, op4_rare_seed_alignment, op5_repeated_windows, op7_compression_bands,
-    op8_simhash_gray, op9_licence_scan, op10_line_chunks)}
+    op1_sharding, op2_neighbour_quality, op3_quotation_linking, op4_rare_seed_alignment, op5_repeated_windows,
+    op6_piece_matching, op7_compression_bands, op8_simhash_gray, op9_licence_scan, op10_line_chunks, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
