@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_2, drop_stored, signed, slices, stored, utf8, window_hashes, word_hashes, words_of
+from .common import BASE_2, column_as, drop_stored, signed, slices, stored, utf8, window_hashes, word_hashes, words_of
 
 MIN_WORDS = 50
 
@@ -53,7 +53,7 @@ def candidates(hashes: np.ndarray, length: int, seeds: np.ndarray) -> np.ndarray
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return docs.select(column_as(docs, id_col, "doc_id"), column_as(docs, text_col, "text"))
 
 
 def repeated_seeds(rows: DataFrame, length: int) -> DataFrame:
@@ -80,11 +80,13 @@ def repeated_seeds(rows: DataFrame, length: int) -> DataFrame:
 
     seeds = stored(rows.filter("doc_id is not null").mapInArrow(
         run, f"doc_id {dict(rows.dtypes)['doc_id']}, at int, key bigint"), "seeds")
-    shared = (seeds.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-              .filter("least <> most").select("key"))
+    # written first, so that the join sees two plain shuffles and can split a seed that very many documents share
+    shared = stored(seeds.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                    .filter("least <> most").select("key"), "shared")
     found = stored(seeds.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("seeds")),
                    "seeds")
     drop_stored(seeds)
+    drop_stored(shared)
     return found
 
 
