@@ -4,12 +4,14 @@
    does not follow the number of items).  One pass over the corpus reports the
    n-grams of documents whose bit is set; an equality join with the items'
    n-grams then removes the accidental ones.
-2. Over all documents, each n-gram's document frequency is counted.  Seeds are
+2. Each n-gram's document frequency is counted over all rows.  Seeds are
    the rare ones: at most ``RARE_SHARE`` of the documents, or in the rarer half
    of their item's n-grams - so an item that is copied into a third of the
    corpus still has seeds, while common phrases start no alignment.
-3. Seeds join documents to items.  Shared seeds on neighbouring diagonals make
-   one region of the document, which travels (as word hashes) to its item.
+3. Seeds join documents to items.  A second pass cuts the words around seeds
+   out of the documents (found by a bitmap of the seeds), so whole texts are
+   never shuffled.  Shared seeds on neighbouring diagonals make one region,
+   which travels (as word hashes) to its item.
 4. Smith-Waterman alignment of words (match +2, mismatch and gap -1) scores
    edited copies: similarity is the share of the item's words that the best
    local alignment matches.
@@ -101,13 +103,25 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int,
     return out
 
 
-def regions_of(diagonals: np.ndarray, item_words: int, doc_words: int) -> list[tuple[int, int]]:
-    """Word ranges of a document that may hold an edited copy of an item whose
-    seeds lie on these diagonals (document position minus item position)."""
-    slack = item_words // 2 + 1
+def slack_of(item_words: int) -> int:
+    return item_words // 2 + 1
+
+
+def regions_of(diagonals: np.ndarray, item_words: int) -> list[tuple[int, int]]:
+    """Word ranges of a document (before its bounds are applied) that may hold
+    an edited copy of an item whose seeds lie on these diagonals (document
+    position minus item position)."""
+    slack = slack_of(item_words)
     d = np.sort(diagonals)
-    cut = np.flatnonzero(np.diff(d) > slack) + 1
-    return [(max(0, int(g[0]) - slack), min(doc_words, int(g[-1]) + item_words + slack)) for g in np.split(d, cut)]
+    groups = np.split(d, np.flatnonzero(np.diff(d) > slack) + 1)
+    return [(int(g[0]) - slack, int(g[-1]) + item_words + slack) for g in groups]
+
+
+def surroundings(at: np.ndarray, reach: int, doc_words: int) -> list[tuple[int, int]]:
+    """Disjoint word ranges around seed positions.  With a reach of the longest
+    item and its slack, every region of an item lies in the range of its seeds."""
+    groups = np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1) if len(at) else []
+    return [(max(0, int(g[0]) - reach), min(doc_words, int(g[-1]) + reach)) for g in groups]
 
 
 # ---- the join --------------------------------------------------------------------------------
@@ -150,27 +164,57 @@ def bitmap_of(grams: DataFrame) -> np.ndarray:
     return out
 
 
+def set_bits(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Positions of the keys whose bit is set."""
+    low = (keys & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+    return np.flatnonzero(bitmap[low >> 5] >> (low & 31).astype(np.uint32) & 1)
+
+
 def hits(docs: DataFrame, bitmap: np.ndarray, ngram: int) -> DataFrame:
-    """(id, mark, key, at): n-grams of documents whose bit is set, with their positions."""
+    """(id, mark, key, at, fresh): n-grams of documents whose bit is set, with
+    their positions; fresh marks an n-gram's first place in its row."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        bits = shared.value
         for batch in slices(batches, 256):
-            row, key, at = [], [], []
+            row, key, at, fresh = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 w = window_hashes(normal_hashes(text), ngram)
-                low = (w & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                p = np.flatnonzero(bits[low >> 5] >> (low & 31).astype(np.uint32) & 1)
+                p = set_bits(w, shared.value)
                 row.append(np.full(len(p), i))
                 key.append(w[p])
                 at.append(p)
+                fresh.append(np.isin(np.arange(len(p)), np.unique(w[p], return_index=True)[1]))
             row = pa.array(np.concatenate(row))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(signed(np.concatenate(key))),
-                 pa.array(np.concatenate(at), pa.int32())], ["id", "mark", "key", "at"])
+                 pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(fresh))],
+                ["id", "mark", "key", "at", "fresh"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark bigint, key bigint, at int, fresh boolean")
+
+
+def seeded_parts(docs: DataFrame, bitmap: np.ndarray, ngram: int, reach: int) -> DataFrame:
+    """(id, mark, parts): of documents with seeds, the word hashes around
+    them, as (first word, words)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    part = pa.struct([("first", pa.int32()), ("words", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            row, parts = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                h = normal_hashes(text)
+                found = surroundings(set_bits(window_hashes(h, ngram), shared.value), reach, len(h))
+                if found:
+                    row.append(i)
+                    parts.append([{"first": a, "words": signed(h[a:b])} for a, b in found])
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row),
+                                              pa.array(parts, pa.list_(part))], ["id", "mark", "parts"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark bigint, key bigint, at int")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark bigint, "
+                                "parts array<struct<first: int, words: array<bigint>>>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
@@ -183,9 +227,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     known = stored(item_rows(items, item_id, item_text, ngram), "items")
     grams = stored(item_grams(known, ngram), "grams")
     found = stored(hits(rows, bitmap_of(grams), ngram), "hits")
-    exact = found.join(grams.select("key").distinct(), "key", "left_semi")
-    frequency = exact.groupBy("key", "id", "mark").agg(F.lit(1).alias("one")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("frequency"))
+    frequency = found.filter("fresh").groupBy("key").agg(F.count(F.lit(1)).alias("frequency"))
     n_docs = docs.count()
     half = F.median("frequency").over(Window.partitionBy("item_id"))
     seeds = stored(grams.join(frequency, "key").withColumn("half", half).filter(
@@ -195,24 +237,29 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
                     .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
                     .groupBy("id", "mark").agg(F.collect_list(F.struct("item_id", "item_words", "diagonals")).alias("w")),
                     "wanted")
-    same = rows["id"].eqNullSafe(wanted["id"]) & (rows["mark"] == wanted["mark"])
-    texts = rows.join(wanted, same).select(rows["id"], rows["mark"], "text", "w").dropDuplicates(["id", "mark"])
+    longest = seeds.agg(F.max("item_words")).first()[0] or 0
+    parts = seeded_parts(rows, bitmap_of(seeds), ngram, longest + slack_of(longest) + ngram)
+    # both sides grow with the corpus, so neither is ever broadcast
+    same = parts["id"].eqNullSafe(wanted["id"]) & (parts["mark"] == wanted["mark"])
+    both = parts.join(wanted.hint("merge"), same).select(parts["id"], parts["mark"], "w", "parts")
     id_type, item_type = dict(rows.dtypes)["id"], dict(known.dtypes)["item_id"]
 
     def cut(batches):
         for batch in slices(batches, 64):
             row, item, first, words = [], [], [], []
-            for i, (text, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                h = signed(normal_hashes(text))
-                for x in w:
-                    for a, b in regions_of(np.array(x["diagonals"]), x["item_words"], len(h)):
+            for i in range(batch.num_rows):
+                held = [(p["first"].as_py(), p["words"].values.to_numpy()) for p in batch.column(3)[i]]
+                for x in batch.column(2)[i].as_py():
+                    for a, b in regions_of(np.array(x["diagonals"]), x["item_words"]):
+                        at, h = next(p for p in reversed(held) if p[0] <= max(a, 0))
                         row.append(i)
                         item.append(x["item_id"])
-                        first.append(a)
-                        words.append(h[a:b])
+                        first.append(max(a, 0))
+                        words.append(h[max(a, 0) - at:b - at])
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(item, batch.column(3).type.value_type[0].type),
+                [batch.column(0).take(row), batch.column(1).take(row),
+                 pa.array(item, batch.schema.field("w").type.value_type.field("item_id").type),
                  pa.array(first, pa.int32()), pa.array(words, pa.list_(pa.int64()))],
                 ["id", "mark", "item_id", "first", "region"])
 
@@ -232,7 +279,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(share), pa.array(first + a, pa.int32()),
                  pa.array(first + e, pa.int32())], ["id", "mark", "item_id", "similarity", "first_word", "end_word"])
 
-    regions = texts.mapInArrow(cut, f"id {id_type}, mark bigint, item_id {item_type}, first int, region array<bigint>")
+    regions = both.mapInArrow(cut, f"id {id_type}, mark bigint, item_id {item_type}, first int, region array<bigint>")
     scored = regions.join(known, "item_id").select("id", "mark", "item_id", "first", "words", "region").mapInArrow(
         score, f"id {id_type}, mark bigint, item_id {item_type}, similarity double, first_word int, end_word int")
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("f"), "end_word"))
