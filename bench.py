@@ -1,16 +1,13 @@
 """Benchmark: headline queries on ``$BENCH_SF_DIR`` (default sf0.1) with
 ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Each query is timed from plan construction (which includes the few eager
-steps: quantile cut points, the checkpoint of the feature table, the model
-fit) to a full execution through the ``noop`` sink, with the catalog's memo
-cleared so no query reuses another's work, after one untimed warm-up pass;
-each reported time is the best of ``$BENCH_REPEAT`` (default 2) runs.  ``literal_*`` entries run the
-reference's own plan shape for C4, C10 and C11 (global single-partition
-windows, join before aggregate) as the number to beat, and ``*_distributed``
-entries time the same fused queries with the distributed ranking forced (the
-plan taken above the single-task row bound); both are reported but not part
-of ``value``.
+Each query is timed from plan construction (which includes its eager steps:
+written intermediate tables, the model fit) to a full execution through the
+``noop`` sink; no query reuses another's work.  After an untimed warm-up pass,
+each reported time is the best of ``$BENCH_REPEAT`` (default 2) runs.
+``window_*`` entries run the same plan for C4, C10 and C11 with every rank
+taken by one global window (all rows in one task) instead of the distributed
+ranker; they are reported but not part of ``value``.
 """
 
 from __future__ import annotations
@@ -26,61 +23,42 @@ from pyspark.sql import SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from skillscope import catalog  # noqa: E402
-from skillscope.session import ensure_checkpoint_dir  # noqa: E402
 from skillscope.sources.bindings import community  # noqa: E402
 from skillscope.plans import features as fe  # noqa: E402
+from skillscope.plans import skills as sk  # noqa: E402
 
-# w_user_content_pct, c_kernel_scores and c_comp_scores are the fused C4,
-# C10 and C11 plans compared against literal_c4/c10/c11.
+# w_user_content_pct, c_kernel_scores and c_comp_scores have a window_* twin.
 HEADLINE = ["w_user_content_pct", "c_kernel_scores", "c_comp_scores", "c_user_features", "c_skill_scores",
             "c_expert_search", "m_logistic_fit_score"]
 
 
-# ---- the reference's literal plan shape (baseline only) -----------------------------------
-def _pr(df, key, val, out, desc=False):
-    o = F.col(val).desc() if desc else F.col(val)
-    return df.select(key, F.percent_rank().over(Window.partitionBy().orderBy(o)).alias(out))
+def global_windows(df, specs, partition_by=()):
+    """Percent ranks by plain windows, the plan that the ranker replaces."""
+    for s in specs:
+        v = F.col(s.value)
+        order = (v.desc_nulls_first() if s.nulls_lead else v.desc_nulls_last()) if s.descending else (
+            v.asc_nulls_first() if s.nulls_lead else v.asc_nulls_last())
+        df = df.withColumn(s.out, F.percent_rank().over(Window.partitionBy(*partition_by).orderBy(order)))
+    return df
 
 
-def literal_c4(spark, sf_dir):
+def window_c4(spark, sf_dir):
     c = community(spark, sf_dir)
-    users = fe.active_users(c.users())
-    uk = users.join(c.kernels(), "UserId", "left")
-    created = uk.groupBy("UserId").agg(F.countDistinct("KernelId").alias("KernelsCreated"))
-    av = uk.groupBy("UserId").agg(F.avg("TotalViews").alias("a")).fillna(0)
-    ac = uk.groupBy("UserId").agg(F.avg("TotalComments").alias("a")).fillna(0)
-    avo = uk.groupBy("UserId").agg(F.avg("TotalVotes").alias("a")).fillna(0)
-    out = (users.join(created, "UserId", "left").join(_pr(av, "UserId", "a", "v"), "UserId", "left")
-           .join(_pr(ac, "UserId", "a", "c"), "UserId", "left").join(_pr(avo, "UserId", "a", "vo"), "UserId", "left"))
-    return out.withColumn("KernelScore", (F.col("v") + F.col("c") + F.col("vo")) / 3)
-
-
-def literal_c10(spark, sf_dir):
+    return fe.kernel_features(fe.active_users(c.users()), c.kernels(), rank=global_windows)
+
+
+def window_c10(spark, sf_dir):
     c = community(spark, sf_dir)
-    k = c.kernels()
-    k2 = (k.join(_pr(k, "KernelId", "TotalViews", "v"), "KernelId", "left")
-          .join(_pr(k, "KernelId", "TotalComments", "c"), "KernelId", "left")
-          .join(_pr(k, "KernelId", "TotalVotes", "vo"), "KernelId", "left")
-          .withColumn("KernelScore", (F.col("v") + F.col("c") + F.col("vo")) / 3))
-    j = k2.join(c.kernel_tags(), "KernelId", "left").join(c.tags(), "TagId", "left").dropna(subset=["Name"])
-    return j.groupBy("UserId", "Name").agg(F.avg("KernelScore").alias("KernelScore")).fillna(0)
+    return sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), c.tags(), rank=global_windows)
 
 
-def literal_c11(spark, sf_dir):
+def window_c11(spark, sf_dir):
     c = community(spark, sf_dir)
-    t2 = c.teams().dropna(subset=["ScoreFirstSubmittedDate"]).select("TeamId", "CompetitionId", "Medal",
-                                                                      "PublicLeaderboardRank")
-    rank = _pr(t2, "TeamId", "PublicLeaderboardRank", "RankPer", desc=True)
-    medal = _pr(t2.fillna(4, subset=["Medal"]), "TeamId", "Medal", "MedalPer", desc=True)
-    t3 = t2.join(rank, "TeamId", "left").join(medal, "TeamId", "left").withColumn(
-        "CompScore", (F.col("RankPer") + F.col("MedalPer")) / 2)
-    j = (t3.join(c.competition_tags(), "CompetitionId", "left").dropna(subset=["TagId"])
-         .join(c.tags(), "TagId", "left").join(c.team_memberships(), "TeamId", "left"))
-    return j.groupBy("UserId", "Name").agg(F.avg("CompScore").alias("CompScore")).fillna(0)
-
-
-LITERAL = {"literal_c4": literal_c4, "literal_c10": literal_c10, "literal_c11": literal_c11}
-DISTRIBUTED = ["w_user_content_pct", "c_kernel_scores", "c_comp_scores"]
+    return sk.competition_skill_scores(c.teams(), c.competition_tags(), c.tags(), c.team_memberships(),
+                                       rank=global_windows)
+
+
+TWINS = {"window_c4": window_c4, "window_c10": window_c10, "window_c11": window_c11}
 REPEAT = int(os.environ.get("BENCH_REPEAT", "2"))
 
 
@@ -97,11 +75,10 @@ def main():
              .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # JVM warm-up
 
     def run_once(fn):
-        catalog._MEMO.clear()
+        catalog._FEATURE_TABLES.clear()
         t0 = time.time()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.time() - t0
@@ -112,17 +89,10 @@ def main():
 
     # untimed warm-up pass (JIT, class loading, file listing caches), so the
     # first timed query is not charged for it
-    for fn in [catalog.QUERIES[n] for n in HEADLINE] + list(LITERAL.values()):
+    for fn in [catalog.QUERIES[n] for n in HEADLINE] + list(TWINS.values()):
         run_once(fn)
     times = {name: run(catalog.QUERIES[name]) for name in HEADLINE}
-    baseline = {name: run(fn) for name, fn in LITERAL.items()}
-    # the plan used above the single-task bound (what runs at scale), timed
-    # here on the same data by forcing it
-    from skillscope.operators.ranking import CONF_SINGLE_TASK_MAX
-    spark.conf.set(CONF_SINGLE_TASK_MAX, "0")
-    for name in DISTRIBUTED:
-        baseline[f"{name}_distributed"] = run(catalog.QUERIES[name])
-    spark.conf.unset(CONF_SINGLE_TASK_MAX)
+    baseline = {name: run(fn) for name, fn in TWINS.items()}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": {**times, **baseline}, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))

@@ -15,48 +15,43 @@ users AS (
                    ELSE c_custkey % 12 - 6 END AS INTEGER) AS PerformanceTier
   FROM customer
 ),
-active_orders AS (
-  SELECT * FROM orders WHERE o_custkey % 12 >= 8 OR o_orderkey % 12 = 0
+owned_orders AS (
+  SELECT *, CASE WHEN o_custkey % 12 >= 10 OR o_orderkey % 12 = 0 THEN o_custkey
+                 ELSE o_custkey - o_custkey % 12 + 10 + o_orderkey % 2 END AS owner
+  FROM orders
 ),
-active_lines AS (
-  SELECT o.o_orderkey, o.o_custkey, o.o_orderpriority, l.l_partkey, l.l_suppkey,
-         l.l_quantity, l.l_returnflag
-  FROM active_orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+owned_lines AS (
+  SELECT o.o_orderkey, o.owner, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_returnflag, l.l_extendedprice
+  FROM owned_orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
 ),
 user_organizations AS (
-  SELECT DISTINCT o_custkey AS UserId, l_suppkey AS OrganizationId
-  FROM active_lines WHERE o_orderpriority = '1-URGENT'
+  SELECT DISTINCT owner AS UserId, l_suppkey AS OrganizationId FROM owned_lines
 ),
 user_followers AS (
-  SELECT DISTINCT o_custkey AS UserId, l_partkey AS FollowingUserId
-  FROM active_lines WHERE l_returnflag = 'R' AND l_quantity > 25
+  SELECT DISTINCT owner AS UserId, l_partkey AS FollowingUserId FROM owned_lines
 ),
 achievement_types AS (
   SELECT * FROM (VALUES ('A', 'Competitions'), ('N', 'Discussion'), ('R', 'Scripts')) t(flag, AchievementType)
 ),
-customer_lines AS (
-  SELECT o.o_custkey, l.l_returnflag, l.l_quantity, l.l_extendedprice
-  FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-),
 user_achievements AS (
-  SELECT c.c_custkey AS UserId, t.AchievementType,
+  SELECT CASE WHEN t.AchievementType = 'Scripts' AND c.c_custkey % 11 = 0 THEN NULL ELSE c.c_custkey END AS UserId,
+         t.AchievementType,
          CAST(count(cl.l_quantity) FILTER (WHERE cl.l_quantity = 50) AS BIGINT) AS TotalGold,
          CAST(count(cl.l_quantity) FILTER (WHERE cl.l_quantity = 49) AS BIGINT) AS TotalSilver,
          CAST(count(cl.l_quantity) FILTER (WHERE cl.l_quantity = 48) AS BIGINT) AS TotalBronze,
          CASE WHEN max(cl.l_quantity) >= 48 THEN CAST(floor(min(cl.l_extendedprice)) AS BIGINT) END AS HighestRanking
   FROM customer c
   CROSS JOIN achievement_types t
-  LEFT JOIN customer_lines cl ON cl.o_custkey = c.c_custkey AND cl.l_returnflag = t.flag
-  WHERE NOT (t.AchievementType = 'Scripts' AND c.c_custkey % 11 = 0)
+  LEFT JOIN owned_lines cl ON cl.owner = c.c_custkey AND cl.l_returnflag = t.flag
   GROUP BY c.c_custkey, t.AchievementType
 ),
 kernels AS (
-  SELECT o.o_orderkey AS KernelId, o.o_custkey AS UserId,
+  SELECT o.o_orderkey AS KernelId, o.owner AS UserId,
          CAST(floor(o.o_totalprice) AS BIGINT) AS TotalViews,
          CAST(count(l.l_orderkey) AS BIGINT) AS TotalComments,
          CAST(sum(l.l_quantity) AS BIGINT) AS TotalVotes
-  FROM active_orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-  GROUP BY o.o_orderkey, o.o_custkey, o.o_totalprice
+  FROM owned_orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+  GROUP BY o.o_orderkey, o.owner, o.o_totalprice
 ),
 tags AS (
   SELECT CAST(row_number() OVER (ORDER BY p_name) AS BIGINT) AS TagId, p_name AS Name
@@ -64,7 +59,7 @@ tags AS (
 ),
 kernel_tags AS (
   SELECT DISTINCT al.o_orderkey AS KernelId, tg.TagId
-  FROM active_lines al JOIN part p ON p.p_partkey = al.l_partkey JOIN tags tg ON tg.Name = p.p_name
+  FROM owned_lines al JOIN part p ON p.p_partkey = al.l_partkey JOIN tags tg ON tg.Name = p.p_name
 ),
 teams AS (
   SELECT l_orderkey AS TeamId, min(l_partkey) AS CompetitionId,
@@ -78,28 +73,28 @@ competition_tags AS (
   SELECT p.p_partkey AS CompetitionId, tg.TagId FROM part p JOIN tags tg ON tg.Name = p.p_name
 ),
 team_memberships AS (
-  SELECT o_orderkey AS TeamId, o_custkey AS UserId FROM orders WHERE o_orderkey % 13 <> 0
+  SELECT o_orderkey AS TeamId, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS UserId FROM orders
 ),
 forum_messages AS (
-  SELECT doc_id AS MessageId, doc_id % 50 AS ForumTopicId,
-         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE doc_id % 150 END AS UserId,
+  SELECT doc_id AS MessageId, doc_id // 20 AS ForumTopicId,
+         CASE WHEN doc_id % 17 <> 0 THEN doc_id // 2 END AS UserId,
          text AS Message
   FROM documents
 ),
 forum_topics AS (
-  SELECT DISTINCT ForumTopicId, ForumTopicId % 7 AS ForumId FROM forum_messages
+  SELECT DISTINCT ForumTopicId, ForumTopicId // 10 AS ForumId FROM forum_messages
 ),
 forums AS (
   SELECT DISTINCT ForumId, 'forum ' || CAST(ForumId AS VARCHAR) AS Title FROM forum_topics
 ),
 forum_messages_html AS (
-  SELECT page_id AS MessageId, page_id % 50 AS ForumTopicId,
-         CASE WHEN page_id % 17 = 0 THEN NULL ELSE page_id % 150 END AS UserId,
+  SELECT page_id AS MessageId, page_id // 20 AS ForumTopicId,
+         CASE WHEN page_id % 17 <> 0 THEN page_id // 2 END AS UserId,
          html AS Message
   FROM pages
 ),
 forum_topics_html AS (
-  SELECT DISTINCT ForumTopicId, ForumTopicId % 7 AS ForumId FROM forum_messages_html
+  SELECT DISTINCT ForumTopicId, ForumTopicId // 10 AS ForumId FROM forum_messages_html
 ),
 forums_html AS (
   SELECT DISTINCT ForumId, 'forum ' || CAST(ForumId AS VARCHAR) AS Title FROM forum_topics_html

@@ -156,7 +156,7 @@ non_experts AS (
     AND KernelsCreated < 2 AND UserKernelScore <= 0.25),
 ne_sample AS (SELECT * FROM non_experts WHERE {hk('UserId')} < {SAMPLE_LIMIT}),
 ne_down AS (
-  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY {hk('UserId')}) AS rn FROM ne_sample)
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY {hk('UserId')}) AS rn FROM non_experts)
   WHERE rn <= (SELECT count(*) FROM experts)),
 train AS (SELECT * FROM experts UNION ALL BY NAME SELECT * FROM ne_down),
 unlabelled AS (SELECT f.* FROM features f WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.UserId = f.UserId)),
@@ -226,7 +226,7 @@ comp_scores AS (
 """
 
 DISC = f"""
-en_tokens AS (SELECT doc_id, {clean_tokens('text')} AS t FROM documents WHERE lang = 'en'),
+en_tokens AS (SELECT doc_id, {clean_tokens('text')} AS t FROM documents),
 phrase_cands AS (
   SELECT doc_id, unnest(list_distinct(list_concat(
     list_filter(t, lambda w: length(w) >= 4),
@@ -369,13 +369,9 @@ WHERE s.UserId = 11 AND k.Name IN ('blue rod', 'cold gear', 'hot plate')"""),
     "j_inner_medals": q(FEATURES, "SELECT UserId, AchievementType, g AS TotalGold, s AS TotalSilver, "
                                   "b AS TotalBronze FROM medal_rows"),
     "j_left_anti": q(COHORTS, "SELECT UserId FROM unlabelled"),
-    "j_full_outer_scores": q(SKILLS.rstrip() + """,
-u2 AS (SELECT UserId, Name, CompScore, NULL::DOUBLE AS KernelScore FROM comp_scores
-       UNION ALL SELECT UserId, Name, NULL, KernelScore FROM kernel_scores),
-g2 AS (SELECT UserId, Name, coalesce(max(CompScore), 0) AS CompScore, coalesce(max(KernelScore), 0) AS KernelScore
-       FROM u2 GROUP BY UserId, Name)""", "SELECT UserId, Name, round(CompScore, 6) AS CompScore, "
-                                           "round(KernelScore, 6) AS KernelScore, 0.0::DOUBLE AS DiscScore, "
-                                           "round((CompScore + KernelScore + 0.0) / 3, 6) AS SkillScore FROM g2"),
+    "j_full_outer_scores": q(SKILL_SCORES, "SELECT UserId, Name, round(CompScore, 6) AS CompScore, "
+                                           "round(KernelScore, 6) AS KernelScore, round(DiscScore, 6) AS DiscScore, "
+                                           "round(SkillScore, 6) AS SkillScore FROM skill_scores"),
     "j_tag_chain": q(SKILLS, "SELECT TagId, KernelId, UserId, round(KernelScore, 6) AS KernelScore, Name "
                              "FROM kernel_tag_rows"),
     "j_team_fanout": q(SKILLS, "SELECT TeamId, TagId, CompetitionId, round(CompScore, 6) AS CompScore, Name, UserId "
@@ -458,6 +454,9 @@ vocab AS (SELECT token, count(*) AS doc_count FROM (
     "t_ngram_candidates": q(SKILLS.rstrip() + "," + DISC, "SELECT TagId, Name, phrase, doc_count FROM phrases"),
     "t_taxonomy_keywords": q(SKILLS.rstrip() + "," + DISC, "SELECT keyword, Name, CAST(n_tokens AS INTEGER) AS n_tokens "
                                                            "FROM taxonomy"),
+    "t_tag_keywords": q("", f"""
+SELECT keyword, min(Name) AS Name, CAST(len(string_split(keyword, ' ')) AS INTEGER) AS n_tokens
+FROM (SELECT Name, {keyword('Name')} AS keyword FROM tags) WHERE length(keyword) > 0 GROUP BY keyword"""),
     "t_phrase_tag": q(SKILLS.rstrip() + "," + DISC, "SELECT MessageId, count(*) AS n_mentions, "
                                                     "count(DISTINCT Name) AS n_names FROM mentions GROUP BY MessageId"),
     "t_explode_split": q(SKILLS.rstrip() + "," + DISC, "SELECT MessageId, Name, count(*) AS n FROM mentions "
@@ -465,8 +464,9 @@ vocab AS (SELECT token, count(*) AS doc_count FROM (
     # model
     "m_features": q(MODEL, "SELECT UserId, NumFollowers, TotalMedals, KernelsCreated, "
                            "round(UserKernelScore, 6) AS UserKernelScore, Ranked, Expert FROM pop_in"),
-    "m_onehot": q(FEATURES.rstrip() + "," + model_inputs("features", "fi"),
-                  "SELECT UserId, CAST(Ranked AS DOUBLE) AS Ranked FROM fi"),
+    "m_onehot": "SELECT o_orderkey, " + ", ".join(
+        f"CAST(o_orderpriority = '{p}' AS INTEGER) AS \"o_orderpriority_{p}\""
+        for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " FROM orders",
     "m_linear_score": q(MODEL, "SELECT UserId, round(ExpertiseScore, 6) AS ExpertiseScore, ExpertisePred FROM scored"),
     "m_metrics": q(MODEL, """
 SELECT round(avg((Expert - ExpertisePred) * (Expert - ExpertisePred)), 6) AS mse,

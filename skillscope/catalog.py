@@ -25,31 +25,33 @@ from .sources.bindings import community
 # The skill searched by the registered search query (a tag of the bound data).
 SEARCH_SKILL = "Blue Rod"
 
-_MEMO: dict = {}
-
-
-def _memo(spark: SparkSession, sf_dir: str, name: str, build):
-    key = (id(spark), sf_dir, name)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+# Folder of the feature table by application and input: the only thing that
+# queries share, because every cohort, model and search query starts from it.
+_FEATURE_TABLES: dict[tuple[str, str], str] = {}
 
 
 def _c(spark, sf_dir):
-    return _memo(spark, sf_dir, "community", lambda: community(spark, sf_dir))
+    return community(spark, sf_dir)
 
 
 def _features(spark, sf_dir):
-    # reused by every cohort/model query: materialised once
-    return _memo(spark, sf_dir, "features", lambda: materialize(fe.user_features(_c(spark, sf_dir))))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FEATURE_TABLES:
+        table = materialize(fe.user_features(_c(spark, sf_dir)))
+        _FEATURE_TABLES[key] = table.inputFiles()[0].rsplit("/", 1)[0]
+    return spark.read.parquet(_FEATURE_TABLES[key])
 
 
 def _cohorts(spark, sf_dir):
-    return _memo(spark, sf_dir, "cohorts", lambda: co.cohorts(_features(spark, sf_dir)))
+    return co.cohorts(_features(spark, sf_dir))
+
 
+def _population(spark, sf_dir):
+    return co.model_inputs(co.population(_cohorts(spark, sf_dir)))
 
-def _disc(spark, sf_dir):
-    return _memo(spark, sf_dir, "disc", lambda: sk.discussion_pipeline(_c(spark, sf_dir)))
+
+def _disc(spark, sf_dir, html=False, scored=False):
+    return sk.discussion_pipeline(_c(spark, sf_dir), html, scored)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -59,10 +61,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _scored_population(spark, sf_dir):
     """Every active user with model inputs and the fixed-weight score."""
-    def build():
-        pop = co.model_inputs(co.population(_features(spark, sf_dir)))
-        return mo.linear_score(pop)
-    return _memo(spark, sf_dir, "scored", build)
+    return mo.linear_score(_population(spark, sf_dir))
 
 
 # ---- sources ---------------------------------------------------------------------
@@ -96,8 +95,8 @@ def p_derived_scores(spark, sf_dir):
 
 def p_flags_casts(spark, sf_dir):
     df = co.model_inputs(_features(spark, sf_dir))
-    return _rounded(mo.encode_categorical(df, ["Ranked"]).select(
-        "UserId", "AvgPerRanking", "Ranked", F.col("PerformanceTier").cast("int").alias("PerformanceTier")))
+    return _rounded(df.select("UserId", "AvgPerRanking", F.col("Ranked").cast("double").alias("Ranked"),
+         F.col("PerformanceTier").cast("int").alias("PerformanceTier")))
 
 
 # ---- filters ------------------------------------------------------------------------
@@ -157,12 +156,13 @@ def j_left_anti(spark, sf_dir):
 
 
 def j_full_outer_scores(spark, sf_dir):
+    """J21, J22 as literal full outer joins of the three branches, which the
+    union form of ``c_skill_scores`` must equal."""
     c = _c(spark, sf_dir)
     tags = c.tags()
     kernel = sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), tags)
     comp = sk.competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships())
-    empty = spark.createDataFrame([], "UserId long, Name string, DiscScore double")
-    return _rounded(sk.combine_skill_scores(comp, kernel, empty))
+    return _rounded(sk.outer_skill_scores(comp, kernel, _disc(spark, sf_dir, scored=True)["scores"]))
 
 
 def j_tag_chain(spark, sf_dir):
@@ -205,7 +205,7 @@ def a_content_means(spark, sf_dir):
 
 def a_tag_means(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return _rounded(sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), c.tags(), c.kernel_bound()))
+    return _rounded(sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), c.tags()))
 
 
 def a_mentions(spark, sf_dir):
@@ -215,7 +215,7 @@ def a_mentions(spark, sf_dir):
 def a_mentions_html(spark, sf_dir):
     """A9 over raw HTML messages (pages): markup, scripts, styles, comments,
     entities and links go through F11-F14 before tagging."""
-    return _memo(spark, sf_dir, "disc_html", lambda: sk.discussion_pipeline(_c(spark, sf_dir), html=True))["counts"]
+    return _disc(spark, sf_dir, html=True)["counts"]
 
 
 def a_counts(spark, sf_dir):
@@ -258,12 +258,12 @@ def w_rankings_pct(spark, sf_dir):
 
 def w_item_pct(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return _rounded(sk.kernel_item_scores(c.kernels(), c.kernel_bound()))
+    return _rounded(sk.kernel_item_scores(c.kernels()))
 
 
 def w_team_pct(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return _rounded(sk.team_scores(c.teams(), size_bound=c.team_bound()))
+    return _rounded(sk.team_scores(c.teams()))
 
 
 def w_team_rank_pct(spark, sf_dir):
@@ -285,7 +285,7 @@ def w_team_pct_compat(spark, sf_dir):
 
 
 def w_within_tag_avg_rank(spark, sf_dir):
-    return _rounded(_disc(spark, sf_dir)["scores"])
+    return _rounded(_disc(spark, sf_dir, scored=True)["scores"])
 
 
 # ---- sorts, limits, sampling -------------------------------------------------------------
@@ -328,7 +328,7 @@ def u_train_union(spark, sf_dir):
 
 
 def u_append_missing_cols(spark, sf_dir):
-    return co.population(_features(spark, sf_dir)).select("UserId", "Expert")
+    return co.population(_cohorts(spark, sf_dir)).select("UserId", "Expert")
 
 
 # ---- text -----------------------------------------------------------------------------
@@ -359,11 +359,17 @@ def t_vocab_stem(spark, sf_dir):
 
 
 def t_ngram_candidates(spark, sf_dir):
-    return _disc(spark, sf_dir)["phrases"]
+    return _c(spark, sf_dir).skill_phrases()
+
+
+def t_tag_keywords(spark, sf_dir):
+    """T2 on the tag names themselves."""
+    tags = _c(spark, sf_dir).tags()
+    return sk.keyword_taxonomy(tags.select("Name", F.col("Name").alias("phrase"))).select("keyword", "Name", "n_tokens")
 
 
 def t_taxonomy_keywords(spark, sf_dir):
-    return _disc(spark, sf_dir)["taxonomy"].select("keyword", "Name", "n_tokens")
+    return sk.keyword_taxonomy(_c(spark, sf_dir).skill_phrases()).select("keyword", "Name", "n_tokens")
 
 
 def t_phrase_tag(spark, sf_dir):
@@ -374,13 +380,12 @@ def t_phrase_tag(spark, sf_dir):
 
 # ---- model ------------------------------------------------------------------------------
 def m_features(spark, sf_dir):
-    pop = co.model_inputs(co.population(_features(spark, sf_dir)))
-    return _rounded(pop.select("UserId", *mo.FEATURES, "Expert"))
+    return _rounded(_population(spark, sf_dir).select("UserId", *mo.FEATURES, "Expert"))
 
 
 def m_onehot(spark, sf_dir):
-    df = mo.encode_categorical(co.model_inputs(_features(spark, sf_dir)), ["Ranked"])
-    return df.select("UserId", "Ranked")
+    """One named 0/1 column for each category of a string column."""
+    return mo.one_hot(_c(spark, sf_dir).t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority")
 
 
 def m_linear_score(spark, sf_dir):
@@ -396,21 +401,27 @@ def m_auc(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    def build():
-        train = co.model_inputs(_cohorts(spark, sf_dir)["train"])
-        return mo.fit(mo.holdout_split(train).filter(F.col("is_holdout") == 0))
-    return _memo(spark, sf_dir, "model", build)
+    """The model of the hash split's training part."""
+    split = mo.holdout_split(co.model_inputs(_cohorts(spark, sf_dir)["train"]))
+    return mo.fit(split.filter(F.col("is_holdout") == 0)), split.filter(F.col("is_holdout") == 1)
 
 
 def m_coefficients(spark, sf_dir):
     """M6: intercept and coefficients of the fitted model (no SQL oracle)."""
-    return mo.coefficients(_fitted(spark, sf_dir), spark)
+    return mo.coefficients(_fitted(spark, sf_dir)[0], spark)
 
 
 def m_logistic_fit_score(spark, sf_dir):
-    model = _fitted(spark, sf_dir)
-    pop = co.model_inputs(co.population(_features(spark, sf_dir)))
-    return mo.score(model, pop).select("UserId", "ExpertisePred", "ExpertiseScore")
+    """M5: every active user scored by the fitted model."""
+    model, _ = _fitted(spark, sf_dir)
+    return mo.score(model, _population(spark, sf_dir)).select("UserId", "ExpertisePred", "ExpertiseScore")
+
+
+def m_fitted_metrics(spark, sf_dir):
+    """M7-M11 of the fitted model on the holdout."""
+    model, holdout = _fitted(spark, sf_dir)
+    scored = materialize(mo.score(model, holdout).select("Expert", "ExpertisePred", "ExpertiseScore"))
+    return _rounded(mo.binary_metrics(scored).withColumn("auc", mo.roc_auc(scored).scalar()))
 
 
 # ---- composites --------------------------------------------------------------------------
@@ -428,19 +439,11 @@ def c_kernel_scores(spark, sf_dir):
 
 def c_comp_scores(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return _rounded(sk.competition_skill_scores(c.teams(), c.competition_tags(), c.tags(), c.team_memberships(),
-                                                size_bound=c.team_bound()))
+    return _rounded(sk.competition_skill_scores(c.teams(), c.competition_tags(), c.tags(), c.team_memberships()))
 
 
 def c_skill_scores_raw(spark, sf_dir):
-    def build():
-        c = _c(spark, sf_dir)
-        tags = c.tags()
-        kernel = sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), tags, c.kernel_bound())
-        comp = sk.competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships(),
-                                           size_bound=c.team_bound())
-        return sk.combine_skill_scores(comp, kernel, _disc(spark, sf_dir)["scores"])
-    return _memo(spark, sf_dir, "skills", build)
+    return sk.skill_scores(_c(spark, sf_dir))
 
 
 def c_skill_scores(spark, sf_dir):
@@ -459,6 +462,14 @@ def c_expert_search(spark, sf_dir):
     return _rounded(se.expertise_finding(users, c_skill_scores_raw(spark, sf_dir), SEARCH_SKILL))
 
 
+def c_fitted_search(spark, sf_dir):
+    """C9 + C12: fit on the training part, score every user with the fit, and
+    search with that score."""
+    model, _ = _fitted(spark, sf_dir)
+    users = mo.score(model, _population(spark, sf_dir))
+    return _rounded(se.expertise_finding(users, c_skill_scores_raw(spark, sf_dir), SEARCH_SKILL))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items())
            if callable(fn) and name[:2] in ("s_", "p_", "f_", "j_", "a_", "w_", "o_", "u_", "t_", "m_", "c_")
            and name != "c_skill_scores_raw"}

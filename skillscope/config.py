@@ -4,7 +4,6 @@ Fixed values that must equal the reference's settings for the same results
 are grouped here, stated plainly:
 
 - active performance tiers: 1, 2, 3, 4, 5 (tier 0 is inactive)
-- achievement types: Competitions, Discussion, Scripts
 - expert rule: competition percentile > 0, or script percentile >= 0, or
   discussion percentile >= 0; tier > 1; followers >= 5; at least 2 medals in
   some type; at least 3 kernels; at least 3 medals overall
@@ -19,21 +18,18 @@ are grouped here, stated plainly:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---- fixed values (reference settings) -------------------------------------
 ACTIVE_TIERS = (1, 2, 3, 4, 5)
-ACHIEVEMENT_TYPES = ("Competitions", "Discussion", "Scripts")
 EXPERTISE_WEIGHT = 0.25
 SKILL_WEIGHT = 0.75
 SEARCH_SIZE = 25
 TOP_SKILLS_SIZE = 10
 NO_MEDAL_CODE = 4
-MODEL_FEATURES = ("NumFollowers", "TotalMedals", "KernelsCreated", "KernelScore", "Ranked")
 LOGISTIC_C = 1.0
 HOLDOUT_FRACTION = 0.2
 DOWNSAMPLE_FRACTION = 0.2
-DOWNSAMPLE_SEED = 1
 
 # Presentation names of the search result (the reference's rename map; the
 # followers key is spelled correctly here, see SURVEY Q10).
@@ -52,8 +48,8 @@ SEARCH_RENAMES = {
 }
 
 # Fixed coefficients for the SQL-checkable linear score (M14).  They are this
-# project's own choice, used wherever a score must be reproducible without
-# fitting (oracle checks, the search query registered for the driver).
+# project's own choice, used where a score must be reproducible without
+# fitting (oracle checks); the fitted model has queries of its own.
 FIXED_INTERCEPT = -3.0
 FIXED_WEIGHTS = (0.2, 0.15, 0.1, 2.0, 1.0)
 
@@ -77,13 +73,3 @@ class NonExpertRule:
     type_medals_le: int = 1
     kernels_lt: int = 2
     kernel_score_le: float = 0.25
-
-
-@dataclass(frozen=True)
-class PipelineConfig:
-    active_tiers: tuple = ACTIVE_TIERS
-    expert: ExpertRule = field(default_factory=ExpertRule)
-    non_expert: NonExpertRule = field(default_factory=NonExpertRule)
-    expertise_weight: float = EXPERTISE_WEIGHT
-    skill_weight: float = SKILL_WEIGHT
-    search_size: int = SEARCH_SIZE

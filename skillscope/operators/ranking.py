@@ -1,54 +1,36 @@
 """Exact rank statistics without a single-partition window.
 
-``F.percent_rank().over(Window.orderBy(v))`` (no partitionBy) plans an
-``Exchange SinglePartition``: every row goes to one task.  The functions here
-compute the same numbers with work spread over the cluster:
-
-1. histogram  H = groupBy(keys, v).count()           (partial aggregation;
-   a value held by a third of all rows is one row of H)
-2. quantile cut points of the values -> bucket id     (one approxQuantile
-   pass for all ranked columns; any cuts give exact results, cuts only set
-   balance)
-3. per-(keys, bucket) totals -> running offsets       (at most #buckets rows
-   per key)
-4. inside each (keys, bucket): running sum of counts over the sorted values
-5. join the per-value statistics back to the rows on (keys, v)
-
-(Inputs whose bounded row count proves them small skip all this and use a
-plain window, see ``SINGLE_TASK_MAX_ROWS``.)
-
-Each row learns ``less`` (rows of its partition that sort before it) and
-``eq`` (rows with the same value); with the partition size ``n`` and null
-count, percent_rank and the pandas average percentile are column arithmetic.
-
-Several columns of one frame are ranked together: each gets its own small
-per-value table, and the frame is joined to each once (linear plan).  The
-joins are equi-joins on derived aggregates: adaptive execution broadcasts
-them when their runtime size is small and otherwise uses a sort-merge join
-whose skewed partitions it splits.
+``F.percent_rank().over(Window.orderBy(v))`` (no partitionBy) sends every row
+to one task.  The functions here compute the same numbers at any size with one
+plan:
+
+1. Cut points of the values come from one lazy subquery (approximate
+   percentiles, or a bounded hash sample where the type has none).  They set
+   balance only; any cuts give exact ranks.
+2. Every cut value gets a bucket of its own and so does every gap between two
+   cuts; null is a bucket too.  A value that many rows hold is a cut value.
+3. Bucket totals (one row for each key and bucket) give each bucket the number
+   of rows that sort before it.
+4. Inside a gap bucket a window ranks the rows.  Rows of a cut value, or of
+   null, are all equal, so they need no order: a salt spreads them, and a hot
+   value never meets in one task.
+
+Rows join their bucket's totals on the key the window is partitioned by, so each
+ranked column costs one shuffle.  Keys match null-safely (as one struct).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-
-# A distinct-value table at most this long is ranked in one bucket (a
-# bounded, single small sort) when its type has no quantile sketch.
-SINGLE_BUCKET_MAX = 1_000_000
-# Inputs of at most this many rows (checked by a bounded count) are ranked
-# with a plain window: one task per partition key holds at most this many
-# rows.  Larger inputs take the distributed path.  Session setting:
-# ``skillscope.rank.singleTaskMaxRows`` (0 forces the distributed path).
-SINGLE_TASK_MAX_ROWS = 2_000_000
-CONF_SINGLE_TASK_MAX = "skillscope.rank.singleTaskMaxRows"
-_ALL = "_rk_all"
+CUTS = 255      # largest number of cut values (one less than a power of two: they are found by halving)
+SALTS = 16      # parts of a bucket of equal values
+SAMPLE = 4096   # values sampled for cuts where a type has no approximate percentile
+_FAR = 1 << 20  # beyond any bucket position
 
 
 @dataclass(frozen=True)
@@ -59,206 +41,115 @@ class RankSpec:
     descending: bool = False
     nulls_first: bool | None = None  # default: Spark's (first asc, last desc)
 
+    def __post_init__(self):
+        if self.kind not in ("percent", "average_pct", "ordinal"):
+            raise ValueError(self.kind)
 
-def _n_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(2, min(4096, parts * 4))
-
-
-def _numeric_cuts(df: DataFrame, specs: list[RankSpec]) -> dict[str, list[float]]:
-    """One approxQuantile pass over the sort values of every numeric spec."""
-    nb = _n_buckets(df)
-    probs = [i / nb for i in range(1, nb)]
-    cols, names = [], []
-    for i, s in enumerate(specs):
-        name = f"_rk_q{i}"
-        v = F.col(s.value).cast("double")
-        cols.append((-v if s.descending else v).alias(name))
-        names.append(name)
-    qs = df.select(*cols).approxQuantile(names, probs, 0.5 / nb)
-    out = {}
-    for s, q in zip(specs, qs):
-        cuts = sorted({c for c in q if c == c and c not in (float("inf"), float("-inf"))})
-        out[s.out] = cuts
-    return out
-
-
-def _bucket_numeric(hn: DataFrame, ov: str, cuts: list[float]) -> DataFrame:
-    if not cuts:
-        return hn.withColumn("_rk_b", F.lit(0))
-    splits = [float("-inf")] + cuts + [float("inf")]
-    hd = hn.withColumn("_rk_ovd", F.col(ov).cast("double"))
-    out = Bucketizer(splits=splits, inputCol="_rk_ovd", outputCol="_rk_bd", handleInvalid="keep").transform(hd)
-    return out.withColumn("_rk_b", F.col("_rk_bd").cast("int")).drop("_rk_ovd", "_rk_bd")
-
+    @property
+    def nulls_lead(self) -> bool:
+        return (not self.descending) if self.nulls_first is None else self.nulls_first
 
-def _other_cuts(hn: DataFrame, ov: str) -> list:
-    """Cut points for values without a quantile sketch (strings): none when
-    the distinct-value table is provably small, else a bounded sample."""
-    total = hn.limit(SINGLE_BUCKET_MAX + 1).count()
-    if total <= SINGLE_BUCKET_MAX:
-        return []
-    nb = _n_buckets(hn)
-    frac = min(1.0, 20.0 * nb / hn.count())
-    sample = sorted({r[0] for r in hn.select(ov).sample(False, frac, 7).collect() if r[0] is not None})
-    step = max(1, len(sample) // nb)
-    return sample[step::step]
 
+def _cuts(df: DataFrame, value: str) -> Column:
+    """Sorted distinct cut values as a lazily evaluated array (all of it inside
+    the subquery, so that rows only look values up)."""
+    v = F.col(value)
+    if isinstance(df.schema[value].dataType, T.NumericType | T.DateType | T.TimestampType):
+        probs = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+        return df.select(F.array_distinct(F.percentile_approx(v, probs, 10_000))).scalar()
+    sample = df.select(value).filter(v.isNotNull()).orderBy(F.xxhash64(v), v).limit(SAMPLE)
+    ordered = sample.agg(F.sort_array(F.collect_list(v)).alias("_rk_sorted"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("_rk_sorted") / CUTS).cast("int"))
+    return ordered.select(F.array_distinct(F.filter("_rk_sorted", lambda x, i: i % step == 0))).scalar()
 
-def _bucket_other(hn: DataFrame, ov: str, cuts: list) -> DataFrame:
-    if not cuts:
-        return hn.withColumn("_rk_b", F.lit(0))
-    arr = F.array(*[F.lit(c) for c in cuts])
-    return hn.withColumn("_rk_b", F.size(F.filter(arr, lambda c: c <= F.col(ov))))
 
-
-def _per_value(base: DataFrame, keys: list[str], spec: RankSpec, cuts) -> DataFrame:
-    """(keys, value, less, eq) for the non-null values of one column."""
-    v = spec.value
-    ov = "_rk_ov"
-    hist = base.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_rk_eq")).filter(F.col(v).isNotNull())
-    hn = hist.withColumn(ov, -F.col(v) if spec.descending else F.col(v))
-    if cuts is None:
-        cuts = _other_cuts(hn, ov)
-        hb = _bucket_other(hn, ov, cuts)
-    else:
-        hb = _bucket_numeric(hn, ov, cuts)
-    w_in = Window.partitionBy(*keys, "_rk_b").orderBy(ov).rowsBetween(Window.unboundedPreceding, -1)
-    within = hb.withColumn("_rk_in", F.coalesce(F.sum("_rk_eq").over(w_in), F.lit(0)))
-    less, eq = f"_rk_less_{spec.out}", f"_rk_eq_{spec.out}"
-    if not cuts:
-        # one bucket: every offset is 0 (and a join on constant keys would be
-        # planned as a nested-loop cross join)
-        return within.select(*keys, v, F.col("_rk_in").alias(less), F.col("_rk_eq").alias(eq))
-    per_bucket = hb.groupBy(*keys, "_rk_b").agg(F.sum("_rk_eq").alias("_rk_bc"))
-    w_off = Window.partitionBy(*keys).orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, "_rk_b", F.coalesce(F.sum("_rk_bc").over(w_off), F.lit(0)).alias("_rk_off"))
-    return (within.join(offsets, on=[*keys, "_rk_b"], how="inner")
-            .select(*keys, v, (F.col("_rk_off") + F.col("_rk_in")).alias(less), F.col("_rk_eq").alias(eq)))
-
-
-def _single_task_max(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(CONF_SINGLE_TASK_MAX, str(SINGLE_TASK_MAX_ROWS)))
-
-
-def _windowed(df: DataFrame, specs: list[RankSpec], keys: list[str]) -> DataFrame:
-    """The same statistics with plain window functions (bounded inputs only)."""
-    out = df
-    for s in specs:
-        v = F.col(s.value)
-        if s.kind == "percent":
-            nulls_first = (not s.descending) if s.nulls_first is None else s.nulls_first
-            if s.descending:
-                o = v.desc_nulls_first() if nulls_first else v.desc_nulls_last()
-            else:
-                o = v.asc_nulls_first() if nulls_first else v.asc_nulls_last()
-            out = out.withColumn(s.out, F.percent_rank().over(Window.partitionBy(*keys).orderBy(o)))
-        else:
-            w_all = Window.partitionBy(*keys)
-            w_ord = Window.partitionBy(*keys).orderBy(v.asc_nulls_last())
-            rank = F.rank().over(w_ord)
-            if s.kind == "ordinal":
-                expr = F.when(v.isNull(), F.lit(None).cast("long")).otherwise(rank.cast("long"))
-            else:
-                ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, s.value))
-                nn = F.count(v).over(w_all)
-                expr = F.when(v.isNull(), F.lit(None).cast("double")).otherwise(
-                    (rank + (ties - 1) / 2.0) / nn.cast("double"))
-            out = out.withColumn(s.out, expr)
-    return out
+def _bucket(value: str, cuts: Column) -> tuple[Column, Column]:
+    """(number of the bucket in ascending order, whether all its rows are equal)."""
+    v = F.col(value)
+    halves = F.array(*[F.lit((CUTS + 1) >> i) for i in range(1, CUTS.bit_length() + 1)])
+    below = F.aggregate(halves, F.lit(0), lambda lo, step: F.when(F.get(cuts, lo + step - 1) < v, lo + step).otherwise(lo))
+    return below, F.coalesce(F.get(cuts, below) == v, F.lit(False))
 
 
-def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = (),
-                 size_bound: DataFrame | None = None) -> DataFrame:
+def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
     """Add one exact rank column per spec, all ranked within ``partition_by``.
 
     percent:     ``percent_rank()`` over ``partitionBy(keys).orderBy(value)``
     average_pct: pandas ``groupby(keys)[value].rank(pct=True)`` (ties get
                  their mean rank, divided by the non-null count; nulls null)
-    ordinal:     ``rank()`` (1-based; = ``row_number()`` for distinct values)
-
-    Inputs proven small by a bounded count use plain windows; all others use
-    the distributed histogram/bucket plan described in the module docstring.
-    ``size_bound`` is an optional cheaper frame with at least as many rows as
-    ``df`` (e.g. the user dimension for a per-user frame); it is counted
-    instead of ``df``, so the check does not run ``df``'s plan.
+    ordinal:     ``rank()`` (1-based; = ``row_number()`` for distinct values; nulls null)
     """
-    limit = _single_task_max(df)
-    probe = df if size_bound is None else size_bound
-    if limit > 0 and probe.limit(limit + 1).count() <= limit:
-        return _windowed(df, specs, list(partition_by))
-    return _rank_distributed(df, specs, partition_by)
-
-
-def _rank_distributed(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
-    keys = list(partition_by)
-    # The input feeds one histogram per column, the sizes and the join-back;
-    # those branches prune different columns, so exchange reuse cannot share
-    # them.  One reliable checkpoint makes every branch read the same copy
-    # (and survives executor loss) instead of recomputing the input each time.
-    base = materialize(df)
-    global_sizes = not keys
-    if global_sizes:
-        base = base.withColumn(_ALL, F.lit(0))
-        keys = [_ALL]
-    numeric = [s for s in specs if isinstance(base.schema[s.value].dataType, T.NumericType)]
-    for s in specs:
-        if s.descending and s not in numeric:
-            raise ValueError("descending order is supported for numeric values")
-    cuts = _numeric_cuts(base, numeric) if numeric else {}
-    size_aggs = [F.count(F.lit(1)).alias("_rk_n"),
-                 *[F.count(F.when(F.col(s.value).isNull(), 1)).alias(f"_rk_nnull_{s.out}") for s in specs]]
+    columns = df.columns
+    base = df.withColumn("_rk_key", F.struct(*[F.col(k) for k in partition_by], F.lit(0).alias("_rk_one")))
+    for i, s in enumerate(specs):
+        base = base.withColumn(f"_rk_cuts{i}", _cuts(df, s.value))
+        below, equal = _bucket(s.value, F.col(f"_rk_cuts{i}"))
+        base = base.withColumn(f"_rk_below{i}", below).withColumn(f"_rk_equal{i}", equal | F.col(s.value).isNull())
+        place = 2 * F.col(f"_rk_below{i}") + F.col(f"_rk_equal{i}").cast("int")
+        at = F.when(F.col(s.value).isNull(), F.lit(-_FAR if s.nulls_lead else _FAR)).otherwise(
+            -place if s.descending else place)
+        salt = F.when(F.col(f"_rk_equal{i}"), F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(SALTS))).otherwise(0)
+        base = base.withColumn(f"_rk_at{i}", at).withColumn(f"_rk_salt{i}", salt.cast("int"))
+    totals = _totals(base, specs)
     out = base
-    for s in specs:
-        out = out.join(_per_value(base, keys, s, cuts.get(s.out) if s in numeric else None),
-                       on=[*keys, s.value], how="left")
-    if global_sizes:
-        # whole-input sizes as one scalar subquery (no join on a constant key,
-        # which the planner would turn into a nested-loop cross join)
-        sizes = base.select(F.struct(*size_aggs)).scalar()
-        # bound once to a column, so the subquery runs once (not per field)
-        out = out.withColumn("_rk_sz", sizes)
-        out = out.select("*", *[F.col("_rk_sz")[f].alias(f) for f in ["_rk_n"] + [f"_rk_nnull_{s.out}" for s in specs]])
-        out = out.drop("_rk_sz")
+    for i, s in enumerate(specs):
+        out = _ranked(out, i, s, totals)
+    return out.select(*columns, *[s.out for s in specs])
+
+
+def _totals(base: DataFrame, specs: list[RankSpec]) -> DataFrame:
+    """For each spec, key and bucket: rows before it, rows in it, rows and null rows of the key."""
+    each = F.array(*[F.struct(F.lit(i).alias("_rk_spec"), F.col(f"_rk_at{i}").alias("_rk_at"),
+                              F.col(f"_rk_equal{i}").alias("_rk_equal")) for i in range(len(specs))])
+    sizes = (base.select("_rk_key", F.explode(each).alias("e")).select("_rk_key", "e.*")
+             .groupBy("_rk_spec", "_rk_key", "_rk_at").agg(F.count(F.lit(1)).alias("_rk_size"),
+                                                           F.max("_rk_equal").alias("_rk_equal")))
+    key = Window.partitionBy("_rk_spec", "_rk_key")
+    ahead = key.orderBy("_rk_at").rowsBetween(Window.unboundedPreceding, -1)
+    null_rows = F.when(F.abs("_rk_at") == _FAR, F.col("_rk_size")).otherwise(0)
+    known = (sizes.withColumn("_rk_before", F.coalesce(F.sum("_rk_size").over(ahead), F.lit(0)))
+             .withColumn("_rk_n", F.sum("_rk_size").over(key)).withColumn("_rk_nulls", F.sum(null_rows).over(key)))
+    salts = F.when(F.col("_rk_equal"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return known.withColumn("_rk_salt", F.explode(salts)).drop("_rk_equal")
+
+
+def _ranked(rows: DataFrame, i: int, s: RankSpec, totals: DataFrame) -> DataFrame:
+    own = [f"_rk_at{i}", f"_rk_salt{i}"]
+    mine = totals.filter(F.col("_rk_spec") == i).select(
+        "_rk_key", F.col("_rk_at").alias(own[0]), F.col("_rk_salt").alias(own[1]), "_rk_size", "_rk_before", "_rk_n",
+        "_rk_nulls")
+    part = Window.partitionBy("_rk_key", *own)
+    v = F.col(s.value)
+    equal, null = F.col(f"_rk_equal{i}"), v.isNull()
+    order = v.desc() if s.descending else v.asc()
+    less = F.col("_rk_before") + F.when(equal, 0).otherwise(F.rank().over(part.orderBy(order)) - 1)
+    joined = rows.join(mine, ["_rk_key", *own])
+    n, not_null = F.col("_rk_n"), F.col("_rk_n") - F.col("_rk_nulls")
+    less_not_null = less - F.col("_rk_nulls") if s.nulls_lead else less
+    if s.kind == "percent":
+        rank = F.when(n > 1, less.cast("double") / (n - 1).cast("double")).otherwise(F.lit(0.0))
+    elif s.kind == "average_pct":
+        peers = F.when(equal, F.col("_rk_size")).otherwise(F.count(F.lit(1)).over(part.orderBy(order).rangeBetween(
+            Window.currentRow, Window.currentRow)))
+        rank = F.when(~null, (less_not_null + (peers + 1) / 2.0) / not_null.cast("double"))
     else:
-        out = out.join(base.groupBy(*keys).agg(*size_aggs), on=keys, how="inner")
-    helpers = ["_rk_n"]
-    n = F.col("_rk_n")
-    for s in specs:
-        less, eq, nnull = (F.col(f"_rk_less_{s.out}"), F.col(f"_rk_eq_{s.out}"), F.col(f"_rk_nnull_{s.out}"))
-        helpers += [f"_rk_less_{s.out}", f"_rk_eq_{s.out}", f"_rk_nnull_{s.out}"]
-        isnull = F.col(s.value).isNull()
-        if s.kind == "percent":
-            nulls_first = (not s.descending) if s.nulls_first is None else s.nulls_first
-            pos = F.when(isnull, F.lit(0) if nulls_first else n - nnull).otherwise(
-                less + (nnull if nulls_first else F.lit(0)))
-            expr = F.when(n > 1, pos.cast("double") / (n - 1).cast("double")).otherwise(F.lit(0.0))
-        elif s.kind == "average_pct":
-            expr = F.when(isnull, F.lit(None).cast("double")).otherwise(
-                (less + (eq + 1) / 2.0) / (n - nnull).cast("double"))
-        elif s.kind == "ordinal":
-            expr = F.when(isnull, F.lit(None).cast("long")).otherwise((less + 1).cast("long"))
-        else:
-            raise ValueError(s.kind)
-        out = out.withColumn(s.out, expr)
-    out = out.drop(*helpers)
-    return out.drop(_ALL) if _ALL in out.columns else out
+        rank = F.when(~null, (less_not_null + 1).cast("long"))
+    return joined.withColumn(s.out, rank).drop(*own, "_rk_size", "_rk_before", "_rk_n", "_rk_nulls")
 
 
 def percent_rank(df: DataFrame, value: str, out: str, *, descending: bool = False,
-                 nulls_first: bool | None = None, partition_by: tuple | list = (),
-                 size_bound: DataFrame | None = None) -> DataFrame:
+                 nulls_first: bool | None = None, partition_by: tuple | list = ()) -> DataFrame:
     """Exact ``percent_rank()`` of one column (see :func:`rank_columns`)."""
-    return rank_columns(df, [RankSpec(value, out, "percent", descending, nulls_first)], partition_by, size_bound)
+    return rank_columns(df, [RankSpec(value, out, "percent", descending, nulls_first)], partition_by)
 
 
 def average_rank_pct(df: DataFrame, value: str, out: str, *, partition_by: tuple | list = (),
-                     size_bound: DataFrame | None = None) -> DataFrame:
+                     descending: bool = False) -> DataFrame:
     """pandas ``rank(pct=True)`` of one column within ``partition_by``."""
-    return rank_columns(df, [RankSpec(value, out, "average_pct")], partition_by, size_bound)
+    return rank_columns(df, [RankSpec(value, out, "average_pct", descending)], partition_by)
 
 
 def ordinal(df: DataFrame, value: str, out: str, *, partition_by: tuple | list = (),
-            size_bound: DataFrame | None = None) -> DataFrame:
+            descending: bool = False) -> DataFrame:
     """1-based ``rank()`` by ``value`` as a long column."""
-    return rank_columns(df, [RankSpec(value, out, "ordinal")], partition_by, size_bound)
+    return rank_columns(df, [RankSpec(value, out, "ordinal", descending)], partition_by)

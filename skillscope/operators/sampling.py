@@ -32,16 +32,15 @@ def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
 def cap_by_hash(df: DataFrame, key: str, limit: Column) -> DataFrame:
     """Keep the ``limit`` rows with the smallest key hash.  ``limit`` is a
     column expression (e.g. a scalar subquery), so the cap stays lazy; the
-    order is computed by the distributed exact ranker, never in one task."""
+    order comes from the distributed ranker."""
     ranked = ordinal(df.withColumn("_hk", key_hash(key)), "_hk", "_hrank")
     return ranked.filter(F.col("_hrank") <= limit).drop("_hk", "_hrank")
 
 
-def downsample(df: DataFrame, key: str, target: DataFrame, fraction: float) -> DataFrame:
-    """Sample ``fraction`` of ``df``, then keep at most as many rows as
-    ``target`` has (the reference's ``sample(...).limit(target.count())``)."""
-    n_target = target.select(F.count(F.lit(1))).scalar()
-    return cap_by_hash(hash_sample(df, key, fraction), key, n_target)
+def downsample(df: DataFrame, key: str, target: DataFrame) -> DataFrame:
+    """Keep as many rows of ``df`` as ``target`` has, those with the
+    smallest key hash (all rows if ``df`` has fewer)."""
+    return cap_by_hash(df, key, target.select(F.count(F.lit(1))).scalar())
 
 
 def hash_split(df: DataFrame, key: str, holdout_fraction: float, col: str = "is_holdout") -> DataFrame:

@@ -1,20 +1,14 @@
 """Dictionary phrase tagging (T3, T4): case-insensitive, word-bounded,
 leftmost-longest, non-overlapping, repeats kept, canonical names returned.
 
-No per-row keyword trie.  Each document's token array becomes an array of
-candidate n-grams ``(start, -len, gram)`` for len = 1..L (L = the longest
-taxonomy phrase); candidates are sorted by (start asc, len desc) and a left
-fold keeps one iff it starts at or after the end of the last kept one.  Two
-ways to keep only the n-grams that are taxonomy keywords:
-
-* in-row (taxonomy proven to hold at most ``INROW_MAX_KEYWORDS`` keywords by
-  a bounded count): ``gram IN (keywords)``, which the optimizer turns into a
-  hash-set lookup; the fold runs in the same row, so tagging adds no shuffle.
-  Only the chosen keywords are exploded and mapped to names through a
-  broadcast join with the (bounded) taxonomy.
-* join (any taxonomy size): explode the n-grams, equi-join with the
-  taxonomy, gather each document's matches (bounded by its own tokens) and
-  fold them.
+No per-row keyword trie and no keyword list on the driver.  The n-grams
+``(start, -len, gram)`` of each document for len = 1..L (L = the longest
+taxonomy phrase) meet the taxonomy in an equality join.  The matches of
+a document (bounded by its own tokens) are sorted by (start asc, len desc), and
+a left fold keeps one iff it starts at or after the end of the last kept one.
+
+The join is left to the optimizer: a taxonomy whose size in bytes is small is
+broadcast, a larger one is shuffled.
 
 Generators are the ``_outer`` forms throughout: the plain ones make the
 optimizer infer a ``size(array) > 0`` filter and push it below the
@@ -29,9 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import let
-from .joins import broadcast_if_small
-
-INROW_MAX_KEYWORDS = 50_000
 
 
 def prepare_taxonomy(taxonomy: DataFrame, keyword_col: str = "keyword", name_col: str = "Name") -> DataFrame:
@@ -43,29 +34,14 @@ def prepare_taxonomy(taxonomy: DataFrame, keyword_col: str = "keyword", name_col
         "n_tokens", F.size(F.split("keyword", " ")))
 
 
-def _gram_fn(tokens: Column, n: int):
-    # (element, index) lambda: index i is 0-based, start positions are 1-based
-    if n == 1:
-        return lambda t, i: F.struct((i + 1).alias("start"), F.lit(-1).alias("neg_len"), t.alias("gram"))
-    return lambda t, i: F.struct((i + 1).alias("start"), F.lit(-n).alias("neg_len"),
-                                 F.array_join(F.slice(tokens, i + 1, n), " ").alias("gram"))
-
-
-def _ngrams(tokens: Column, max_len: int) -> Column:
-    """All n-grams (n = 1..max_len) of a token array as (start, -n, gram)."""
-    arrays = []
-    size = F.size(tokens)
-    for n in range(1, max_len + 1):
-        heads = tokens if n == 1 else F.slice(tokens, F.lit(1), F.greatest(size - n + 1, F.lit(0)))
-        arrays.append(F.transform(heads, _gram_fn(tokens, n)))
-    return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-
-
-def _chosen_keywords(tokens_col: str, max_len: int, keywords: list[str]) -> Column:
-    """In-row: filter n-grams to keywords (hash-set IN), sort, greedy fold.
-    The token array is bound once (``let``) so it is computed once."""
-    return let(tokens_col, lambda toks: _greedy(
-        F.array_sort(F.filter(_ngrams(toks, max_len), lambda g: g["gram"].isin(keywords))), "gram"))
+def _grams_at(tokens: Column, max_len: int):
+    """For each token the n-grams (n = 1..max_len) that begin there, as (start, -n, gram)."""
+    def at(token, i):
+        return F.array(*[F.when(i + n <= F.size(tokens), F.struct(
+            (i + 1).alias("start"), F.lit(-n).alias("neg_len"),
+            (token if n == 1 else F.array_join(F.slice(tokens, i + 1, n), " ")).alias("gram")))
+            for n in range(1, max_len + 1)])
+    return F.flatten(F.transform(tokens, at))
 
 
 def _greedy(cands, value: str):
@@ -79,48 +55,25 @@ def _greedy(cands, value: str):
     return F.aggregate(cands, init, step, lambda acc: acc["out"])
 
 
-def tag_documents(docs: DataFrame, tokens_col: str, keys: list[str], taxonomy: DataFrame,
-                  inrow_max: int = INROW_MAX_KEYWORDS) -> DataFrame:
+def tag_documents(docs: DataFrame, tokens_col: str, keys: list[str], taxonomy: DataFrame) -> DataFrame:
     """Return ``keys + [names]``: the ordered list of matched canonical names
     for each document with at least one match (T4 drops the others).
 
     ``taxonomy`` must come from :func:`prepare_taxonomy`."""
-    stats = taxonomy.agg(F.max("n_tokens").alias("L"), F.count(F.lit(1)).alias("K")).first()
-    max_len, n_kw = stats["L"], stats["K"]
+    max_len = taxonomy.agg(F.max("n_tokens")).first()[0]
     if not max_len:
         schema = docs.select(*keys).schema.add("names", T.ArrayType(T.StringType()))
         return docs.sparkSession.createDataFrame([], schema)
-    if n_kw <= inrow_max:
-        keywords = [r["keyword"] for r in taxonomy.select("keyword").collect()]
-        chosen = docs.select(*keys, _chosen_keywords(tokens_col, int(max_len), keywords).alias("kw"))
-        exploded = chosen.select(*keys, F.posexplode_outer("kw").alias("pos", "keyword"))
-        names = exploded.join(F.broadcast(taxonomy.select("keyword", "Name")), "keyword", "inner")
-        return names.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "Name"))).alias("m")).select(
-            *keys, F.transform("m", lambda x: x["Name"]).alias("names"))
-    tax = broadcast_if_small(taxonomy.select(F.col("keyword").alias("gram"), "Name"))
-    grams = let(tokens_col, lambda toks: _ngrams(toks, int(max_len)))
-    exploded = docs.select(*keys, F.explode_outer(grams).alias("g")).select(*keys, "g.start", "g.neg_len", "g.gram")
-    hits = exploded.join(tax, "gram", "inner")
+    grams = let(tokens_col, lambda toks: _grams_at(toks, int(max_len)))
+    exploded = docs.select(*keys, F.explode_outer(grams).alias("g")).filter(F.col("g").isNotNull()).select(*keys, "g.*")
+    hits = exploded.join(taxonomy.select(F.col("keyword").alias("gram"), "Name"), "gram", "inner")
     per_doc = hits.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("start", "neg_len", "Name"))).alias("cands"))
     return per_doc.select(*keys, _greedy(F.col("cands"), "Name").alias("names"))
 
 
-def tag_mentions(docs: DataFrame, tokens_col: str, keys: list[str], taxonomy: DataFrame,
-                 inrow_max: int = INROW_MAX_KEYWORDS) -> DataFrame:
-    """T3 + T4 + F12 without regrouping: one row per chosen mention
-    (``keys``, ``pos`` 0-based order within the document, ``Name``)."""
-    stats = taxonomy.agg(F.max("n_tokens").alias("L"), F.count(F.lit(1)).alias("K")).first()
-    max_len, n_kw = stats["L"], stats["K"]
-    if not max_len:
-        schema = docs.select(*keys).schema.add("pos", T.IntegerType()).add("Name", T.StringType())
-        return docs.sparkSession.createDataFrame([], schema)
-    if n_kw <= inrow_max:
-        keywords = [r["keyword"] for r in taxonomy.select("keyword").collect()]
-        chosen = docs.select(*keys, _chosen_keywords(tokens_col, int(max_len), keywords).alias("kw"))
-        exploded = chosen.select(*keys, F.posexplode_outer("kw").alias("pos", "keyword"))
-        return exploded.join(F.broadcast(taxonomy.select("keyword", "Name")), "keyword", "inner").select(
-            *keys, "pos", "Name")
-    tagged = tag_documents(docs, tokens_col, keys, taxonomy, inrow_max)
-    out = tagged.select(*keys, F.posexplode_outer("names").alias("pos", "Name"))
+def tag_mentions(docs: DataFrame, tokens_col: str, keys: list[str], taxonomy: DataFrame) -> DataFrame:
+    """T3 + T4 + F12: one row per chosen mention (``keys``, ``pos`` 0-based
+    order within the document, ``Name``)."""
+    out = tag_documents(docs, tokens_col, keys, taxonomy).select(*keys, F.posexplode_outer("names").alias("pos", "Name"))
     return out.filter(F.col("Name").isNotNull())

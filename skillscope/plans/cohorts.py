@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DOWNSAMPLE_FRACTION, ExpertRule, NonExpertRule
+from ..config import ExpertRule, NonExpertRule
 from ..operators.sampling import downsample
 
 
@@ -40,7 +40,7 @@ def non_experts(features: DataFrame, rule: NonExpertRule = NonExpertRule()) -> D
     return features.filter(non_expert_filter(rule)).withColumn("Expert", F.lit(0))
 
 
-def cohorts(features: DataFrame, fraction: float = DOWNSAMPLE_FRACTION) -> dict:
+def cohorts(features: DataFrame) -> dict:
     """Experts, non-experts, the balanced training set (U1) and the
     unlabelled rest (J12, left anti join).
 
@@ -48,7 +48,7 @@ def cohorts(features: DataFrame, fraction: float = DOWNSAMPLE_FRACTION) -> dict:
     (``session.materialize``) so the feature plan runs once."""
     ex = experts(features)
     ne = non_experts(features)
-    ne_down = downsample(ne, "UserId", ex, fraction)
+    ne_down = downsample(ne, "UserId", ex)
     train = ex.unionByName(ne_down)
     unlabelled = features.join(train.select("UserId"), "UserId", "left_anti")
     return {"experts": ex, "non_experts": ne, "non_experts_downsampled": ne_down,
@@ -73,8 +73,7 @@ def model_inputs(df: DataFrame) -> DataFrame:
             .withColumn("Ranked", F.when(F.col("AvgPerRanking") > 0, 1).otherwise(0)))
 
 
-def population(features: DataFrame, fraction: float = DOWNSAMPLE_FRACTION) -> DataFrame:
-    """Train (labelled) appended to the unlabelled users; the label stays
+def population(parts: dict) -> DataFrame:
+    """Of the frames of :func:`cohorts`, train (labelled) appended to the unlabelled users; the label stays
     null for the unlabelled (Q11).  Every active user appears once."""
-    parts = cohorts(features, fraction)
     return parts["train"].unionByName(parts["unlabelled"], allowMissingColumns=True)

@@ -94,28 +94,27 @@ def _user_kernel_score():
              + F.col("KernelsVotesPerRanking")) / 3).alias("UserKernelScore")
 
 
-def kernel_features(active: DataFrame, kernels: DataFrame) -> DataFrame:
+def kernel_features(active: DataFrame, kernels: DataFrame, rank=rank_columns) -> DataFrame:
     """Kernels authored, mean views/comments/votes
     (0 when none), their global percentiles and their mean ``UserKernelScore``."""
     base = active.select("UserId").join(_author_stats(kernels), "UserId", "left").select("UserId", *_author())
-    # one row per active user: the user table bounds the size check
-    out = rank_columns(base, _KERNEL_RANKS, size_bound=active)
+    out = rank(base, _KERNEL_RANKS)
     return out.select("UserId", "KernelsCreated", "KernelsViewsPerRanking", "KernelsCommentsPerRanking",
                       "KernelsVotesPerRanking", _user_kernel_score())
 
 
-def ranking_percentiles(active: DataFrame, achievements: DataFrame, size_bound: DataFrame | None = None) -> DataFrame:
+def ranking_percentiles(active: DataFrame, achievements: DataFrame) -> DataFrame:
     """Percentile of HighestRanking inside each achievement
     type over all users, ordered descending as coded (the largest value gets
     0), one column per type.  One partitioned ranking replaces three global
     windows."""
-    return active.select("UserId").join(_ranking_pivot(achievements, size_bound), "UserId", "left")
+    return active.select("UserId").join(_ranking_pivot(achievements), "UserId", "left")
 
 
-def _ranking_pivot(achievements: DataFrame, size_bound: DataFrame | None = None) -> DataFrame:
-    ranked = achievements.select("UserId", "AchievementType", "HighestRanking").na.drop()
-    pct = percent_rank(ranked, "HighestRanking", "_pct", descending=True, partition_by=["AchievementType"],
-                       size_bound=size_bound)
+def _ranking_pivot(achievements: DataFrame) -> DataFrame:
+    ranked = achievements.select("UserId", "AchievementType", "HighestRanking").filter(
+        F.col("HighestRanking").isNotNull())
+    pct = percent_rank(ranked, "HighestRanking", "_pct", descending=True, partition_by=["AchievementType"])
     return pct.groupBy("UserId").agg(
         *[F.max(F.when(F.col("AchievementType") == t, F.col("_pct"))).alias(c) for t, c in RANKING_COLUMN.items()])
 
@@ -133,20 +132,13 @@ FEATURE_COLUMNS = [
 def user_features(c) -> DataFrame:
     """The user feature table over active users (one row per user).
 
-    One chain of left joins of per-user aggregates onto the active users (all
-    on UserId, so the user side keeps its partitioning), then the W1 ranks on
-    the joined table."""
+    One chain of left joins of per-user aggregates onto the active users, all
+    on UserId; the W1 ranks are taken on a narrow table before they join."""
     active = active_users(c.users())
     ach = c.user_achievements()
-    joined = (active
-              .join(_org_counts(c.user_organizations()), "UserId", "left")
-              .join(_follower_counts(c.user_followers()), "UserId", "left")
-              .join(_medal_pivot(ach), "UserId", "left")
-              .join(_author_stats(c.kernels()), "UserId", "left")
-              .join(_ranking_pivot(ach, c.achievement_bound()), "UserId", "left"))
-    filled = ("NumOrgs", "NumFollowers", "KernelsCreated", "KernelsAvgViews", "KernelsAvgComments",
-              "KernelsAvgVotes")
-    base = joined.select(*[c_ for c_ in joined.columns if c_ not in filled], *_membership(), *_author())
-    out = rank_columns(base, _KERNEL_RANKS, size_bound=active).withColumn(
-        "UserKernelScore", _user_kernel_score())
+    out = (active
+           .join(membership_counts(active, c.user_organizations(), c.user_followers()), "UserId", "left")
+           .join(_medal_pivot(ach), "UserId", "left")
+           .join(kernel_features(active, c.kernels()), "UserId", "left")
+           .join(_ranking_pivot(ach), "UserId", "left"))
     return out.select(*FEATURE_COLUMNS)

@@ -11,34 +11,35 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import FIXED_INTERCEPT, FIXED_WEIGHTS, HOLDOUT_FRACTION, LOGISTIC_C
 from ..operators.ranking import RankSpec, rank_columns
 from ..operators.sampling import hash_split
+from ..session import materialize
 
 # Model inputs in the reference's order; the user-level kernel score is
 # named UserKernelScore here (Q23).
 FEATURES = ["NumFollowers", "TotalMedals", "KernelsCreated", "UserKernelScore", "Ranked"]
 
 
-def encode_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
-    """String columns become one-hot vectors (StringIndexer +
-    OneHotEncoder); numeric columns pass through as doubles, which is all the
-    reference's call on the numeric ``Ranked`` does."""
-    out = df
-    for c in cols:
-        if isinstance(out.schema[c].dataType, T.StringType):
-            idx = StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep").fit(out).transform(out)
-            out = OneHotEncoder(inputCols=[f"{c}_idx"], outputCols=[f"{c}_vec"]).fit(idx).transform(idx)
-            out = out.drop(f"{c}_idx")
-        else:
-            out = out.withColumn(c, F.col(c).cast("double"))
-    return out
+def one_hot(df: DataFrame, col: str, categories: list | None = None) -> DataFrame:
+    """A string column becomes one 0/1 column per category, named
+    ``<col>_<category>``; a null has 0 in all of them.
+
+    Without ``categories`` the distinct values are looked up: one column each,
+    so they are a handful by the nature of the feature; more than 1,000 raise
+    ValueError before anything is built."""
+    if categories is None:
+        found = [r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull()).limit(1001).collect()]
+        if len(found) > 1000:
+            raise ValueError(f"{col} has more than 1000 categories")
+        categories = sorted(found)
+    keep = [F.col(c) for c in df.columns if c != col]
+    return df.select(*keep, *[F.coalesce((F.col(col) == v).cast("int"), F.lit(0)).alias(f"{col}_{v}") for v in categories])
 
 
 def assemble(df: DataFrame, features=FEATURES) -> DataFrame:
@@ -56,7 +57,8 @@ def holdout_split(df: DataFrame, fraction: float = HOLDOUT_FRACTION) -> DataFram
 def fit(train: DataFrame, label: str = "Expert", c: float = LOGISTIC_C, features=FEATURES):
     """M4: L2 logistic regression equivalent to the reference's library
     default (C = 1 on the summed loss): regParam = 1 / (C * n)."""
-    data = assemble(train, features).withColumn("label", F.col(label).cast("double"))
+    # written once: the fit reads its training rows many times
+    data = materialize(assemble(train, features).select("features", F.col(label).cast("double").alias("label")))
     n = data.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * max(n, 1)),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=100, tol=1e-4)

@@ -13,46 +13,44 @@ Combination:        the three long frames are unioned and grouped once on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NO_MEDAL_CODE
 from ..functions.text import clean_tokens, keyword_tokens, let, stemmed_tokens
-from ..operators.ranking import RankSpec, average_rank_pct, rank_columns
+from ..operators.ranking import RankSpec, average_rank_pct, ordinal, rank_columns
 from ..operators.tagging import prepare_taxonomy, tag_mentions
 from ..session import materialize
 
 
 # ---- kernel branch (C10) ----------------------------------------------------
-def kernel_item_scores(kernels: DataFrame, size_bound: DataFrame | None = None) -> DataFrame:
+def kernel_item_scores(kernels: DataFrame, rank=rank_columns) -> DataFrame:
     """Per-kernel percentiles, ascending, nulls first (-> 0), and their mean."""
     k = kernels.select("KernelId", "UserId", "TotalViews", "TotalComments", "TotalVotes")
-    k = rank_columns(k, [RankSpec("TotalViews", "KernelsViewsPercentile"),
-                         RankSpec("TotalComments", "KernelsCommentsPercentile"),
-                         RankSpec("TotalVotes", "KernelsVotesPercentile")], size_bound=size_bound)
+    k = rank(k, [RankSpec("TotalViews", "KernelsViewsPercentile"),
+                 RankSpec("TotalComments", "KernelsCommentsPercentile"),
+                 RankSpec("TotalVotes", "KernelsVotesPercentile")])
     score = (F.col("KernelsViewsPercentile") + F.col("KernelsCommentsPercentile") + F.col("KernelsVotesPercentile")) / 3
     return k.withColumn("KernelScore", score)
 
 
-def kernel_tag_rows(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame,
-                    size_bound: DataFrame | None = None) -> DataFrame:
+def kernel_tag_rows(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame, rank=rank_columns) -> DataFrame:
     """Scored kernels with their tag names (kernels without a named tag drop)."""
-    scored = kernel_item_scores(kernels, size_bound).select("KernelId", "UserId", "KernelScore")
+    scored = kernel_item_scores(kernels, rank).select("KernelId", "UserId", "KernelScore")
     return (scored.join(kernel_tags.select("KernelId", "TagId"), "KernelId", "inner")
             .join(tags.select("TagId", "Name"), "TagId", "inner")
             .filter(F.col("Name").isNotNull()))
 
 
-def kernel_skill_scores(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame,
-                        size_bound: DataFrame | None = None) -> DataFrame:
+def kernel_skill_scores(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame, rank=rank_columns) -> DataFrame:
     """Mean kernel score per (user, tag); null users never become user 0 (Q7)."""
-    rows = kernel_tag_rows(kernels, kernel_tags, tags, size_bound).filter(F.col("UserId").isNotNull())
+    rows = kernel_tag_rows(kernels, kernel_tags, tags, rank).filter(F.col("UserId").isNotNull())
     return rows.groupBy("UserId", "Name").agg(F.coalesce(F.avg("KernelScore"), F.lit(0.0)).alias("KernelScore"))
 
 
 # ---- competition branch (C11) ---------------------------------------------------
 def team_scores(teams: DataFrame, *, compat: bool = False, per_competition: bool = False,
-                size_bound: DataFrame | None = None) -> DataFrame:
+                rank=rank_columns) -> DataFrame:
     """Teams with a first submission; leaderboard percentile (rank
     descending; a missing rank scores 0, Q2) and medal percentile (no medal
     = 4, descending so gold scores highest, Q1); CompScore is their mean.
@@ -63,9 +61,8 @@ def team_scores(teams: DataFrame, *, compat: bool = False, per_competition: bool
         "TeamId", "CompetitionId", "Medal", "PublicLeaderboardRank")
     parts = ["CompetitionId"] if per_competition else []
     t2 = t2.withColumn("_medal", F.coalesce(F.col("Medal"), F.lit(NO_MEDAL_CODE)))
-    t2 = rank_columns(t2, [RankSpec("PublicLeaderboardRank", "RankPer", "percent", True, not compat),
-                           RankSpec("_medal", "MedalPer", "percent", not compat)], parts,
-                      size_bound=size_bound).drop("_medal")
+    t2 = rank(t2, [RankSpec("PublicLeaderboardRank", "RankPer", "percent", True, not compat),
+                   RankSpec("_medal", "MedalPer", "percent", not compat)], parts).drop("_medal")
     return t2.withColumn("CompScore", (F.col("RankPer") + F.col("MedalPer")) / 2)
 
 
@@ -88,24 +85,21 @@ def competition_skill_scores(teams, competition_tags, tags, memberships, **kw) -
 # ---- discussion branch (C11, T1-T4) ---------------------------------------------
 def forum_message_rows(messages: DataFrame, topics: DataFrame, forums: DataFrame) -> DataFrame:
     """J20 on the corrected path (Q4): messages -> topics -> forums; blank
-    messages drop."""
-    return (messages.join(topics.select("ForumTopicId", "ForumId"), "ForumTopicId", "inner")
-            .join(forums.select("ForumId", "Title"), "ForumId", "inner")
-            .filter(F.col("Message").isNotNull())
+    messages drop.  Topics meet their forums first, so message rows join once."""
+    titled = topics.select("ForumTopicId", "ForumId").join(forums.select("ForumId", "Title"), "ForumId", "inner")
+    return (messages.filter(F.col("Message").isNotNull())
+            .join(titled.select("ForumTopicId", "Title"), "ForumTopicId", "inner")
             .select("MessageId", "UserId", "ForumTopicId", "Title", "Message"))
 
 
-def _bigram_list(t, frequent: list[str] | None = None):
-    """Adjacent pairs of tokens of length >= 4 (optionally both in ``frequent``)."""
+def _bigram_list(t):
+    """Adjacent pairs of tokens of length >= 4."""
     n = F.size(t)
     heads = F.slice(t, F.lit(1), F.greatest(n - 1, F.lit(0)))
 
     def pair(w, i):
         nxt = F.element_at(t, i + 2)
-        ok = (F.length(w) >= 4) & (F.length(nxt) >= 4)
-        if frequent is not None:
-            ok = ok & w.isin(frequent) & nxt.isin(frequent)
-        return F.when(ok, F.concat_ws(" ", w, nxt))
+        return F.when((F.length(w) >= 4) & (F.length(nxt) >= 4), F.concat_ws(" ", w, nxt))
     return F.transform(heads, pair)
 
 
@@ -115,64 +109,25 @@ def _phrase_list(t):
 
 
 def phrase_candidates(documents: DataFrame) -> DataFrame:
-    """Per English document, the distinct unstemmed tokens of length >= 4 and
-    bigrams of two adjacent such tokens (input of the phrase taxonomy)."""
-    docs = documents.filter(F.col("lang") == "en")
+    """Per document, the distinct unstemmed tokens of length >= 4 and bigrams
+    of two adjacent such tokens: what the binding takes for a skill phrase."""
     # explode_outer + null filter: a plain explode's inferred size filter
     # would be pushed below and clean the text a second time
-    out = docs.select("doc_id", F.explode_outer(let(clean_tokens("text"), _phrase_list)).alias("phrase"))
+    out = documents.select("doc_id", F.explode_outer(let(clean_tokens("text"), _phrase_list)).alias("phrase"))
     return out.filter(F.col("phrase").isNotNull())
 
 
-def _distinct_per_doc(docs: DataFrame, phrases_of) -> DataFrame:
-    out = docs.select("doc_id", F.explode_outer(let(clean_tokens("text"), phrases_of)).alias("phrase"))
-    return out.filter(F.col("phrase").isNotNull())
-
-
-# A frequent-word set at most this large is checked in-row (hash-set IN).
-PRUNE_MAX_WORDS = 50_000
-# Corpora of at most this many English documents (bounded count) are counted
-# in one pass; larger ones take the pruned two-pass plan.
-PRUNE_MIN_DOCS = 1_000_000
-
-
-def phrase_frequencies(documents: DataFrame, k: int, prune: bool | None = None) -> DataFrame:
-    """Document counts of the candidate phrases that can reach the top ``k``.
-
-    Exact pruning: a bigram occurs in no more documents than either of its
-    words, and the k-th best phrase is at least as frequent as the k-th best
-    word (T).  So only bigrams of two words with count >= T are counted; all
-    other bigrams cannot enter the top k.  This keeps the bigram shuffle to
-    pairs of frequent words instead of every distinct pair in the corpus."""
-    docs = documents.filter(F.col("lang") == "en")
-    if prune is None:
-        prune = docs.select("doc_id").limit(PRUNE_MIN_DOCS + 1).count() > PRUNE_MIN_DOCS
-    if not prune:
-        return phrase_candidates(documents).groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
-    uni = _distinct_per_doc(docs, lambda t: F.array_distinct(F.filter(t, lambda w: F.length(w) >= 4)))
-    uni_freq = uni.groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
-    kth = uni_freq.orderBy(F.col("doc_count").desc(), F.col("phrase").asc()).limit(k).agg(
-        F.min("doc_count").alias("t"), F.count(F.lit(1)).alias("n")).first()
-    frequent = None
-    if k > 0 and kth["n"] >= k:
-        words = uni_freq.filter(F.col("doc_count") >= kth["t"]).select("phrase")
-        if words.limit(PRUNE_MAX_WORDS + 1).count() <= PRUNE_MAX_WORDS:
-            frequent = [r["phrase"] for r in words.collect()]
-    bi = _distinct_per_doc(docs, lambda t: F.array_distinct(_bigram_list(t, frequent)))
-    bi_freq = bi.groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
-    return uni_freq.unionByName(bi_freq)
+def phrase_frequencies(documents: DataFrame) -> DataFrame:
+    """Document counts of all candidate phrases (partially aggregated)."""
+    return phrase_candidates(documents).groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
 
 
 def phrase_taxonomy(documents: DataFrame, tags: DataFrame) -> DataFrame:
     """Binding of the skill taxonomy to the prose: the i-th tag (by TagId)
     is paired with the i-th most frequent candidate phrase by document count,
-    ties by text.  Top-k (k = number of tags) is the feature here."""
-    k = tags.count()
-    freq = phrase_frequencies(documents, k)
-    top = freq.orderBy(F.col("doc_count").desc(), F.col("phrase").asc()).limit(k)
-    # at most k rows after the limit: the ordinal window is bounded by the tag count
-    ranked = top.withColumn("TagId", F.row_number().over(
-        Window.orderBy(F.col("doc_count").desc(), F.col("phrase").asc())).cast("long"))
+    ties by text.  The order comes from the distributed ranker."""
+    freq = phrase_frequencies(documents).withColumn("order", F.struct((-F.col("doc_count")).alias("n"), "phrase"))
+    ranked = ordinal(freq, "order", "TagId").drop("order")
     return tags.join(ranked, "TagId", "inner").select("TagId", "Name", "phrase", "doc_count")
 
 
@@ -211,21 +166,21 @@ def discussion_skill_scores(counts: DataFrame) -> DataFrame:
     return average_rank_pct(counts, "Count", "DiscScore", partition_by=["Name"]).select("UserId", "Name", "DiscScore")
 
 
-def discussion_pipeline(c, html: bool = False) -> dict:
+def discussion_pipeline(c, html: bool = False, scored: bool = True) -> dict:
     """The whole discussion branch over a community (driver bindings or CSV
     exports); ``c.skill_phrases()`` gives (TagId, Name, phrase)."""
-    # both are at most one row per tag; materialised once so the corpus scan
-    # behind them runs once, not again for each eager size/length check
+    # both are at most one row per tag; written once, so that the corpus scan
+    # behind them is not repeated by the longest-phrase lookup and the tagging
     phrases = materialize(c.skill_phrases())
     taxonomy = materialize(keyword_taxonomy(phrases))
     msgs = forum_message_rows(c.forum_messages(html), c.forum_topics(html), c.forums(html))
     mentions = on_forum_path(message_mentions(c.forum_messages(html), taxonomy),
                              c.forum_topics(html), c.forums(html))
-    # counts feed both the size check and the ranking: materialised once so
-    # the text is cleaned and tagged once
-    counts = materialize(mention_counts(mentions))
+    # the ranker reads the counts three times: written once, so that the text
+    # is cleaned and tagged once
+    counts = materialize(mention_counts(mentions)) if scored else mention_counts(mentions)
     return {"phrases": phrases, "taxonomy": taxonomy, "messages": msgs, "mentions": mentions,
-            "counts": counts, "scores": discussion_skill_scores(counts)}
+            "counts": counts, "scores": discussion_skill_scores(counts) if scored else None}
 
 
 # ---- combination (J21, J22) ---------------------------------------------------------
@@ -243,12 +198,19 @@ def combine_skill_scores(comp: DataFrame, kernel: DataFrame, disc: DataFrame) ->
     return g.withColumn("SkillScore", (F.col("CompScore") + F.col("KernelScore") + F.col("DiscScore")) / 3)
 
 
+def outer_skill_scores(comp: DataFrame, kernel: DataFrame, disc: DataFrame) -> DataFrame:
+    """The same combination as two full outer joins."""
+    on, cols = ["UserId", "Name"], ("CompScore", "KernelScore", "DiscScore")
+    j = comp.join(kernel, on, "full").join(disc, on, "full").select(
+        *on, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
+    return j.withColumn("SkillScore", (F.col("CompScore") + F.col("KernelScore") + F.col("DiscScore")) / 3)
+
+
 def skill_scores(c, html: bool = False) -> DataFrame:
     """C11: SkillScores(UserId, Name, CompScore, KernelScore, DiscScore, SkillScore)."""
     tags = c.tags()
-    kernel = kernel_skill_scores(c.kernels(), c.kernel_tags(), tags, c.kernel_bound())
-    comp = competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships(),
-                                    size_bound=c.team_bound())
+    kernel = kernel_skill_scores(c.kernels(), c.kernel_tags(), tags)
+    comp = competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships())
     disc = discussion_pipeline(c, html)["scores"]
     return combine_skill_scores(comp, kernel, disc)
 

@@ -1,16 +1,18 @@
-"""Session helpers: build a session for tests/bench and resolve the shared
-checkpoint folder.
-
-On a cluster the checkpoint folder is whatever ``spark.checkpoint.dir`` names
-(a shared filesystem); we only create a scratch folder when that setting is
-absent, which is the local test/bench case.
-"""
+"""Session helpers: build a session for tests and bench, durable intermediate
+tables in the folder that ``spark.checkpoint.dir`` names, and shipping of the
+package to executors."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import SparkSession
+_own_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "skillscope") -> SparkSession:
@@ -27,29 +29,40 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, creating a scratch one only if
-    the session names none (tests, local bench)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, from ``spark.checkpoint.dir``.
+
+    Without that setting a single-JVM session (tests, local bench) gets a
+    folder of its own; a cluster session is refused, because its executors
+    could not read each other's files."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_roots.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="skillscope-"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a reused intermediate once as a table in the shared folder and
+    read it back: later plans start from the files, and a lost executor never
+    repeats the work behind them.  Eager: the write runs at once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add this package to the executors' Python path, once per application
+    (for operators with Python work inside tasks)."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    scratch = tempfile.mkdtemp(prefix="skillscope-ckpt-")
-    sc.setCheckpointDir(scratch)
-    return scratch
-
-
-def materialize(df):
-    """Cut a reused intermediate's lineage with a reliable checkpoint in the
-    session's checkpoint folder (never a local checkpoint: a lost executor
-    must not lose the data)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="skillscope-code-"), "skillscope")
+    sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(root), os.path.basename(root)))
+    _shipped.add(sc.applicationId)

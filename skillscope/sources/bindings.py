@@ -7,7 +7,7 @@ grows with them.  Rules marked * create the nulls and ties the data lacks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import ordinal
@@ -15,13 +15,14 @@ from .readers import DriverTables
 
 # Fixed values of the binding rules:
 # - tier from m = custkey % 12: 0 if m = 0, 1 if 1 <= m <= 7, else m - 6
-# - active orders: custkey % 12 >= 8 or orderkey % 12 = 0
-# - organisations: order priority '1-URGENT'; followers: return flag 'R' and quantity > 25
-# - achievement flags: A = Competitions, N = Discussion, R = Scripts; no Scripts row when custkey % 11 = 0
+# - owner of an order: its customer if m >= 10 or orderkey % 12 = 0, else the customer of the same dozen with
+#   m = 10 + orderkey % 2 (every order has an owner; most customers own few orders, two in twelve own many)
+# - achievement flags: A = Competitions, N = Discussion, R = Scripts; the Scripts row of a customer with
+#   custkey % 11 = 0 has no user
 # - medals: quantity 50 = gold, 49 = silver, 48 = bronze; ranked when max quantity >= 48
 # - teams: medal when min line number <= 3; rank when max quantity < 45; no submission when min flag = 'R'
-# - memberships: orderkey % 13 <> 0
-# - messages: topic = doc_id % 50, author = doc_id % 150 (none when doc_id % 17 = 0); forum = topic % 7
+# - memberships: one for each order; no user when orderkey % 13 = 0
+# - messages: topic = doc_id // 20, forum = topic // 10, author = doc_id // 2 (none when doc_id % 17 = 0)
 ACHIEVEMENT_FLAGS = (("A", "Competitions"), ("N", "Discussion"), ("R", "Scripts"))
 GOLD_QTY, SILVER_QTY, BRONZE_QTY = 50.0, 49.0, 48.0
 
@@ -37,36 +38,35 @@ def users(t: DriverTables) -> DataFrame:
     )
 
 
-def active_orders(t: DriverTables) -> DataFrame:
-    o = t.orders
-    return o.filter((F.col("o_custkey") % 12 >= 8) | (F.col("o_orderkey") % 12 == 0))
+def owned_orders(t: DriverTables) -> DataFrame:
+    """All orders with their ``owner``."""
+    m, key = F.col("o_custkey") % 12, F.col("o_orderkey")
+    owner = F.when((m >= 10) | (key % 12 == 0), F.col("o_custkey")).otherwise(F.col("o_custkey") - m + 10 + key % 2)
+    return t.orders.withColumn("owner", owner)
 
 
-def _active_lines(t: DriverTables, *line_cols: str) -> DataFrame:
-    o = active_orders(t).select("o_orderkey", "o_custkey", "o_orderpriority")
+def _owned_lines(t: DriverTables, *line_cols: str) -> DataFrame:
+    o = owned_orders(t).select("o_orderkey", "owner")
     li = t.lineitem.select("l_orderkey", *line_cols)
     return o.join(li, o.o_orderkey == li.l_orderkey, "inner")
 
 
 def user_organizations(t: DriverTables) -> DataFrame:
-    lines = _active_lines(t, "l_suppkey").filter(F.col("o_orderpriority") == "1-URGENT")
-    return lines.select(F.col("o_custkey").alias("UserId"), F.col("l_suppkey").alias("OrganizationId")).distinct()
+    return _owned_lines(t, "l_suppkey").select(
+        F.col("owner").alias("UserId"), F.col("l_suppkey").alias("OrganizationId")).distinct()
 
 
 def user_followers(t: DriverTables) -> DataFrame:
-    lines = _active_lines(t, "l_partkey", "l_returnflag", "l_quantity").filter(
-        (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25))
-    return lines.select(F.col("o_custkey").alias("UserId"), F.col("l_partkey").alias("FollowingUserId")).distinct()
+    return _owned_lines(t, "l_partkey").select(
+        F.col("owner").alias("UserId"), F.col("l_partkey").alias("FollowingUserId")).distinct()
 
 
 def user_achievements(t: DriverTables) -> DataFrame:
-    """*One row per (customer, type); Scripts missing for custkey % 11 = 0.
+    """*Three rows per customer; the Scripts row has no user when custkey % 11 = 0.
 
-    Per-customer statistics are pivoted by flag in one aggregation, then
+    Per-owner statistics are pivoted by flag in one aggregation, then
     unpivoted into three rows per customer (no cross join)."""
-    o = t.orders.select("o_orderkey", "o_custkey")
-    li = t.lineitem.select("l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice")
-    lines = o.join(li, o.o_orderkey == li.l_orderkey)
+    lines = _owned_lines(t, "l_returnflag", "l_quantity", "l_extendedprice")
     aggs = []
     for flag, _ in ACHIEVEMENT_FLAGS:
         is_f = F.col("l_returnflag") == flag
@@ -78,33 +78,33 @@ def user_achievements(t: DriverTables) -> DataFrame:
             F.max(F.when(is_f, q)).alias(f"mq_{flag}"),
             F.min(F.when(is_f, F.col("l_extendedprice"))).alias(f"mp_{flag}"),
         ]
-    per_cust = lines.groupBy("o_custkey").agg(*aggs)
+    per_owner = lines.groupBy("owner").agg(*aggs)
     cust = t.customer.select("c_custkey")
-    joined = cust.join(per_cust, cust.c_custkey == per_cust.o_custkey, "left")
+    joined = cust.join(per_owner, cust.c_custkey == per_owner.owner, "left")
     entries = []
     for flag, name in ACHIEVEMENT_FLAGS:
+        unowned = (F.lit(name) == "Scripts") & (F.col("c_custkey") % 11 == 0)
         entries.append(F.struct(
+            F.when(~unowned, F.col("c_custkey")).alias("UserId"),
             F.lit(name).alias("AchievementType"),
             F.coalesce(F.col(f"g_{flag}"), F.lit(0)).cast("long").alias("TotalGold"),
             F.coalesce(F.col(f"s_{flag}"), F.lit(0)).cast("long").alias("TotalSilver"),
             F.coalesce(F.col(f"b_{flag}"), F.lit(0)).cast("long").alias("TotalBronze"),
             F.when(F.col(f"mq_{flag}") >= BRONZE_QTY, F.floor(F.col(f"mp_{flag}"))).cast("long").alias("HighestRanking"),
         ))
-    exploded = joined.select(F.col("c_custkey").alias("UserId"), F.explode(F.array(*entries)).alias("a"))
-    out = exploded.select("UserId", "a.*")
-    return out.filter(~((F.col("AchievementType") == "Scripts") & (F.col("UserId") % 11 == 0)))
+    return joined.select(F.explode(F.array(*entries)).alias("a")).select("a.*")
 
 
 def kernels(t: DriverTables) -> DataFrame:
-    """*Active orders left join lineitem; votes null when an order has no lines."""
-    o = active_orders(t).select("o_orderkey", "o_custkey", "o_totalprice")
+    """*Orders left join lineitem; votes null when an order has no lines."""
+    o = owned_orders(t).select("o_orderkey", "owner", "o_totalprice")
     li = t.lineitem.select("l_orderkey", "l_quantity")
     per_order = li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty"))
     j = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
     return j.select(
         F.col("o_orderkey").alias("KernelId"),
-        F.col("o_custkey").alias("UserId"),
+        F.col("owner").alias("UserId"),
         F.floor("o_totalprice").cast("long").alias("TotalViews"),
         F.coalesce(F.col("n_lines"), F.lit(0)).cast("long").alias("TotalComments"),
         F.col("qty").cast("long").alias("TotalVotes"),
@@ -114,12 +114,12 @@ def kernels(t: DriverTables) -> DataFrame:
 def tags(t: DriverTables) -> DataFrame:
     """Distinct part names; TagId = 1-based position in name order."""
     names = t.part.select(F.col("p_name").alias("Name")).distinct()
-    return ordinal(names, "Name", "TagId", size_bound=t.part).select("TagId", "Name")
+    return ordinal(names, "Name", "TagId").select("TagId", "Name")
 
 
 def kernel_tags(t: DriverTables, tag_df: DataFrame | None = None) -> DataFrame:
     tag_df = tag_df if tag_df is not None else tags(t)
-    lines = _active_lines(t, "l_partkey")
+    lines = _owned_lines(t, "l_partkey")
     p = t.part.select("p_partkey", "p_name")
     j = lines.join(p, lines.l_partkey == p.p_partkey).join(tag_df, F.col("p_name") == F.col("Name"))
     return j.select(F.col("o_orderkey").alias("KernelId"), "TagId").distinct()
@@ -153,9 +153,13 @@ def competition_tags(t: DriverTables, tag_df: DataFrame | None = None) -> DataFr
 
 
 def team_memberships(t: DriverTables) -> DataFrame:
-    o = t.orders
-    return o.filter(F.col("o_orderkey") % 13 != 0).select(
-        F.col("o_orderkey").alias("TeamId"), F.col("o_custkey").alias("UserId"))
+    """*One membership per order, without a user when orderkey % 13 = 0."""
+    return t.orders.select(F.col("o_orderkey").alias("TeamId"),
+                           F.when(F.col("o_orderkey") % 13 != 0, F.col("o_custkey")).alias("UserId"))
+
+
+def _topic(message_id) -> Column:
+    return F.floor(message_id / 20).cast("long")
 
 
 def forum_messages(t: DriverTables, html: bool = False) -> DataFrame:
@@ -166,15 +170,17 @@ def forum_messages(t: DriverTables, html: bool = False) -> DataFrame:
         src = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("Message"))
     return src.select(
         F.col("id").alias("MessageId"),
-        (F.col("id") % 50).alias("ForumTopicId"),
-        F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("id") % 150).alias("UserId"),
+        _topic(F.col("id")).alias("ForumTopicId"),
+        F.when(F.col("id") % 17 != 0, F.floor(F.col("id") / 2).cast("long")).alias("UserId"),
         "Message",
     )
 
 
 def forum_topics(t: DriverTables, html: bool = False) -> DataFrame:
-    return (forum_messages(t, html).select("ForumTopicId").distinct()
-            .withColumn("ForumId", F.col("ForumTopicId") % 7))
+    ids = (t.plain("pages").select(F.col("page_id").alias("id")) if html
+           else t.plain("documents").select(F.col("doc_id").alias("id")))
+    return (ids.select(_topic(F.col("id")).alias("ForumTopicId")).distinct()
+            .withColumn("ForumId", F.floor(F.col("ForumTopicId") / 10).cast("long")))
 
 
 def forums(t: DriverTables, html: bool = False) -> DataFrame:
@@ -225,18 +231,6 @@ class Community:
     def team_memberships(self):
         return team_memberships(self.t)
 
-    # cheap frames with at least as many rows as a binding, for size checks
-    def kernel_bound(self):
-        # all orders >= active orders; a column-free count reads only footers
-        return self.t.orders
-
-    def team_bound(self):
-        return self.t.lineitem.select("l_orderkey")
-
-    def achievement_bound(self):
-        return self.t.customer.select("c_custkey").unionByName(self.t.customer.select("c_custkey")).unionByName(
-            self.t.customer.select("c_custkey"))
-
     def skill_phrases(self):
         """Tag names paired with frequent phrases of the prose (FIXTURES C):
         the driver's tag names never occur in its documents."""

@@ -77,13 +77,3 @@ class CsvCommunity:
         """Each tag's own name is its phrase (normalised like message text)."""
         return self.tags().select("TagId", "Name", F.col("Name").alias("phrase"), F.lit(None).cast("long")
                                   .alias("doc_count"))
-
-    # size bounds for the rank checks: the tables themselves
-    def kernel_bound(self):
-        return self._t("Kernels")
-
-    def team_bound(self):
-        return self._t("Teams")
-
-    def achievement_bound(self):
-        return self._t("UserAchievements")

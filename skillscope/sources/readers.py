@@ -8,8 +8,9 @@ Driver tables: parquet, one file per table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schemas import RENAMES, SCHEMAS
 
@@ -20,13 +21,34 @@ def _rename(df: DataFrame, table: str) -> DataFrame:
 
 
 def _by_name(df: DataFrame, table: str) -> DataFrame:
-    """Declared columns by header name, cast to their declared types; a
-    declared column missing from the file becomes a typed null.  Exports
-    differ in extra columns and column order, so positions are not trusted."""
+    """Declared columns by header name, as their declared types; a declared
+    column missing from the file becomes a typed null.  Exports differ in
+    extra columns and column order, so positions are not trusted."""
     have = set(df.columns)
-    cols = [(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in SCHEMAS[table].fields]
-    return df.select(*cols)
+    return df.select(*[(_typed(f.name, f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+                       for f in SCHEMAS[table].fields])
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """A text cell as its declared type.  A whole number written with a point
+    (``5.0``) counts as that number; a cell that does not fit becomes null
+    and is counted by :func:`rejected_cells`, it never fails the job."""
+    cell = F.col(f"`{name}`")
+    if isinstance(kind, T.IntegralType):
+        number = cell.try_cast("double")
+        return F.coalesce(cell.try_cast(kind), F.when(number == F.floor(number), number).try_cast(kind))
+    return cell.try_cast(kind)
+
+
+def rejected_cells(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """(column, n_rejected) of one export: cells with text that did not fit
+    the declared type, for every declared column of the file."""
+    df = spark.read.option("header", True).option("multiLine", table == "ForumMessages").option("escape", '"').csv(path)
+    known = [f for f in SCHEMAS[table].fields if f.name in df.columns]
+    counts = df.agg(*[F.count(F.when(F.col(f"`{f.name}`").isNotNull() & _typed(f.name, f.dataType).isNull(), 1))
+                      .alias(f.name) for f in known])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias(
+        "n_rejected")) for f in known])).alias("c")).select("c.*")
 
 
 def read_csv_table(spark: SparkSession, path: str, table: str | None = None, infer: bool = False) -> DataFrame:
@@ -42,7 +64,11 @@ def read_csv_table(spark: SparkSession, path: str, table: str | None = None, inf
 
 def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
     """Forum messages: bodies carry commas, quotes and newlines (multi-line
-    records, doubled-quote escapes)."""
+    records, doubled-quote escapes).
+
+    A multi-line CSV file cannot be split, so each file is read by one task:
+    for a large export pass a folder of many files, or convert it once with
+    :func:`convert_messages`."""
     df = (
         spark.read.option("header", True)
         .option("multiLine", True)
@@ -53,6 +79,12 @@ def read_messages_csv(spark: SparkSession, path: str) -> DataFrame:
     return _rename(_by_name(df, "ForumMessages"), "ForumMessages")
 
 
+def convert_messages(spark: SparkSession, path: str, out: str, files: int) -> None:
+    """One-time conversion of a multi-line export to a Parquet table of
+    ``files`` files, which later reads split freely."""
+    read_messages_csv(spark, path).repartition(files).write.mode("overwrite").parquet(out)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Materialise a result durably (replaces the reference's toPandas)."""
     writer = df.write.mode("overwrite")
@@ -85,6 +117,10 @@ class DriverTables:
         self.root = root.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
 
+    def plain(self, name: str) -> DataFrame:
+        """A table as scanned, for plans that read no text."""
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self.NAMES:
             raise AttributeError(name)

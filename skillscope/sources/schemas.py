@@ -2,7 +2,7 @@
 
 from pyspark.sql import types as T
 
-L, I, S, D, TS = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.TimestampType()
+L, I, S = T.LongType(), T.IntegerType(), T.StringType()
 
 
 def _schema(*cols):
@@ -10,7 +10,8 @@ def _schema(*cols):
 
 
 # Source-file column names (as exported by the community site); renames to
-# engine names happen in the readers.
+# engine names happen in the readers.  Dates stay text: they are only tested
+# for null, and exports write them in several formats.
 SCHEMAS = {
     "Users": _schema(("Id", L), ("UserName", S), ("DisplayName", S), ("RegisterDate", S), ("PerformanceTier", I)),
     "UserOrganizations": _schema(("Id", L), ("UserId", L), ("OrganizationId", L), ("JoinDate", S)),
@@ -21,7 +22,7 @@ SCHEMAS = {
     "Kernels": _schema(("Id", L), ("AuthorUserId", L), ("Medal", I), ("TotalViews", L), ("TotalComments", L), ("TotalVotes", L)),
     "KernelTags": _schema(("Id", L), ("KernelId", L), ("TagId", L)),
     "Tags": _schema(("Id", L), ("Name", S)),
-    "Teams": _schema(("Id", L), ("CompetitionId", L), ("TeamName", S), ("ScoreFirstSubmittedDate", TS),
+    "Teams": _schema(("Id", L), ("CompetitionId", L), ("TeamName", S), ("ScoreFirstSubmittedDate", S),
                      ("PublicLeaderboardRank", L), ("PrivateLeaderboardRank", L), ("Medal", I)),
     "CompetitionTags": _schema(("Id", L), ("CompetitionId", L), ("TagId", L)),
     "TeamMemberships": _schema(("Id", L), ("TeamId", L), ("UserId", L)),

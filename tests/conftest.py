@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -21,14 +20,4 @@ def spark():
          .config("spark.ui.enabled", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skillscope-test-ckpt-"))
     yield s
-
-
-@pytest.fixture()
-def distributed_ranks(spark):
-    """Force the distributed ranking path (no single-task window)."""
-    from skillscope.operators.ranking import CONF_SINGLE_TASK_MAX
-    spark.conf.set(CONF_SINGLE_TASK_MAX, "0")
-    yield
-    spark.conf.unset(CONF_SINGLE_TASK_MAX)

@@ -67,6 +67,6 @@ def test_plans_on_csv_exports(spark):
     assert all(k[0] is not None for k in got)                  # the author-less message counts for nobody
     assert got[(6, "machine learning")]["CompScore"] > 0       # team 4 in competition 51 (tag 1)
 
-    pop = mo.linear_score(co.model_inputs(co.population(feats)))
+    pop = mo.linear_score(co.model_inputs(co.population(co.cohorts(feats))))
     top = se.expertise_finding(pop, scores, "Time Series").collect()
     assert top and top[0]["Rank"] == 1 and "Time Series Score" in top[0].asDict()

@@ -18,7 +18,7 @@ def test_cohort_properties(spark):
     unlabelled = {r["UserId"] for r in parts["unlabelled"].select("UserId").collect()}
     assert not (train & unlabelled)
     assert parts["non_experts_downsampled"].count() <= parts["experts"].count()
-    pop = co.population(feats).groupBy("UserId").count()
+    pop = co.population(parts).groupBy("UserId").count()
     assert pop.filter("count <> 1").count() == 0
     assert pop.count() == fe.active_users(c.users()).count()
     # every percentile lies in [0, 1]

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pandas as pd
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skillscope.operators import ranking
 from skillscope.operators.ranking import RankSpec, average_rank_pct, ordinal, percent_rank, rank_columns
 
 
@@ -12,91 +14,101 @@ def _vals(df, col, key="id"):
     return {r[key]: r[col] for r in df.collect()}
 
 
-@pytest.mark.parametrize("mode", ["window", "distributed"])
-def test_ties_average_pct(spark, mode, request):
-    if mode == "distributed":
-        request.getfixturevalue("distributed_ranks")
+def test_ties_average_pct(spark):
     df = spark.createDataFrame([(1, "t", 1), (2, "t", 1), (3, "t", 3), (4, "t", 5)], "id int, tag string, c long")
     out = _vals(average_rank_pct(df, "c", "p", partition_by=["tag"]), "p")
     assert out == {1: 0.375, 2: 0.375, 3: 0.75, 4: 1.0}
+    down = _vals(average_rank_pct(df, "c", "p", partition_by=["tag"], descending=True), "p")
+    assert down == {1: 0.875, 2: 0.875, 3: 0.5, 4: 0.25}
 
 
-@pytest.mark.parametrize("mode", ["window", "distributed"])
-def test_nulls_descending(spark, mode, request):
-    if mode == "distributed":
-        request.getfixturevalue("distributed_ranks")
+def test_nulls_descending(spark):
     df = spark.createDataFrame([(1, 9), (2, 5), (3, 1), (4, None)], "id int, r long")
     literal = _vals(percent_rank(df, "r", "p", descending=True), "p")         # nulls last (reference)
     assert literal == pytest.approx({1: 0.0, 2: 1 / 3, 3: 2 / 3, 4: 1.0})
     rebuilt = _vals(percent_rank(df, "r", "p", descending=True, nulls_first=True), "p")  # null rank scores 0
     assert rebuilt == pytest.approx({1: 1 / 3, 2: 2 / 3, 3: 1.0, 4: 0.0})
+    assert _vals(ordinal(df, "r", "o", descending=True), "o") == {1: 1, 2: 2, 3: 3, 4: None}
 
 
-@pytest.mark.parametrize("mode", ["window", "distributed"])
-def test_one_row(spark, mode, request):
-    if mode == "distributed":
-        request.getfixturevalue("distributed_ranks")
+def test_one_row_and_no_rows(spark):
     df = spark.createDataFrame([(1, 7.5)], "id int, v double")
     assert _vals(percent_rank(df, "v", "p"), "p") == {1: 0.0}
+    assert percent_rank(df.limit(0), "v", "p").count() == 0
 
 
-def test_distributed_equals_window_random(spark, distributed_ranks):
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(1, None, 1), (2, None, 2), (3, "a", 5), (4, "a", 5)], "id int, k string, v long")
+    assert _vals(percent_rank(df, "v", "p", partition_by=["k"]), "p") == {1: 0.0, 2: 1.0, 3: 0.0, 4: 0.0}
+
+
+def test_nan_sorts_as_in_spark(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, math.nan), (3, None), (4, math.inf), (5, math.nan)], "id int, v double")
+    for descending in (False, True):
+        o = F.col("v").desc() if descending else F.col("v").asc()
+        want = _vals(df.select("id", F.percent_rank().over(Window.orderBy(o)).alias("p")), "p")
+        assert _vals(percent_rank(df, "v", "p", descending=descending), "p") == want
+
+
+@pytest.mark.parametrize("cuts", [255, 7])
+def test_equals_plain_windows_on_random_rows(spark, monkeypatch, cuts):
+    monkeypatch.setattr(ranking, "CUTS", cuts)
     rnd = random.Random(5)
     rows = []
     for i in range(3000):
-        key = rnd.choice(["a", "a", "a", "b", "c"])           # one hot key
+        key = rnd.choice(["a", "a", "a", "b", "c", None])           # one hot key, one null key
         v = None if rnd.random() < 0.05 else rnd.choice([0, 0, 0, 1, 2, 3, rnd.randint(0, 400)])
-        rows.append((i, key, v, float(rnd.randint(0, 50))))
-    df = spark.createDataFrame(rows, "id int, k string, v long, d double")
+        rows.append((i, key, v, float(rnd.randint(0, 50)), "w%d" % rnd.randint(0, 900)))
+    df = spark.createDataFrame(rows, "id int, k string, v long, d double, s string")
     got = rank_columns(df, [RankSpec("v", "p_asc"), RankSpec("v", "p_desc", "percent", True),
-                            RankSpec("d", "p_avg", "average_pct"), RankSpec("d", "o", "ordinal")],
-                       partition_by=["k"])
+                            RankSpec("d", "p_avg", "average_pct"), RankSpec("d", "o", "ordinal"),
+                            RankSpec("s", "p_text", "percent", True)], partition_by=["k"])
+    assert got.columns == df.columns + ["p_asc", "p_desc", "p_avg", "o", "p_text"]
     w = Window.partitionBy("k")
     ref = df.select(
         "id",
         F.percent_rank().over(w.orderBy(F.col("v").asc_nulls_first())).alias("p_asc"),
         F.percent_rank().over(w.orderBy(F.col("v").desc_nulls_last())).alias("p_desc"),
+        F.percent_rank().over(w.orderBy(F.col("s").desc())).alias("p_text"),
         F.rank().over(w.orderBy("d")).cast("long").alias("o"))
     g = {r["id"]: r for r in got.collect()}
+    assert len(g) == len(rows)
     for r in ref.collect():
-        assert g[r["id"]]["p_asc"] == pytest.approx(r["p_asc"])
-        assert g[r["id"]]["p_desc"] == pytest.approx(r["p_desc"])
-        assert g[r["id"]]["o"] == r["o"]
-    pdf = pd.DataFrame(rows, columns=["id", "k", "v", "d"])
-    pdf["p_avg"] = pdf.groupby("k")["d"].rank(pct=True)
+        for c in ("p_asc", "p_desc", "p_text", "o"):
+            assert g[r["id"]][c] == pytest.approx(r[c])
+    pdf = pd.DataFrame(rows, columns=["id", "k", "v", "d", "s"])
+    pdf["p_avg"] = pdf.groupby("k", dropna=False)["d"].rank(pct=True)
     for _, r in pdf.iterrows():
         assert g[r["id"]]["p_avg"] == pytest.approx(r["p_avg"])
 
 
-def test_distributed_plan_single_partition_only_over_bucket_totals(spark, distributed_ranks):
-    """Rows never meet in one task: single-partition exchanges only carry the
-    per-bucket totals (at most #buckets rows) or one partial count per input
-    partition (global sizes)."""
+def test_rows_never_meet_in_one_task(spark):
+    """Single-partition exchanges carry partial aggregates only, and no job runs while the plan is built."""
     df = spark.range(0, 5000).withColumn("v", (F.col("id") * 7919) % 1000)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None) or [])
     lines = percent_rank(df, "v", "p")._jdf.queryExecution().executedPlan().toString().split("\n")
-    singles = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
-    assert singles
-    for i in singles:
-        nxt = lines[i + 1]
-        assert "_rk_bc" in nxt or ("HashAggregate(keys=[]" in nxt and "partial_count" in nxt), nxt
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None) or []) == before
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            assert "partial_percentile_approx" in lines[i + 1], lines[i + 1]
 
 
-def test_ordinal_strings(spark, distributed_ranks):
-    df = spark.createDataFrame([("b",), ("a",), ("c",)], "Name string")
+def test_strings_and_structs(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 2)], "Name string, n int")
     assert {r["Name"]: r["o"] for r in ordinal(df, "Name", "o").collect()} == {"a": 1, "b": 2, "c": 3}
+    pairs = df.withColumn("x", F.struct((-F.col("n")).alias("n"), "Name"))
+    assert {r["Name"]: r["o"] for r in ordinal(pairs, "x", "o").collect()} == {"c": 1, "a": 2, "b": 3}
 
 
-def test_hot_value_does_not_make_a_big_bucket(spark):
-    """A value held by a third of all rows is one histogram row, and the
-    quantile buckets of the histogram stay balanced."""
-    from skillscope.operators.ranking import _bucket_numeric, _n_buckets, _numeric_cuts
+def test_a_hot_value_is_spread(spark):
+    """A value held by a third of all rows, and null, are cut into parts."""
     n = 30000
-    df = spark.range(n).withColumn("v", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")))
-    hist = df.groupBy("v").agg(F.count(F.lit(1)).alias("_rk_eq"))
-    assert hist.filter("v = 0").first()["_rk_eq"] == n // 3
-    spec = RankSpec("v", "p")
-    cuts = _numeric_cuts(hist, [spec])["p"]
-    hb = _bucket_numeric(hist.withColumn("_rk_ov", F.col("v")), "_rk_ov", cuts)
-    sizes = [r["c"] for r in hb.groupBy("_rk_b").agg(F.count(F.lit(1)).alias("c")).collect()]
-    n_hist = hist.count()
-    assert max(sizes) <= 3 * n_hist / _n_buckets(hist) + 1
+    df = spark.range(n).withColumn("v", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id")))
+    got = percent_rank(df, "v", "p")
+    want = df.select("id", F.percent_rank().over(Window.orderBy("v")).alias("p"))
+    assert got.join(want.withColumnRenamed("p", "q"), "id").filter("p <> q").isEmpty()
+    base = df.withColumn("_rk_cuts", ranking._cuts(df, "v"))
+    below, equal = ranking._bucket("v", F.col("_rk_cuts"))
+    sizes = base.filter("v is not null").select(below.alias("b"), equal.alias("e")).groupBy("b", "e").count().collect()
+    assert max(r["count"] for r in sizes if r["e"]) == n // 3
+    assert max(r["count"] for r in sizes if not r["e"]) < n // 50

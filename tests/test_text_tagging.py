@@ -42,15 +42,14 @@ def test_two_word_tag_matches_text(spark):
     assert kw in msg
 
 
-@pytest.mark.parametrize("inrow_max", [50_000, 0])
-def test_leftmost_longest_overlap(spark, inrow_max):
+def test_leftmost_longest_overlap(spark):
     tax = prepare_taxonomy(spark.createDataFrame(
         [("a", "A"), ("a b", "AB"), ("b c d", "BCD"), ("d", "D")], "keyword string, Name string"))
     docs = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, ["x"]), (3, ["d", "a", "d"])],
                                  "id int, tokens array<string>")
-    out = {r["id"]: r["names"] for r in tag_documents(docs, "tokens", ["id"], tax, inrow_max).collect()}
+    out = {r["id"]: r["names"] for r in tag_documents(docs, "tokens", ["id"], tax).collect()}
     assert out == {1: ["AB", "D"], 3: ["D", "A", "D"]}
-    m = tag_mentions(docs, "tokens", ["id"], tax, inrow_max).collect()
+    m = tag_mentions(docs, "tokens", ["id"], tax).collect()
     assert sorted((r["id"], r["pos"], r["Name"]) for r in m) == [
         (1, 0, "AB"), (1, 1, "D"), (3, 0, "D"), (3, 1, "A"), (3, 2, "D")]
 
@@ -68,25 +67,20 @@ def test_tidy_split(spark):
     assert kept == ["a, b c", "a", "b c", "x"]
 
 
-def test_encode_categorical(spark):
-    from skillscope.plans.model import encode_categorical
-    df = spark.createDataFrame([(1, "a", 0), (2, "b", 1), (3, "a", 1)], "id int, cat string, Ranked int")
-    out = encode_categorical(df, ["cat", "Ranked"])
-    assert dict(out.dtypes)["Ranked"] == "double"
-    vecs = {r["id"]: r["cat_vec"].toArray().tolist() for r in out.collect()}
-    assert vecs[1] == vecs[3] and vecs[1] != vecs[2]
-
-
-def test_pruned_phrase_frequencies_keep_the_top_k(spark):
-    """The two-pass pruned count yields the same top k as the one-pass count."""
-    from conftest import SF_SMALL
-    from skillscope.plans.skills import phrase_frequencies
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    k = 40
-
-    def top(df):
-        return [tuple(r) for r in df.orderBy(F.col("doc_count").desc(), F.col("phrase").asc()).limit(k).collect()]
-    full = phrase_frequencies(docs, k, prune=False)
-    pruned = phrase_frequencies(docs, k, prune=True)
-    assert top(full) == top(pruned)
-    assert pruned.count() < full.count()
+def test_phrases_of_three_and_more_tokens(spark):
+    tax = prepare_taxonomy(spark.createDataFrame(
+        [("a b c d", "LONG"), ("b c", "BC"), ("c d e", "CDE"), ("e", "E")], "keyword string, Name string"))
+    docs = spark.createDataFrame([(1, list("abcde")), (2, list("xbcde")), (3, list("cdabcd")), (4, [])],
+                                 "id int, tokens array<string>")
+    out = {r["id"]: r["names"] for r in tag_documents(docs, "tokens", ["id"], tax).collect()}
+    assert out == {1: ["LONG", "E"], 2: ["BC", "E"], 3: ["LONG"]}
+    none = tag_mentions(docs, "tokens", ["id"], tax.limit(0))
+    assert none.columns == ["id", "pos", "Name"] and none.count() == 0
+
+
+def test_one_hot(spark):
+    from skillscope.plans.model import one_hot
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "id int, cat string")
+    out = one_hot(df, "cat")
+    assert out.columns == ["id", "cat_a", "cat_b"]
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 0), (2, 0, 1), (3, 1, 0), (4, 0, 0)]
