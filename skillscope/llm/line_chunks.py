@@ -98,12 +98,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                       "repeated")
     wanted = stored(chunks.join(repeated, "hash", "left_semi").groupBy("id", "mark")
                     .agg(F.collect_set("code").alias("wanted")), "wanted")
-    # both joins below read the documents under the same key: where no other column is asked for,
-    # the texts are shuffled once
+    # Both joins below read the documents under the same key: where no other column is asked for,
+    # the texts are shuffled once.  Their other sides grow with the corpus, so they are never broadcast.
     mark = free_name(docs, "mark")
     rows = docs.withColumn(mark, F.xxhash64(docs[f"`{text_col}`"]))
     body = rows[f"`{text_col}`"]
-    found = (rows.join(wanted, known_by(rows, wanted, id_col, mark))
+    found = (rows.join(wanted.hint("merge"), known_by(rows, wanted, id_col, mark))
              .select(wanted["id"], wanted["mark"], F.explode("wanted").alias("code"), F.split(body, "\n").alias("lines"))
              .select("id", "mark", "code", chunk_text(F.col("lines"), F.col("code")).alias("chunk")))
     # equal bytes meet in one pre-aggregated group, which only remembers its first occurrence
@@ -115,7 +115,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     removed = F.array_except("wanted", F.coalesce("kept", F.array().cast("array<bigint>")))
     gone = (wanted.join(first, same, "left").select(wanted["id"], wanted["mark"], removed.alias("_removed"))
             .filter(F.size("_removed") > 0))
-    out = rows.join(gone, known_by(rows, gone, id_col, mark), "left")
+    out = rows.join(gone.hint("merge"), known_by(rows, gone, id_col, mark), "left")
     removed = gone["_removed"]
     text = F.when(removed.isNull(), body).otherwise(kept_text(body, removed)).alias(text_col)
     lines = F.when(removed.isNull(), 0).otherwise(
