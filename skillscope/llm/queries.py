@@ -1,6 +1,6 @@
 """The queries of this subpackage: each applies one operator, with production
 parameters, to its whole table.  ``ORACLE_SQL`` holds the DuckDB equivalents
-of those that SQL can express."""
+of those that SQL can express (see oracle_sql)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import compression, decontamination, licences, line_chunks, neighbour_quality, piece_matching, quotations
 from . import repeated_windows, sharding, simhash
+from .oracle_sql import ORACLE_SQL  # noqa: F401
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 #: Model file of the tokenizer; the session setting of this name overrides the path.
@@ -93,4 +94,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_neighbour_quality, op3_quotation_linking, op4_rare_seed_alignment, op5_repeated_windows,
     op6_piece_matching, op7_compression_bands, op8_simhash_gray, op9_licence_scan, op10_line_chunks, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
