@@ -9,12 +9,13 @@ rounded to 6 digits, like the Spark side.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from .bindings_sql import with_bindings
 
 # Values shared with the Spark side because they are the specification.
 from skillscope.config import FIXED_INTERCEPT, FIXED_WEIGHTS
 from skillscope.functions.stem import STEM_PASSES
-from skillscope.functions import text as TX
 
 SAMPLE_LIMIT = int(0.2 * float(1 << 60))
 HOLDOUT_LIMIT = int(0.2 * (1 << 32))
@@ -33,20 +34,39 @@ def sq(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-# ---- text expressions (DuckDB dialect) -------------------------------------------
+# ---- text expressions (DuckDB dialect), written from SURVEY F11-F18 ------------------
+_NAMES = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in sorted({**name2codepoint, "apos": 39}.items())) + "}"
+
+
+def decoded(x: str) -> str:
+    code = (f"CASE WHEN regexp_matches(p, '^#[0-9]{{1,7}};') THEN CAST(regexp_extract(p, '^#([0-9]+);', 1) AS INTEGER) "
+            f"WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{{1,6}};') "
+            f"THEN CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1) AS INTEGER) "
+            f"ELSE ({_NAMES})[regexp_extract(p, '^([a-zA-Z][a-zA-Z0-9]*);', 1)] END")
+    char = (f"chr(CASE WHEN ({code}) BETWEEN 1 AND 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343 THEN ({code}) "
+            f"ELSE 65533 END)")
+    return (f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"WHEN ({code}) IS NULL THEN '&' || p ELSE {char} || regexp_replace(p, '^[^;]*;', '') END), '')")
+
+
 def normalized_text(x: str) -> str:
     s = x
-    for pat in (TX.SCRIPT_RE, TX.STYLE_RE, TX.COMMENT_RE, TX.TAG_RE):
+    for pat in (r"(?is)<script[^>]*>.*?</script[^>]*>", r"(?is)<style[^>]*>.*?</style[^>]*>", r"(?s)<!--.*?-->",
+                r"<[a-zA-Z/!][^>]*>"):
         s = f"regexp_replace({s}, {sq(pat)}, ' ', 'g')"
-    for ent, ch in TX.ENTITIES:
-        s = f"replace({s}, {sq(ent)}, {sq(ch)})"
-    s = f"(CASE WHEN contains({x}, '<') OR contains({x}, '&') THEN {s} ELSE {x} END)"
-    s = f"regexp_replace({s}, {sq(TX.SPACE_RE)}, ' ', 'g')"
-    return f"regexp_replace({s}, {sq(TX.LINK_RE)}, '', 'g')"
+    s = f"(CASE WHEN contains({x}, '<') OR contains({x}, '&') THEN {decoded(s)} ELSE {x} END)"
+    return f"regexp_replace({spaced(s)}, 'https?://[^ ]+', '', 'g')"
+
+
+def spaced(x: str) -> str:
+    return f"regexp_replace({x}, '[\\t\\n\\x0B\\f\\r\\p{{Z}}]+', ' ', 'g')"
 
 
 def word_tokens(x: str) -> str:
-    return (f"list_transform(list_filter(string_split({x}, ' '), lambda w: regexp_matches(w, '[a-zA-Z]')), "
+    s = f"regexp_replace({x}, {sq(r'[][(){}<>;@#$%&?!"]|--+|[.][.][.]+')}, ' ', 'g')"
+    s = f"regexp_replace({s}, '[:,]([^0-9]|$)', ' \\1', 'g')"
+    s = f"regexp_replace({s}, '(?i)(''ll|''re|''ve|n''t|''s|''m|''d)([^a-zA-Z]|$)', ' \\1\\2', 'g')"
+    return (f"list_transform(list_filter(string_split({s}, ' '), lambda w: regexp_matches(w, '[a-zA-Z]')), "
             f"lambda w: lower(regexp_replace(w, '[[:punct:]]', '', 'g')))")
 
 
@@ -78,8 +98,7 @@ def stemmed_tokens(x: str) -> str:
 
 
 def keyword(x: str) -> str:
-    spaced = f"regexp_replace({x}, {sq(TX.SPACE_RE)}, ' ', 'g')"
-    return f"array_to_string({stem_list(word_tokens(spaced))}, ' ')"
+    return f"array_to_string({stem_list(word_tokens(spaced(x)))}, ' ')"
 
 
 def r6(e: str, name: str) -> str:

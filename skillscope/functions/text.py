@@ -2,8 +2,8 @@
 
 The reference runs an HTML parser, a sentence/word tokeniser and a stemmer
 row by row in one Python process.  Here each step is a built-in column
-expression, so cleaning runs inside whole-stage code generation on every
-executor:
+expression on every executor (functions over arrays are interpreted, the
+others are generated code):
 
     strip_html -> collapse whitespace -> drop links -> split on spaces
     -> keep tokens with an ASCII letter -> delete ASCII punctuation, lowercase
@@ -12,23 +12,30 @@ executor:
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .stem import stem_tokens
 
-# The entity list decoded after markup removal ('&amp;' last,
-# so '&amp;lt;' decodes once to '&lt;'), and the regular expressions.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&"))
+# Code points of the named entities of HTML, from the standard library.
+ENTITY_CODES = {**name2codepoint, "apos": 39}
+# The regular expressions.  A tag begins with a letter, '/' or '!' after '<'.
 SCRIPT_RE = r"(?is)<script[^>]*>.*?</script[^>]*>"
 STYLE_RE = r"(?is)<style[^>]*>.*?</style[^>]*>"
 COMMENT_RE = r"(?s)<!--.*?-->"
-TAG_RE = r"<[^>]*>"
+TAG_RE = r"<[a-zA-Z/!][^>]*>"
 SPACE_RE = r"[\t\n\x0B\f\r\p{Z}]+"
 LINK_RE = r"https?://[^ ]+"
 LETTER_RE = r"[a-zA-Z]"
 PUNCT_RE = r"\p{Punct}"
+# punctuation that separates words even without a space: brackets, quotes, ; @ # $ % & ? !, dashes, dots in a row
+APART_RE = r"[\[\](){}<>;@#$%&?!\"]|--+|\.\.\.+"
+# a comma or colon, unless a digit follows
+COMMA_RE = r"[:,]([^0-9]|$)"
+# the ending of a contraction is a word of its own
+ENDING_RE = r"(?i)('ll|'re|'ve|n't|'s|'m|'d)([^a-zA-Z]|$)"
 # a whole space-delimited token without an ASCII letter
 NO_LETTER_TOKEN_RE = r"(?<![^ ])[^a-zA-Z ]+(?![^ ])"
 
@@ -49,18 +56,36 @@ def let(value, body) -> Column:
 
 def strip_html(col) -> Column:
     """drop script/style blocks and comments, turn tags into spaces,
-    decode a fixed entity list once.  Rows without '<' or '&' skip the
+    decode entities once.  Rows without '<' or '&' skip the
     regular expressions."""
     c = _c(col)
     s = F.regexp_replace(c, SCRIPT_RE, " ")
     s = F.regexp_replace(s, STYLE_RE, " ")
     s = F.regexp_replace(s, COMMENT_RE, " ")
     s = F.regexp_replace(s, TAG_RE, " ")
-    for ent, ch in ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
+    s = F.when(s.contains("&"), decode_entities(s)).otherwise(s)
     return F.when(c.contains("<") | c.contains("&"), s).otherwise(c)
 
 
+def decode_entities(col) -> Column:
+    """Numeric (decimal, hexadecimal) and named character references, each
+    decoded once; a reference to no character becomes U+FFFD, and what is no
+    reference stays as it is."""
+    names = F.create_map(*[F.lit(x) for kv in sorted(ENTITY_CODES.items()) for x in kv])
+
+    def part(p, i):
+        decimal = F.regexp_extract(p, "^#([0-9]{1,7});", 1)
+        hexa = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(decimal != "", decimal.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int")).otherwise(
+            F.try_element_at(names, F.regexp_extract(p, "^([a-zA-Z][a-zA-Z0-9]*);", 1)))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when((i == 0), p).when(code.isNull(), F.concat(F.lit("&"), p)).otherwise(
+            F.concat(char, F.regexp_replace(p, "^[^;]*;", "")))
+
+    return F.array_join(F.transform(F.split(col, "&"), part), "")
+
+
 def collapse_spaces(col) -> Column:
     """every run of whitespace becomes one space."""
     return F.regexp_replace(_c(col), SPACE_RE, " ")
@@ -78,14 +103,18 @@ def normalized_text(col) -> Column:
 
 def word_tokens(col) -> Column:
     """F16-F18 on already normalised (single-spaced) text: the tokens are the
-    space-delimited words that contain an ASCII letter, with ASCII
-    punctuation deleted, lowercased.
+    words that contain an ASCII letter, with ASCII punctuation deleted,
+    lowercased.  Brackets, quotes, separating punctuation, dashes and the
+    endings of contractions part words like spaces do.
 
     Done on the whole text (two regular-expression passes per document, then
     a split) rather than per token: deleting punctuation never adds or
     removes a letter or a space, so it commutes with the split and the
     letter test."""
-    s = F.regexp_replace(_c(col), PUNCT_RE, "")
+    s = F.regexp_replace(_c(col), APART_RE, " ")
+    s = F.regexp_replace(s, COMMA_RE, " $1")
+    s = F.regexp_replace(s, ENDING_RE, " $1$2")
+    s = F.regexp_replace(s, PUNCT_RE, "")
     s = F.regexp_replace(s, NO_LETTER_TOKEN_RE, "")
     return F.array_remove(F.split(F.lower(s), " "), "")
 

@@ -21,7 +21,17 @@ def test_html_clean(spark):
 
 def test_tokens_punct_letters_lowercase(spark):
     assert one(spark, clean_tokens, "Hello, World! 42 3.14 e.g. don't ... Ünïcode ñ") == [
-        "hello", "world", "eg", "dont", "ünïcode"]
+        "hello", "world", "eg", "do", "nt", "ünïcode"]
+    assert one(spark, clean_tokens, 'python(pandas) machine-learning,deep "learning" 3,141 it\'s a--b x:y') == [
+        "python", "pandas", "machinelearning", "deep", "learning", "it", "s", "a", "b", "x", "y"]
+
+
+def test_tags_and_entities(spark):
+    assert one(spark, normalized_text, "a < b and c > d <b>regression</b>") == "a < b and c > d regression "
+    cases = {"it&#8217;s": "it\u2019s", "&eacute;tude &#xE9; &#XE9;": "\u00e9tude \u00e9 \u00e9", "&amp;lt;": "&lt;",
+             "AT&T &unknown; &#0; &#55296; &": "AT&T &unknown; \ufffd \ufffd &", "&apos;&hellip;&#128512;": "'\u2026\U0001f600"}
+    for raw, want in cases.items():
+        assert one(spark, normalized_text, raw) == want
 
 
 def test_stem_examples(spark):
