@@ -34,7 +34,7 @@ from .common import slices
 
 SPACE = "▁"
 SEPARATOR = 0x110000        # not a code point, so no text contains it
-CHUNK = 1_000_000           # code points in one suffix array
+CHUNK = 400_000             # code points in one suffix array
 TABLE_UNITS = 300_000       # pre-tokens a task remembers before it starts afresh
 LONG = 256                  # pre-tokens longer than this are relaxed with a heap
 NONE = np.iinfo(np.int64).max
@@ -316,7 +316,7 @@ def encoded(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 500):
             flat, size = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), ids],
@@ -351,7 +351,7 @@ def round_trips(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 500):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             flat, size = encoder.encode(texts)
             offset = np.r_[0, np.cumsum(size)]
