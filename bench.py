@@ -78,7 +78,7 @@ def main():
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # JVM warm-up
 
     def run_once(fn):
-        catalog._FEATURE_TABLES.clear()
+        catalog._TABLES.clear()
         t0 = time.time()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.time() - t0

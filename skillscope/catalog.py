@@ -25,9 +25,20 @@ from .sources.bindings import community
 # The skill searched by the registered search query (a tag of the bound data).
 SEARCH_SKILL = "Blue Rod"
 
-# Folder of the feature table by application and input: the only thing that
-# queries share, because every cohort, model and search query starts from it.
-_FEATURE_TABLES: dict[tuple[str, str], str] = {}
+# Folders of the tables that many queries start from (features, taxonomy, mention counts, skill scores), by
+# application and input: each is written once for an application.
+_TABLES: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark, sf_dir, name, build):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        table = materialize(build())
+        files = table.inputFiles()
+        if not files:
+            return table
+        _TABLES[key] = files[0].rsplit("/", 1)[0]
+    return spark.read.parquet(_TABLES[key])
 
 
 def _c(spark, sf_dir):
@@ -35,11 +46,7 @@ def _c(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FEATURE_TABLES:
-        table = materialize(fe.user_features(_c(spark, sf_dir)))
-        _FEATURE_TABLES[key] = table.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.read.parquet(_FEATURE_TABLES[key])
+    return _kept(spark, sf_dir, "features", lambda: fe.user_features(_c(spark, sf_dir)))
 
 
 def _cohorts(spark, sf_dir):
@@ -50,8 +57,12 @@ def _population(spark, sf_dir):
     return co.model_inputs(co.population(_cohorts(spark, sf_dir)))
 
 
+def _keeper(spark, sf_dir, prefix=""):
+    return lambda name, build: _kept(spark, sf_dir, prefix + name, build)
+
+
 def _disc(spark, sf_dir, html=False, scored=False):
-    return sk.discussion_pipeline(_c(spark, sf_dir), html, scored)
+    return sk.discussion_pipeline(_c(spark, sf_dir), html, scored, _keeper(spark, sf_dir, "html_" if html else ""))
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -443,7 +454,8 @@ def c_comp_scores(spark, sf_dir):
 
 
 def c_skill_scores_raw(spark, sf_dir):
-    return sk.skill_scores(_c(spark, sf_dir))
+    return _kept(spark, sf_dir, "skill_scores",
+                 lambda: sk.skill_scores(_c(spark, sf_dir), keep=_keeper(spark, sf_dir)))
 
 
 def c_skill_scores(spark, sf_dir):

@@ -166,19 +166,23 @@ def discussion_skill_scores(counts: DataFrame) -> DataFrame:
     return average_rank_pct(counts, "Count", "DiscScore", partition_by=["Name"]).select("UserId", "Name", "DiscScore")
 
 
-def discussion_pipeline(c, html: bool = False, scored: bool = True) -> dict:
+def discussion_pipeline(c, html: bool = False, scored: bool = True, keep=None) -> dict:
     """The whole discussion branch over a community (driver bindings or CSV
-    exports); ``c.skill_phrases()`` gives (TagId, Name, phrase)."""
+    exports); ``c.skill_phrases()`` gives (TagId, Name, phrase).
+
+    ``keep(name, build)`` makes a reused table durable (by default it writes
+    ``build()`` at once)."""
+    keep = keep or (lambda name, build: materialize(build()))
     # both are at most one row per tag; written once, so that the corpus scan
     # behind them is not repeated by the longest-phrase lookup and the tagging
-    phrases = materialize(c.skill_phrases())
-    taxonomy = materialize(keyword_taxonomy(phrases))
+    phrases = keep("phrases", c.skill_phrases)
+    taxonomy = keep("taxonomy", lambda: keyword_taxonomy(phrases))
     msgs = forum_message_rows(c.forum_messages(html), c.forum_topics(html), c.forums(html))
     mentions = on_forum_path(message_mentions(c.forum_messages(html), taxonomy),
                              c.forum_topics(html), c.forums(html))
     # the ranker reads the counts three times: written once, so that the text
     # is cleaned and tagged once
-    counts = materialize(mention_counts(mentions)) if scored else mention_counts(mentions)
+    counts = keep("counts", lambda: mention_counts(mentions)) if scored else mention_counts(mentions)
     return {"phrases": phrases, "taxonomy": taxonomy, "messages": msgs, "mentions": mentions,
             "counts": counts, "scores": discussion_skill_scores(counts) if scored else None}
 
@@ -206,12 +210,12 @@ def outer_skill_scores(comp: DataFrame, kernel: DataFrame, disc: DataFrame) -> D
     return j.withColumn("SkillScore", (F.col("CompScore") + F.col("KernelScore") + F.col("DiscScore")) / 3)
 
 
-def skill_scores(c, html: bool = False) -> DataFrame:
+def skill_scores(c, html: bool = False, keep=None) -> DataFrame:
     """C11: SkillScores(UserId, Name, CompScore, KernelScore, DiscScore, SkillScore)."""
     tags = c.tags()
     kernel = kernel_skill_scores(c.kernels(), c.kernel_tags(), tags)
     comp = competition_skill_scores(c.teams(), c.competition_tags(), tags, c.team_memberships())
-    disc = discussion_pipeline(c, html)["scores"]
+    disc = discussion_pipeline(c, html, keep=keep)["scores"]
     return combine_skill_scores(comp, kernel, disc)
 
 
