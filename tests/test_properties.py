@@ -46,25 +46,26 @@ def test_union_form_equals_full_outer_joins(spark):
 
 def test_mentions_never_overlap(spark):
     """Within a message, chosen matches cover disjoint token spans."""
-    from skillscope.operators.tagging import _chosen_keywords
-    c = community(spark, SF_SMALL)
-    tax = sk.keyword_taxonomy(sk.phrase_taxonomy(c.t.documents, c.tags()))
-    keywords = [r["keyword"] for r in tax.select("keyword").collect()]
     from skillscope.functions.text import stemmed_tokens
+    from skillscope.operators.tagging import tag_documents
+    c = community(spark, SF_SMALL)
+    tax = materialize(sk.keyword_taxonomy(sk.phrase_taxonomy(c.t.documents, c.tags())))
+    kwset = {r["keyword"]: r["Name"] for r in tax.collect()}
     docs = c.t.documents.select("doc_id", stemmed_tokens("text").alias("tokens"))
-    chosen = docs.select("doc_id", "tokens", _chosen_keywords("tokens", 2, keywords).alias("kw")).collect()
-    kwset = set(keywords)
+    names = {r["doc_id"]: r["names"] for r in tag_documents(docs, "tokens", ["doc_id"], tax).collect()}
+    assert names
+    chosen = docs.collect()
     for r in chosen:
         # re-walk the tokens greedily: the chosen keywords must appear in order without overlap
         toks, i, out = r["tokens"], 0, []
         while i < len(toks):
             two = " ".join(toks[i:i + 2]) if i + 1 < len(toks) else None
             if two in kwset:
-                out.append(two)
+                out.append(kwset[two])
                 i += 2
             elif toks[i] in kwset:
-                out.append(toks[i])
+                out.append(kwset[toks[i]])
                 i += 1
             else:
                 i += 1
-        assert out == list(r["kw"])
+        assert out == list(names.get(r["doc_id"], []))
