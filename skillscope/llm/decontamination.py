@@ -4,14 +4,15 @@
    does not follow the number of items).  One pass over the corpus reports the
    n-grams of documents whose bit is set; an equality join with the items'
    n-grams then removes the accidental ones.
-2. Each n-gram's document frequency is counted over all rows.  Seeds are
-   the rare ones: at most ``RARE_SHARE`` of the documents, or in the rarer half
-   of their item's n-grams - so an item that is copied into a third of the
-   corpus still has seeds, while common phrases start no alignment.
-3. Seeds join documents to items.  A second pass cuts the words around seeds
-   out of the documents (found by a bitmap of the seeds), so whole texts are
-   never shuffled.  Shared seeds on neighbouring diagonals make one region,
-   which travels (as word hashes) to its item.
+2. Every n-gram that a document shares with an item is a seed, whatever its
+   frequency: a copy whose rare n-grams are all edited away still has the
+   others.  Seeds join documents to items and are gathered to one row for each
+   document and item.
+3. A second pass cuts the words around seeds out of the documents, so texts are
+   never shuffled beyond their seeds' surroundings.  Shared seeds on
+   neighbouring diagonals make one region.  A region that holds fewer of the
+   item's words than the similarity asks for cannot match and goes before any
+   alignment (this bound is exact), so common phrases cost no alignment.
 4. Smith-Waterman alignment of words (match +2, mismatch and gap -1) scores
    edited copies: similarity is the share of the item's words that the best
    local alignment matches.
@@ -30,14 +31,13 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import signed, slices, stored, window_hashes, word_hashes
 
 NGRAM = 3
 SIMILARITY = 0.8
-RARE_SHARE = 0.001
 BITMAP_BITS = 22        # the bitmap has 2 ** 22 bits: 512 KB, whatever the benchmark
 _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _UNIT = np.int64(1 << 20)                                   # score unit; matches are counted below it
@@ -126,32 +126,36 @@ def surroundings(at: np.ndarray, reach: int, doc_words: int) -> list[tuple[int,
 
 # ---- the join --------------------------------------------------------------------------------
 def item_rows(items: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
-    """(item_id, words) of the items long enough, words as hashes."""
+    """(item_id, item_mark, words) of the items long enough, words as hashes."""
     def run(batches):
         for batch in slices(batches, 1000):
-            words = [normal_hashes(t) for t in batch.column(1).to_pylist()]
+            words = [normal_hashes(t) for t in batch.column(2).to_pylist()]
             keep = np.array([len(w) >= ngram for w in words], bool)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(keep)),
-                 pa.array([signed(w) for w, k in zip(words, keep) if k], pa.list_(pa.int64()))], ["item_id", "words"])
+                [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)),
+                 pa.array([signed(w) for w, k in zip(words, keep) if k], pa.list_(pa.int64()))],
+                ["item_id", "item_mark", "words"])
 
-    return items.select(id_col, text_col).distinct().mapInArrow(
-        run, f"item_id {dict(items.dtypes)[id_col]}, words array<bigint>")
+    return keyed(items, id_col, text_col).distinct().mapInArrow(
+        run, f"item_id {dict(items.dtypes)[id_col]}, item_mark bigint, words array<bigint>")
 
 
 def item_grams(items: DataFrame, ngram: int) -> DataFrame:
-    """(item_id, item_words, key, at) of every n-gram of every item."""
+    """(item_id, item_mark, item_words, key, item_at) of every n-gram of every item."""
     def run(batches):
         for batch in slices(batches, 1000):
-            for i, words in enumerate(batch.column(1)):
+            for i, words in enumerate(batch.column(2)):
                 w = words.values.to_numpy().view(np.uint64)
                 keys = window_hashes(w, ngram)
                 n = len(keys)
+                row = pa.array(np.full(n, i))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.full(n, i))), pa.array(np.full(n, len(w)), pa.int32()),
-                     pa.array(signed(keys)), pa.array(np.arange(n), pa.int32())], ["item_id", "item_words", "key", "at"])
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.full(n, len(w)), pa.int32()),
+                     pa.array(signed(keys)), pa.array(np.arange(n), pa.int32())],
+                    ["item_id", "item_mark", "item_words", "key", "item_at"])
 
-    return items.mapInArrow(run, f"item_id {dict(items.dtypes)['item_id']}, item_words int, key bigint, at int")
+    return items.mapInArrow(run, f"item_id {dict(items.dtypes)['item_id']}, item_mark bigint, item_words int, "
+                                 "key bigint, item_at int")
 
 
 def bitmap_of(grams: DataFrame) -> np.ndarray:
@@ -171,27 +175,25 @@ def set_bits(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def hits(docs: DataFrame, bitmap: np.ndarray, ngram: int) -> DataFrame:
-    """(id, mark, key, at, fresh): n-grams of documents whose bit is set, with
-    their positions; fresh marks an n-gram's first place in its row."""
+    """(id, mark, key, at): n-grams of documents whose bit is set, with their
+    positions."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for batch in slices(batches, 256):
-            row, key, at, fresh = [], [], [], []
+            row, key, at = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 w = window_hashes(normal_hashes(text), ngram)
                 p = set_bits(w, shared.value)
                 row.append(np.full(len(p), i))
                 key.append(w[p])
                 at.append(p)
-                fresh.append(np.isin(np.arange(len(p)), np.unique(w[p], return_index=True)[1]))
             row = pa.array(np.concatenate(row))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(signed(np.concatenate(key))),
-                 pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(fresh))],
-                ["id", "mark", "key", "at", "fresh"])
+                 pa.array(np.concatenate(at), pa.int32())], ["id", "mark", "key", "at"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark bigint, key bigint, at int, fresh boolean")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark bigint, key bigint, at int")
 
 
 def seeded_parts(docs: DataFrame, bitmap: np.ndarray, ngram: int, reach: int) -> DataFrame:
@@ -219,73 +221,62 @@ def seeded_parts(docs: DataFrame, bitmap: np.ndarray, ngram: int, reach: int) ->
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
                  item_id: str = "item_id", item_text: str = "text", ngram: int = NGRAM,
-                 similarity: float = SIMILARITY, rare_share: float = RARE_SHARE) -> DataFrame:
+                 similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, mark, item_id, similarity, first_word, end_word): the documents
     (mark is the hash of the text) and items whose best alignment matches at
     least ``similarity`` of the item's words, with the best region's place."""
     rows = keyed(docs, doc_id, doc_text)
     known = stored(item_rows(items, item_id, item_text, ngram), "items")
     grams = stored(item_grams(known, ngram), "grams")
-    found = stored(hits(rows, bitmap_of(grams), ngram), "hits")
-    frequency = found.filter("fresh").groupBy("key").agg(F.count(F.lit(1)).alias("frequency"))
-    n_docs = docs.count()
-    half = F.median("frequency").over(Window.partitionBy("item_id"))
-    seeds = stored(grams.join(frequency, "key").withColumn("half", half).filter(
-        (F.col("frequency") <= rare_share * n_docs) | (F.col("frequency") <= F.col("half"))).select(
-        "key", "item_id", "item_words", F.col("at").alias("item_at")), "seeds")
-    wanted = stored(found.join(seeds, "key").groupBy("id", "mark", "item_id", "item_words")
-                    .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
-                    .groupBy("id", "mark").agg(F.collect_list(F.struct("item_id", "item_words", "diagonals")).alias("w")),
-                    "wanted")
-    longest = seeds.agg(F.max("item_words")).first()[0] or 0
-    parts = seeded_parts(rows, bitmap_of(seeds), ngram, longest + slack_of(longest) + ngram)
+    bitmap = bitmap_of(grams)
+    pairs = (hits(rows, bitmap, ngram).join(grams, "key").groupBy("id", "mark", "item_id", "item_mark")
+             .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals")))
+    same = (pairs["item_id"] == known["item_id"]) & (pairs["item_mark"] == known["item_mark"])
+    held = F.struct(known["item_id"], known["item_mark"], "words", "diagonals")
+    wanted = stored(pairs.join(known, same).groupBy("id", "mark").agg(F.collect_list(held).alias("w")), "wanted")
+    longest = known.agg(F.max(F.size("words"))).first()[0] or 0
+    parts = seeded_parts(rows, bitmap, ngram, longest + slack_of(longest) + ngram)
     # both sides grow with the corpus, so neither is ever broadcast
     same = parts["id"].eqNullSafe(wanted["id"]) & (parts["mark"] == wanted["mark"])
     both = parts.join(wanted.hint("merge"), same).select(parts["id"], parts["mark"], "w", "parts")
     id_type, item_type = dict(rows.dtypes)["id"], dict(known.dtypes)["item_id"]
 
-    def cut(batches):
+    def run(batches):
         for batch in slices(batches, 64):
-            row, item, first, words = [], [], [], []
+            row, item, mark, first, pairs = [], [], [], [], []
             for i in range(batch.num_rows):
-                held = [(p["first"].as_py(), p["words"].values.to_numpy()) for p in batch.column(3)[i]]
-                for x in batch.column(2)[i].as_py():
-                    for a, b in regions_of(np.array(x["diagonals"]), x["item_words"]):
-                        at, h = next(p for p in reversed(held) if p[0] <= max(a, 0))
+                near = [(p["first"].as_py(), p["words"].values.to_numpy().view(np.uint64)) for p in batch.column(3)[i]]
+                for x in batch.column(2)[i]:
+                    words = x["words"].values.to_numpy().view(np.uint64)
+                    for a, b in regions_of(x["diagonals"].values.to_numpy(), len(words)):
+                        at, h = next(p for p in reversed(near) if p[0] <= max(a, 0))
+                        region = h[max(a, 0) - at:b - at]
+                        # an alignment cannot match more of the item's words than occur in the region at all
+                        if np.isin(words, region).sum() < similarity * len(words):
+                            continue
                         row.append(i)
-                        item.append(x["item_id"])
+                        item.append(x["item_id"].as_py())
+                        mark.append(x["item_mark"].as_py())
                         first.append(max(a, 0))
-                        words.append(h[max(a, 0) - at:b - at])
-            row = pa.array(row, pa.int64())
+                        pairs.append((words, region))
+            if not pairs:
+                continue
+            m, a, e = (np.array(v) for v in zip(*aligned(pairs)))
+            row, first = pa.array(row), np.array(first)
+            share = m / np.array([len(words) for words, _ in pairs])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row),
                  pa.array(item, batch.schema.field("w").type.value_type.field("item_id").type),
-                 pa.array(first, pa.int32()), pa.array(words, pa.list_(pa.int64()))],
-                ["id", "mark", "item_id", "first", "region"])
-
-    def score(batches):
-        for batch in slices(batches, 2048):
-            pairs = [(a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64))
-                     for a, b in zip(batch.column(4), batch.column(5))]
-            # an alignment cannot match more of the item's words than occur in the region at all
-            able = [k for k, (x, y) in enumerate(pairs) if np.isin(x, y).sum() >= similarity * len(x)]
-            if not able:
-                continue
-            m, a, e = (np.array(v) for v in zip(*aligned([pairs[k] for k in able])))
-            batch = batch.take(pa.array(able))
-            first = batch.column(3).to_numpy()
-            share = m / np.array([len(pairs[k][0]) for k in able])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(share), pa.array(first + a, pa.int32()),
-                 pa.array(first + e, pa.int32())], ["id", "mark", "item_id", "similarity", "first_word", "end_word"])
+                 pa.array(mark, pa.int64()), pa.array(share), pa.array(first + a, pa.int32()),
+                 pa.array(first + e, pa.int32())],
+                ["id", "mark", "item_id", "item_mark", "similarity", "first_word", "end_word"])
 
-    regions = both.mapInArrow(cut, f"id {id_type}, mark bigint, item_id {item_type}, first int, region array<bigint>")
-    scored = regions.join(known, "item_id").select("id", "mark", "item_id", "first", "words", "region").mapInArrow(
-        score, f"id {id_type}, mark bigint, item_id {item_type}, similarity double, first_word int, end_word int")
+    scored = both.mapInArrow(run, f"id {id_type}, mark bigint, item_id {item_type}, item_mark bigint, "
+                                  "similarity double, first_word int, end_word int")
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("f"), "end_word"))
-    return (scored.filter(F.col("similarity") >= similarity).groupBy("id", "mark", "item_id").agg(best.alias("b"))
-            .select(F.col("id").alias("doc_id"), "mark", "item_id", "b.similarity",
-                    (-F.col("b.f")).alias("first_word"), "b.end_word"))
+    return (scored.filter(F.col("similarity") >= similarity).groupBy("id", "mark", "item_id", "item_mark")
+            .agg(best.alias("b")).select(F.col("id").alias("doc_id"), "mark", "item_id", "b.similarity",
+                                         (-F.col("b.f")).alias("first_word"), "b.end_word"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:

@@ -91,3 +91,14 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
     assert dc.contaminated(none, items).count() == 0
     assert dc.contaminated(odd, items.limit(0)).count() == 0
+
+
+def test_equally_edited_copies_beside_an_exact_one_are_all_found(spark):
+    passage = [f"p{i}" for i in range(40)]
+    swapped = " ".join(f"other{i}" if i % 5 == 4 else w for i, w in enumerate(passage))
+    longer = " ".join(w + " added" if i % 3 == 2 else w for i, w in enumerate(passage))
+    rows = [(0, " ".join(passage))] + [(i, f"d{i} {swapped}") for i in range(1, 7)] + [(i, f"d{i} {longer}") for i in range(7, 13)]
+    rows += [(i, f"d{i} " * 20) for i in range(13, 60)]
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in dc.contaminated(documents(spark, rows), items).collect()}
+    assert got == {0: 1.0, **{i: 0.8 for i in range(1, 7)}, **{i: 1.0 for i in range(7, 13)}}
