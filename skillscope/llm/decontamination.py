@@ -21,8 +21,9 @@ Words are lower-cased, with ASCII punctuation as white space.  A document may
 match many items and an item any number of documents; no list is cut.
 
 Defined results: null and empty texts and items with fewer than ``ngram`` words
-match nothing; rows are known by (id, text), so repeated rows count as one
-document; empty tables give no rows.
+match nothing; rows and items are known by (id, text), so repeated rows count
+as one, a null id is an id like any other, and items that share an id are
+matched one by one; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -231,7 +232,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     bitmap = bitmap_of(grams)
     pairs = (hits(rows, bitmap, ngram).join(grams, "key").groupBy("id", "mark", "item_id", "item_mark")
              .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals")))
-    same = (pairs["item_id"] == known["item_id"]) & (pairs["item_mark"] == known["item_mark"])
+    same = pairs["item_id"].eqNullSafe(known["item_id"]) & (pairs["item_mark"] == known["item_mark"])
     held = F.struct(known["item_id"], known["item_mark"], "words", "diagonals")
     wanted = stored(pairs.join(known, same).groupBy("id", "mark").agg(F.collect_list(held).alias("w")), "wanted")
     longest = known.agg(F.max(F.size("words"))).first()[0] or 0

@@ -102,3 +102,12 @@ def test_equally_edited_copies_beside_an_exact_one_are_all_found(spark):
     items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
     got = {r.doc_id: r.similarity for r in dc.contaminated(documents(spark, rows), items).collect()}
     assert got == {0: 1.0, **{i: 0.8 for i in range(1, 7)}, **{i: 1.0 for i in range(7, 13)}}
+
+
+def test_items_without_an_id_and_items_that_share_one_are_matched(spark):
+    texts = [" ".join(f"i{k}w{j}" for j in range(20)) for k in range(4)]
+    rows = [(k, f"before {t} after") for k, t in enumerate(texts)] + [(9, "nothing of it")]
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.similarity) for r in dc.contaminated(documents(spark, rows), items).collect())
+    assert got == [(0, None, 1.0), (1, None, 1.0), (2, 7, 1.0), (3, 7, 1.0)]
+    assert [r.doc_id for r in dc.clean_documents(documents(spark, rows), items).collect()] == [9]
