@@ -66,14 +66,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(start), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 marked: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit
+    number.  ``marked`` adds mark, the hash of the text."""
+    mark = [F.xxhash64(F.col(f"`{text_col}`")).alias("mark")] * marked
+
     def run(batches):
         for batch in slices(batches, 512):
             fp = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]],
+                                             ["doc_id", "fp", "mark"][:2 + marked])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
+    return docs.select(id_col, text_col, *mark).mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint" + ", mark bigint" * marked)
 
 
 # ---- the index of one group ------------------------------------------------------------------
@@ -230,6 +236,13 @@ def links(entries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return (dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint").distinct())
 
 
+def rooted(entries: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, least, root): the entries with the root of their component."""
+    roots = components(links(entries.select("fp"), max_bits))
+    return entries.join(roots, entries["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest
@@ -240,21 +253,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone has a null component_id); repeated rows give repeated results."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     entries = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
-    roots = components(links(entries.select("fp"), max_bits))
-    rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    placed = rooted(entries, max_bits)
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, unchanged, and
-    those without an id whose component has none.
-
-    Of repeated rows, and of rows that share the id, all stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stays"]), "left_semi")
+    """One document of each component, unchanged: the one with the smallest id
+    (null last), and of those that share it the one with the smallest text hash.
+
+    A document is known by (id, text), so its repeated rows all stay; rows
+    without an id are not known to be one document, so one of equal texts stays."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle, marked=True), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+    entries = stored(rows.groupBy("fp").agg(first.alias("least")), "entries")
+    stay = stored(rooted(entries, max_bits).groupBy("root").agg(F.min("least").alias("least")).select(
+        F.col("least.doc_id").alias("_stays"), F.col("least.mark").alias("_mark")), "stay")
+    mark = F.xxhash64(docs[f"`{text_col}`"])
+    named, unnamed = stay.filter("_stays is not null"), stay.filter("_stays is null")
+    kept = docs.join(named, (docs[f"`{id_col}`"] == named["_stays"]) & (mark == named["_mark"]), "left_semi")
+    alone = docs.filter(docs[f"`{id_col}`"].isNull()).join(unnamed, mark == unnamed["_mark"], "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    one = alone.groupBy(F.xxhash64(F.col(f"`{text_col}`"))).agg(F.min_by(F.struct(*columns), order).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))

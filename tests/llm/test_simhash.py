@@ -105,3 +105,17 @@ def test_representatives_and_empty_table(spark, odd, none):
 def test_query_renders_hex(spark):
     rows = queries.op8_simhash_gray(spark, "/root/testdata/sf0.001").collect()
     assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) and r.component_id <= r.doc_id for r in rows)
+
+
+def test_one_document_of_each_group_stays_under_null_and_shared_ids(spark):
+    texts = ["\n".join(" ".join(f"g{k}r{i}d{j}" for j in range(40)) for i in range(20)) for k in range(4)]
+    near = [t + " another end" for t in texts]
+    rows = [(1, texts[0]), (None, near[0]),                          # a null-id copy of a document with an id
+            (None, texts[1]), (None, texts[1]), (None, near[1]),     # copies that all have no id
+            (7, texts[0]), (7, texts[2]), (7, near[2]),              # id 7: a copy of 1, and two copies of each other
+            (5, texts[3]), (6, near[3])]
+    group = slow_components([slow_fingerprint(t) for _, t in rows])
+    assert group == [0, 0, 2, 2, 2, 0, 6, 6, 8, 8]
+    kept = sorted(((r.doc_id, texts.index(r.text) if r.text in texts else near.index(r.text))
+                   for r in simhash.representatives(documents(spark, rows).repartition(3)).collect()), key=str)
+    assert kept == [(1, 0), (5, 3), (7, 2), (None, 1)]
