@@ -12,6 +12,17 @@ and units find their candidates by an equality join on size.  The template
 tables are fixed (a few thousand small rows), so they are broadcast whatever
 the corpus is; no text is shuffled.
 
+Passages - a notice wrapped over lines of a longer text, or inside a line of
+prose - are runs of words from one shared bigram to another.  A match shares at
+least t / (2 - t) of the template's bigrams, so documents without any of a few
+words that every such share contains are out by one pattern, and of the others
+only templates with that many bigrams in the document are looked at.  Of
+a template's overlapping passages the best stays (the longest of equals, then
+the first).  One that overlaps a line, or lies in a whole document, that matches
+the same template, or any other at least as well, is part of that match and not
+reported again; a line no longer than the template can match is judged as a
+whole, so no passage inside it is.
+
 Defined results: null and empty texts, and units with fewer than two words,
 match nothing; a unit may match several templates and gives a row for each;
 repeated rows give repeated matches.
@@ -29,6 +40,8 @@ THRESHOLD = 0.8
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: ``unit`` of a whole document; lines count from 0.
 WHOLE = -1
+#: Words that say little about a licence: a pattern of words avoids them where it can.
+COMMON = set("a an and any as be by following for free from in is of on or other that the this to under use with work".split())
 
 # Public licence texts, notices and one-line statements.
 TEMPLATES = {
@@ -105,6 +118,22 @@ def size_range(size: int, threshold: float) -> range:
     return range(math.ceil(size * ratio - 1e-9), math.floor(size / ratio + 1e-9) + 1)
 
 
+def least_shared(size: int, threshold: float) -> int:
+    """Bigrams that a unit must share with a template of ``size`` bigrams to match."""
+    return math.ceil(size * threshold / (2 - threshold) - 1e-9)
+
+
+def telling_words(rows: list[tuple[str, int, list[str]]], threshold: float) -> list[str]:
+    """Words of which every match of every template holds at least one: so few
+    bigrams are without them that they alone are no match."""
+    chosen: set[str] = set()
+    for *_, grams in rows:
+        words = sorted({w for g in grams for w in g.split()} - chosen, key=lambda w: (w in COMMON, -len(w), w))
+        while sum(not chosen & set(g.split()) for g in grams) >= max(1, least_shared(len(grams), threshold)):
+            chosen.add(words.pop(0))
+    return sorted(chosen)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), NOT_WORD, " "), " "), lambda w: w != "")
 
@@ -121,7 +150,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     ``unit`` is the line number, or -1 for the whole document, which is a unit
     if it has several lines and no more words than the longest match could
-    have without repeating a bigram."""
+    have without repeating a bigram.  A passage has the number of the line in
+    which it begins."""
     spark: SparkSession = docs.sparkSession
     rows = template_bigrams(templates or TEMPLATES)
     sizes = [(n, licence, k) for licence, k, grams in rows for n in size_range(len(grams), threshold)]
@@ -146,4 +176,76 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     dice = 2 * shared / (F.col("n_bigrams") + F.size("grams"))
     return (units.join(fitting, "n_bigrams").join(known, ["licence", "template"])
             .select("doc_id", "unit", "licence", "template", "n_bigrams", dice.alias("dice"))
-            .filter(F.col("dice") >= threshold))
+            .filter(F.col("dice") >= threshold)
+            .unionByName(passages(docs, id_col, text_col, threshold, rows)))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, computed once a row: behind a generator the
+    optimiser cannot copy them into the functions that read them."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("made")
+    return df.select("*", made).select(*df.columns, "made.*")
+
+
+def passages(docs: DataFrame, id_col: str, text_col: str, threshold: float,
+             rows: list[tuple[str, int, list[str]]]) -> DataFrame:
+    """The matches of :func:`scan` that are neither a line nor a whole document."""
+    most = max(max(size_range(len(g), threshold)) for *_, g in rows)
+    known = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(k).alias("template"), F.lit(grams).alias("grams"),
+                               F.lit(least_shared(len(grams), threshold)).alias("need"),
+                               F.lit(max(size_range(len(grams), threshold))).alias("longest"))
+                      for licence, k, grams in rows if grams])
+
+    def dice(found: Column, grams: Column = F.col("grams")) -> Column:
+        return 2 * F.size(F.array_intersect(found, grams)) / (F.size(found) + F.size(grams))
+
+    def matched(found: Column, first: Column, end: Column) -> Column:
+        """Of a line or document: its words, whether it matches this template, and its best match of any."""
+        best = F.array_max(F.transform(known, lambda t: dice(found, t["grams"])))
+        return F.when(F.size(found).between(1, most) & (best >= threshold), F.struct(
+            first.alias("first"), end.alias("end"), (dice(found) >= threshold).alias("own"), best.alias("best")))
+
+    words = F.col("words")
+    pairs = F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+    # every template against the documents that hold a telling word
+    near = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
+            .filter(F.lower("body").rlike("|".join(telling_words(rows, threshold))))
+            .select("doc_id", F.transform(F.split("body", "\n"), words_of).alias("lines"))
+            .select("doc_id", "lines", F.flatten("lines").alias("words"))
+            .select("doc_id", "lines", F.filter(pairs, lambda p: p.isNotNull()).alias("pairs"))
+            .select("doc_id", "lines", "pairs", F.array_distinct("pairs").alias("all"), F.explode(known).alias("t"))
+            .select("doc_id", "lines", "pairs", "all", "t.*")
+            .filter(F.size(F.array_intersect("all", "grams")) >= F.col("need")))
+    # where shared bigrams are, where lines begin, and which word ranges are reported already
+    begins = F.aggregate("lines", F.array(F.lit(0)), lambda b, w: F.concat(b, F.array(F.element_at(b, -1) + F.size(w))))
+    at = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains("grams", p), i)), lambda i: i.isNotNull())
+    near = once(near, begins=begins, at=at, by_line=F.transform("lines", bigrams_of))
+    whole = F.when((F.size("lines") > 1) & (F.size("pairs") <= most), matched(F.col("all"), F.lit(0), F.size("pairs") + 1))
+    taken = F.filter(F.concat(F.array(whole), F.transform("by_line", lambda g, i: matched(
+        g, F.get("begins", i), F.get("begins", i + 1)))), lambda x: x.isNotNull())
+
+    def ends(first: Column, i: Column) -> Column:
+        later = F.slice("at", i + F.col("need"), F.col("longest"))      # fewer shared bigrams are no match
+        fit = F.filter(later, lambda last: last - first < F.col("longest"))
+        return F.transform(fit, lambda last: F.struct(first.alias("first"), (last + 2).alias("end")))
+
+    short = F.filter(F.transform("by_line", lambda g, i: F.when(F.size(g).between(1, F.col("longest")), F.struct(
+        F.get("begins", i).alias("first"), F.get("begins", i + 1).alias("end")))), lambda x: x.isNotNull())
+    near = once(near, all_runs=F.flatten(F.transform("at", ends)), short=short)
+    near = once(near, runs=F.filter("all_runs", lambda r: ~F.exists(
+        "short", lambda x: (x["first"] <= r["first"]) & (r["end"] <= x["end"])))).filter(F.size("runs") > 0)
+    found = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["end"].alias("end"), F.array_distinct(
+        F.slice("pairs", r["first"] + 1, r["end"] - r["first"] - 1)).alias("found")))
+    scored = F.filter(F.transform(found, lambda r: F.struct(
+        (-dice(r["found"])).alias("order"), (-F.size(r["found"])).alias("size"), r["first"].alias("first"),
+        r["end"].alias("end"))), lambda r: -r["order"] >= threshold)
+    near = once(once(near, scored=scored).filter(F.size("scored") > 0), taken=taken)
+    fresh = F.filter("scored", lambda r: ~F.exists("taken", lambda x: (r["first"] < x["end"]) & (
+        x["first"] < r["end"]) & (x["own"] | (x["best"] >= -r["order"]))))
+    best = F.aggregate(F.array_sort("s"), F.slice("s", 1, 0), lambda kept, r: F.when(
+        F.exists(kept, lambda x: (r["first"] < x["end"]) & (x["first"] < r["end"])), kept).otherwise(
+        F.concat(kept, F.array(r))))
+    return (near.select("doc_id", "licence", "template", "begins", fresh.alias("s")).filter(F.size("s") > 0)
+            .select("doc_id", "licence", "template", "begins", F.explode(best).alias("r"))
+            .select("doc_id", (F.size(F.filter("begins", lambda b: b <= F.col("r.first"))) - 1).alias("unit"),
+                    "licence", "template", (-F.col("r.size")).alias("n_bigrams"), (-F.col("r.order")).alias("dice")))

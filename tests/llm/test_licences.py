@@ -46,3 +46,25 @@ def test_empty_table_and_no_python(spark, none):
     assert found.count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_passages_in_long_texts_are_found(spark):
+    prose = "\n".join(" ".join(f"w{i}x{j}" for j in range(11)) for i in range(40))
+    mit, isc = licences.TEMPLATES["MIT"][3], licences.TEMPLATES["ISC"][0]
+    wrap = lambda t: "\n".join(re.findall(r"(?:\S+\s*){1,11}", t))
+    rows = [(1, f"{prose}\n{wrap(mit)}\n{prose}"), (2, f"{wrap(isc)}\n\n{prose}\n{wrap(isc)}"),
+            (3, prose.replace("\n", " ") + " it is Licensed under the Apache License, Version 2.0. " + prose),
+            (4, prose + "\n" + mit + "\n" + prose), (5, prose + " software license permission of the software"),
+            (6, f"{prose}\n{wrap(mit)} {wrap(mit)}")]
+    got = licences.scan(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.unit, r.licence, r.template, round(r.dice, 6)) for r in got if r.template != 1 or r.doc_id != 3) == [
+        (1, 40, "MIT", 3, 1.0), (2, 0, "ISC", 0, 1.0), (2, 44, "ISC", 0, 1.0), (3, 0, "Apache-2.0", 0, 1.0),
+        (4, 40, "MIT", 3, 1.0), (6, 40, "MIT", 3, 1.0), (6, 45, "MIT", 3, 1.0)]
+
+
+def test_telling_words_are_in_every_match():
+    rows = licences.template_bigrams(licences.TEMPLATES)
+    words = set(licences.telling_words(rows, 0.8))
+    assert not words & licences.COMMON
+    for *_, grams in rows:
+        assert sum(not words & set(g.split()) for g in grams) < licences.least_shared(len(grams), 0.8)
