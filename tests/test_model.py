@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 from skillscope import catalog
 from skillscope.plans import cohorts as co
 from skillscope.plans import model as mo

@@ -3,7 +3,7 @@ the sf0.001 tables."""
 
 import re
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 
 #: Queries without an oracle: engine-seeded draws and the fitted model, which test_model.py checks.
 NO_ORACLE = {"o_seeded_sample", "o_random_split", "m_coefficients", "m_logistic_fit_score", "m_fitted_metrics",
@@ -43,7 +43,7 @@ def test_import_without_a_session():
     """The driver may import the entry module before any session exists."""
     import subprocess
     import sys
-    from conftest import ROOT
+    from locations import ROOT
     code = "import sys; sys.path.insert(0, %r); import __spark_entry__ as E, bench; print(len(E.queries()))" % ROOT
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=ROOT)
     assert out.returncode == 0, out.stderr[-2000:]

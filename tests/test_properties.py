@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 from skillscope.plans import cohorts as co
 from skillscope.plans import features as fe
 from skillscope.plans import skills as sk
