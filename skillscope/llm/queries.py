@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontamination, licences, line_chunks, neighbour_quality, piece_matching, quotations
-from . import repeated_windows, sharding, simhash
+from ..functions.text import let
+from . import compression, decontamination, licences, line_chunks, neighbour_quality, periodic_runs, piece_matching
+from . import quotations, repeated_windows, sharding, simhash
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -85,6 +86,39 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     removed_col="n_removed_lines")
 
 
+def _looped_text():
+    """The text in which a tenth of the documents repeats a stretch of its words to the end: with
+    h = crc32(doc_id), g = floor(h / 10), if h % 10 = 0 each word i >= a becomes word a + (i - a) % p, where
+    a = g % n and p = 1 + floor((n - a) / (3 + g % 8))."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        numbers = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.array_join(F.transform(numbers, lambda i: F.get(words, i)), " ")
+
+    def looped(words):
+        return F.when(F.size(words) > 0, loop(words)).otherwise("")
+
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    return F.when(h % 10 == 0, let(words, looped)).otherwise(F.col("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodically repeated words in every document, and what is left of each run's first period."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _looped_text().alias("text"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256)
+    best = F.col("strongest")
+    return periodic_runs.periodic_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        digest.alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, applied to documents."""
     import corpus_pipeline
@@ -93,4 +127,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_neighbour_quality, op3_quotation_linking, op4_rare_seed_alignment, op5_repeated_windows,
-    op6_piece_matching, op7_compression_bands, op8_simhash_gray, op9_licence_scan, op10_line_chunks, pipeline)}
+    op6_piece_matching, op7_compression_bands, op8_simhash_gray, op9_licence_scan, op10_line_chunks,
+    op13_periodic_runs, pipeline)}
