@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from . import compression, decontamination, licences, line_chunks, neighbour_quality, periodic_runs, piece_matching
-from . import quotations, repeated_windows, sharding, simhash
+from . import quotations, repeated_windows, sharding, simhash, vector_codes
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -86,6 +86,12 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     removed_col="n_removed_lines")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, the errors by label and the digest of the codebooks."""
+    found = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def _looped_text():
     """The text in which a tenth of the documents repeats a stretch of its words to the end: with
     h = crc32(doc_id), g = floor(h / 10), if h % 10 = 0 each word i >= a becomes word a + (i - a) % p, where
@@ -128,4 +134,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_neighbour_quality, op3_quotation_linking, op4_rare_seed_alignment, op5_repeated_windows,
     op6_piece_matching, op7_compression_bands, op8_simhash_gray, op9_licence_scan, op10_line_chunks,
-    op13_periodic_runs, pipeline)}
+    op11_vector_codes, op13_periodic_runs, pipeline)}
