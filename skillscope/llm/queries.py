@@ -4,12 +4,15 @@ of those that SQL can express (see oracle_sql)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from . import compression, decontamination, licences, line_chunks, neighbour_quality, periodic_runs, piece_matching
-from . import quotations, repeated_windows, sharding, simhash, vector_codes
+from . import quotations, repeated_windows, sharding, simhash, vector_codes, warc
+from .common import scratch_root
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -92,6 +95,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives that it was written to."""
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{scratch_root(spark)}/llm-warc-{uuid.uuid4().hex}"
+    warc.write(pages, folder)
+    id_type = dict(pages.dtypes)["page_id"]
+    return warc.read(spark, folder, with_payload=False).select(
+        warc.page_of(F.col("record_id")).cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of(F.col("refers_to")).cast(id_type).alias("refers_to"), "verified")
+
+
 def _looped_text():
     """The text in which a tenth of the documents repeats a stretch of its words to the end: with
     h = crc32(doc_id), g = floor(h / 10), if h % 10 = 0 each word i >= a becomes word a + (i - a) % p, where
@@ -134,4 +148,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_neighbour_quality, op3_quotation_linking, op4_rare_seed_alignment, op5_repeated_windows,
     op6_piece_matching, op7_compression_bands, op8_simhash_gray, op9_licence_scan, op10_line_chunks,
-    op11_vector_codes, op13_periodic_runs, pipeline)}
+    op11_vector_codes, op12_warc, op13_periodic_runs, pipeline)}
