@@ -130,4 +130,106 @@ SELECT conv_id, turn, role, text, CAST(n_quoted_lines AS INTEGER) AS n_quoted_li
        CAST(row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, role, text) - 1 AS BIGINT) AS position
 FROM joined"""
 
-ORACLE_SQL = {"op3_quotation_linking": OP3, "op5_repeated_windows": OP5, "op9_licence_scan": OP9, "op10_line_chunks": OP10}
+# Payload digests in base32 from hex, and the largest id of equal payloads.
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(hex, {5 * g + 1}, 5))::BIGINT >> {s}) & 31 AS BIGINT) + 1, 1)"
+    for g in range(8) for s in (15, 10, 5, 0))
+
+OP12 = f"""
+WITH src AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex,
+                    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to, true AS verified
+FROM src"""
+
+# Rounds of assignment to the nearest entry (squares from exact products of integers in doubles) and floored means.
+_NEAREST = """
+near{r} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, any_value(p.x) AS x,
+         min(CAST(p.n + b.n - 2 * list_inner_product(p.x, b.x) AS BIGINT) * 256 + b.e) AS best
+  FROM parts p JOIN book{r} b ON b.part = p.part GROUP BY p.vec_id, p.part)"""
+
+_MOVE = """
+sums{r} AS (
+  SELECT part, best % 256 AS e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS m
+  FROM (SELECT part, best, x, unnest(range(1, len(x) + 1)) AS i FROM near{r}) GROUP BY part, best % 256, i),
+means{r} AS (
+  SELECT part, e, list(CAST((s - ((s % m) + m) % m) // m AS DOUBLE) ORDER BY i) AS x FROM sums{r} GROUP BY part, e),
+book{next} AS MATERIALIZED (
+  SELECT part, e, x, list_inner_product(x, x) AS n
+  FROM (SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN means{r} m ON m.part = b.part AND m.e = b.e))"""
+
+OP11 = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, part, x, list_inner_product(x, x) AS n
+  FROM (SELECT vec_id, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM kept, range(4) r(part))),
+book0 AS MATERIALIZED (
+  SELECT * FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x, n FROM parts) WHERE e < 256),""" + ",".join(
+    _NEAREST.format(r=r) + "," + _MOVE.format(r=r, next=r + 1) for r in range(4)) + "," + _NEAREST.format(r=4) + """,
+codes AS (
+  SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM near4 GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, i)) AS h
+           FROM (SELECT part, e, unnest(x) AS c, unnest(range(0, len(x))) AS i FROM book4))
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+       (SELECT h FROM digest) AS codebooks_sha256
+FROM codes c JOIN kept k ON k.vec_id = c.vec_id"""
+
+
+# Equal word triples at one distance, joined into stretches; the smallest period of each stretch long enough.  The CRC
+# of the id is taken digit by digit from a table made by its rule.
+def _crc_table() -> list[int]:
+    table = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    return table
+
+
+_CRC32 = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: CAST(ascii(c) AS BIGINT))), lambda c, x: xor(list_extract({_crc_table()}::BIGINT[], 1 + (xor(c, x) & 255)), c >> 8)), 4294967295)"""
+
+OP13 = f"""
+WITH src AS (SELECT doc_id, {_WORDS} AS w0, {_CRC32} AS h FROM documents),
+place AS (SELECT *, len(w0) AS n, (h // 10) % greatest(len(w0), 1) AS a FROM src),
+step AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM place),
+docs AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]
+         FOR i IN range(0, n)] ELSE w0 END AS w FROM step),
+pos AS (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM docs),
+triples AS MATERIALIZED (
+  SELECT doc_id, i, word || ' ' || lead(word) OVER d || ' ' || lead(word, 2) OVER d AS t,
+         count(*) OVER (PARTITION BY doc_id) AS n
+  FROM pos WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM triples x JOIN triples y
+    ON y.doc_id = x.doc_id AND y.t = x.t AND y.i > x.i AND y.i - x.i <= x.n // 4),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM pairs),
+stretches AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 3 - min(i) + q AS len FROM islands GROUP BY doc_id, q, isle),
+runs AS MATERIALIZED (
+  SELECT doc_id, s, len, min(q) AS q FROM stretches WHERE len >= greatest(6, 4 * q) GROUP BY doc_id, s, len),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY doc_id),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) AS k FROM runs) WHERE k = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+left_over AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS t
+  FROM pos p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(coalesce(l.n_runs, 0) AS BIGINT) AS n_runs, CAST(b.s AS BIGINT) AS start,
+       CAST(b.len AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period,
+       CAST(1000 * b.len // b.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN best b ON b.doc_id = d.doc_id
+LEFT JOIN left_over k ON k.doc_id = d.doc_id"""
+
+
+ORACLE_SQL = {"op3_quotation_linking": OP3, "op5_repeated_windows": OP5, "op9_licence_scan": OP9, "op10_line_chunks": OP10,
+              "op11_vector_codes": OP11, "op12_warc": OP12, "op13_periodic_runs": OP13}
