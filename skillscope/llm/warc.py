@@ -39,17 +39,6 @@ PIECES_IN_FILE = 16
 SALTS = 32                  # parts of the records with one payload where they meet the response's id
 END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: The base32 alphabet of RFC 4648.
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-
-
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 SHA-1: 40 hex digits are eight groups of 20 bits, four letters each."""
-    letters = []
-    for group in range(8):
-        bits = F.conv(F.substring(F.sha1(payload), 5 * group + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
 
 
 # ---- writing ---------------------------------------------------------------------------------------------------
@@ -69,11 +58,11 @@ def record(kind: str, record_id: str, date: str, block: bytes, fields: dict) ->
     return "\r\n".join(lines).encode() + END + block
 
 
-def records_of(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str,
+def records_of(record_id: str, url: str | None, payload: bytes, digest: bytes, refers_to: str | None, date: str,
                segment_bytes: int, chunk_bytes: int) -> list[bytes]:
     """The records of one page: a revisit, a response, or a response in segments."""
     target = None if url is None else urllib.parse.quote(url, safe="".join(map(chr, range(0x21, 0x7F))))
-    fields = {"WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{digest}"}
+    fields = {"WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{base64.b32encode(digest).decode()}"}
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{refers_to}>",
@@ -99,10 +88,11 @@ def _keyed(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Dat
     page, url = F.col(f"`{id_col}`"), F.col(f"`{url_col}`").cast("string")
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     named = pages.select(page.alias("page"), url.alias("url"), payload.alias("payload")).withColumn(
-        "digest", base32_sha1(F.col("payload")))
-    mark = F.md5(F.concat(F.to_json(F.struct("page", "url")), "digest"))
-    return named.withColumn("record_id", F.concat(
-        F.lit("urn:page:"), F.coalesce(F.url_encode(F.col("page").cast("string")), F.lit("")), F.lit(":"), mark))
+        "digest", F.unhex(F.sha1("payload")))
+    text = F.coalesce(F.url_encode(F.col("page").cast("string")), F.lit(""))
+    mark = F.md5(F.concat(text, F.lit("\n"), F.coalesce(F.concat(F.lit("="), F.col("url")), F.lit("")), F.lit("\n"),
+                          F.hex("digest")))
+    return named.withColumn("record_id", F.concat(F.lit("urn:page:"), text, F.lit(":"), mark))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
