@@ -1,6 +1,7 @@
 """Named queries over a driver-table folder: one per operator group of the
-survey's inventory.  Each takes ``(spark, sf_dir)`` and returns a lazy
-DataFrame over the whole tables.  Doubles are rounded to 6 digits at the end
+survey's inventory.  Each takes ``(spark, sf_dir)`` and returns a DataFrame
+over the whole tables; tables that several branches read are written when the
+query is built (``session.materialize``), the rest is lazy.  Doubles are rounded to 6 digits at the end
 so an independent SQL engine can be compared value by value.
 """
 

@@ -2,35 +2,39 @@
 
 ``F.percent_rank().over(Window.orderBy(v))`` (no partitionBy) sends every row
 to one task.  The functions here compute the same numbers at any size with one
-plan:
-
-1. Cut points of the values come from one lazy subquery (approximate
-   percentiles, or a bounded hash sample where the type has none).  They set
-   balance only; any cuts give exact ranks.
-2. Every cut value gets a bucket of its own and so does every gap between two
-   cuts; null is a bucket too.  A value that many rows hold is a cut value.
-3. Bucket totals (one row for each key and bucket) give each bucket the number
-   of rows that sort before it.
-4. Inside a gap bucket a window ranks the rows.  Rows of a cut value, or of
-   null, are all equal, so they need no order: a salt spreads them, and a hot
-   value never meets in one task.
-
-Rows join their bucket's totals on the key the window is partitioned by, so each
-ranked column costs one shuffle.  Keys match null-safely (as one struct).
+plan for every type, by a histogram of values:
+
+1. The rows are counted by (column, key, value), so that a value weighs one row
+   from here on, however many rows hold it.  All ranked columns of one type go
+   through the histogram together.
+2. Cut points come from a bounded sample of the distinct values (those with
+   the smallest hashes; a lazy subquery).  They set balance only; any cuts give
+   exact ranks.  The values between two cuts are a bucket.
+3. Bucket totals (one row for each column, key and bucket) give each bucket the
+   number of rows that sort before it, and a window inside the bucket does the
+   rest.
+4. The ranks of the distinct values join the rows.  Columns with few values
+   are broadcast by adaptive execution; otherwise it may split a hot value's
+   rows, which meet a single row.
+
+Nothing is ranked by a window over all rows, no job runs while the plan is
+built, and the input is read by two branches (the histogram and the last join):
+hand in a stored table (``session.materialize``) if the plan behind it is dear.
+Keys and values match null-safely (inside structs).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 CUTS = 255      # largest number of cut values (one less than a power of two: they are found by halving)
-SALTS = 16      # parts of a bucket of equal values
-SAMPLE = 4096   # values sampled for cuts where a type has no approximate percentile
-_FAR = 1 << 20  # beyond any bucket position
+SAMPLE = 4096   # distinct values sampled for cuts
 
 
 @dataclass(frozen=True)
@@ -50,25 +54,66 @@ class RankSpec:
         return (not self.descending) if self.nulls_first is None else self.nulls_first
 
 
-def _cuts(df: DataFrame, value: str) -> Column:
-    """Sorted distinct cut values as a lazily evaluated array (all of it inside
-    the subquery, so that rows only look values up)."""
-    v = F.col(value)
-    if isinstance(df.schema[value].dataType, T.NumericType | T.DateType | T.TimestampType):
-        probs = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-        return df.select(F.array_distinct(F.percentile_approx(v, probs, 10_000))).scalar()
-    sample = df.select(value).filter(v.isNotNull()).orderBy(F.xxhash64(v), v).limit(SAMPLE)
-    ordered = sample.agg(F.sort_array(F.collect_list(v)).alias("_rk_sorted"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("_rk_sorted") / CUTS).cast("int"))
-    return ordered.select(F.array_distinct(F.filter("_rk_sorted", lambda x, i: i % step == 0))).scalar()
+def _shared_type(data_type: T.DataType) -> str:
+    """The type in which columns are counted together; the cast keeps values and their order."""
+    if isinstance(data_type, T.IntegralType):
+        return "bigint"
+    if isinstance(data_type, T.FloatType | T.DoubleType):
+        return "double"
+    return data_type.simpleString()
+
+
+def _place(number: int, keys: list[str], value: str, shared: str) -> str:
+    """A struct that names a ranked column, the key and the value: equal for equal places, ordered by value inside."""
+    return f"struct({', '.join([f'{number} AS c', *[f'`{k}` AS k{j}' for j, k in enumerate(keys)]])}, CAST(`{value}` AS {shared}) AS v)"
+
+
+def value_histogram(df: DataFrame, values: list[str], keys: list[str], shared: str) -> DataFrame:
+    """(p, n): every place (column number, key, value) with the number of its rows."""
+    places = ", ".join(_place(i, keys, v, shared) for i, v in enumerate(values))
+    return df.selectExpr(f"explode(array({places})) AS p").groupBy("p").agg(F.expr("count(1) AS n"))
+
+
+def cut_places(histogram: DataFrame):
+    """At most CUTS sorted places that part the distinct values evenly, as a lazily evaluated array."""
+    sample = histogram.select("p").orderBy(F.expr("xxhash64(p)"), "p").limit(SAMPLE)
+    return sample.agg(F.expr("sort_array(collect_list(p)) AS a")).selectExpr(
+        f"filter(a, (x, i) -> i % cast(ceil(size(a) / {CUTS}) AS int) = 0) AS cuts").scalar()
+
+
+def bucketed(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """The histogram with the group ``g`` (column number and key) and the number ``b`` of cuts below each place."""
+    group = f"struct({', '.join(['p.c AS c', *[f'p.k{j} AS k{j}' for j in range(len(keys))]])}) AS g"
+    halves = ", ".join(str((CUTS + 1) >> i) for i in range(1, CUTS.bit_length() + 1))
+    return histogram.withColumn("cuts", cut_places(histogram)).selectExpr(
+        # not nullable by coalesce: a null check inferred from the joins would be pushed down to every input row
+        "p", "n", group, f"coalesce(aggregate(array({halves}), 0, (lo, s) -> if(get(cuts, lo + s - 1) < p, lo + s, lo)), 0) AS b")
+
+
+def _formula(s: RankSpec) -> str:
+    """The rank of a value from ``before`` (rows of its group that sort before it, ascending, nulls first), ``n``
+    (rows that hold it), ``total`` and ``nulls`` (rows and null rows of the group)."""
+    ahead = "total - before - n" if s.descending else "before - nulls"      # rows with a value that come before
+    if s.kind == "average_pct":
+        return f"if(p.v IS NULL, NULL, ({ahead} + (n + 1) / 2.0D) / (total - nulls))"
+    if s.kind == "ordinal":
+        return f"if(p.v IS NULL, NULL, CAST({ahead} + 1 AS double))"
+    at = f"if(p.v IS NULL, 0, {ahead} + nulls)" if s.nulls_lead else f"if(p.v IS NULL, total - nulls, {ahead})"
+    return f"if(total > 1, ({at}) / (total - 1), 0.0D)"
 
 
-def _bucket(value: str, cuts: Column) -> tuple[Column, Column]:
-    """(number of the bucket in ascending order, whether all its rows are equal)."""
-    v = F.col(value)
-    halves = F.array(*[F.lit((CUTS + 1) >> i) for i in range(1, CUTS.bit_length() + 1)])
-    below = F.aggregate(halves, F.lit(0), lambda lo, step: F.when(F.get(cuts, lo + step - 1) < v, lo + step).otherwise(lo))
-    return below, F.coalesce(F.get(cuts, below) == v, F.lit(False))
+def value_ranks(df: DataFrame, specs: list[RankSpec], keys: list[str], shared: str) -> DataFrame:
+    """(place, rank): the rank of every distinct place; ordinals as doubles."""
+    hist = bucketed(value_histogram(df, [s.value for s in specs], keys, shared), keys)
+    totals = hist.groupBy("g", "b").agg(F.expr("sum(n) AS s"), F.expr("sum(if(p.v IS NULL, n, 0)) AS z")).selectExpr(
+        "g", "b", "coalesce(sum(s) OVER (PARTITION BY g ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base",
+        "sum(s) OVER (PARTITION BY g) AS total", "sum(z) OVER (PARTITION BY g) AS nulls")
+    placed = hist.join(totals, ["g", "b"]).selectExpr(
+        "p", "n", "total", "nulls", "base + sum(n) OVER (PARTITION BY g, b ORDER BY p) - n AS before")
+    formulas = [_formula(s) for s in specs]
+    rank = formulas[0] if len(set(formulas)) == 1 else (
+        "CASE p.c " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(formulas)) + " END")
+    return placed.selectExpr("p AS _rk_place", f"{rank} AS _rk_rank")
 
 
 def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
@@ -79,62 +124,25 @@ def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | lis
                  their mean rank, divided by the non-null count; nulls null)
     ordinal:     ``rank()`` (1-based; = ``row_number()`` for distinct values; nulls null)
     """
-    columns = df.columns
-    base = df.withColumn("_rk_key", F.struct(*[F.col(k) for k in partition_by], F.lit(0).alias("_rk_one")))
-    for i, s in enumerate(specs):
-        base = base.withColumn(f"_rk_cuts{i}", _cuts(df, s.value))
-        below, equal = _bucket(s.value, F.col(f"_rk_cuts{i}"))
-        base = base.withColumn(f"_rk_below{i}", below).withColumn(f"_rk_equal{i}", equal | F.col(s.value).isNull())
-        place = 2 * F.col(f"_rk_below{i}") + F.col(f"_rk_equal{i}").cast("int")
-        at = F.when(F.col(s.value).isNull(), F.lit(-_FAR if s.nulls_lead else _FAR)).otherwise(
-            -place if s.descending else place)
-        salt = F.when(F.col(f"_rk_equal{i}"), F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(SALTS))).otherwise(0)
-        base = base.withColumn(f"_rk_at{i}", at).withColumn(f"_rk_salt{i}", salt.cast("int"))
-    totals = _totals(base, specs)
-    out = base
-    for i, s in enumerate(specs):
-        out = _ranked(out, i, s, totals)
-    return out.select(*columns, *[s.out for s in specs])
-
-
-def _totals(base: DataFrame, specs: list[RankSpec]) -> DataFrame:
-    """For each spec, key and bucket: rows before it, rows in it, rows and null rows of the key."""
-    each = F.array(*[F.struct(F.lit(i).alias("_rk_spec"), F.col(f"_rk_at{i}").alias("_rk_at"),
-                              F.col(f"_rk_equal{i}").alias("_rk_equal")) for i in range(len(specs))])
-    sizes = (base.select("_rk_key", F.explode(each).alias("e")).select("_rk_key", "e.*")
-             .groupBy("_rk_spec", "_rk_key", "_rk_at").agg(F.count(F.lit(1)).alias("_rk_size"),
-                                                           F.max("_rk_equal").alias("_rk_equal")))
-    key = Window.partitionBy("_rk_spec", "_rk_key")
-    ahead = key.orderBy("_rk_at").rowsBetween(Window.unboundedPreceding, -1)
-    null_rows = F.when(F.abs("_rk_at") == _FAR, F.col("_rk_size")).otherwise(0)
-    known = (sizes.withColumn("_rk_before", F.coalesce(F.sum("_rk_size").over(ahead), F.lit(0)))
-             .withColumn("_rk_n", F.sum("_rk_size").over(key)).withColumn("_rk_nulls", F.sum(null_rows).over(key)))
-    salts = F.when(F.col("_rk_equal"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return known.withColumn("_rk_salt", F.explode(salts)).drop("_rk_equal")
-
-
-def _ranked(rows: DataFrame, i: int, s: RankSpec, totals: DataFrame) -> DataFrame:
-    own = [f"_rk_at{i}", f"_rk_salt{i}"]
-    mine = totals.filter(F.col("_rk_spec") == i).select(
-        "_rk_key", F.col("_rk_at").alias(own[0]), F.col("_rk_salt").alias(own[1]), "_rk_size", "_rk_before", "_rk_n",
-        "_rk_nulls")
-    part = Window.partitionBy("_rk_key", *own)
-    v = F.col(s.value)
-    equal, null = F.col(f"_rk_equal{i}"), v.isNull()
-    order = v.desc() if s.descending else v.asc()
-    less = F.col("_rk_before") + F.when(equal, 0).otherwise(F.rank().over(part.orderBy(order)) - 1)
-    joined = rows.join(mine, ["_rk_key", *own])
-    n, not_null = F.col("_rk_n"), F.col("_rk_n") - F.col("_rk_nulls")
-    less_not_null = less - F.col("_rk_nulls") if s.nulls_lead else less
-    if s.kind == "percent":
-        rank = F.when(n > 1, less.cast("double") / (n - 1).cast("double")).otherwise(F.lit(0.0))
-    elif s.kind == "average_pct":
-        peers = F.when(equal, F.col("_rk_size")).otherwise(F.count(F.lit(1)).over(part.orderBy(order).rangeBetween(
-            Window.currentRow, Window.currentRow)))
-        rank = F.when(~null, (less_not_null + (peers + 1) / 2.0) / not_null.cast("double"))
-    else:
-        rank = F.when(~null, (less_not_null + 1).cast("long"))
-    return joined.withColumn(s.out, rank).drop(*own, "_rk_size", "_rk_before", "_rk_n", "_rk_nulls")
+    keys = list(partition_by)
+    families: dict[str, list[RankSpec]] = {}
+    for s in specs:
+        families.setdefault(_shared_type(df.schema[s.value].dataType), []).append(s)
+    out = df
+    for shared, members in families.items():
+        ranks = value_ranks(df, members, keys, shared)
+        for i, s in enumerate(members):
+            rank = "CAST(_rk_rank AS bigint)" if s.kind == "ordinal" else "_rk_rank"
+            kept = [f"`{c}`" for c in out.columns]
+            out = out.join(ranks, F.expr(f"{_place(i, keys, s.value, shared)} = _rk_place")).selectExpr(
+                *kept, f"{rank} AS `{s.out}`")
+    return out.select(*df.columns, *[s.out for s in specs])
+
+
+def rank_stored(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
+    """:func:`rank_columns` of a stored copy of ``df``: the plan behind ``df`` runs once (now), and both branches of
+    the ranks read the copy, also after an executor is lost."""
+    return rank_columns(materialize(df), specs, partition_by)
 
 
 def percent_rank(df: DataFrame, value: str, out: str, *, descending: bool = False,

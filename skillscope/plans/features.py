@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ACTIVE_TIERS
-from ..operators.ranking import RankSpec, percent_rank, rank_columns
+from ..operators.ranking import RankSpec, percent_rank, rank_stored
 
 TYPE_SUFFIX = {"Discussion": "Disc", "Competitions": "Comp", "Scripts": "Script"}
 RANKING_COLUMN = {"Competitions": "CompetitionPerRanking", "Discussion": "DiscussionPerRanking",
@@ -94,7 +94,7 @@ def _user_kernel_score():
              + F.col("KernelsVotesPerRanking")) / 3).alias("UserKernelScore")
 
 
-def kernel_features(active: DataFrame, kernels: DataFrame, rank=rank_columns) -> DataFrame:
+def kernel_features(active: DataFrame, kernels: DataFrame, rank=rank_stored) -> DataFrame:
     """Kernels authored, mean views/comments/votes
     (0 when none), their global percentiles and their mean ``UserKernelScore``."""
     base = active.select("UserId").join(_author_stats(kernels), "UserId", "left").select("UserId", *_author())

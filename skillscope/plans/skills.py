@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from ..config import NO_MEDAL_CODE
 from ..functions.text import clean_tokens, keyword_tokens, let, stemmed_tokens
-from ..operators.ranking import RankSpec, average_rank_pct, ordinal, rank_columns
+from ..operators.ranking import RankSpec, average_rank_pct, ordinal, rank_stored
 from ..operators.tagging import prepare_taxonomy, tag_mentions
 from ..session import materialize
 
 
 # ---- kernel branch (C10) ----------------------------------------------------
-def kernel_item_scores(kernels: DataFrame, rank=rank_columns) -> DataFrame:
+def kernel_item_scores(kernels: DataFrame, rank=rank_stored) -> DataFrame:
     """Per-kernel percentiles, ascending, nulls first (-> 0), and their mean."""
     k = kernels.select("KernelId", "UserId", "TotalViews", "TotalComments", "TotalVotes")
     k = rank(k, [RankSpec("TotalViews", "KernelsViewsPercentile"),
@@ -34,7 +34,7 @@ def kernel_item_scores(kernels: DataFrame, rank=rank_columns) -> DataFrame:
     return k.withColumn("KernelScore", score)
 
 
-def kernel_tag_rows(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame, rank=rank_columns) -> DataFrame:
+def kernel_tag_rows(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame, rank=rank_stored) -> DataFrame:
     """Scored kernels with their tag names (kernels without a named tag drop)."""
     scored = kernel_item_scores(kernels, rank).select("KernelId", "UserId", "KernelScore")
     return (scored.join(kernel_tags.select("KernelId", "TagId"), "KernelId", "inner")
@@ -42,7 +42,7 @@ def kernel_tag_rows(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame,
             .filter(F.col("Name").isNotNull()))
 
 
-def kernel_skill_scores(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame, rank=rank_columns) -> DataFrame:
+def kernel_skill_scores(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFrame, rank=rank_stored) -> DataFrame:
     """Mean kernel score per (user, tag); null users never become user 0 (Q7)."""
     rows = kernel_tag_rows(kernels, kernel_tags, tags, rank).filter(F.col("UserId").isNotNull())
     return rows.groupBy("UserId", "Name").agg(F.coalesce(F.avg("KernelScore"), F.lit(0.0)).alias("KernelScore"))
@@ -50,7 +50,7 @@ def kernel_skill_scores(kernels: DataFrame, kernel_tags: DataFrame, tags: DataFr
 
 # ---- competition branch (C11) ---------------------------------------------------
 def team_scores(teams: DataFrame, *, compat: bool = False, per_competition: bool = False,
-                rank=rank_columns) -> DataFrame:
+                rank=rank_stored) -> DataFrame:
     """Teams with a first submission; leaderboard percentile (rank
     descending; a missing rank scores 0, Q2) and medal percentile (no medal
     = 4, descending so gold scores highest, Q1); CompScore is their mean.
