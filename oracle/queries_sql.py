@@ -15,7 +15,6 @@ from .bindings_sql import with_bindings
 
 # Values shared with the Spark side because they are the specification.
 from skillscope.config import FIXED_INTERCEPT, FIXED_WEIGHTS
-from skillscope.functions.stem import STEM_PASSES
 
 SAMPLE_LIMIT = int(0.2 * float(1 << 60))
 HOLDOUT_LIMIT = int(0.2 * (1 << 32))
@@ -70,35 +69,95 @@ def word_tokens(x: str) -> str:
             f"lambda w: lower(regexp_replace(w, '[[:punct:]]', '', 'g')))")
 
 
-def stem_list(arr: str) -> str:
-    for rules in STEM_PASSES:
-        whens = []
-        for suffix, repl, min_stem, vowel in rules:
-            k = len(suffix)
-            stem = f"substr(w, 1, length(w) - {k})"
-            cond = f"suffix(w, {sq(suffix)}) AND length(w) - {k} >= {min_stem}"
-            if vowel:
-                cond += f" AND regexp_matches({stem}, '[aeiouy]')"
-            val = f"{stem} || {sq(repl)}" if repl else stem
-            whens.append(f"WHEN {cond} THEN {val}")
-        arr = f"list_transform({arr}, lambda w: CASE {' '.join(whens)} ELSE w END)"
-    return arr
-
-
-def stem_one(x: str) -> str:
-    return f"({stem_list(f'[{x}]')})[1]"
+# The published Snowball English steps, on a table of distinct words.  Fixed values of the algorithm.
+_WORDS_APART = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl",
+                "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+_AS_THEY_ARE = "sky news howe atlas cosmos bias andes".split()
+_AFTER_1A = "inning outing canning herring earring proceed exceed succeed".split()
+_SHORT = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+_SECOND = [("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"),
+           ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"),
+           ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"),
+           ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"), ("ogi", "og"), ("li", "")]
+_THIRD = [("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ative", ""),
+          ("ical", "ic"), ("ness", ""), ("ful", "")]
+_FOURTH = "ement ance ence able ible ment ant ent ism ate iti ous ive ize ion al er ic".split()
+
+
+def _first_suffix(rules, condition) -> str:
+    """CASE over suffixes, longest first: the first that fits decides, and rewrites only on its condition."""
+    whens = []
+    for suffix, repl in rules:
+        rest = f"substr(w, 1, length(w) - {len(suffix)})"
+        whens.append(f"WHEN suffix(w, {sq(suffix)}) THEN CASE WHEN {condition(suffix, rest)} THEN {rest} || {sq(repl)} ELSE w END")
+    return f"CASE {' '.join(whens)} ELSE w END"
+
+
+def stems(words: str, name: str) -> str:
+    """CTEs that end in ``name`` (token, stem) for the distinct tokens of the query ``words``."""
+    def second(suffix, rest):
+        extra = {"ogi": f" AND suffix({rest}, 'l')", "li": f" AND regexp_matches({rest}, '[cdeghkmnrt]$')"}.get(suffix, "")
+        return f"length({rest}) >= p1{extra}"
+
+    def third(suffix, rest):
+        return f"length({rest}) >= {'p2' if suffix == 'ative' else 'p1'}"
+
+    def fourth(suffix, rest):
+        return f"length({rest}) >= p2" + (f" AND regexp_matches({rest}, '[st]$')" if suffix == "ion" else "")
+
+    region = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+    apart = " ".join(f"WHEN {sq(k)} THEN {sq(v)}" for k, v in [*_WORDS_APART.items(), *[(w, w) for w in _AS_THEY_ARE]])
+    steps = [
+        f"SELECT token, regexp_replace(regexp_replace(token, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM ({words})",
+        f"""SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN length(regexp_extract(w, '^(gener|commun|arsen)'))
+              WHEN regexp_matches(w, '{region}') THEN length(regexp_extract(w, '{region}')) ELSE length(w) END AS p1 FROM @""",
+        f"""SELECT *, CASE WHEN regexp_matches(substr(w, p1 + 1), '{region}')
+              THEN p1 + length(regexp_extract(substr(w, p1 + 1), '{region}')) ELSE length(w) END AS p2 FROM @""",
+        """SELECT * REPLACE (CASE WHEN suffix(w, 'sses') THEN substr(w, 1, length(w) - 2)
+              WHEN suffix(w, 'ied') OR suffix(w, 'ies') THEN substr(w, 1, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+              WHEN suffix(w, 'us') OR suffix(w, 'ss') THEN w
+              WHEN regexp_matches(w, '[aeiouy].+s$') THEN substr(w, 1, length(w) - 1) ELSE w END AS w) FROM @""",
+        f"SELECT *, CASE WHEN w IN ({', '.join(map(sq, _AFTER_1A))}) THEN w END AS done FROM @",
+        """SELECT *, CASE WHEN suffix(w, 'eedly') THEN 5 WHEN suffix(w, 'ingly') THEN 5 WHEN suffix(w, 'edly') THEN 4
+              WHEN suffix(w, 'eed') OR suffix(w, 'ing') THEN 3 WHEN suffix(w, 'ed') THEN 2 ELSE 0 END AS cut FROM @""",
+        "SELECT *, substr(w, 1, length(w) - cut) AS rest, suffix(w, 'eed') OR suffix(w, 'eedly') AS eed FROM @",
+        f"""SELECT token, p1, p2, done, CASE WHEN cut = 0 THEN w
+              WHEN eed THEN CASE WHEN length(rest) >= p1 THEN rest || 'ee' ELSE w END
+              WHEN NOT regexp_matches(rest, '[aeiouy]') THEN w
+              WHEN regexp_matches(rest, '(at|bl|iz)$') THEN rest || 'e'
+              WHEN regexp_matches(rest, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN substr(rest, 1, length(rest) - 1)
+              WHEN length(rest) <= p1 AND regexp_matches(rest, '{_SHORT}') THEN rest || 'e' ELSE rest END AS w FROM @""",
+        """SELECT * REPLACE (CASE WHEN regexp_matches(w, '^.+[^aeiouy][yY]$') THEN substr(w, 1, length(w) - 1) || 'i'
+              ELSE w END AS w) FROM @""",
+        f"SELECT * REPLACE ({_first_suffix(_SECOND, second)} AS w) FROM @",
+        f"SELECT * REPLACE ({_first_suffix(_THIRD, third)} AS w) FROM @",
+        f"SELECT * REPLACE ({_first_suffix([(x, '') for x in _FOURTH], fourth)} AS w) FROM @",
+        f"""SELECT * REPLACE (CASE WHEN suffix(w, 'e') AND (length(w) - 1 >= p2 OR (length(w) - 1 >= p1
+                AND NOT regexp_matches(substr(w, 1, length(w) - 1), '{_SHORT}'))) THEN substr(w, 1, length(w) - 1)
+              WHEN suffix(w, 'll') AND length(w) - 1 >= p2 THEN substr(w, 1, length(w) - 1) ELSE w END AS w) FROM @"""]
+    out = [f"{name}_{i} AS ({s.replace('@', f'{name}_{i - 1}')})" for i, s in enumerate(steps)]
+    out.append(f"""{name} AS MATERIALIZED (SELECT token, CASE WHEN length(token) <= 2 THEN token ELSE CASE token {apart}
+      ELSE replace(coalesce(done, w), 'Y', 'y') END END AS stem FROM {name}_{len(steps) - 1})""")
+    return ",\n".join(out)
 
 
 def clean_tokens(x: str) -> str:
     return word_tokens(normalized_text(x))
 
 
-def stemmed_tokens(x: str) -> str:
-    return stem_list(clean_tokens(x))
-
-
-def keyword(x: str) -> str:
-    return f"array_to_string({stem_list(word_tokens(spaced(x)))}, ' ')"
+def keywords(source: str, phrase: str, name: str) -> str:
+    """CTEs that end in ``name`` (keyword, Name, n_tokens) for the phrases of the table ``source``."""
+    return f"""
+{name}_words AS (
+  SELECT Name, {phrase} AS phrase, unnest(t) AS token, generate_subscripts(t, 1) AS i
+  FROM (SELECT Name, {phrase}, {word_tokens(spaced(phrase))} AS t FROM {source})),
+{stems(f"SELECT DISTINCT token FROM {name}_words", name + "_stems")},
+{name}_joined AS (
+  SELECT w.Name, string_agg(s.stem, ' ' ORDER BY w.i) AS keyword
+  FROM {name}_words w JOIN {name}_stems s ON s.token = w.token GROUP BY w.Name, w.phrase),
+{name} AS (
+  SELECT keyword, min(Name) AS Name, CAST(len(string_split(keyword, ' ')) AS INTEGER) AS n_tokens
+  FROM {name}_joined WHERE length(keyword) > 0 GROUP BY keyword)"""
 
 
 def r6(e: str, name: str) -> str:
@@ -256,15 +315,15 @@ phrase_top AS (
   SELECT * FROM (SELECT phrase, doc_count, row_number() OVER (ORDER BY doc_count DESC, phrase ASC) AS rn FROM phrase_freq)
   WHERE rn <= (SELECT count(*) FROM tags)),
 phrases AS (SELECT t.TagId, t.Name, p.phrase, p.doc_count FROM tags t JOIN phrase_top p ON p.rn = t.TagId),
-taxonomy AS (
-  SELECT keyword, min(Name) AS Name, len(string_split(keyword, ' ')) AS n_tokens
-  FROM (SELECT Name, {keyword('phrase')} AS keyword FROM phrases) WHERE length(keyword) > 0 GROUP BY keyword),
+{keywords('phrases', 'phrase', 'taxonomy').strip()},
 messages AS (
   SELECT m.MessageId, m.UserId, m.ForumTopicId, f.Title, m.Message
   FROM forum_messages m JOIN forum_topics tp ON tp.ForumTopicId = m.ForumTopicId JOIN forums f ON f.ForumId = tp.ForumId
   WHERE m.Message IS NOT NULL),
-msg_tokens AS (SELECT MessageId, UserId, {stemmed_tokens('Message')} AS s FROM messages),
-positions AS (SELECT MessageId, UserId, unnest(s) AS w, generate_subscripts(s, 1) AS i FROM msg_tokens),
+msg_tokens AS (SELECT MessageId, UserId, {clean_tokens('Message')} AS s FROM messages),
+msg_words AS MATERIALIZED (SELECT MessageId, UserId, unnest(s) AS token, generate_subscripts(s, 1) AS i FROM msg_tokens),
+{stems("SELECT DISTINCT token FROM msg_words", "msg_stems")},
+positions AS (SELECT m.MessageId, m.UserId, s.stem AS w, m.i FROM msg_words m JOIN msg_stems s ON s.token = m.token),
 pos2 AS (SELECT *, lead(w) OVER (PARTITION BY MessageId ORDER BY i) AS w_next FROM positions),
 cand AS (
   SELECT p.MessageId, p.UserId, p.i, b.Name AS b_name, u.Name AS u_name
@@ -464,18 +523,24 @@ tcp AS (SELECT *,
     "u_append_missing_cols": q(COHORTS, "SELECT UserId, Expert FROM population"),
     # text
     "t_html_clean": q("", f"SELECT page_id, {normalized_text('html')} AS text FROM pages"),
-    "t_token_clean": q("", f"SELECT doc_id, array_to_string({stemmed_tokens('text')}, ' ') AS message_clean "
-                           "FROM documents"),
+    "t_token_clean": q(f"""
+words AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i
+          FROM (SELECT doc_id, {clean_tokens('text')} AS t FROM documents)),
+{stems("SELECT DISTINCT token FROM words", "stemmed")},
+cleaned AS (SELECT w.doc_id, string_agg(s.stem, ' ' ORDER BY w.i) AS m FROM words w JOIN stemmed s ON s.token = w.token
+            GROUP BY w.doc_id)""", """
+SELECT d.doc_id, coalesce(c.m, '') AS message_clean FROM documents d LEFT JOIN cleaned c ON c.doc_id = d.doc_id
+WHERE d.text IS NOT NULL"""),
     "t_vocab_stem": q(f"""
 vocab AS (SELECT token, count(*) AS doc_count FROM (
-  SELECT doc_id, unnest(list_distinct({clean_tokens('text')})) AS token FROM documents) GROUP BY token)""",
-                      f"SELECT token, {stem_one('token')} AS stem, doc_count FROM vocab"),
+  SELECT doc_id, unnest(list_distinct({clean_tokens('text')})) AS token FROM documents) GROUP BY token),
+{stems("SELECT token FROM vocab", "stemmed")}""",
+                      "SELECT v.token, s.stem, v.doc_count FROM vocab v JOIN stemmed s ON s.token = v.token"),
     "t_ngram_candidates": q(SKILLS.rstrip() + "," + DISC, "SELECT TagId, Name, phrase, doc_count FROM phrases"),
     "t_taxonomy_keywords": q(SKILLS.rstrip() + "," + DISC, "SELECT keyword, Name, CAST(n_tokens AS INTEGER) AS n_tokens "
                                                            "FROM taxonomy"),
-    "t_tag_keywords": q("", f"""
-SELECT keyword, min(Name) AS Name, CAST(len(string_split(keyword, ' ')) AS INTEGER) AS n_tokens
-FROM (SELECT Name, {keyword('Name')} AS keyword FROM tags) WHERE length(keyword) > 0 GROUP BY keyword"""),
+    "t_tag_keywords": q(keywords("(SELECT Name, Name AS tag FROM tags)", "tag", "kw"),
+                        "SELECT keyword, Name, n_tokens FROM kw"),
     "t_phrase_tag": q(SKILLS.rstrip() + "," + DISC, "SELECT MessageId, count(*) AS n_mentions, "
                                                     "count(DISTINCT Name) AS n_names FROM mentions GROUP BY MessageId"),
     "t_explode_split": q(SKILLS.rstrip() + "," + DISC, "SELECT MessageId, Name, count(*) AS n FROM mentions "

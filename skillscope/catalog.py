@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .config import DOWNSAMPLE_FRACTION, TOP_SKILLS_SIZE
-from .functions.text import clean_message, clean_tokens, normalized_text, tidy_split
-from .functions.stem import stem_token
+from .functions.stem import stemmed_rows
+from .functions.text import normalized_text, tidy_split
 from .operators.sampling import hash_sample
 from .plans import cohorts as co
 from .plans import features as fe
@@ -26,13 +26,20 @@ from .sources.bindings import community
 # The skill searched by the registered search query (a tag of the bound data).
 SEARCH_SKILL = "Blue Rod"
 
-# Folders of the tables that many queries start from (features, taxonomy, mention counts, skill scores), by
-# application and input: each is written once for an application.
-_TABLES: dict[tuple[str, str, str], str] = {}
+# Folders of the tables that many queries start from (features, cleaned tokens, vocabulary, taxonomy, mention counts,
+# skill scores), by application and state of the input: each is written once.
+_TABLES: dict[tuple, str] = {}
+
+
+def _version(spark, sf_dir):
+    """What tells a rewritten input from the old one: name, length and time of each table's file or folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def _kept(spark, sf_dir, name, build):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir), name)
     if key not in _TABLES:
         table = materialize(build())
         files = table.inputFiles()
@@ -58,12 +65,12 @@ def _population(spark, sf_dir):
     return co.model_inputs(co.population(_cohorts(spark, sf_dir)))
 
 
-def _keeper(spark, sf_dir, prefix=""):
-    return lambda name, build: _kept(spark, sf_dir, prefix + name, build)
+def _keeper(spark, sf_dir):
+    return lambda name, build: _kept(spark, sf_dir, name, build)
 
 
 def _disc(spark, sf_dir, html=False, scored=False):
-    return sk.discussion_pipeline(_c(spark, sf_dir), html, scored, _keeper(spark, sf_dir, "html_" if html else ""))
+    return sk.discussion_pipeline(_c(spark, sf_dir), html, scored, _keeper(spark, sf_dir))
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -350,8 +357,10 @@ def t_html_clean(spark, sf_dir):
 
 
 def t_token_clean(spark, sf_dir):
-    docs = _c(spark, sf_dir).t.documents
-    return docs.select("doc_id", clean_message("text").alias("message_clean"))
+    """Every message cleaned and stemmed through the vocabulary, as one phrase."""
+    d = _disc(spark, sf_dir)
+    stems = stemmed_rows(d["tokens"], "MessageId", "tokens", d["vocabulary"])
+    return stems.select(F.col("MessageId").alias("doc_id"), F.array_join("tokens", " ").alias("message_clean"))
 
 
 def t_explode_split(spark, sf_dir):
@@ -363,15 +372,12 @@ def t_explode_split(spark, sf_dir):
 
 
 def t_vocab_stem(spark, sf_dir):
-    docs = _c(spark, sf_dir).t.documents
-    toks = docs.select("doc_id", F.explode_outer(F.array_distinct(clean_tokens("text"))).alias("token")).filter(
-        F.col("token").isNotNull())
-    vocab = toks.groupBy("token").agg(F.count(F.lit(1)).alias("doc_count"))
-    return vocab.select("token", stem_token(F.col("token")).alias("stem"), "doc_count")
+    """each distinct token of the messages with its stem and the number of messages that hold it."""
+    return _disc(spark, sf_dir)["vocabulary"]
 
 
 def t_ngram_candidates(spark, sf_dir):
-    return _c(spark, sf_dir).skill_phrases()
+    return _disc(spark, sf_dir)["phrases"]
 
 
 def t_tag_keywords(spark, sf_dir):
@@ -381,7 +387,7 @@ def t_tag_keywords(spark, sf_dir):
 
 
 def t_taxonomy_keywords(spark, sf_dir):
-    return sk.keyword_taxonomy(_c(spark, sf_dir).skill_phrases()).select("keyword", "Name", "n_tokens")
+    return _disc(spark, sf_dir)["taxonomy"].select("keyword", "Name", "n_tokens")
 
 
 def t_phrase_tag(spark, sf_dir):

@@ -7,7 +7,7 @@ others are generated code):
 
     strip_html -> collapse whitespace -> drop links -> split on spaces
     -> keep tokens with an ASCII letter -> delete ASCII punctuation, lowercase
-    -> stem (``functions.stem``) -> join with single spaces
+    -> stem (``functions.stem``, once for each distinct token) -> join with single spaces
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stem import stem_tokens
+from .stem import let, stem_tokens  # noqa: F401 (let is part of this module's interface)
 
 # Code points of the named entities of HTML, from the standard library.
 ENTITY_CODES = {**name2codepoint, "apos": 39}
@@ -44,16 +44,6 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def let(value, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
-
-    Projections are collapsed by the optimizer, so an expensive column (the
-    cleaned token array) referenced several times by the next projection
-    would be recomputed at each reference; binding it as the single element
-    of a one-element array makes every use read one variable."""
-    return F.element_at(F.transform(F.array(_c(value)), body), 1)
-
-
 def strip_html(col) -> Column:
     """drop script/style blocks and comments, turn tags into spaces,
     decode entities once.  Rows without '<' or '&' skip the
@@ -125,12 +115,12 @@ def clean_tokens(col) -> Column:
 
 
 def stemmed_tokens(col) -> Column:
-    """T1 tokens after stemming."""
+    """T1 tokens stemmed in place (few rows; corpora go through ``stem.stemmed_vocabulary``)."""
     return stem_tokens(clean_tokens(col))
 
 
 def clean_message(col) -> Column:
-    """The cleaned, stemmed message as one space-joined phrase."""
+    """The cleaned, stemmed message as one space-joined phrase (few rows, as above)."""
     return F.array_join(stemmed_tokens(col), " ")
 
 

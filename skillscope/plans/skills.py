@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NO_MEDAL_CODE
-from ..functions.text import clean_tokens, keyword_tokens, let, stemmed_tokens
+from ..functions.stem import stemmed_vocabulary
+from ..functions.text import clean_tokens, keyword_tokens, let
 from ..operators.ranking import RankSpec, average_rank_pct, ordinal, rank_stored
 from ..operators.tagging import prepare_taxonomy, tag_mentions
 from ..session import materialize
@@ -108,26 +109,29 @@ def _phrase_list(t):
     return F.array_distinct(F.filter(F.concat(unigrams, _bigram_list(t)), lambda x: x.isNotNull()))
 
 
-def phrase_candidates(documents: DataFrame) -> DataFrame:
-    """Per document, the distinct unstemmed tokens of length >= 4 and bigrams
-    of two adjacent such tokens: what the binding takes for a skill phrase."""
-    # explode_outer + null filter: a plain explode's inferred size filter
-    # would be pushed below and clean the text a second time
-    out = documents.select("doc_id", F.explode_outer(let(clean_tokens("text"), _phrase_list)).alias("phrase"))
-    return out.filter(F.col("phrase").isNotNull())
+def message_tokens(messages: DataFrame) -> DataFrame:
+    """T1 up to tokens: (MessageId, UserId, ForumTopicId, tokens), blank messages dropped; the one cleaning pass."""
+    return messages.filter(F.col("Message").isNotNull()).select(
+        "MessageId", "UserId", "ForumTopicId", clean_tokens("Message").alias("tokens"))
 
 
-def phrase_frequencies(documents: DataFrame) -> DataFrame:
-    """Document counts of all candidate phrases (partially aggregated)."""
-    return phrase_candidates(documents).groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
+def phrase_frequencies(tokens: DataFrame) -> DataFrame:
+    """Message counts of all candidate phrases (partially aggregated): the
+    distinct unstemmed tokens of length >= 4 and bigrams of two adjacent such
+    tokens, what the binding takes for a skill phrase."""
+    # explode_outer + null filter: a plain explode's inferred size filter
+    # would evaluate the list a second time
+    each = tokens.select(F.explode_outer(let(F.col("tokens"), _phrase_list)).alias("phrase"))
+    return each.filter(F.col("phrase").isNotNull()).groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
 
 
-def phrase_taxonomy(documents: DataFrame, tags: DataFrame) -> DataFrame:
+def phrase_taxonomy(tokens: DataFrame, tags: DataFrame) -> DataFrame:
     """Binding of the skill taxonomy to the prose: the i-th tag (by TagId)
-    is paired with the i-th most frequent candidate phrase by document count,
-    ties by text.  The order comes from the distributed ranker."""
-    freq = phrase_frequencies(documents).withColumn("order", F.struct((-F.col("doc_count")).alias("n"), "phrase"))
-    ranked = ordinal(freq, "order", "TagId").drop("order")
+    is paired with the i-th most frequent candidate phrase by message count,
+    ties by text.  Only as many phrases as there are tags are ordered."""
+    order = [F.col("doc_count").desc(), F.col("phrase")]
+    first = phrase_frequencies(tokens).orderBy(*order).limit(tags.count())
+    ranked = ordinal(first.withColumn("order", F.struct((-F.col("doc_count")).alias("n"), "phrase")), "order", "TagId")
     return tags.join(ranked, "TagId", "inner").select("TagId", "Name", "phrase", "doc_count")
 
 
@@ -137,13 +141,11 @@ def keyword_taxonomy(phrases: DataFrame) -> DataFrame:
     return prepare_taxonomy(kw)
 
 
-def message_mentions(messages: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """One row per matched mention (MessageId, UserId,
-    ForumTopicId, Name), tagged straight from the message rows (no shuffle
-    of message text)."""
-    toks = messages.filter(F.col("Message").isNotNull()).select(
-        "MessageId", "UserId", "ForumTopicId", stemmed_tokens("Message").alias("tokens"))
-    return tag_mentions(toks, "tokens", ["MessageId", "UserId", "ForumTopicId"], taxonomy).select(
+def message_mentions(tokens: DataFrame, taxonomy: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One row per matched mention (MessageId, UserId,
+    ForumTopicId, Name), from the rows of :func:`message_tokens` (message text is
+    never shuffled)."""
+    return tag_mentions(tokens, "tokens", ["MessageId", "UserId", "ForumTopicId"], taxonomy, vocabulary).select(
         "MessageId", "UserId", "ForumTopicId", "Name")
 
 
@@ -168,23 +170,24 @@ def discussion_skill_scores(counts: DataFrame) -> DataFrame:
 
 def discussion_pipeline(c, html: bool = False, scored: bool = True, keep=None) -> dict:
     """The whole discussion branch over a community (driver bindings or CSV
-    exports); ``c.skill_phrases()`` gives (TagId, Name, phrase).
+    exports); ``c.skill_phrases(tokens)`` gives (TagId, Name, phrase).
 
     ``keep(name, build)`` makes a reused table durable (by default it writes
-    ``build()`` at once)."""
+    ``build()`` at once): the cleaned tokens, so that text is cleaned once; the
+    stemmed vocabulary; the taxonomy; and the counts, which the ranker reads
+    twice."""
     keep = keep or (lambda name, build: materialize(build()))
-    # both are at most one row per tag; written once, so that the corpus scan
-    # behind them is not repeated by the longest-phrase lookup and the tagging
-    phrases = keep("phrases", c.skill_phrases)
+    plain = keep("tokens", lambda: message_tokens(c.forum_messages()))
+    phrases = keep("phrases", lambda: c.skill_phrases(plain))
     taxonomy = keep("taxonomy", lambda: keyword_taxonomy(phrases))
+    mark = "html_" if html else ""
+    tokens = keep("html_tokens", lambda: message_tokens(c.forum_messages(True))) if html else plain
+    vocabulary = keep(f"{mark}vocabulary", lambda: stemmed_vocabulary(tokens))
     msgs = forum_message_rows(c.forum_messages(html), c.forum_topics(html), c.forums(html))
-    mentions = on_forum_path(message_mentions(c.forum_messages(html), taxonomy),
-                             c.forum_topics(html), c.forums(html))
-    # the ranker reads the counts three times: written once, so that the text
-    # is cleaned and tagged once
-    counts = keep("counts", lambda: mention_counts(mentions)) if scored else mention_counts(mentions)
-    return {"phrases": phrases, "taxonomy": taxonomy, "messages": msgs, "mentions": mentions,
-            "counts": counts, "scores": discussion_skill_scores(counts) if scored else None}
+    mentions = on_forum_path(message_mentions(tokens, taxonomy, vocabulary), c.forum_topics(html), c.forums(html))
+    counts = keep(f"{mark}counts", lambda: mention_counts(mentions)) if scored else mention_counts(mentions)
+    return {"tokens": tokens, "vocabulary": vocabulary, "phrases": phrases, "taxonomy": taxonomy, "messages": msgs,
+            "mentions": mentions, "counts": counts, "scores": discussion_skill_scores(counts) if scored else None}
 
 
 # ---- combination (J21, J22) ---------------------------------------------------------

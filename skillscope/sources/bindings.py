@@ -231,11 +231,12 @@ class Community:
     def team_memberships(self):
         return team_memberships(self.t)
 
-    def skill_phrases(self):
+    def skill_phrases(self, tokens=None):
         """Tag names paired with frequent phrases of the prose (FIXTURES C):
-        the driver's tag names never occur in its documents."""
-        from ..plans.skills import phrase_taxonomy
-        return phrase_taxonomy(self.t.documents, self.tags())
+        the driver's tag names never occur in its documents.  ``tokens``: the
+        cleaned messages, if they are there already."""
+        from ..plans.skills import message_tokens, phrase_taxonomy
+        return phrase_taxonomy(tokens if tokens is not None else message_tokens(self.forum_messages()), self.tags())
 
     def forum_messages(self, html: bool = False):
         return forum_messages(self.t, html)

@@ -49,7 +49,7 @@ def test_mentions_never_overlap(spark):
     from skillscope.functions.text import stemmed_tokens
     from skillscope.operators.tagging import tag_documents
     c = community(spark, SF_SMALL)
-    tax = materialize(sk.keyword_taxonomy(sk.phrase_taxonomy(c.t.documents, c.tags())))
+    tax = materialize(sk.keyword_taxonomy(sk.phrase_taxonomy(sk.message_tokens(c.forum_messages()), c.tags())))
     kwset = {r["keyword"]: r["Name"] for r in tax.collect()}
     docs = c.t.documents.select("doc_id", stemmed_tokens("text").alias("tokens"))
     names = {r["doc_id"]: r["names"] for r in tag_documents(docs, "tokens", ["doc_id"], tax).collect()}

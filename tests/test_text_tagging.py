@@ -94,3 +94,31 @@ def test_one_hot(spark):
     out = one_hot(df, "cat")
     assert out.columns == ["id", "cat_a", "cat_b"]
     assert sorted(map(tuple, out.collect())) == [(1, 1, 0), (2, 0, 1), (3, 1, 0), (4, 0, 0)]
+
+
+PUBLISHED = """consign consigned:consign consigning:consign consignment:consign consistency:consist consistently:consist
+consolation:consol consolatory:consolatori console:consol consolidate:consolid consolidating:consolid consolingly:consol
+consonant:conson conspicuous:conspicu conspicuously:conspicu conspiracy:conspiraci conspirators:conspir conspiring:conspir
+constable:constabl constancy:constanc constant knackeries:knackeri knaves:knave knavish kneeled:kneel knees:knee knightly:knight
+knitted:knit knitting:knit knives:knive knocker knockers:knocker skis:ski dying:die news early:earli inning succeed
+generously:generous generate:generat communism:communism hopping:hop hoping:hope cries:cri cried:cri ties:tie tie gas gaps:gap
+kiwis:kiwi by say cry:cri happy:happi agreed:agre luxuriated:luxuri relational:relat rationalization:ration
+adjustment:adjust roll yes:yes youth boy:boy sayings:say"""
+
+
+def test_published_pairs_of_the_english_stemmer(spark):
+    pairs = dict((p.split(":") * 2)[:2] for p in PUBLISHED.split())
+    got = spark.createDataFrame([(w,) for w in pairs], "w string").select("w", stem_token(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in got} == pairs
+
+
+def test_vocabulary_stems_equal_stems_in_place(spark):
+    from skillscope.functions.stem import stem_tokens, stemmed_rows, stemmed_vocabulary
+    rows = [(1, ["running", "dogs", "running"]), (2, []), (3, None), (4, ["nationally", "x", "relational"])]
+    docs = spark.createDataFrame(rows, "id int, tokens array<string>")
+    vocab = stemmed_vocabulary(docs)
+    assert {(r.token, r.doc_count) for r in vocab.collect()} == {
+        ("running", 1), ("dogs", 1), ("nationally", 1), ("x", 1), ("relational", 1)}
+    want = {r["id"]: r["s"] for r in docs.select("id", stem_tokens(F.col("tokens")).alias("s")).collect()}
+    assert {r["id"]: r["tokens"] for r in stemmed_rows(docs, "id", "tokens", vocab).collect()} == want
+    assert want == {1: ["run", "dog", "run"], 2: [], 3: None, 4: ["nation", "x", "relat"]}
