@@ -23,7 +23,6 @@ from pyspark.sql import SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from skillscope import catalog  # noqa: E402
-from skillscope.sources.bindings import community  # noqa: E402
 from skillscope.plans import features as fe  # noqa: E402
 from skillscope.plans import skills as sk  # noqa: E402
 
@@ -43,17 +42,17 @@ def global_windows(df, specs, partition_by=()):
 
 
 def window_c4(spark, sf_dir):
-    c = community(spark, sf_dir)
+    c = catalog._c(spark, sf_dir)
     return fe.kernel_features(fe.active_users(c.users()), c.kernels(), rank=global_windows)
 
 
 def window_c10(spark, sf_dir):
-    c = community(spark, sf_dir)
+    c = catalog._c(spark, sf_dir)
     return sk.kernel_skill_scores(c.kernels(), c.kernel_tags(), c.tags(), rank=global_windows)
 
 
 def window_c11(spark, sf_dir):
-    c = community(spark, sf_dir)
+    c = catalog._c(spark, sf_dir)
     return sk.competition_skill_scores(c.teams(), c.competition_tags(), c.tags(), c.team_memberships(),
                                        rank=global_windows)
 

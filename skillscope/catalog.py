@@ -50,7 +50,7 @@ def _kept(spark, sf_dir, name, build):
 
 
 def _c(spark, sf_dir):
-    return community(spark, sf_dir)
+    return community(spark, sf_dir, _keeper(spark, sf_dir))
 
 
 def _features(spark, sf_dir):

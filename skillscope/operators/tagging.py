@@ -51,7 +51,7 @@ def _taxonomy_tokens(taxonomy: DataFrame, vocabulary: DataFrame | None) -> DataF
     return vocabulary.select("token", "stem").join(words, "stem").select("token", "stem")
 
 
-def _bitmap(tokens: DataFrame) -> Column:
+def hash_bitmap(tokens: DataFrame) -> Column:
     """The hashes of a token column as BITMAP_WORDS longs of 64 bits each, in one lazily evaluated array."""
     spark = tokens.sparkSession
     bits = tokens.selectExpr("xxhash64(token) AS h").selectExpr(
@@ -61,14 +61,18 @@ def _bitmap(tokens: DataFrame) -> Column:
     return words.agg(F.sort_array(F.collect_list(F.struct("w", "m")))["m"].alias("bitmap")).scalar()
 
 
+def in_bitmap(token: str, bitmap: str) -> str:
+    """SQL condition: the hash of the expression ``token`` is in the column ``bitmap``."""
+    return (f"get({bitmap}, CAST(xxhash64({token}) & {BITMAP_WORDS - 1} AS int)) "
+            f"& shiftleft(1L, CAST(shiftright(xxhash64({token}), {BITMAP_SHIFT}) & 63 AS int)) <> 0")
+
+
 def _possible(docs: DataFrame, tokens_col: str, keys: list[str], tokens: DataFrame) -> DataFrame:
     """(keys, pos, token): the occurrences whose hash is in the bitmap, tested before anything is exploded."""
-    test = (f"get(_bitmap, CAST(xxhash64(x.token) & {BITMAP_WORDS - 1} AS int)) "
-            f"& shiftleft(1L, CAST(shiftright(xxhash64(x.token), {BITMAP_SHIFT}) & 63 AS int)) <> 0")
     named = [f"`{k}`" for k in keys]
-    held = docs.select(*named, F.col(tokens_col).alias("_tokens"), _bitmap(tokens).alias("_bitmap"))
+    held = docs.select(*named, F.col(tokens_col).alias("_tokens"), hash_bitmap(tokens).alias("_bitmap"))
     return held.selectExpr(*named, f"""explode_outer(filter(
-        transform(_tokens, (t, i) -> struct(i AS pos, t AS token)), x -> {test})) AS o""").selectExpr(
+        transform(_tokens, (t, i) -> struct(i AS pos, t AS token)), x -> {in_bitmap('x.token', '_bitmap')})) AS o""").selectExpr(
         *named, "o.pos AS pos", "o.token AS token")
 
 

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..config import NO_MEDAL_CODE
 from ..functions.stem import stemmed_vocabulary
-from ..functions.text import clean_tokens, keyword_tokens, let
+from ..functions.text import clean_tokens, keyword_tokens
 from ..operators.ranking import RankSpec, average_rank_pct, ordinal, rank_stored
-from ..operators.tagging import prepare_taxonomy, tag_mentions
+from ..operators.tagging import hash_bitmap, in_bitmap, prepare_taxonomy, tag_mentions
 from ..session import materialize
 
 
@@ -93,44 +93,36 @@ def forum_message_rows(messages: DataFrame, topics: DataFrame, forums: DataFrame
             .select("MessageId", "UserId", "ForumTopicId", "Title", "Message"))
 
 
-def _bigram_list(t):
-    """Adjacent pairs of tokens of length >= 4."""
-    n = F.size(t)
-    heads = F.slice(t, F.lit(1), F.greatest(n - 1, F.lit(0)))
-
-    def pair(w, i):
-        nxt = F.element_at(t, i + 2)
-        return F.when((F.length(w) >= 4) & (F.length(nxt) >= 4), F.concat_ws(" ", w, nxt))
-    return F.transform(heads, pair)
-
-
-def _phrase_list(t):
-    unigrams = F.filter(t, lambda w: F.length(w) >= 4)
-    return F.array_distinct(F.filter(F.concat(unigrams, _bigram_list(t)), lambda x: x.isNotNull()))
-
-
 def message_tokens(messages: DataFrame) -> DataFrame:
     """T1 up to tokens: (MessageId, UserId, ForumTopicId, tokens), blank messages dropped; the one cleaning pass."""
     return messages.filter(F.col("Message").isNotNull()).select(
         "MessageId", "UserId", "ForumTopicId", clean_tokens("Message").alias("tokens"))
 
 
-def phrase_frequencies(tokens: DataFrame) -> DataFrame:
-    """Message counts of all candidate phrases (partially aggregated): the
-    distinct unstemmed tokens of length >= 4 and bigrams of two adjacent such
-    tokens, what the binding takes for a skill phrase."""
-    # explode_outer + null filter: a plain explode's inferred size filter
-    # would evaluate the list a second time
-    each = tokens.select(F.explode_outer(let(F.col("tokens"), _phrase_list)).alias("phrase"))
-    return each.filter(F.col("phrase").isNotNull()).groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
-
+def frequent_phrases(tokens: DataFrame, vocabulary: DataFrame, n: int) -> DataFrame:
+    """(phrase, doc_count): the ``n`` most frequent phrases by message count, ties by text.  A phrase is an unstemmed
+    token of length >= 4 or two adjacent such tokens.
 
-def phrase_taxonomy(tokens: DataFrame, tags: DataFrame) -> DataFrame:
-    """Binding of the skill taxonomy to the prose: the i-th tag (by TagId)
-    is paired with the i-th most frequent candidate phrase by message count,
-    ties by text.  Only as many phrases as there are tags are ordered."""
+    Token counts are those of the vocabulary.  A pair is in no more messages than either of its tokens, so only
+    pairs of tokens that reach the count of the n-th token can be among the first n; the others are sorted out inside
+    their row by a bitmap of hashes (a false hit is a pair more, counted like all others)."""
     order = [F.col("doc_count").desc(), F.col("phrase")]
-    first = phrase_frequencies(tokens).orderBy(*order).limit(tags.count())
+    single = vocabulary.filter(F.length("token") >= 4).select(F.col("token").alias("phrase"), "doc_count")
+    least = single.orderBy(*order).limit(n).agg(F.coalesce(F.min("doc_count"), F.lit(0))).scalar()
+    frequent = hash_bitmap(single.filter(F.col("doc_count") >= least).select(F.col("phrase").alias("token")))
+    held = tokens.select("tokens", frequent.alias("_bitmap")).selectExpr(f"""transform(tokens, t ->
+        if(length(t) >= 4 AND {in_bitmap('t', '_bitmap')}, t, NULL)) AS t""")
+    pairs = held.selectExpr("""explode_outer(array_distinct(filter(transform(t, (w, i) ->
+        if(w IS NULL, NULL, concat(w, ' ', get(t, i + 1)))), x -> x IS NOT NULL))) AS phrase""")
+    pairs = pairs.filter("phrase IS NOT NULL").groupBy("phrase").agg(F.count(F.lit(1)).alias("doc_count"))
+    return single.unionByName(pairs).orderBy(*order).limit(n)
+
+
+def phrase_taxonomy(tokens: DataFrame, vocabulary: DataFrame, tags: DataFrame) -> DataFrame:
+    """Binding of the skill taxonomy to the prose: the i-th tag (by TagId)
+    is paired with the i-th most frequent phrase.  Only as many phrases as there
+    are tags are ordered."""
+    first = frequent_phrases(tokens, vocabulary, tags.count())
     ranked = ordinal(first.withColumn("order", F.struct((-F.col("doc_count")).alias("n"), "phrase")), "order", "TagId")
     return tags.join(ranked, "TagId", "inner").select("TagId", "Name", "phrase", "doc_count")
 
@@ -170,7 +162,7 @@ def discussion_skill_scores(counts: DataFrame) -> DataFrame:
 
 def discussion_pipeline(c, html: bool = False, scored: bool = True, keep=None) -> dict:
     """The whole discussion branch over a community (driver bindings or CSV
-    exports); ``c.skill_phrases(tokens)`` gives (TagId, Name, phrase).
+    exports); ``c.skill_phrases(tokens, vocabulary)`` gives (TagId, Name, phrase).
 
     ``keep(name, build)`` makes a reused table durable (by default it writes
     ``build()`` at once): the cleaned tokens, so that text is cleaned once; the
@@ -178,11 +170,13 @@ def discussion_pipeline(c, html: bool = False, scored: bool = True, keep=None) -
     twice."""
     keep = keep or (lambda name, build: materialize(build()))
     plain = keep("tokens", lambda: message_tokens(c.forum_messages()))
-    phrases = keep("phrases", lambda: c.skill_phrases(plain))
+    words = keep("vocabulary", lambda: stemmed_vocabulary(plain))
+    phrases = keep("phrases", lambda: c.skill_phrases(plain, words))
     taxonomy = keep("taxonomy", lambda: keyword_taxonomy(phrases))
-    mark = "html_" if html else ""
-    tokens = keep("html_tokens", lambda: message_tokens(c.forum_messages(True))) if html else plain
-    vocabulary = keep(f"{mark}vocabulary", lambda: stemmed_vocabulary(tokens))
+    mark, tokens, vocabulary = "", plain, words
+    if html:
+        mark, tokens = "html_", keep("html_tokens", lambda: message_tokens(c.forum_messages(True)))
+        vocabulary = keep("html_vocabulary", lambda: stemmed_vocabulary(tokens))
     msgs = forum_message_rows(c.forum_messages(html), c.forum_topics(html), c.forums(html))
     mentions = on_forum_path(message_mentions(tokens, taxonomy, vocabulary), c.forum_topics(html), c.forums(html))
     counts = keep(f"{mark}counts", lambda: mention_counts(mentions)) if scored else mention_counts(mentions)

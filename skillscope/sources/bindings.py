@@ -189,10 +189,12 @@ def forums(t: DriverTables, html: bool = False) -> DataFrame:
 
 
 class Community:
-    """All engine tables bound from one driver folder (lazy)."""
+    """All engine tables bound from one driver folder (lazy).  ``keep(name, build)`` may store what many tables are
+    made from: the tags, one row for each distinct part name."""
 
-    def __init__(self, tables: DriverTables):
+    def __init__(self, tables: DriverTables, keep=None):
         self.t = tables
+        self._keep = keep or (lambda name, build: build())
         self._tags = None
 
     @property
@@ -216,7 +218,7 @@ class Community:
 
     def tags(self):
         if self._tags is None:
-            self._tags = tags(self.t)
+            self._tags = self._keep("tags", lambda: tags(self.t))
         return self._tags
 
     def kernel_tags(self):
@@ -231,12 +233,12 @@ class Community:
     def team_memberships(self):
         return team_memberships(self.t)
 
-    def skill_phrases(self, tokens=None):
+    def skill_phrases(self, tokens, vocabulary):
         """Tag names paired with frequent phrases of the prose (FIXTURES C):
         the driver's tag names never occur in its documents.  ``tokens``: the
-        cleaned messages, if they are there already."""
-        from ..plans.skills import message_tokens, phrase_taxonomy
-        return phrase_taxonomy(tokens if tokens is not None else message_tokens(self.forum_messages()), self.tags())
+        cleaned messages, ``vocabulary``: their distinct tokens."""
+        from ..plans.skills import phrase_taxonomy
+        return phrase_taxonomy(tokens, vocabulary, self.tags())
 
     def forum_messages(self, html: bool = False):
         return forum_messages(self.t, html)
@@ -248,5 +250,5 @@ class Community:
         return forums(self.t, html)
 
 
-def community(spark, sf_dir: str) -> Community:
-    return Community(DriverTables(spark, sf_dir))
+def community(spark, sf_dir: str, keep=None) -> Community:
+    return Community(DriverTables(spark, sf_dir), keep)

@@ -73,7 +73,7 @@ class CsvCommunity:
     def forums(self, html: bool = False):
         return self._t("Forums").select("ForumId", "Title")
 
-    def skill_phrases(self, tokens=None):
+    def skill_phrases(self, tokens, vocabulary):
         """Each tag's own name is its phrase (normalised like message text)."""
         return self.tags().select("TagId", "Name", F.col("Name").alias("phrase"), F.lit(None).cast("long")
                                   .alias("doc_count"))

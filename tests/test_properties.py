@@ -46,10 +46,12 @@ def test_union_form_equals_full_outer_joins(spark):
 
 def test_mentions_never_overlap(spark):
     """Within a message, chosen matches cover disjoint token spans."""
+    from skillscope.functions.stem import stemmed_vocabulary
     from skillscope.functions.text import stemmed_tokens
     from skillscope.operators.tagging import tag_documents
     c = community(spark, SF_SMALL)
-    tax = materialize(sk.keyword_taxonomy(sk.phrase_taxonomy(sk.message_tokens(c.forum_messages()), c.tags())))
+    tokens = sk.message_tokens(c.forum_messages())
+    tax = materialize(sk.keyword_taxonomy(sk.phrase_taxonomy(tokens, stemmed_vocabulary(tokens), c.tags())))
     kwset = {r["keyword"]: r["Name"] for r in tax.collect()}
     docs = c.t.documents.select("doc_id", stemmed_tokens("text").alias("tokens"))
     names = {r["doc_id"]: r["names"] for r in tag_documents(docs, "tokens", ["doc_id"], tax).collect()}
