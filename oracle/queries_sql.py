@@ -424,6 +424,8 @@ SELECT 'forum_messages', count(*) FROM forum_messages UNION ALL
 SELECT 'forum_topics', count(*) FROM forum_topics UNION ALL
 SELECT 'forums', count(*) FROM forums"""),
     "s_preview": q("", "SELECT * FROM users ORDER BY UserId LIMIT 20"),
+    "s_csv_users": q("", "SELECT UserId, UserName, DisplayName, PerformanceTier FROM users"),
+    "s_csv_messages": q("", "SELECT MessageId, ForumTopicId, UserId, Message FROM forum_messages"),
     # projections
     "p_rename_select": q("", "SELECT KernelId, UserId, TotalViews, TotalComments, TotalVotes FROM kernels"),
     "p_derived_scores": q(FEATURES, "SELECT UserId, TotalDisc, TotalComp, TotalScript, TotalMedals FROM medals"),
@@ -513,6 +515,13 @@ tcp AS (SELECT *,
                                           "round(KernelScore, 6) AS KernelScore, round(DiscScore, 6) AS DiscScore, "
                                           "round(SkillScore, 6) AS SkillScore FROM skill_scores "
                                           "ORDER BY SkillScore DESC, UserId, Name LIMIT 10"),
+    "o_top_experts_of_every_skill": q(MODEL.rstrip() + "," + SKILL_SCORES.rstrip() + """,
+combined AS (
+  SELECT k.Name, s.UserId, s.ExpertiseScore * 0.25 + k.SkillScore * 0.75 AS CombinedScore
+  FROM scored s JOIN skill_scores k ON k.UserId = s.UserId),
+placed AS (SELECT *, row_number() OVER (PARTITION BY Name ORDER BY CombinedScore DESC, UserId) AS place FROM combined)""",
+        "SELECT Name, CAST(place AS INTEGER) AS Rank, UserId, round(CombinedScore, 6) AS CombinedScore FROM placed "
+        "WHERE place <= 25"),
     "o_limit": q("", "SELECT * FROM tags ORDER BY TagId LIMIT 10"),
     "o_hash_sample": q(COHORTS, "SELECT UserId FROM ne_sample"),
     "o_downsample": q(COHORTS, "SELECT UserId, Expert FROM ne_down"),

@@ -7,11 +7,13 @@ so an independent SQL engine can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .config import DOWNSAMPLE_FRACTION, TOP_SKILLS_SIZE
+from .config import DOWNSAMPLE_FRACTION, SEARCH_SIZE, TOP_SKILLS_SIZE
 from .functions.stem import stemmed_rows
 from .functions.text import normalized_text, tidy_split
 from .operators.sampling import hash_sample
@@ -20,15 +22,16 @@ from .plans import features as fe
 from .plans import model as mo
 from .plans import search as se
 from .plans import skills as sk
-from .session import materialize
+from .session import materialize, shared_folder, store_by
 from .sources.bindings import community
+from .sources.readers import convert_messages, read_csv_table
 
 # The skill searched by the registered search query (a tag of the bound data).
 SEARCH_SKILL = "Blue Rod"
 
-# Folders of the tables that many queries start from (features, cleaned tokens, vocabulary, taxonomy, mention counts,
+# The tables that many queries start from (features, cleaned tokens, vocabulary, taxonomy, mention counts,
 # skill scores), by application and state of the input: each is written once.
-_TABLES: dict[tuple, str] = {}
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 def _version(spark, sf_dir):
@@ -38,15 +41,12 @@ def _version(spark, sf_dir):
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
-def _kept(spark, sf_dir, name, build):
+def _kept(spark, sf_dir, name, build, store=materialize):
+    """The table of that name, built and stored at its first use; ``store`` returns a scan of the files it wrote."""
     key = (spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir), name)
     if key not in _TABLES:
-        table = materialize(build())
-        files = table.inputFiles()
-        if not files:
-            return table
-        _TABLES[key] = files[0].rsplit("/", 1)[0]
-    return spark.read.parquet(_TABLES[key])
+        _TABLES[key] = store(build())
+    return _TABLES[key]
 
 
 def _c(spark, sf_dir):
@@ -102,6 +102,33 @@ def s_preview(spark, sf_dir):
     return _c(spark, sf_dir).users().orderBy("UserId").limit(20)
 
 
+def _exported(spark, df, **options):
+    """``df`` written as a CSV export to the scratch folder; its path."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    df.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                     **options).csv(path)
+    return path
+
+
+def s_csv_users(spark, sf_dir):
+    """The users written as the community's CSV export and read back by the declared schema."""
+    out = _c(spark, sf_dir).users().selectExpr(
+        "UserId AS Id", "UserName", "DisplayName", "CAST(NULL AS string) AS RegisterDate", "PerformanceTier")
+    return read_csv_table(spark, _exported(spark, out), "Users").select(
+        "UserId", "UserName", "DisplayName", "PerformanceTier")
+
+
+def s_csv_messages(spark, sf_dir):
+    """The messages (line breaks, quotes and commas in their text) as a multi-line CSV export, converted once
+    to Parquet and read from there."""
+    out = _c(spark, sf_dir).forum_messages().selectExpr(
+        "MessageId AS Id", "ForumTopicId", "UserId AS PostUserId", "CAST(NULL AS string) AS PostDate", "Message",
+        "CAST(NULL AS int) AS Medal")
+    stored = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    convert_messages(spark, _exported(spark, out), stored, spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(stored).select("MessageId", "ForumTopicId", "UserId", "Message")
+
+
 # ---- projections -------------------------------------------------------------------
 def p_rename_select(spark, sf_dir):
     return _c(spark, sf_dir).kernels().select("KernelId", "UserId", "TotalViews", "TotalComments", "TotalVotes")
@@ -312,6 +339,14 @@ def o_top_skill_scores(spark, sf_dir):
     return _rounded(sk.top_skill_scores(c_skill_scores_raw(spark, sf_dir), TOP_SKILLS_SIZE))
 
 
+def o_top_experts_of_every_skill(spark, sf_dir):
+    """O2 for all tags at once: the 25 best users of every skill by CombinedScore."""
+    uas = se.users_and_skills(_scored_population(spark, sf_dir), c_skill_scores_raw(spark, sf_dir), every=True)
+    top = sk.top_in_each(uas.select("Name", "UserId", "CombinedScore"), "Name",
+                         [F.col("CombinedScore").desc(), F.col("UserId")], SEARCH_SIZE)
+    return _rounded(top.select("Name", "Rank", "UserId", "CombinedScore"))
+
+
 def o_limit(spark, sf_dir):
     return _c(spark, sf_dir).tags().orderBy("TagId").limit(10)
 
@@ -461,8 +496,9 @@ def c_comp_scores(spark, sf_dir):
 
 
 def c_skill_scores_raw(spark, sf_dir):
-    return _kept(spark, sf_dir, "skill_scores",
-                 lambda: sk.skill_scores(_c(spark, sf_dir), keep=_keeper(spark, sf_dir)))
+    """The score store: one folder for each tag, so that a search reads one folder."""
+    return _kept(spark, sf_dir, "skill_scores", lambda: sk.skill_scores(_c(spark, sf_dir), keep=_keeper(spark, sf_dir)),
+                 lambda df: store_by(df, "Name"))
 
 
 def c_skill_scores(spark, sf_dir):

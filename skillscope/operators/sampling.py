@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import ordinal
-
 HASH_SPACE = float(1 << 60)
+LEVEL_BITS = 20     # of the 60 bits of a hash, for one level of the selection
 
 
 def key_hash(key) -> Column:
@@ -29,12 +28,42 @@ def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     return df.filter(key_hash(key) < F.lit(int(fraction * HASH_SPACE)))
 
 
+def _digit_of_kth(hashes: DataFrame, shift: int, state: Column | None, limit: Column) -> Column:
+    """One level of the selection, as a lazy struct (prefix, rest): the prefix down to ``shift`` bits of the hash with
+    the wanted place, and its place among the hashes of that prefix (null once there are too few)."""
+    named = hashes.select("h", (F.struct(F.lit(0).cast("long").alias("prefix"), limit.cast("long").alias("rest"))
+                                if state is None else state).alias("s"))
+    digits = named.filter(f"shiftright(h, {shift + LEVEL_BITS}) = s.prefix").groupBy(
+        F.expr(f"shiftright(h, {shift})").alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.first("s.rest").alias("rest"))
+    listed = digits.agg(F.sort_array(F.collect_list(F.struct("prefix", "n"))).alias("a"), F.first("rest").alias("rest"))
+    return listed.selectExpr("""aggregate(a, named_struct('prefix', CAST(NULL AS bigint), 'rest', rest), (acc, x) ->
+        if(acc.prefix IS NOT NULL, acc, if(acc.rest <= x.n, named_struct('prefix', x.prefix, 'rest', acc.rest),
+           named_struct('prefix', CAST(NULL AS bigint), 'rest', acc.rest - x.n)))) AS s""").scalar()
+
+
+def kth_hash(df: DataFrame, key: str, limit: Column) -> Column:
+    """The ``limit``-th smallest key hash as a lazy column; null if ``df`` has
+    fewer keys.
+
+    Radix selection: a histogram over the first LEVEL_BITS bits finds the prefix
+    that holds the wanted place, a histogram of the next bits inside that prefix
+    goes on, until all 60 bits are known.  Each level is one aggregate of at most
+    2^LEVEL_BITS rows whatever the input's size; rows are neither sorted nor moved."""
+    hashes = df.select(key_hash(key).alias("h"))
+    state = None
+    for shift in range(60 - LEVEL_BITS, -1, -LEVEL_BITS):
+        state = _digit_of_kth(hashes, shift, state, limit)
+    return state["prefix"]
+
+
 def cap_by_hash(df: DataFrame, key: str, limit: Column) -> DataFrame:
-    """Keep the ``limit`` rows with the smallest key hash.  ``limit`` is a
-    column expression (e.g. a scalar subquery), so the cap stays lazy; the
-    order comes from the distributed ranker."""
-    ranked = ordinal(df.withColumn("_hk", key_hash(key)), "_hk", "_hrank")
-    return ranked.filter(F.col("_hrank") <= limit).drop("_hk", "_hrank")
+    """Keep the ``limit`` rows with the smallest key hash (rows that share the
+    last hash stay together; null keys never do).  ``limit`` is a column
+    expression (e.g. a scalar subquery), so the cap stays lazy; one filter with
+    the exact threshold of :func:`kth_hash`."""
+    last = kth_hash(df, key, limit)
+    marked = df.withColumn("_hk", key_hash(key)).withColumn("_last", last).withColumn("_limit", limit)
+    return marked.filter("_limit > 0 AND _hk IS NOT NULL AND coalesce(_hk <= _last, true)").drop("_hk", "_last", "_limit")
 
 
 def downsample(df: DataFrame, key: str, target: DataFrame) -> DataFrame:

@@ -17,16 +17,18 @@ SEARCH_COLUMNS = ["DisplayName", "ExpertiseScore", "SkillScore", "CombinedScore"
 INT_COLUMNS = SEARCH_COLUMNS[4:]
 
 
-def users_and_skills(scored_users: DataFrame, skill_scores: DataFrame, skill: str | None = None) -> DataFrame:
+def users_and_skills(scored_users: DataFrame, skill_scores: DataFrame, skill: str | None = None,
+                     every: bool = False) -> DataFrame:
     """Users with their skill scores and
     CombinedScore = 0.25 * ExpertiseScore + 0.75 * SkillScore.
 
     With ``skill`` only that tag's rows are joined (F10: the argument is
-    lowercased, the column is compared as is)."""
+    lowercased, the column is compared as is); with ``every`` the rows of all
+    tags, without the users who have none."""
     skills = skill_scores
     if skill is not None:
         skills = skills.filter(F.col("Name") == skill.lower())
-    joined = scored_users.join(skills, "UserId", "inner" if skill is not None else "left")
+    joined = scored_users.join(skills, "UserId", "inner" if skill is not None or every else "left")
     score_cols = ["CompScore", "KernelScore", "DiscScore", "SkillScore"]
     joined = joined.fillna(0, subset=[c for c in score_cols if c in joined.columns])
     return joined.withColumn("CombinedScore", F.col("ExpertiseScore") * EXPERTISE_WEIGHT

@@ -2,8 +2,8 @@
 
 Kernel branch:      per-kernel global percentiles of views/comments/votes
                     -> kernel x tags -> mean per (user, tag)
-Competition branch: per-team leaderboard and medal percentiles -> team x
-                    competition tags x members -> mean per (user, tag)
+Competition branch: per-team leaderboard and medal percentiles -> sums per
+                    (competition, user) -> competition tags -> mean per (user, tag)
 Discussion branch:  messages -> topics -> forums -> cleaned, stemmed tokens
                     -> dictionary tagging -> mentions per (user, tag)
                     -> average percentile of the count inside each tag
@@ -13,7 +13,7 @@ Combination:        the three long frames are unioned and grouped once on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NO_MEDAL_CODE
@@ -77,10 +77,20 @@ def team_member_tag_rows(teams: DataFrame, competition_tags: DataFrame, tags: Da
 
 
 def competition_skill_scores(teams, competition_tags, tags, memberships, **kw) -> DataFrame:
-    """Mean competition score per (user, tag)."""
-    rows = team_member_tag_rows(teams, competition_tags, tags, memberships, **kw)
-    rows = rows.filter(F.col("UserId").isNotNull() & F.col("Name").isNotNull())
-    return rows.groupBy("UserId", "Name").agg(F.coalesce(F.avg("CompScore"), F.lit(0.0)).alias("CompScore"))
+    """Mean competition score per (user, tag).
+
+    The mean over teams x members x tags is taken without that product: scores
+    and counts are summed for each (competition, user) first, and only these sums
+    meet the competition's tags, where they are summed again."""
+    scored = team_scores(teams, **kw).select("TeamId", "CompetitionId", "CompScore")
+    members = memberships.filter(F.col("UserId").isNotNull()).select("TeamId", "UserId")
+    sums = scored.join(members, "TeamId").groupBy("CompetitionId", "UserId").agg(
+        F.sum("CompScore").alias("_sum"), F.count("CompScore").alias("_n"))
+    named = competition_tags.select("CompetitionId", "TagId").join(
+        tags.filter(F.col("Name").isNotNull()).select("TagId", "Name"), "TagId")
+    met = sums.join(named.select("CompetitionId", "Name"), "CompetitionId")
+    return met.groupBy("UserId", "Name").agg(
+        F.coalesce(F.try_divide(F.sum("_sum"), F.sum("_n")), F.lit(0.0)).alias("CompScore"))
 
 
 # ---- discussion branch (C11, T1-T4) ---------------------------------------------
@@ -216,6 +226,15 @@ def skill_scores(c, html: bool = False, keep=None) -> DataFrame:
     return combine_skill_scores(comp, kernel, disc)
 
 
+def top_in_each(scores: DataFrame, group: str, order: list, n: int, rank_col: str = "Rank") -> DataFrame:
+    """O2 for all groups at once: the ``n`` best rows of every ``group`` by ``order``, numbered from 1.
+
+    Every task keeps its own ``n`` best rows of a group before anything is shuffled (the window's group limit), so a
+    hot group sends ``n`` rows a task and is never sorted as a whole.  A null group is one too."""
+    ranked = scores.withColumn(rank_col, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.filter(F.col(rank_col) <= n)
+
+
 def top_skill_scores(scores: DataFrame, n: int = 10) -> DataFrame:
     """O1: the n best (user, tag) pairs by SkillScore (ties by user, tag)."""
     return scores.orderBy(F.col("SkillScore").desc(), "UserId", "Name").limit(n)
