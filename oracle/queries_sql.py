@@ -164,6 +164,34 @@ def r6(e: str, name: str) -> str:
     return f"round({e}, 6) AS \"{name}\""
 
 
+def _words_of_messages() -> str:
+    x = "Message"
+    for pat in (r"(?is)<script[^>]*>.*?</script[^>]*>", r"(?is)<style[^>]*>.*?</style[^>]*>", r"(?s)<!--.*?-->",
+                r"<[a-zA-Z/!][^>]*>"):
+        x = f"regexp_replace({x}, {sq(pat)}, ' ', 'g')"
+    x = f"(CASE WHEN contains(Message, '<') OR contains(Message, '&') THEN {decoded(x)} ELSE Message END)"
+    return f"list_filter(string_split({spaced(x)}, ' '), lambda w: w <> '')"
+
+
+# F16: words in order, abbreviations by counts, ends of sentences.
+SENTENCES = f"""
+texts AS (SELECT MessageId, {_words_of_messages()} AS t FROM forum_messages WHERE Message IS NOT NULL),
+each AS MATERIALIZED (SELECT MessageId, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i, len(t) AS n FROM texts),
+named AS (
+  SELECT *, lower(regexp_extract(w, '^["''(\\[]*((?:\\p{{L}}+[.])*\\p{{L}}+)[.]$', 1)) AS dotted,
+         lower(regexp_extract(w, '^["''(\\[]*((?:\\p{{L}}+[.])*\\p{{L}}+)[,;:!?"'')\\]]*$', 1)) AS plain,
+         lead(w) OVER (PARTITION BY MessageId ORDER BY i) AS after FROM each),
+abbr AS (
+  SELECT CASE WHEN dotted <> '' THEN dotted ELSE plain END AS word, count(*) FILTER (WHERE dotted <> '') AS n_dotted,
+         count(*) FILTER (WHERE dotted = '') AS n_plain
+  FROM named GROUP BY 1 HAVING length(word) BETWEEN 1 AND 6 AND n_dotted >= 3 AND n_dotted >= 0.75 * (n_dotted + n_plain)),
+ends AS (
+  SELECT MessageId, i FROM named
+  WHERE i = n - 1 OR (regexp_matches(w, '[.!?]["''\u2019\u201D\u00BB)\\]]*$')
+    AND regexp_matches(after, '^["''\u2018\u201C\u00AB(\\[]*[\\p{{Lu}}\\p{{N}}]')
+    AND dotted NOT IN (SELECT word FROM abbr)))
+"""
+
 # ---- shared CTE blocks ---------------------------------------------------------------
 FEATURES = """
 active_users AS (SELECT * FROM users WHERE PerformanceTier IN (1, 2, 3, 4, 5)),
@@ -271,6 +299,56 @@ MODEL = COHORTS.rstrip() + "," + model_inputs("train", "train_in") + "," + model
     "population", "pop_in") + "," + linear("pop_in", "scored") + f""",
 holdout AS (SELECT * FROM train_in WHERE {hsplit('UserId')} < {HOLDOUT_LIMIT}),""" + linear("holdout", "holdout_pred")
 
+def fitted(rounds: int = 20) -> str:
+    """CTEs up to ``fit`` (w0..w5): Newton rounds from zero, each an aggregate of the training rows and an elimination of
+    the 6 x 6 system, column by column."""
+    feats = ["NumFollowers", "TotalMedals", "KernelsCreated", "UserKernelScore", "Ranked"]
+    n = len(feats) + 1
+    out = ["fit_rows AS MATERIALIZED (SELECT CAST(1 AS DOUBLE) AS x0, "
+           + ", ".join(f"CAST({f} AS DOUBLE) AS x{i + 1}" for i, f in enumerate(feats))
+           + f", CAST(Expert AS DOUBLE) AS y FROM train_in WHERE NOT {hsplit('UserId')} < {HOLDOUT_LIMIT})",
+           "fit0 AS (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS w{i}" for i in range(n)) + ")"]
+    for r in range(rounds):
+        z = " + ".join(f"w{i} * x{i}" for i in range(n))
+        ridge = {(i, i): " + 1" for i in range(1, n)}
+        sums = [f"sum(v * x{i} * x{j}){ridge.get((i, j), '')} AS a{i}_{j}" for i in range(n) for j in range(n)]
+        sums += [f"sum((p - y) * x{i})" + (f" + any_value(w{i})" if i else "") + f" AS a{i}_{n}" for i in range(n)]
+        keep = ", ".join(f"any_value(w{i}) AS w{i}" for i in range(n))
+        out.append(f"sys{r}_0 AS MATERIALIZED (SELECT {keep}, {', '.join(sums)} FROM (SELECT *, p * (1 - p) AS v FROM "
+                   f"(SELECT *, 1 / (1 + exp(-({z}))) AS p FROM fit_rows, fit{r})))")
+        for k in range(n):
+            cells = [f"w{i}" for i in range(n)]
+            for i in range(n):
+                for j in range(k + 1, n + 1):
+                    cells.append(f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else
+                                 f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}")
+            out.append(f"sys{r}_{k + 1} AS MATERIALIZED (SELECT {', '.join(cells)} FROM sys{r}_{k})")
+        out.append(f"fit{r + 1} AS MATERIALIZED (SELECT " + ", ".join(f"w{i} - a{i}_{n} AS w{i}" for i in range(n)) + f" FROM sys{r}_{n})")
+    out.append(f"fit AS (SELECT * FROM fit{rounds})")
+    return ",\n".join(out)
+
+
+def fitted_score(src: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT * EXCLUDE (p), p AS ExpertiseScore, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS ExpertisePred
+  FROM (SELECT s.*, 1 / (1 + exp(-(w0 + w1 * NumFollowers + w2 * TotalMedals + w3 * KernelsCreated
+                                   + w4 * UserKernelScore + w5 * Ranked))) AS p FROM {src} s, fit))"""
+
+
+FIT = (COHORTS.rstrip() + "," + model_inputs("train", "train_in") + "," + model_inputs("population", "pop_in") + ","
+       + fitted() + "," + fitted_score("pop_in", "scored") + f""",
+holdout AS (SELECT * FROM train_in WHERE {hsplit('UserId')} < {HOLDOUT_LIMIT}),""" + fitted_score("holdout", "holdout_pred"))
+
+METRICS = """
+SELECT round(avg((Expert - ExpertisePred) * (Expert - ExpertisePred)), 6) AS mse,
+  round(avg(CASE WHEN Expert = ExpertisePred THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  round(CASE WHEN sum(ExpertisePred) > 0 THEN sum(Expert * ExpertisePred) / sum(ExpertisePred) ELSE 0.0 END, 6) AS precision,
+  round(CASE WHEN sum(Expert) > 0 THEN sum(Expert * ExpertisePred) / sum(Expert) ELSE 0.0 END, 6) AS recall,
+  round((sum(Expert * ExpertisePred) / sum(Expert) + sum((1 - Expert) * (1 - ExpertisePred)) / sum(1 - Expert)) / 2, 6)
+    AS auc_hard
+FROM holdout_pred"""
+
 SKILLS = """
 kernel_items0 AS (
   SELECT KernelId, UserId, TotalViews, TotalComments, TotalVotes,
@@ -545,6 +623,12 @@ vocab AS (SELECT token, count(*) AS doc_count FROM (
   SELECT doc_id, unnest(list_distinct({clean_tokens('text')})) AS token FROM documents) GROUP BY token),
 {stems("SELECT token FROM vocab", "stemmed")}""",
                       "SELECT v.token, s.stem, v.doc_count FROM vocab v JOIN stemmed s ON s.token = v.token"),
+    "t_abbreviations": q(SENTENCES, "SELECT word, n_dotted, n_plain FROM abbr"),
+    "t_sentences": q(SENTENCES, """
+SELECT MessageId, CAST(row_number() OVER m - 1 AS INTEGER) AS sentence,
+       CAST(coalesce(lag(i) OVER m, -1) + 1 AS INTEGER) AS first_word,
+       CAST(i - coalesce(lag(i) OVER m, -1) AS INTEGER) AS n_words
+FROM ends WINDOW m AS (PARTITION BY MessageId ORDER BY i)"""),
     "t_ngram_candidates": q(SKILLS.rstrip() + "," + DISC, "SELECT TagId, Name, phrase, doc_count FROM phrases"),
     "t_taxonomy_keywords": q(SKILLS.rstrip() + "," + DISC, "SELECT keyword, Name, CAST(n_tokens AS INTEGER) AS n_tokens "
                                                            "FROM taxonomy"),
@@ -560,6 +644,27 @@ vocab AS (SELECT token, count(*) AS doc_count FROM (
     "m_onehot": "SELECT o_orderkey, " + ", ".join(
         f"CAST(o_orderpriority = '{p}' AS INTEGER) AS \"o_orderpriority_{p}\""
         for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " FROM orders",
+    "m_index_encoding": """
+WITH days AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+counts AS (SELECT day, row_number() OVER (ORDER BY count(*) DESC, day) - 1 AS k FROM days WHERE day IS NOT NULL GROUP BY day)
+SELECT d.o_orderkey, d.day, CAST(c.k AS INTEGER) AS day_index, CAST((SELECT count(*) FROM counts) AS INTEGER) AS n_categories,
+       CAST(c.k AS INTEGER) AS hot, CAST(CASE WHEN c.k IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_hot
+FROM days d LEFT JOIN counts c ON c.day = d.day""",
+    "m_coefficients": q(FIT, """
+SELECT unnest(['intercept', 'NumFollowers', 'TotalMedals', 'KernelsCreated', 'UserKernelScore', 'Ranked']) AS term,
+       round(unnest([w0, w1, w2, w3, w4, w5]), 6) AS weight FROM fit"""),
+    "m_logistic_fit_score": q(FIT, "SELECT UserId, ExpertisePred, round(ExpertiseScore, 6) AS ExpertiseScore FROM scored"),
+    "m_fitted_metrics": q(FIT.rstrip() + """,
+ranks AS (SELECT Expert, rank() OVER (ORDER BY ExpertiseScore) + (count(*) OVER (PARTITION BY ExpertiseScore) - 1) / 2.0
+          AS r FROM holdout_pred),
+area AS (SELECT round((sum(CASE WHEN Expert = 1 THEN r END) - sum(Expert) * (sum(Expert) + 1) / 2.0)
+             / (sum(Expert) * (count(*) - sum(Expert))), 6) AS auc FROM ranks),
+metrics AS (""" + METRICS + ")", "SELECT m.*, a.auc FROM metrics m, area a"),
+    "c_fitted_search": q(FIT.rstrip() + "," + SKILL_SCORES.rstrip() + f""",
+uas AS (
+  SELECT s.*, k.Name, k.SkillScore, s.ExpertiseScore * 0.25 + k.SkillScore * 0.75 AS CombinedScore
+  FROM scored s JOIN skill_scores k ON k.UserId = s.UserId WHERE k.Name = {sq(SEARCH_SKILL.lower())}),
+top AS (SELECT * FROM uas ORDER BY CombinedScore DESC, UserId ASC LIMIT 25)""", f"SELECT {_search_select()} FROM top"),
     "m_linear_score": q(MODEL, "SELECT UserId, round(ExpertiseScore, 6) AS ExpertiseScore, ExpertisePred FROM scored"),
     "m_metrics": q(MODEL, """
 SELECT round(avg((Expert - ExpertisePred) * (Expert - ExpertisePred)), 6) AS mse,

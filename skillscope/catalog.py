@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .config import DOWNSAMPLE_FRACTION, SEARCH_SIZE, TOP_SKILLS_SIZE
+from .functions.sentences import abbreviations, sentences, text_words
 from .functions.stem import stemmed_rows
 from .functions.text import normalized_text, tidy_split
 from .operators.sampling import hash_sample
@@ -398,6 +399,26 @@ def t_token_clean(spark, sf_dir):
     return stems.select(F.col("MessageId").alias("doc_id"), F.array_join("tokens", " ").alias("message_clean"))
 
 
+def _worded(spark, sf_dir):
+    """The messages as words (markup removed, punctuation kept), stored once."""
+    return _kept(spark, sf_dir, "words", lambda: _c(spark, sf_dir).forum_messages().filter("Message IS NOT NULL").select(
+        "MessageId", text_words("Message").alias("words")))
+
+
+def _abbreviations(spark, sf_dir):
+    return _kept(spark, sf_dir, "abbreviations", lambda: abbreviations(_worded(spark, sf_dir)))
+
+
+def t_abbreviations(spark, sf_dir):
+    """F16: the words that the messages write with a dot most of the time."""
+    return _abbreviations(spark, sf_dir)
+
+
+def t_sentences(spark, sf_dir):
+    """F16: every sentence of every message, by the positions of its words."""
+    return sentences(_worded(spark, sf_dir), "MessageId", _abbreviations(spark, sf_dir))
+
+
 def t_explode_split(spark, sf_dir):
     """tidy split of each message's comma-joined match list."""
     m = _disc(spark, sf_dir)["mentions"]
@@ -441,6 +462,15 @@ def m_onehot(spark, sf_dir):
     return mo.one_hot(_c(spark, sf_dir).t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority")
 
 
+def m_index_encoding(spark, sf_dir):
+    """The order days (some thousand categories) as frequency-ordered index and sparse one-hot vector."""
+    days = _c(spark, sf_dir).t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    out = mo.encode_categorical(days, "day")
+    return out.select("o_orderkey", "day", "day_index", F.col("day_vector.size").alias("n_categories"),
+                      F.try_element_at("day_vector.indices", F.lit(1)).alias("hot"),
+                      F.size("day_vector.values").alias("n_hot"))
+
+
 def m_linear_score(spark, sf_dir):
     return _rounded(_scored_population(spark, sf_dir).select("UserId", "ExpertiseScore", "ExpertisePred"))
 
@@ -460,14 +490,14 @@ def _fitted(spark, sf_dir):
 
 
 def m_coefficients(spark, sf_dir):
-    """M6: intercept and coefficients of the fitted model (no SQL oracle)."""
-    return mo.coefficients(_fitted(spark, sf_dir)[0], spark)
+    """M6: intercept and coefficients of the fitted model."""
+    return _rounded(mo.coefficients(_fitted(spark, sf_dir)[0], spark))
 
 
 def m_logistic_fit_score(spark, sf_dir):
     """M5: every active user scored by the fitted model."""
     model, _ = _fitted(spark, sf_dir)
-    return mo.score(model, _population(spark, sf_dir)).select("UserId", "ExpertisePred", "ExpertiseScore")
+    return _rounded(mo.score(model, _population(spark, sf_dir)).select("UserId", "ExpertisePred", "ExpertiseScore"))
 
 
 def m_fitted_metrics(spark, sf_dir):

@@ -122,3 +122,21 @@ def test_vocabulary_stems_equal_stems_in_place(spark):
     want = {r["id"]: r["s"] for r in docs.select("id", stem_tokens(F.col("tokens")).alias("s")).collect()}
     assert {r["id"]: r["tokens"] for r in stemmed_rows(docs, "id", "tokens", vocab).collect()} == want
     assert want == {1: ["run", "dog", "run"], 2: [], 3: None, 4: ["nation", "x", "relat"]}
+
+
+def test_sentences_with_learned_abbreviations(spark):
+    from skillscope.functions.sentences import abbreviations, sentences, text_words
+    texts = {1: "We met Dr. Smith at approx. 5 p.m. Then he left! Why? \"No idea.\" (It rained.) v1.2 is out.",
+             2: "Ask Dr. Jones. Dr. Who came at approx. noon, or approx. 1 p.m. on Monday, 3 p.m. Tuesday.",
+             3: "", 4: None, 5: "no mark at all", 6: "The idea. The idea. the idea, an idea; Idea<br/>One <b>idea</b>"}
+    docs = spark.createDataFrame(list(texts.items()), "id int, t string").select("id", text_words("t").alias("words"))
+    short = abbreviations(docs)
+    assert {(r.word, r.n_dotted, r.n_plain) for r in short.collect()} == {("dr", 3, 0), ("approx", 3, 0), ("p.m", 3, 0)}
+    words = {r["id"]: r["words"] for r in docs.collect()}
+    got = {}
+    for r in sentences(docs, "id", short).orderBy("id", "sentence").collect():
+        got.setdefault(r["id"], []).append(" ".join(words[r["id"]][r.first_word:r.first_word + r.n_words]))
+    assert got == {
+        1: ["We met Dr. Smith at approx. 5 p.m. Then he left!", "Why?", '"No idea."', "(It rained.) v1.2 is out."],
+        2: ["Ask Dr. Jones.", "Dr. Who came at approx. noon, or approx. 1 p.m. on Monday, 3 p.m. Tuesday."],
+        5: ["no mark at all"], 6: ["The idea.", "The idea. the idea, an idea; Idea One idea"]}
