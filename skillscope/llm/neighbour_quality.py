@@ -7,10 +7,10 @@ counts times inverse document frequency are projected to ``DIMENSIONS``
 latent dimensions by a truncated singular value decomposition (latent
 semantic analysis).
 
-Fitting uses a bounded sample of the labelled rows: the ``max_labelled`` with
-the smallest hash of their id.  So the projection and the labelled vectors,
-which are broadcast, have a fixed largest size (under 2 MB with the defaults)
-however large the corpus is.  Every document is then compared with *all*
+Document frequencies are counted over all documents.  Fitting uses a bounded
+sample of the labelled documents: the ``max_labelled`` with the smallest hash of
+their id.  So the projection and the labelled vectors, which are broadcast, have a
+fixed largest size (under 2 MB with the defaults) however large the corpus is.  Every document is then compared with *all*
 labelled vectors: blocks of documents times the labelled matrix give exact
 cosines, and the ``neighbours`` nearest vote with their label, weighted by
 similarity.
@@ -79,6 +79,36 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, at array<int>, n array<float>, label int")
 
 
+def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each hashed term.
+
+    Each task sends one row for each term, so one aggregate of a fixed number of
+    terms reaches the driver."""
+    def run(batches):
+        total, n = np.zeros(BUCKETS + EXTRA, np.int64), 0
+        for batch in slices(batches, 256):
+            for text in utf8(batch.column(0)):
+                total += term_counts(text) > 0
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total)), pa.int32()),
+                                          pa.array(np.concatenate([[n], total]))], ["term", "n"])
+
+    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(
+        F.sum("n").alias("n")).collect()
+    out = np.zeros(BUCKETS + EXTRA, np.int64)
+    n_docs = 0
+    for r in found:
+        if r["term"] < 0:
+            n_docs = r["n"]
+        else:
+            out[r["term"]] = r["n"]
+    return n_docs, out
+
+
+class NoLabels(ValueError):
+    """There is no labelled document to fit on."""
+
+
 class NeighbourModel:
     """The fitted model: idf, projection, labelled latent vectors and labels."""
 
@@ -107,22 +137,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
         max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> NeighbourModel:
     """Fit on documents with a label (0 or 1) in ``labels`` (id, label).
 
-    At most ``max_labelled`` labels, those with the smallest hash of their id,
-    are looked up, so the sample's ids (a few bytes each) can be broadcast and
-    no text is shuffled.  Null ids and labels are left out; an id with two
-    labels counts for both; raises ValueError if no labelled document remains."""
+    Labels without a document are left out first.  Of the rest at most
+    ``max_labelled``, those with the smallest hash of their id, are looked up, so
+    the sample's ids (a few bytes each) can be broadcast and no text is shuffled.
+    Null ids and labels are left out; an id with two labels counts for both;
+    raises :class:`NoLabels` (a ValueError) if no labelled document remains."""
     label = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    chosen = label.dropna().distinct().orderBy(F.xxhash64("id"), "id", "label").limit(max_labelled)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    present = label.dropna().distinct().join(texts.select("id"), "id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("id"), "id", "label").limit(max_labelled)
     found = texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
     rows = counted(found).orderBy(F.xxhash64("id"), "id", "label", "at", "n").limit(max_labelled).collect()
     if not rows:
-        raise ValueError("no labelled rows to fit")
+        raise NoLabels("no labelled rows to fit")
+    n_docs, frequencies = document_frequencies(docs, text_col)
     counts = np.zeros((len(rows), BUCKETS + EXTRA), np.float32)
     for i, r in enumerate(rows):
         counts[i, r["at"]] = r["n"]
     labels = np.array([r["label"] for r in rows], np.float64)
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+    idf = (np.log((1 + n_docs) / (1 + frequencies)) + 1).astype(np.float32)
     matrix = damped(counts, idf)
     # right singular vectors from the (terms x terms) product: its size is fixed by the number of terms
     _, vectors = np.linalg.eigh(matrix.T.astype(np.float64) @ matrix)
@@ -147,3 +180,14 @@ def scored(docs: DataFrame, model: NeighbourModel, id_col: str = "doc_id", text_
                                              ["doc_id", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, score double")
+
+
+def classified(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
+               **options) -> DataFrame:
+    """:func:`fit`, then :func:`scored`; without any labelled document every row scores 0.5, so empty tables have a
+    result too."""
+    try:
+        model = fit(docs, labels, label_col, id_col, text_col, **options)
+    except NoLabels:
+        return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.lit(0.5).alias("score"))
+    return scored(docs, model, id_col, text_col)

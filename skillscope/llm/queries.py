@@ -40,8 +40,7 @@ def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held_out)
-    model = neighbour_quality.fit(docs, labels, "quality")
-    return neighbour_quality.scored(docs, model).select(
+    return neighbour_quality.classified(docs, labels, "quality").select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from corpus_rows import documents
 
 from skillscope.llm import neighbour_quality as nq
 from skillscope.llm import queries
@@ -49,3 +50,26 @@ def test_odd_rows_bound_and_errors(spark, odd, none):
     assert nq.scored(none, model).count() == 0
     with pytest.raises(ValueError):
         nq.fit(odd, labels.filter("quality is null"), "quality")
+
+
+def test_empty_tables_score_by_the_prior(spark, none, odd):
+    labels = spark.createDataFrame([(1, 1), (None, 0), (2, None), (10 ** 9, 1)], "doc_id long, quality int")
+    for docs, known in ((none, labels), (odd, labels.limit(0)), (odd, labels.filter("doc_id > 100"))):
+        rows = nq.classified(docs, known, "quality").collect()
+        assert len(rows) == docs.count() and {r.score for r in rows} <= {0.5}
+
+
+def test_labels_without_a_document_use_up_no_sample(spark):
+    docs = documents(spark, [(i, ("good words here " if i % 2 else "#$ zz #$ ") * 20, 0) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(i, 0) for i in range(1000, 3000)],
+                                   "doc_id long, quality int")
+    model = nq.fit(docs, labels, "quality", max_labelled=20)
+    assert len(model.labels) == 20
+    scores = {r.doc_id: r.score for r in nq.scored(docs, model).collect()}
+    assert all((scores[i] > 0.5) == bool(i % 2) for i in range(20, 40))
+
+
+def test_document_frequencies_cover_all_documents(spark, odd):
+    n, found = nq.document_frequencies(odd, "text")
+    texts = [(r.text or "").encode() for r in odd.collect()]
+    assert n == len(texts) and found.tolist() == sum(nq.term_counts(t) > 0 for t in texts).tolist()
