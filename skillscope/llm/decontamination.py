@@ -1,45 +1,54 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-1. Every n-gram of the test items sets one bit of a fixed-size bitmap (its size
-   does not follow the number of items).  One pass over the corpus reports the
-   n-grams of documents whose bit is set; an equality join with the items'
-   n-grams then removes the accidental ones.
-2. Every n-gram that a document shares with an item is a seed, whatever its
-   frequency: a copy whose rare n-grams are all edited away still has the
-   others.  Seeds join documents to items and are gathered to one row for each
-   document and item.
-3. A second pass cuts the words around seeds out of the documents, so texts are
-   never shuffled beyond their seeds' surroundings.  Shared seeds on
-   neighbouring diagonals make one region.  A region that holds fewer of the
-   item's words than the similarity asks for cannot match and goes before any
-   alignment (this bound is exact), so common phrases cost no alignment.
-4. Smith-Waterman alignment of words (match +2, mismatch and gap -1) scores
-   edited copies: similarity is the share of the item's words that the best
-   local alignment matches.
+1. The n-grams of an item are its pairs of adjacent words; a document holds a
+   pair where the two words follow each other within REACH words, so a foreign
+   word between them hides nothing.  One pass over the corpus counts in how many
+   documents each pair of the benchmark occurs (a bitmap of bounded size first
+   says which pairs may be the benchmark's).
+2. Each item keeps its rarest pairs as seeds, just so many that no copy can miss
+   them (see ``bad_pairs``): an alignment that matches the asked share of the
+   words leaves all but ``bad_pairs`` of the pairs in place.  A few more seeds
+   than that are kept, and as many must be found, before a document and an item
+   count as a candidate pair.  So common pairs seed only items that have nothing
+   rarer, and no copy is lost.
+3. A second pass reports the seeds of each document and the words around them,
+   as far as an alignment of positive score can stretch for an item of that
+   length.  Seeds and item texts are joined by ids and positions alone; an item's
+   words are attached to the regions of the pairs that are left.  Equal items are
+   one item until the end, when their ids are joined.
+4. A region that holds fewer of the item's words than the similarity asks for
+   goes before any alignment (this bound is exact).  Smith-Waterman alignment of
+   words (match +2, mismatch and gap -1) scores the others: similarity is the
+   share of the item's words that the best local alignment matches.
 
 Words are lower-cased, with ASCII punctuation as white space.  A document may
 match many items and an item any number of documents; no list is cut.
 
-Defined results: null and empty texts and items with fewer than ``ngram`` words
-match nothing; rows and items are known by (id, text), so repeated rows count
-as one, a null id is an id like any other, and items that share an id are
-matched one by one; empty tables give no rows.
+Defined results: null and empty texts and items with fewer than ``min_words``
+words match nothing; rows and items are known by (id, text), so repeated rows
+count as one, a null id is an id like any other, and items that share an id are
+matched one by one; empty tables give no rows.  A similarity under 0.8 is
+refused, because short items would have no pair that every copy keeps.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import signed, slices, stored, window_hashes, word_hashes
+from .common import BASE, drop_stored, signed, slices, stored, word_hashes
 
-NGRAM = 3
+MIN_WORDS = 3
 SIMILARITY = 0.8
-BITMAP_BITS = 22        # the bitmap has 2 ** 22 bits: 512 KB, whatever the benchmark
+REACH = 6               # the second word of a pair stands at most so many words behind the first
+BITMAP_BITS = 25        # the bitmap of the benchmark's pairs has 2 ** 25 bits: 4 MB, whatever the benchmark
+LEVEL_BITS = 22         # the table of seed lengths has 2 ** 22 bytes
+LEVELS = 15             # seeds of items over 2 ** 14 words have the last level, which takes the whole document
 _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _UNIT = np.int64(1 << 20)                                   # score unit; matches are counted below it
 _MATCH, _MISS, _GAP = 2 * _UNIT + 1, _UNIT, _UNIT
@@ -104,185 +113,252 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int,
     return out
 
 
-def slack_of(item_words: int) -> int:
-    return item_words // 2 + 1
+# ---- seeds and regions -----------------------------------------------------------------------
+def bad_pairs(words: int, similarity: float) -> int:
+    """The most of an item's ``words - 1`` pairs that a copy may lack.
 
+    Let the best alignment match m words.  Each of the other words breaks two
+    pairs.  A pair that is whole but wider than REACH has at least REACH foreign
+    words inside it, and a positive score bears at most 2 m - 1 of them."""
+    least = math.ceil(similarity * words - 1e-9)
+    return 2 * (words - least) + (2 * least - 1) // REACH
 
-def regions_of(diagonals: np.ndarray, item_words: int) -> list[tuple[int, int]]:
-    """Word ranges of a document (before its bounds are applied) that may hold
-    an edited copy of an item whose seeds lie on these diagonals (document
-    position minus item position)."""
-    slack = slack_of(item_words)
-    d = np.sort(diagonals)
-    groups = np.split(d, np.flatnonzero(np.diff(d) > slack) + 1)
-    return [(int(g[0]) - slack, int(g[-1]) + item_words + slack) for g in groups]
 
+def needed_seeds(words: int, similarity: float) -> int:
+    """How many of its seeds a copy must show; ``bad_pairs`` more are kept."""
+    return max(1, (words - 1 - bad_pairs(words, similarity)) // 2)
 
-def surroundings(at: np.ndarray, reach: int, doc_words: int) -> list[tuple[int, int]]:
-    """Disjoint word ranges around seed positions.  With a reach of the longest
-    item and its slack, every region of an item lies in the range of its seeds."""
-    groups = np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1) if len(at) else []
-    return [(max(0, int(g[0]) - reach), min(doc_words, int(g[-1]) + reach)) for g in groups]
+
+def pair_hits(hashes: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, first positions) of the pairs of a text that pass ``test``."""
+    keys, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    with np.errstate(over="ignore"):
+        first = hashes * BASE
+    for apart in range(1, min(REACH, len(hashes) - 1) + 1):
+        key = first[:-apart] + hashes[apart:]
+        found = np.flatnonzero(test(key))
+        keys.append(key[found])
+        at.append(found)
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def regions_of(blocks: np.ndarray, item_words: int) -> list[tuple[int, int]]:
+    """Word ranges of a document (before its bounds are applied) that hold every
+    alignment of positive score through the seeds.  A block is a seed's diagonal
+    (document position minus item position) divided by the item's words."""
+    b = np.sort(blocks)
+    groups = np.split(b, np.flatnonzero(np.diff(b) > 6) + 1)
+    return [(int(g[0] - 2) * item_words, int(g[-1] + 4) * item_words) for g in groups]
+
+
+def surroundings(at: np.ndarray, level: np.ndarray, doc_words: int) -> list[tuple[int, int]]:
+    """Disjoint word ranges around seeds: every region of an item of at most
+    ``2 ** level`` words lies in the range of its seeds."""
+    reach = np.where(level >= LEVELS, doc_words, 4 * 2 ** level.astype(np.int64) + 2)
+    order = np.argsort(at - reach, kind="stable")
+    first, end = (at - reach)[order], np.maximum.accumulate((at + reach)[order])
+    cut = np.flatnonzero(first[1:] > end[:-1]) + 1
+    return [(max(0, int(first[a])), min(doc_words, int(end[b - 1]))) for a, b in zip([0, *cut], [*cut, len(at)])]
 
 
 # ---- the join --------------------------------------------------------------------------------
-def item_rows(items: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
-    """(item_id, item_mark, words) of the items long enough, words as hashes."""
+def item_rows(items: DataFrame, min_words: int) -> DataFrame:
+    """(item_mark, words) of the distinct items that are long enough, words as hashes."""
     def run(batches):
         for batch in slices(batches, 1000):
-            words = [normal_hashes(t) for t in batch.column(2).to_pylist()]
-            keep = np.array([len(w) >= ngram for w in words], bool)
+            words = [normal_hashes(t) for t in batch.column(1).to_pylist()]
+            keep = np.array([len(w) >= min_words for w in words], bool)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)),
-                 pa.array([signed(w) for w, k in zip(words, keep) if k], pa.list_(pa.int64()))],
-                ["item_id", "item_mark", "words"])
+                [batch.column(0).filter(pa.array(keep)),
+                 pa.array([signed(w) for w, k in zip(words, keep) if k], pa.list_(pa.int64()))], ["item_mark", "words"])
 
-    return keyed(items, id_col, text_col).distinct().mapInArrow(
-        run, f"item_id {dict(items.dtypes)[id_col]}, item_mark bigint, words array<bigint>")
+    return items.select("mark", "text").distinct().mapInArrow(run, "item_mark bigint, words array<bigint>")
 
 
-def item_grams(items: DataFrame, ngram: int) -> DataFrame:
-    """(item_id, item_mark, item_words, key, item_at) of every n-gram of every item."""
+def item_pairs(items: DataFrame, similarity: float) -> DataFrame:
+    """(item_mark, item_words, bad, need, key, item_at) of every pair of adjacent words."""
     def run(batches):
         for batch in slices(batches, 1000):
-            for i, words in enumerate(batch.column(2)):
+            for i, words in enumerate(batch.column(1)):
                 w = words.values.to_numpy().view(np.uint64)
-                keys = window_hashes(w, ngram)
+                with np.errstate(over="ignore"):
+                    keys = w[:-1] * BASE + w[1:]
                 n = len(keys)
-                row = pa.array(np.full(n, i))
+                same = [pa.array(np.full(n, v, np.int32)) for v in
+                        (len(w), bad_pairs(len(w), similarity), needed_seeds(len(w), similarity))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.full(n, len(w)), pa.int32()),
-                     pa.array(signed(keys)), pa.array(np.arange(n), pa.int32())],
-                    ["item_id", "item_mark", "item_words", "key", "item_at"])
+                    [batch.column(0).take(pa.array(np.full(n, i))), *same, pa.array(signed(keys)),
+                     pa.array(np.arange(n), pa.int32())], ["item_mark", "item_words", "bad", "need", "key", "item_at"])
 
-    return items.mapInArrow(run, f"item_id {dict(items.dtypes)['item_id']}, item_mark bigint, item_words int, "
-                                 "key bigint, item_at int")
+    return items.mapInArrow(run, "item_mark bigint, item_words int, bad int, need int, key bigint, item_at int")
 
 
-def bitmap_of(grams: DataFrame) -> np.ndarray:
-    """Bitmap of the n-grams' low bits; at most 2 ** BITMAP_BITS / 32 small rows reach the driver."""
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the keys' low bits; at most 2 ** BITMAP_BITS / 64 small rows reach the driver."""
     low = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = (grams.select(F.shiftright(low, 5).alias("w"), F.expr("shiftleft(1L, cast(key & 31 as int))").alias("bit"))
+    words = (keys.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
              .groupBy("w").agg(F.bit_or("bit").alias("bits"))).toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
-def set_bits(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """Positions of the keys whose bit is set."""
+def bits_set(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     low = (keys & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-    return np.flatnonzero(bitmap[low >> 5] >> (low & 31).astype(np.uint32) & 1)
-
-
-def hits(docs: DataFrame, bitmap: np.ndarray, ngram: int) -> DataFrame:
-    """(id, mark, key, at): n-grams of documents whose bit is set, with their
-    positions."""
+    return bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1
+
+
+def levels_of(seeds: DataFrame) -> np.ndarray:
+    """For the low bits of a key the highest level (binary logarithm of the item's words, rounded up) of the
+    seeds with these bits, 0 for none.  Sixteen levels are packed to a row, so at most 2 ** LEVEL_BITS / 16 small rows
+    reach the driver."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).alias("slot")
+    level = F.least(F.ceil(F.log2("item_words")), F.lit(LEVELS)).cast("bigint").alias("level")
+    packed = (seeds.select(slot, level).groupBy("slot").agg(F.max("level").alias("level"))
+              .select(F.shiftright("slot", 4).alias("w"), F.expr("shiftleft(level, cast(4 * (slot & 15) as int))").alias("v"))
+              .groupBy("w").agg(F.bit_or("v").alias("v"))).toPandas()
+    out = np.zeros((1 << (LEVEL_BITS - 4), 16), np.uint8)
+    values = packed["v"].to_numpy(np.int64).view(np.uint64)
+    for k in range(16):
+        out[packed["w"].to_numpy(np.int64), k] = values >> np.uint64(4 * k) & np.uint64(15)
+    return out.ravel()
+
+
+def pair_counts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(key, n): in how many documents a pair whose bit is set occurs."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for batch in slices(batches, 256):
-            row, key, at = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                w = window_hashes(normal_hashes(text), ngram)
-                p = set_bits(w, shared.value)
-                row.append(np.full(len(p), i))
-                key.append(w[p])
-                at.append(p)
-            row = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(signed(np.concatenate(key))),
-                 pa.array(np.concatenate(at), pa.int32())], ["id", "mark", "key", "at"])
+            found = [np.unique(pair_hits(normal_hashes(t), lambda k: bits_set(k, shared.value))[0])
+                     for t in batch.column(0).to_pylist()]
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n, pa.int64())], ["key", "n"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark bigint, key bigint, at int")
+    return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def seeded_parts(docs: DataFrame, bitmap: np.ndarray, ngram: int, reach: int) -> DataFrame:
-    """(id, mark, parts): of documents with seeds, the word hashes around
-    them, as (first word, words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def rare_seeds(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The ``bad + need`` rarest pairs of each item, ties by hash and position."""
+    order = Window.partitionBy("item_mark").orderBy(F.coalesce("n", F.lit(0)), F.xxhash64("key"), "item_at")
+    return (pairs.join(counts, "key", "left").withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= F.col("bad") + F.col("need")).select("item_mark", "item_words", "need", "key", "item_at"))
+
+
+def seeded_documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(id, mark, seeds, parts) of documents with seeds: the seeds as (key,
+    position), and the word hashes around them as (first word, words)."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    seed = pa.struct([("key", pa.int64()), ("at", pa.int32())])
     part = pa.struct([("first", pa.int32()), ("words", pa.list_(pa.int64()))])
+    mask = np.uint64((1 << LEVEL_BITS) - 1)
 
     def run(batches):
-        for batch in slices(batches, 256):
-            row, parts = [], []
+        for batch in slices(batches, 64):
+            row, seeds, parts = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 h = normal_hashes(text)
-                found = surroundings(set_bits(window_hashes(h, ngram), shared.value), reach, len(h))
-                if found:
+                keys, at = pair_hits(h, lambda k: shared.value[(k & mask).astype(np.int64)])
+                if len(keys):
+                    level = shared.value[(keys & mask).astype(np.int64)]
                     row.append(i)
-                    parts.append([{"first": a, "words": signed(h[a:b])} for a, b in found])
+                    seeds.append([{"key": k, "at": a} for k, a in zip(signed(keys).tolist(), at.tolist())])
+                    parts.append([{"first": a, "words": signed(h[a:b])} for a, b in surroundings(at, level, len(h))])
             row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row),
-                                              pa.array(parts, pa.list_(part))], ["id", "mark", "parts"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(seeds, pa.list_(seed)),
+                 pa.array(parts, pa.list_(part))], ["id", "mark", "seeds", "parts"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark bigint, "
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark bigint, seeds array<struct<key: bigint, at: int>>, "
                                 "parts array<struct<first: int, words: array<bigint>>>")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
-                 item_id: str = "item_id", item_text: str = "text", ngram: int = NGRAM,
-                 similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, mark, item_id, similarity, first_word, end_word): the documents
-    (mark is the hash of the text) and items whose best alignment matches at
-    least ``similarity`` of the item's words, with the best region's place."""
-    rows = keyed(docs, doc_id, doc_text)
-    known = stored(item_rows(items, item_id, item_text, ngram), "items")
-    grams = stored(item_grams(known, ngram), "grams")
-    bitmap = bitmap_of(grams)
-    pairs = (hits(rows, bitmap, ngram).join(grams, "key").groupBy("id", "mark", "item_id", "item_mark")
-             .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals")))
-    same = pairs["item_id"].eqNullSafe(known["item_id"]) & (pairs["item_mark"] == known["item_mark"])
-    held = F.struct(known["item_id"], known["item_mark"], "words", "diagonals")
-    wanted = stored(pairs.join(known, same).groupBy("id", "mark").agg(F.collect_list(held).alias("w")), "wanted")
-    longest = known.agg(F.max(F.size("words"))).first()[0] or 0
-    parts = seeded_parts(rows, bitmap, ngram, longest + slack_of(longest) + ngram)
-    # both sides grow with the corpus, so neither is ever broadcast
-    same = parts["id"].eqNullSafe(wanted["id"]) & (parts["mark"] == wanted["mark"])
-    both = parts.join(wanted.hint("merge"), same).select(parts["id"], parts["mark"], "w", "parts")
-    id_type, item_type = dict(rows.dtypes)["id"], dict(known.dtypes)["item_id"]
-
+def region_rows(both: DataFrame) -> DataFrame:
+    """(id, mark, item_mark, first, region) from rows of (id, mark, candidates, parts)."""
     def run(batches):
         for batch in slices(batches, 64):
-            row, item, mark, first, pairs = [], [], [], [], []
+            row, item, first, regions = [], [], [], []
             for i in range(batch.num_rows):
-                near = [(p["first"].as_py(), p["words"].values.to_numpy().view(np.uint64)) for p in batch.column(3)[i]]
+                near = [(p["first"].as_py(), p["words"].values.to_numpy()) for p in batch.column(3)[i]]
+                starts = np.array([at for at, _ in near])
                 for x in batch.column(2)[i]:
-                    words = x["words"].values.to_numpy().view(np.uint64)
-                    for a, b in regions_of(x["diagonals"].values.to_numpy(), len(words)):
-                        at, h = next(p for p in reversed(near) if p[0] <= max(a, 0))
-                        region = h[max(a, 0) - at:b - at]
-                        # an alignment cannot match more of the item's words than occur in the region at all
-                        if np.isin(words, region).sum() < similarity * len(words):
-                            continue
+                    for a, b in regions_of(x["blocks"].values.to_numpy(), x["item_words"].as_py()):
+                        at, h = near[int(np.searchsorted(starts, max(a, 0), "right")) - 1]
                         row.append(i)
-                        item.append(x["item_id"].as_py())
-                        mark.append(x["item_mark"].as_py())
+                        item.append(x["item_mark"].as_py())
                         first.append(max(a, 0))
-                        pairs.append((words, region))
+                        regions.append(h[max(a, 0) - at:b - at])
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(item, pa.int64()),
+                 pa.array(first, pa.int32()), pa.array(regions, pa.list_(pa.int64()))],
+                ["id", "mark", "item_mark", "first", "region"])
+
+    return both.mapInArrow(run, f"id {dict(both.dtypes)['id']}, mark bigint, item_mark bigint, first int, region array<bigint>")
+
+
+def scores(rows: DataFrame, similarity: float) -> DataFrame:
+    """(id, mark, item_mark, similarity, first_word, end_word) from rows of
+    (id, mark, item_mark, first, region, words)."""
+    def run(batches):
+        for batch in slices(batches, 256):
+            row, pairs = [], []
+            for i, (region, words) in enumerate(zip(batch.column(4), batch.column(5))):
+                region, words = (x.values.to_numpy().view(np.uint64) for x in (region, words))
+                # an alignment cannot match more of the item's words than occur in the region at all
+                if np.isin(words, region).sum() >= similarity * len(words):
+                    row.append(i)
+                    pairs.append((words, region))
             if not pairs:
                 continue
             m, a, e = (np.array(v) for v in zip(*aligned(pairs)))
-            row, first = pa.array(row), np.array(first)
+            row = pa.array(row)
+            first = batch.column(3).take(row).to_numpy()
             share = m / np.array([len(words) for words, _ in pairs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row),
-                 pa.array(item, batch.schema.field("w").type.value_type.field("item_id").type),
-                 pa.array(mark, pa.int64()), pa.array(share), pa.array(first + a, pa.int32()),
-                 pa.array(first + e, pa.int32())],
-                ["id", "mark", "item_id", "item_mark", "similarity", "first_word", "end_word"])
-
-    scored = both.mapInArrow(run, f"id {id_type}, mark bigint, item_id {item_type}, item_mark bigint, "
-                                  "similarity double, first_word int, end_word int")
+                [*[c.take(row) for c in batch.columns[:3]], pa.array(share), pa.array(first + a, pa.int32()),
+                 pa.array(first + e, pa.int32())], ["id", "mark", "item_mark", "similarity", "first_word", "end_word"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, mark bigint, item_mark bigint, similarity double, "
+                                "first_word int, end_word int").filter(F.col("similarity") >= similarity)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
+                 item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS,
+                 similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, mark, item_id, similarity, first_word, end_word): the documents
+    (mark is the hash of the text) and items whose best alignment matches at
+    least ``similarity`` of the item's words, with the best region's place."""
+    if similarity < 0.8 or min_words < 2:
+        raise ValueError("similarity must be 0.8 or more, and items must have two words or more")
+    rows, item_ids = keyed(docs, doc_id, doc_text), keyed(items, item_id, item_text)
+    known = stored(item_rows(item_ids, min_words), "items")
+    pairs = stored(item_pairs(known, similarity), "pairs")
+    seeds = stored(rare_seeds(pairs, pair_counts(rows, bitmap_of(pairs))), "seeds")
+    drop_stored(pairs)
+    seeded = stored(seeded_documents(rows, levels_of(seeds)), "seeded")
+    # ids, positions and counts only; a block stands for all diagonals of one item length
+    block = F.floor((F.col("at") - F.col("item_at")) / F.col("item_words")).alias("block")
+    candidates = (seeded.select("id", "mark", F.inline("seeds")).join(seeds, "key")
+                  .groupBy("id", "mark", "item_mark", "item_words", "need")
+                  .agg(F.collect_set(block).alias("blocks"), F.collect_set("item_at").alias("shown"))
+                  .filter(F.size("shown") >= F.col("need")))
+    wanted = stored(candidates.groupBy("id", "mark").agg(
+        F.collect_list(F.struct("item_mark", "item_words", "blocks")).alias("candidates")), "wanted")
+    # both sides grow with the corpus, so neither is ever broadcast
+    same = seeded["id"].eqNullSafe(wanted["id"]) & (seeded["mark"] == wanted["mark"])
+    both = seeded.join(wanted.hint("merge"), same).select(seeded["id"], seeded["mark"], "candidates", "parts")
+    regions = region_rows(both).join(known, "item_mark").select("id", "mark", "item_mark", "first", "region", "words")
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("f"), "end_word"))
-    return (scored.filter(F.col("similarity") >= similarity).groupBy("id", "mark", "item_id", "item_mark")
-            .agg(best.alias("b")).select(F.col("id").alias("doc_id"), "mark", "item_id", "b.similarity",
-                                         (-F.col("b.f")).alias("first_word"), "b.end_word"))
+    found = scores(regions, similarity).groupBy("id", "mark", "item_mark").agg(best.alias("b"))
+    ids = item_ids.select(F.col("id").alias("item_id"), F.col("mark").alias("item_mark")).distinct()
+    return found.join(ids, "item_mark").select(F.col("id").alias("doc_id"), "mark", "item_id", "b.similarity",
+                                               (-F.col("b.f")).alias("first_word"), "b.end_word")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that match no item, unchanged."""
     leaks = stored(contaminated(docs, items, doc_id, doc_text, **options).select(
         F.col("doc_id").alias("_leak_id"), F.col("mark").alias("_leak_mark")).distinct(), "leaks")
-    same = docs[doc_id].eqNullSafe(leaks["_leak_id"]) & (F.xxhash64(docs[doc_text]) == leaks["_leak_mark"])
+    same = docs[f"`{doc_id}`"].eqNullSafe(leaks["_leak_id"]) & (F.xxhash64(docs[f"`{doc_text}`"]) == leaks["_leak_mark"])
     return docs.join(leaks, same, "left_anti")

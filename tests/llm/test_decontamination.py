@@ -111,3 +111,52 @@ def test_items_without_an_id_and_items_that_share_one_are_matched(spark):
     got = sorted((r.doc_id, r.item_id, r.similarity) for r in dc.contaminated(documents(spark, rows), items).collect())
     assert got == [(0, None, 1.0), (1, None, 1.0), (2, 7, 1.0), (3, 7, 1.0)]
     assert [r.doc_id for r in dc.clean_documents(documents(spark, rows), items).collect()] == [9]
+
+
+def test_copies_without_an_intact_ngram_are_found(spark):
+    passage = [f"p{i}" for i in range(40)]
+    spread = " ".join(w + (f" foreign{i}" if i % 2 else "") for i, w in enumerate(passage))
+    five = [f"q{i}" for i in range(5)]
+    third = " ".join("other" if i == 2 else w for i, w in enumerate(five))
+    rows = [(1, f"own words {spread} and more"), (2, f"own words {third} and more"), (3, "own words and more")]
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(five))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in dc.contaminated(documents(spark, rows), items).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 0.8}
+
+
+def test_no_copy_can_lack_all_seeds():
+    for n in range(2, 3000):
+        for similarity in (0.8, 0.85, 0.9, 1.0):
+            assert dc.bad_pairs(n, similarity) + dc.needed_seeds(n, similarity) <= n - 1
+
+
+def test_equals_whole_text_alignment(spark):
+    """Few distinct words, so seeds are anything but rare, and all kinds of edits."""
+    rng = random.Random(11)
+    word = lambda: f"v{min(rng.randint(0, 60), rng.randint(0, 60))}"
+    items = [(k, [word() for _ in range(rng.choice((3, 4, 5, 6, 7, 9, 12, 20, 33)))]) for k in range(40)]
+    rows = []
+    for k, words in items:
+        for n, share in enumerate((0, 0.1, 0.2, 0.3, 0.5)):
+            copy = edited(words, share, rng) if n < 4 else [x for w in words for x in [w, *["foreign"] * rng.randint(0, 2)]]
+            rows.append((10 * k + n, [word() for _ in range(rng.randint(0, 80))] + copy + [word() for _ in range(rng.randint(0, 80))]))
+    want = {(i, k) for i, t in rows for k, words in items if slow_align(words, t)[1] >= 0.8 * len(words)}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = dc.contaminated(documents(spark, [(i, " ".join(t)) for i, t in rows]), frame).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got} and len(want) > 150
+    texts, known = dict(rows), dict(items)
+    for r in got:                                         # what else is found is an alignment inside the document, too
+        part = texts[r.doc_id][r.first_word:r.end_word]
+        assert slow_align(known[r.item_id], part)[1] >= 0.8 * len(known[r.item_id])
+
+
+def test_a_pair_that_all_items_and_documents_share_is_no_seed(spark):
+    items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(15)) + " common phrase " +
+                                    " ".join(f"i{k}v{j}" for j in range(15))) for k in range(200)], "item_id long, text string")
+    docs = documents(spark, [(i, f"d{i} says a common phrase again") for i in range(300)])
+    pairs = dc.item_pairs(dc.item_rows(dc.keyed(items, "item_id", "text"), 3), 0.8)
+    rows = dc.keyed(docs, "doc_id", "text")
+    seeds = dc.rare_seeds(pairs, dc.pair_counts(rows, dc.bitmap_of(pairs)))
+    hits = dc.seeded_documents(rows, dc.levels_of(seeds)).selectExpr("inline(seeds)")
+    assert hits.join(seeds, "key").count() == 0           # (the table of levels may report a few accidental keys)
+    assert dc.contaminated(docs, items).count() == 0
