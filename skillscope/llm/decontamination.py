@@ -41,22 +41,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, drop_stored, signed, slices, stored, word_hashes
+from .common import BASE, BASE_2, drop_stored, mixed, signed, slices, stored
 
 MIN_WORDS = 3
 SIMILARITY = 0.8
-REACH = 6               # the second word of a pair stands at most so many words behind the first
+REACH = 8               # the second word of a pair stands at most so many words behind the first
 BITMAP_BITS = 25        # the bitmap of the benchmark's pairs has 2 ** 25 bits: 4 MB, whatever the benchmark
 LEVEL_BITS = 22         # the table of seed lengths has 2 ** 22 bytes
 LEVELS = 15             # seeds of items over 2 ** 14 words have the last level, which takes the whole document
-_SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
+CHUNK = 1 << 17          # bytes hashed, and words paired, at a time
+#: A 64-bit value for every byte of a word; 0 for ASCII punctuation and white space, which part words.
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * BASE_2)
+_VALUES[list(string.punctuation.encode() + b"\x20\x09\x0a\x0b\x0c\x0d")] = 0
 _UNIT = np.int64(1 << 20)                                   # score unit; matches are counted below it
 _MATCH, _MISS, _GAP = 2 * _UNIT + 1, _UNIT, _UNIT
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse modulo 2 ** 64."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x))]) for x in (BASE, inverse))
+
+
+def text_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the normalised words of all texts, one after another, and each
+    text's number of words.
+
+    The hash of a word is a polynomial in BASE over its bytes' values, taken
+    from running sums over a chunk, so no step runs word by word."""
+    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b" ".join(raw), np.uint8)
+    up, down = powers(min(len(data), CHUNK))
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        while end < len(data) and _VALUES[data[end]]:         # a chunk ends where a word does
+            parting = np.flatnonzero(_VALUES[data[end:end + CHUNK]] == 0)
+            end = min(end + (int(parting[0]) if len(parting) else CHUNK), len(data))
+        if end - at > len(up) - 1:
+            up, down = powers(end - at)
+        value = _VALUES[data[at:end]]
+        inside = np.concatenate([[False], value != 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, after = edges[::2], edges[1::2]
+        value *= up[:len(value)]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
+        hashes.append(mixed((sums[after] - sums[first]) * down[first]))
+        starts.append(first + at)
+        at = end
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+
+
 def normal_hashes(text: str | None) -> np.ndarray:
     """Hashes of the normalised words of a text."""
-    return word_hashes((text or "").lower().encode("utf-8", "replace").translate(_SPACES).split())
+    return text_words([text])[0]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,17 +168,24 @@ def needed_seeds(words: int, similarity: float) -> int:
     return max(1, (words - 1 - bad_pairs(words, similarity)) // 2)
 
 
-def pair_hits(hashes: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, first positions) of the pairs of a text that pass ``test``."""
+def pair_hits(hashes: np.ndarray, n_words: np.ndarray, test) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, texts, first positions) of the pairs that pass ``test``, by text, for
+    texts of ``n_words`` words that stand one after another."""
+    text = np.repeat(np.arange(len(n_words)), n_words)
     keys, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    with np.errstate(over="ignore"):
-        first = hashes * BASE
-    for apart in range(1, min(REACH, len(hashes) - 1) + 1):
-        key = first[:-apart] + hashes[apart:]
-        found = np.flatnonzero(test(key))
-        keys.append(key[found])
-        at.append(found)
-    return np.concatenate(keys), np.concatenate(at)
+    for begin in range(0, len(hashes), CHUNK):
+        first = hashes[begin:begin + CHUNK] * BASE
+        for apart in range(1, REACH + 1):
+            second = hashes[begin + apart:begin + apart + CHUNK]
+            key = first[:len(second)] + second
+            found = np.flatnonzero(test(key))
+            found = found[text[found + begin] == text[found + begin + apart]]
+            keys.append(key[found])
+            at.append(found + begin)
+    keys, at = np.concatenate(keys), np.concatenate(at)
+    order = np.argsort(at, kind="stable")
+    keys, at = keys[order], at[order]
+    return keys, text[at], at - (np.cumsum(n_words) - n_words)[text[at]]
 
 
 def regions_of(blocks: np.ndarray, item_words: int) -> list[tuple[int, int]]:
@@ -230,9 +276,11 @@ def pair_counts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, 256):
-            found = [np.unique(pair_hits(normal_hashes(t), lambda k: bits_set(k, shared.value))[0])
-                     for t in batch.column(0).to_pylist()]
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            keys, text, _ = pair_hits(*text_words(batch.column(0).to_pylist()), lambda k: bits_set(k, shared.value))
+            by_text = np.lexsort((text, keys))
+            keys, text = keys[by_text], text[by_text]
+            again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (text[1:] == text[:-1])])[:len(keys)]
+            keys, n = np.unique(keys[~again], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n, pa.int64())], ["key", "n"])
 
     return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
@@ -255,15 +303,14 @@ def seeded_documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, 64):
-            row, seeds, parts = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                h = normal_hashes(text)
-                keys, at = pair_hits(h, lambda k: shared.value[(k & mask).astype(np.int64)])
-                if len(keys):
-                    level = shared.value[(keys & mask).astype(np.int64)]
-                    row.append(i)
-                    seeds.append([{"key": k, "at": a} for k, a in zip(signed(keys).tolist(), at.tolist())])
-                    parts.append([{"first": a, "words": signed(h[a:b])} for a, b in surroundings(at, level, len(h))])
+            hashes, n_words = text_words(batch.column(2).to_pylist())
+            keys, text, at = pair_hits(hashes, n_words, lambda k: shared.value[(k & mask).astype(np.int64)])
+            row, cuts = np.unique(text, return_index=True)
+            seeds, parts, before = [], [], np.cumsum(n_words) - n_words
+            for i, a, b in zip(row, cuts, [*cuts[1:], len(text)]):
+                h, level = hashes[before[i]:before[i] + n_words[i]], shared.value[(keys[a:b] & mask).astype(np.int64)]
+                seeds.append([{"key": k, "at": p} for k, p in zip(signed(keys[a:b]).tolist(), at[a:b].tolist())])
+                parts.append([{"first": p, "words": signed(h[p:q])} for p, q in surroundings(at[a:b], level, len(h))])
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(seeds, pa.list_(seed)),
