@@ -3,7 +3,10 @@
 Each text is compressed with zstandard as a whole and in fixed chunks.  A
 ratio (compressed bytes by raw bytes) far below what prose of that length
 reaches means repetition; far above means random or encoded material.  Short
-texts compress worse, so every length has its own limits.
+texts compress worse, so every length has its own limits.  Of the fixed chunks
+the mean ratio has a narrow band, and each chunk by itself, the last part chunk
+included, must lie in the band of a whole text of its length: a block of junk
+that fills a chunk rejects a text of any length.
 
 Beside the verdict the operator returns counts over words and lines, with the
 base rules on them (too short, or mostly repeated three-word windows).
@@ -30,6 +33,8 @@ WHOLE_BANDS = [(64, 0.60, 1.20), (128, 0.50, 0.98), (256, 0.48, 0.85), (512, 0.4
 #: Chunk length in bytes, then (least number of full chunks, lowest mean ratio, highest mean ratio).
 #: A mean over more chunks varies less, so its band is narrower.
 CHUNKS = {1024: [(1, 0.485, 0.68)], 2048: [(1, 0.455, 0.62), (2, 0.465, 0.60), (4, 0.472, 0.59)]}
+#: Length in bytes of the chunks that are also judged one by one.
+SINGLE = 1024
 LEVEL = 3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -87,16 +92,20 @@ def measure(text: bytes, press: zstandard.ZstdCompressor) -> tuple:
     for length, limits in CHUNKS.items():
         full = size // length
         if full:
-            mean = sum(len(press.compress(text[at:at + length])) for at in range(0, full * length, length)) / (
-                full * length)
+            packed = [len(press.compress(text[at:at + length])) for at in range(0, full * length, length)]
+            mean = sum(packed) / (full * length)
             good = good and within(limits, full, mean)
+            if length == SINGLE:
+                rest = text[full * length:]
+                good = good and all(within(WHOLE_BANDS, length, n / length) for n in (min(packed), max(packed))) and (
+                    not rest or within(WHOLE_BANDS, len(rest), len(press.compress(rest)) / len(rest)))
     return (n, code_points(b"".join(words)), len(SYMBOLS.findall(text)), duplicate_lines(text), repeated, whole, mean,
             base_failed, good and not base_failed)
 
 
 def measured(column: pa.Array) -> pa.StructArray:
     press = zstandard.ZstdCompressor(level=LEVEL)
-    rows = [measure(t, press) for t in utf8(column)]
+    rows = [measure(t, press) for at in range(0, len(column), 256) for t in utf8(column.slice(at, 256))]
     columns = list(zip(*rows)) if rows else [[] for _ in FIELDS]
     return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, FIELDS)],
                                       [n for n, _ in FIELDS])

@@ -1,7 +1,10 @@
 import os
+import random
 import re
+import string
 from collections import Counter
 
+import zstandard
 from corpus_rows import ODD, documents
 
 from skillscope.llm import compression
@@ -50,3 +53,48 @@ def test_filter_keeps_columns_and_agrees_with_rows(odd, none):
     want = Counter(r.doc_id for r in compression.quality_rows(odd).filter("kept").collect())
     assert Counter(r.doc_id for r in kept.collect()) == want
     assert compression.good_documents(none).count() == 0 and compression.quality_rows(none).count() == 0
+
+
+def slow_verdict(text):
+    """The bands, rule by rule, from the fixed values."""
+    data = text.encode()
+    ratio = lambda part: len(zstandard.ZstdCompressor(level=compression.LEVEL).compress(part)) / len(part)
+
+    def in_band(limits, amount, value):
+        fitting = [b for b in limits if b[0] <= amount]
+        return not fitting or fitting[-1][1] <= value <= fitting[-1][2]
+
+    if slow(text)[-1] or not in_band(compression.WHOLE_BANDS, len(data), ratio(data)):
+        return False
+    for length, limits in compression.CHUNKS.items():
+        parts = [data[i:i + length] for i in range(0, len(data), length)]
+        full = [ratio(p) for p in parts if len(p) == length]
+        if full and not in_band(limits, len(full), sum(full) / len(full)):
+            return False
+        if full and length == 1024 and not all(in_band(compression.WHOLE_BANDS, len(p), ratio(p)) for p in parts):
+            return False
+    return True
+
+
+def test_verdict_equals_the_bands_rule_by_rule(spark, small):
+    rows = [(i, t) for i, t in small if t]
+    got = {r.doc_id: r.kept for r in compression.quality_rows(documents(spark, rows)).collect()}
+    assert got == {i: slow_verdict(t) for i, t in rows}
+    assert 0 < sum(got.values()) < len(got)
+
+
+def test_a_block_of_junk_rejects_a_text_of_any_length(spark, small):
+    rng = random.Random(3)
+    good = [t for _, t in small if t and len(t) > 1000 and t.isascii() and slow_verdict(t)]
+    noise = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(3000))
+    same = "the same line comes again and again\n" * 90
+    rows, size = [], {}
+    for k, length in enumerate((8_000, 20_000, 50_000, 100_000)):
+        prose = ""
+        while len(prose) < length:
+            prose += good[rng.randrange(len(good))] + "\n"
+        where = rng.randrange(length)
+        rows += [(10 * k, prose), (10 * k + 1, prose[:where] + noise + prose[where:]), (10 * k + 2, prose + noise),
+                 (10 * k + 3, prose[:where] + same + prose[where:])]
+    got = {r.doc_id: r.kept for r in compression.quality_rows(documents(spark, rows)).collect()}
+    assert not any(kept for i, kept in got.items() if i % 10) and any(kept for i, kept in got.items() if i % 10 == 0)
