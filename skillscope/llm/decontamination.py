@@ -47,7 +47,7 @@ MIN_WORDS = 3
 SIMILARITY = 0.8
 REACH = 8               # the second word of a pair stands at most so many words behind the first
 BITMAP_BITS = 25        # the bitmap of the benchmark's pairs has 2 ** 25 bits: 4 MB, whatever the benchmark
-LEVEL_BITS = 22         # the table of seed lengths has 2 ** 22 bytes
+LEVEL_BITS = 22         # the two tables of seed lengths have 2 ** 22 bytes each
 LEVELS = 15             # seeds of items over 2 ** 14 words have the last level, which takes the whole document
 CHUNK = 1 << 17          # bytes hashed, and words paired, at a time
 #: A 64-bit value for every byte of a word; 0 for ASCII punctuation and white space, which part words.
@@ -254,11 +254,16 @@ def bits_set(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1
 
 
-def levels_of(seeds: DataFrame) -> np.ndarray:
-    """For the low bits of a key the highest level (binary logarithm of the item's words, rounded up) of the
+def levels_of(seeds: DataFrame) -> list[np.ndarray]:
+    """One table by the low bits of a key and one by bits of its upper half."""
+    return [level_table(seeds, shift) for shift in (0, 32)]
+
+
+def level_table(seeds: DataFrame, shift: int) -> np.ndarray:
+    """For some bits of a key the highest level (binary logarithm of the item's words, rounded up) of the
     seeds with these bits, 0 for none.  Sixteen levels are packed to a row, so at most 2 ** LEVEL_BITS / 16 small rows
     reach the driver."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).alias("slot")
+    slot = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).alias("slot")
     level = F.least(F.ceil(F.log2("item_words")), F.lit(LEVELS)).cast("bigint").alias("level")
     packed = (seeds.select(slot, level).groupBy("slot").agg(F.max("level").alias("level"))
               .select(F.shiftright("slot", 4).alias("w"), F.expr("shiftleft(level, cast(4 * (slot & 15) as int))").alias("v"))
@@ -270,6 +275,15 @@ def levels_of(seeds: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def level_at(keys: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """The level of each key, 0 where one of the tables shows that it is no seed."""
+    mask = np.uint64((1 << LEVEL_BITS) - 1)
+    out = levels[0][(keys & mask).astype(np.int64)]
+    found = np.flatnonzero(out)
+    out[found] = np.minimum(out[found], levels[1][(keys[found] >> np.uint64(32) & mask).astype(np.int64)])
+    return out
+
+
 def pair_counts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """(key, n): in how many documents a pair whose bit is set occurs."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -293,22 +307,21 @@ def rare_seeds(pairs: DataFrame, counts: DataFrame) -> DataFrame:
             .filter(F.col("rank") <= F.col("bad") + F.col("need")).select("item_mark", "item_words", "need", "key", "item_at"))
 
 
-def seeded_documents(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def seeded_documents(docs: DataFrame, levels: list[np.ndarray]) -> DataFrame:
     """(id, mark, seeds, parts) of documents with seeds: the seeds as (key,
     position), and the word hashes around them as (first word, words)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     seed = pa.struct([("key", pa.int64()), ("at", pa.int32())])
     part = pa.struct([("first", pa.int32()), ("words", pa.list_(pa.int64()))])
-    mask = np.uint64((1 << LEVEL_BITS) - 1)
 
     def run(batches):
         for batch in slices(batches, 64):
             hashes, n_words = text_words(batch.column(2).to_pylist())
-            keys, text, at = pair_hits(hashes, n_words, lambda k: shared.value[(k & mask).astype(np.int64)])
+            keys, text, at = pair_hits(hashes, n_words, lambda k: level_at(k, shared.value))
             row, cuts = np.unique(text, return_index=True)
             seeds, parts, before = [], [], np.cumsum(n_words) - n_words
             for i, a, b in zip(row, cuts, [*cuts[1:], len(text)]):
-                h, level = hashes[before[i]:before[i] + n_words[i]], shared.value[(keys[a:b] & mask).astype(np.int64)]
+                h, level = hashes[before[i]:before[i] + n_words[i]], level_at(keys[a:b], shared.value)
                 seeds.append([{"key": k, "at": p} for k, p in zip(signed(keys[a:b]).tolist(), at[a:b].tolist())])
                 parts.append([{"first": p, "words": signed(h[p:q])} for p, q in surroundings(at[a:b], level, len(h))])
             row = pa.array(row, pa.int64())
