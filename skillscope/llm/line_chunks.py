@@ -1,23 +1,29 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
-A text is cut into chunks of whole lines.  Whether a chunk may end after a line
-is decided by a rolling hash over the hashes of that line and the one before,
-so an insertion or deletion shifts no boundary beyond its neighbourhood.  (Of
-adjacent candidate lines only the first ends a chunk: every chunk but the last
-of a text has at least two lines.)  Chunks of two or more lines that occur more
-than once in the corpus are compared byte by byte, and every occurrence but the
-first, in order of id and line, is removed.
-
-Plan: (1) hashes of all multi-line chunks, without their text, are written once
+A text is cut into chunks of whole lines.  A rolling hash over the hashes of a
+line and the one before decides whether the line is a boundary, so an insertion
+or deletion shifts no boundary beyond its neighbourhood.  A chunk runs from one
+boundary line to the next and holds both, so neighbouring chunks share a line;
+lines without a word are never boundaries, but the first and the last line of a
+text always are.  Chunks with a word in two or more lines that occur more than once in
+the corpus are compared byte by byte, and the lines of every occurrence but the
+first, in order of id and line, are removed.
+
+A shared block is found from its first to its last boundary line.  Most lines are
+boundaries (DIVISOR), because a block that holds no whole chunk is lost, and what
+lies outside of its chunks stays.  The first occurrence of a line's text in the
+corpus always stays: a chunk that holds it has no earlier occurrence.
+
+Plan: (1) hashes of all chunks, without their text, are written once
 and counted with partial aggregation; (2) only texts with a repeated hash are cut again, and their
 repeated chunks grouped by hash and bytes to find first occurrences - a chunk
 that a third of all texts share is one pre-aggregated group; (3) first
-occurrences travel back by document, and every other repeated chunk is
+occurrences travel back by document, and the lines of every other repeated chunk are
 dropped.  Nothing is joined on the chunk of a hot group except the short list
 of repeated hashes.
 
 Defined results: a null text stays null; an empty text stays empty; chunks
-without any word are never removed; repeated rows (same id, same text) all
+with words in fewer than two lines are never removed; repeated rows (same id, same text) all
 keep what the first of them keeps; a null id orders last.
 """
 
@@ -28,12 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import free_name, stored
 
-#: A chunk may end after a line whose rolling hash is divisible by this: one line in DIVISOR is a candidate.
-DIVISOR = 2
+#: A line is no boundary if its rolling hash is divisible by this: one line in DIVISOR.
+DIVISOR = 13
 #: Multiplier of the rolling hash over line hashes.
 ROLL = 31
 #: A chunk is one number: first line (from 0) times SPAN, plus its number of lines.
 SPAN = 1 << 31
+#: A word character.
+WORD = "[^\\x20\\x09-\\x0D]"
+#: A word, and another one in a later line.
+TWO_LINES = f"{WORD}[^\\n]*\\n(?s:.*){WORD}"
 
 
 def line_hash(line: Column) -> Column:
@@ -42,23 +52,18 @@ def line_hash(line: Column) -> Column:
 
 def chunk_codes(lines: Column) -> Column:
     """Array of chunk codes of an array of lines."""
-    def boundaries(may_end):
-        def ends_here(may, i):
-            return may & (i > 0) & (i < F.size(may_end) - 1) & ~F.get(may_end, i - 1)
-        at = F.transform(may_end, lambda may, i: F.when(ends_here(may, i), i))
+    def boundaries(hashes):
+        def is_one(line, i):
+            rolled = F.get(hashes, i - 1) * ROLL + F.get(hashes, i)
+            return (i == 0) | (i == F.size(lines) - 1) | (line.rlike(WORD) & (rolled % DIVISOR != 0))
+        at = F.transform(lines, lambda line, i: F.when(is_one(line, i), i))
         return F.filter(at, lambda i: i.isNotNull())
 
-    def candidates(hashes):
-        return F.transform(hashes, lambda h, i: (i == 0) | (
-            F.pmod(F.coalesce(F.get(hashes, i - 1), F.lit(0)) * ROLL + h, F.lit(DIVISOR)) == 0))
+    def codes(at):
+        return F.transform(F.slice(at, 1, F.size(at) - 1), lambda a, j: (
+            a.cast("bigint") * SPAN + F.get(at, j + 1) - a + 1).cast("bigint"))
 
-    def codes(ends):
-        all_ends = F.concat(ends, F.array(F.size(lines) - 1))
-        return F.transform(all_ends, lambda end, j: F.when(j == 0, end + 1).otherwise(
-            (F.get(all_ends, j - 1) + 1).cast("bigint") * SPAN + end - F.get(all_ends, j - 1)).cast("bigint"))
-
-    hashed = F.transform(lines, line_hash)
-    return bound(hashed, lambda h: bound(candidates(h), lambda c: bound(boundaries(c), codes)))
+    return bound(F.transform(lines, line_hash), lambda h: bound(boundaries(h), codes))
 
 
 def bound(value: Column, body) -> Column:
@@ -71,16 +76,16 @@ def chunk_text(lines: Column, code: Column) -> Column:
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, code, hash) of every chunk with two or more lines and a word."""
-    lines = F.split(F.col("body"), "\n")
-    multi = F.filter(chunk_codes(lines), lambda c: (c % SPAN) > 1)
+    """(id, mark, code, hash) of every chunk with words in two or more lines."""
+    def hashes(lines):
+        return F.transform(chunk_codes(lines), lambda c: bound(chunk_text(lines, c), lambda chunk: F.struct(
+            c.alias("code"), F.when(chunk.rlike(TWO_LINES), F.xxhash64(chunk)).alias("hash"))))
+
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"))
-    cut = rows.select("id", F.xxhash64("body").alias("mark"), F.transform(multi, lambda c: F.struct(
-        c.alias("code"), chunk_text(lines, c).alias("chunk"))).alias("chunks"))
+    cut = rows.select("id", F.xxhash64("body").alias("mark"), bound(F.split("body", "\n"), hashes).alias("chunks"))
     # the outer form keeps the optimizer from evaluating the chunks once more for an inferred size filter
     return (cut.select("id", "mark", F.explode_outer("chunks").alias("c"))
-            .filter(F.col("c.chunk").rlike("[^\\x20\\x09-\\x0D]"))
-            .select("id", "mark", "c.code", F.xxhash64("c.chunk").alias("hash")))
+            .select("id", "mark", "c.code", "c.hash").filter("hash is not null"))
 
 
 def known_by(docs: DataFrame, rows: DataFrame, id_col: str, mark: str) -> Column:
@@ -103,9 +108,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mark = free_name(docs, "mark")
     rows = docs.withColumn(mark, F.xxhash64(docs[f"`{text_col}`"]))
     body = rows[f"`{text_col}`"]
+    texts = bound(F.split(body, "\n"), lambda lines: F.transform(wanted["wanted"], lambda c: F.struct(
+        c.alias("code"), chunk_text(lines, c).alias("chunk"))))
     found = (rows.join(wanted.hint("merge"), known_by(rows, wanted, id_col, mark))
-             .select(wanted["id"], wanted["mark"], F.explode("wanted").alias("code"), F.split(body, "\n").alias("lines"))
-             .select("id", "mark", "code", chunk_text(F.col("lines"), F.col("code")).alias("chunk")))
+             .select(wanted["id"], wanted["mark"], F.explode_outer(texts).alias("c"))
+             .select("id", "mark", "c.code", "c.chunk"))
     # equal bytes meet in one pre-aggregated group, which only remembers its first occurrence
     order = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "code")
     first = (found.groupBy(F.xxhash64("chunk").alias("hash"), "chunk").agg(F.min(order).alias("first"))
@@ -118,14 +125,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = rows.join(gone.hint("merge"), known_by(rows, gone, id_col, mark), "left")
     removed = gone["_removed"]
     text = F.when(removed.isNull(), body).otherwise(kept_text(body, removed)).alias(text_col)
-    lines = F.when(removed.isNull(), 0).otherwise(
-        F.aggregate(removed, F.lit(0).cast("bigint"), lambda n, c: n + c % SPAN)).cast("bigint")
+    lines = F.when(removed.isNull(), 0).otherwise(F.size(F.array_distinct(lines_of(removed)))).cast("bigint")
     return out.select(*[text if c == text_col else docs[f"`{c}`"] for c in docs.columns],
                       *([lines.alias(removed_col)] if removed_col else []))
 
 
+def lines_of(codes: Column) -> Column:
+    """Numbers (from 0) of the lines of the chunks, shared ones repeated."""
+    def numbers(code):
+        start = F.floor(code / SPAN)
+        return F.sequence(start, start + code % SPAN - 1)
+    return F.flatten(F.transform(codes, numbers))
+
+
 def kept_text(text: Column, removed: Column) -> Column:
-    """The lines of the chunks that stay, joined again."""
-    lines = F.split(text, "\n")
-    left = bound(chunk_codes(lines), lambda codes: F.array_except(codes, removed))
-    return F.array_join(F.transform(left, lambda c: chunk_text(lines, c)), "\n")
+    """The lines outside of the removed chunks, joined again."""
+    def joined(lines):
+        left = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size(lines).cast("bigint") - 1), lines_of(removed))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n")
+    return bound(F.split(text, "\n"), joined)

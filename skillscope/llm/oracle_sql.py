@@ -64,22 +64,23 @@ FROM shared WHERE 2 * c / (n + m) >= {THRESHOLD}"""
 
 # Chunks end after the first of adjacent lines whose rolling hash (with the line before) is even; repeats of chunks
 # with two lines and a word go.
-OP10 = """
+OP10 = r"""
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-hashed AS (SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM docs),
-may AS (SELECT doc_id, l, [i = 1 OR (h[greatest(i - 1, 1)] * 31 + h[i]) % 2 = 0 FOR i IN range(1, len(l) + 1)] AS m FROM hashed),
-ends AS (SELECT doc_id, l, list_append([i FOR i IN range(2, len(l)) IF m[i] AND NOT m[i - 1]], len(l)) AS e FROM may),
-chunks AS (
-  SELECT doc_id, j, CASE WHEN j = 1 THEN 1 ELSE e[j - 1] + 1 END AS a, e[j] AS b, l
-  FROM (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS j FROM ends)),
-texts AS (SELECT doc_id, a, b - a + 1 AS n, array_to_string(l[a:b], chr(10)) AS t FROM chunks),
-ranked AS (
-  SELECT *, n > 1 AND regexp_matches(t, '[^\x20\x09-\x0D]') AND
-         row_number() OVER (PARTITION BY n > 1, t ORDER BY doc_id, a) > 1 AS gone FROM texts)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(r.t, chr(10) ORDER BY r.a)
-         FILTER (WHERE NOT r.gone), '') END AS text,
-       CAST(coalesce(sum(r.n) FILTER (WHERE r.gone), 0) AS BIGINT) AS n_removed_lines
-FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id GROUP BY d.doc_id, d.text"""
+hashed AS (SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h,
+                  list_transform(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS w FROM docs),
+cuts AS (SELECT doc_id, l, [i FOR i IN range(1, len(l) + 1) IF i = 1 OR i = len(l)
+                            OR (w[i] AND (h[greatest(i - 1, 1)] * 31 + h[i]) % 13 <> 0)] AS e FROM hashed),
+chunks AS (SELECT doc_id, l, e[j] AS a, e[j + 1] AS b FROM (SELECT *, unnest(range(1, len(e))) AS j FROM cuts)),
+texts AS (SELECT doc_id, a, b, array_to_string(l[a:b], chr(10)) AS t FROM chunks),
+ranked AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY t ORDER BY doc_id, a) AS seen FROM texts
+           WHERE regexp_matches(t, '[^\x20\x09-\x0D][^\n]*\n(?s:.*)[^\x20\x09-\x0D]')),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM ranked WHERE seen > 1),
+parts AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM docs),
+judged AS (SELECT p.doc_id, p.x, p.i, g.i IS NOT NULL AS gone FROM parts p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(p.x, chr(10) ORDER BY p.i)
+         FILTER (WHERE NOT p.gone), '') END AS text,
+       count(*) FILTER (WHERE p.gone) AS n_removed_lines
+FROM documents d LEFT JOIN judged p ON p.doc_id = d.doc_id GROUP BY d.doc_id, d.text"""
 
 # Quote levels by counting markers, links of quoted units (passages, and lines of longer ones) to the first message
 # that has them unquoted, threads by recursion.
