@@ -26,10 +26,12 @@ def components(links: DataFrame) -> DataFrame:
         # large star: larger neighbours of u move to the least node around u
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        # (what a join reads is written first, so that adaptive execution sees plain shuffles and can split a hub)
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+                       .distinct(), "large")
         # small star: u and its smaller neighbours move to the least of them (every link is stored larger node first)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = (large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -37,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
         after = stored(small, "links")
         # the links stay as they are once their number and an order-free checksum do
         state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        drop_stored(edges)
+        for done in (edges, least, large, low):
+            drop_stored(done)
         edges = after
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -192,8 +192,9 @@ def links(entries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     keyed = entries.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared"))
         for i, m in enumerate(masks)])).alias("k")).select("k.t", "k.shared", "fp")
-    heavy = (keyed.groupBy("t", "shared").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT)
-             .select("t", "shared", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")))
+    # written first: mostly a handful of rows, and a plain shuffle whose hot groups can be split where there are many
+    heavy = stored(keyed.groupBy("t", "shared").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT)
+                   .select("t", "shared", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "heavy")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(
         F.least(part, other).alias("p"), F.greatest(part, other).alias("q")))
