@@ -34,8 +34,9 @@ from .common import slices
 
 SPACE = "▁"
 SEPARATOR = 0x110000        # not a code point, so no text contains it
-CHUNK = 400_000             # code points in one suffix array
-TABLE_UNITS = 300_000       # pre-tokens a task remembers before it starts afresh
+CHUNK = 200_000             # code points in one suffix array
+TABLE_UNITS = 200_000       # pre-tokens a task remembers before it starts afresh
+ROWS = 350                  # texts encoded at a time
 LONG = 256                  # pre-tokens longer than this are relaxed with a heap
 NONE = np.iinfo(np.int64).max
 
@@ -315,8 +316,9 @@ def encoded(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # a worker may come from an earlier stage
         encoder = Encoder(shared.value)
-        for batch in slices(batches, 500):
+        for batch in slices(batches, ROWS):
             flat, size = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), ids],
@@ -337,7 +339,7 @@ def decoded(tokens: DataFrame, model: PieceModel, id_col: str = "doc_id", ids_co
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, 500):
+        for batch in slices(batches, ROWS):
             texts = [None if ids is None else text_of(ids, shared.value) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -350,8 +352,9 @@ def round_trips(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # a worker may come from an earlier stage
         encoder = Encoder(shared.value)
-        for batch in slices(batches, 500):
+        for batch in slices(batches, ROWS):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             flat, size = encoder.encode(texts)
             offset = np.r_[0, np.cumsum(size)]
