@@ -13,13 +13,16 @@ plan for every type, by a histogram of values:
 3. Bucket totals (one row for each column, key and bucket) give each bucket the
    number of rows that sort before it, and a window inside the bucket does the
    rest.
-4. The ranks of the distinct values join the rows.  Columns with few values
-   are broadcast by adaptive execution; otherwise it may split a hot value's
-   rows, which meet a single row.
+4. The ranks of the distinct values join the rows, each column's apart.  Hot
+   values (more than one row in HOT holds them, so there are HOT at most) are
+   broadcast, and their rows are dealt by a hash of the row where the others are
+   dealt by value: no task gets all rows of a value.
 
 Nothing is ranked by a window over all rows, no job runs while the plan is
 built, and the input is read by two branches (the histogram and the last join):
 hand in a stored table (``session.materialize``) if the plan behind it is dear.
+With :func:`rank_stored` the ranks are stored too, so a column of few values is
+known to be small and its rows are not shuffled at all.
 Keys and values match null-safely (inside structs).
 """
 
@@ -31,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, store_parts
 
 CUTS = 255      # largest number of cut values (one less than a power of two: they are found by halving)
 SAMPLE = 4096   # distinct values sampled for cuts
+HOT = 1024      # a value that more than one row in HOT holds is hot
 
 
 @dataclass(frozen=True)
@@ -103,8 +107,9 @@ def _formula(s: RankSpec) -> str:
 
 
 def value_ranks(df: DataFrame, specs: list[RankSpec], keys: list[str], shared: str) -> DataFrame:
-    """(place, rank): the rank of every distinct place; ordinals as doubles."""
-    hist = bucketed(value_histogram(df, [s.value for s in specs], keys, shared), keys)
+    """(place, rank, column number, hot): the rank of every distinct place; ordinals as doubles."""
+    counted = value_histogram(df, [s.value for s in specs], keys, shared)
+    hist = bucketed(counted, keys)
     totals = hist.groupBy("g", "b").agg(F.expr("sum(n) AS s"), F.expr("sum(if(p.v IS NULL, n, 0)) AS z")).selectExpr(
         "g", "b", "coalesce(sum(s) OVER (PARTITION BY g ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base",
         "sum(s) OVER (PARTITION BY g) AS total", "sum(z) OVER (PARTITION BY g) AS nulls")
@@ -113,10 +118,50 @@ def value_ranks(df: DataFrame, specs: list[RankSpec], keys: list[str], shared: s
     formulas = [_formula(s) for s in specs]
     rank = formulas[0] if len(set(formulas)) == 1 else (
         "CASE p.c " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(formulas)) + " END")
-    return placed.selectExpr("p AS _rk_place", f"{rank} AS _rk_rank")
-
-
-def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
+    rows = counted.groupBy(F.col("p.c").alias("_column")).agg(F.sum("n").alias("_rows"))     # one row for each column
+    return placed.join(F.broadcast(rows), F.expr("p.c = _column")).selectExpr(
+        "p AS _rk_place", f"{rank} AS _rk_rank", "p.c AS _rk_column", f"n * {HOT} > _rows AS _rk_hot")
+
+
+def _lazy_parts(ranks: DataFrame):
+    """The ranks of a column number, hot or not, as a function."""
+    return lambda i, hot: ranks.filter(f"_rk_column = {i} AND {'' if hot else 'NOT '}_rk_hot")
+
+
+def _stored_parts(ranks: DataFrame):
+    """Like :func:`_lazy_parts` of ranks that are written now, a folder for each part; None for a part without rows."""
+    stored = store_parts(ranks, ["_rk_column", "_rk_hot"])
+    held = {tuple(r) for r in stored.select("_rk_column", "_rk_hot").distinct().collect()}   # two for each column at most
+    parts = _lazy_parts(stored)
+    return lambda i, hot: parts(i, hot) if (i, hot) in held else None
+
+
+def _with_rank(df: DataFrame, number: int, keys: list[str], spec: RankSpec, shared: str, parts) -> DataFrame:
+    """``df`` with the rank of one column: hot values by a broadcast join, the others by value.  A row of a hot value
+    needs no other rank; there it carries a place that no value has, made from the row's hash."""
+    hot, cold = parts(number, True), parts(number, False)
+    kept = [f"`{c}`" for c in df.columns]
+    place, rank = _place(number, keys, spec.value, shared), "CAST(NULL AS double)"
+    if hot is not None:
+        df = df.join(F.broadcast(hot.selectExpr("_rk_place AS _rk_hot_place", "_rk_rank AS _rk_hot_rank")),
+                     F.expr(f"{place} = _rk_hot_place"), "left")
+        rank = "_rk_hot_rank"
+    if cold is not None:
+        if hot is not None:
+            salt = f"CAST(-1 - pmod(xxhash64({', '.join(kept)}), {1 << 30}) AS int)"
+            fields = [("c", salt, str(number)), *[(f"k{j}", "NULL", f"`{k}`") for j, k in enumerate(keys)],
+                      ("v", "NULL", f"CAST(`{spec.value}` AS {shared})")]
+            place = f"struct({', '.join(f'if(_rk_hot_place IS NULL, {own}, {other}) AS {name}' for name, other, own in fields)})"
+            rank = "if(_rk_hot_place IS NULL, _rk_cold_rank, _rk_hot_rank)"
+        else:
+            rank = "_rk_cold_rank"
+        df = df.join(cold.selectExpr("_rk_place AS _rk_cold_place", "_rk_rank AS _rk_cold_rank"),
+                     F.expr(f"{place} = _rk_cold_place"), "left")
+    return df.selectExpr(*kept, f"CAST({rank} AS {'bigint' if spec.kind == 'ordinal' else 'double'}) AS `{spec.out}`")
+
+
+def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = (),
+                 split=_lazy_parts) -> DataFrame:
     """Add one exact rank column per spec, all ranked within ``partition_by``.
 
     percent:     ``percent_rank()`` over ``partitionBy(keys).orderBy(value)``
@@ -130,19 +175,16 @@ def rank_columns(df: DataFrame, specs: list[RankSpec], partition_by: tuple | lis
         families.setdefault(_shared_type(df.schema[s.value].dataType), []).append(s)
     out = df
     for shared, members in families.items():
-        ranks = value_ranks(df, members, keys, shared)
+        parts = split(value_ranks(df, members, keys, shared))
         for i, s in enumerate(members):
-            rank = "CAST(_rk_rank AS bigint)" if s.kind == "ordinal" else "_rk_rank"
-            kept = [f"`{c}`" for c in out.columns]
-            out = out.join(ranks, F.expr(f"{_place(i, keys, s.value, shared)} = _rk_place")).selectExpr(
-                *kept, f"{rank} AS `{s.out}`")
+            out = _with_rank(out, i, keys, s, shared, parts)
     return out.select(*df.columns, *[s.out for s in specs])
 
 
 def rank_stored(df: DataFrame, specs: list[RankSpec], partition_by: tuple | list = ()) -> DataFrame:
     """:func:`rank_columns` of a stored copy of ``df``: the plan behind ``df`` runs once (now), and both branches of
-    the ranks read the copy, also after an executor is lost."""
-    return rank_columns(materialize(df), specs, partition_by)
+    the ranks read the copy, also after an executor is lost.  The ranks of the distinct values are stored too."""
+    return rank_columns(materialize(df), specs, partition_by, _stored_parts)
 
 
 def percent_rank(df: DataFrame, value: str, out: str, *, descending: bool = False,

@@ -69,6 +69,14 @@ def store_by(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path).select(*df.columns)
 
 
+def store_parts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Like :func:`materialize`, with one folder for each combination of the values of ``columns`` (few, none null),
+    written by the tasks that hold the rows: what a filter on them reads, and its size, is known when a plan is made."""
+    path = f"{shared_folder(df.sparkSession)}/parts-{uuid.uuid4().hex}"
+    df.write.partitionBy(*columns).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Add this package to the executors' Python path, once per application
     (for operators with Python work inside tasks)."""

@@ -130,3 +130,32 @@ def test_two_columns_and_clashing_names(spark):
     df = spark.createDataFrame([(1, 5, 1.5), (2, 5, None), (3, 7, 0.5)], "p int, n long, v double")
     got = rank_columns(df, [RankSpec("p", "a"), RankSpec("n", "b"), RankSpec("v", "c", "average_pct")]).orderBy("p").collect()
     assert [tuple(r) for r in got] == [(1, 5, 1.5, 0.0, 0.0, 1.0), (2, 5, None, 0.5, 0.0, None), (3, 7, 0.5, 1.0, 1.0, 0.5)]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_rows_of_hot_values_are_dealt_among_tasks(spark, stored):
+    """A column where one value holds 80 of 100 rows and the others are distinct, next to one of two values: equal to
+    plain windows, and no task of the joins gets the rows of the hot value."""
+    n = 20000
+    df = spark.range(n).select("id", F.when(F.col("id") % 5 > 0, 7).otherwise(F.col("id") + 100).alias("v"),
+                               F.when(F.col("id") % 10 > 0, F.col("id") % 2).alias("few"))
+    specs = [RankSpec("v", "p"), RankSpec("few", "q", "percent", True), RankSpec("v", "a", "average_pct")]
+    got = (ranking.rank_stored if stored else rank_columns)(df, specs)
+    w = df.select("id", F.percent_rank().over(Window.orderBy("v")).alias("p2"),
+                  F.percent_rank().over(Window.orderBy(F.desc("few"))).alias("q2"))
+    assert got.join(w, "id").filter("p = p2 AND q = q2 AND a IS NOT NULL").count() == n
+    # the partitions in which the joins leave the rows, with partitions as they are planned
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = (ranking.rank_stored if stored else rank_columns)(df, specs[:1])
+        sizes = one.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) < n // 4
+
+
+def test_ranks_of_no_rows_are_stored(spark):
+    df = spark.createDataFrame([], "id int, k string, v long")
+    assert ranking.rank_stored(df, [RankSpec("v", "p"), RankSpec("v", "o", "ordinal", True)], ["k"]).collect() == []
