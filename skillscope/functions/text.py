@@ -26,7 +26,8 @@ SCRIPT_RE = r"(?is)<script[^>]*>.*?</script[^>]*>"
 STYLE_RE = r"(?is)<style[^>]*>.*?</style[^>]*>"
 COMMENT_RE = r"(?s)<!--.*?-->"
 TAG_RE = r"<[a-zA-Z/!][^>]*>"
-SPACE_RE = r"[\t\n\x0B\f\r\p{Z}]+"
+# white space that is not one space already
+SPACE_RE = r"[\t\n\x0B\f\r\p{Z}&&[^ ]][\t\n\x0B\f\r\p{Z}]*+| [\t\n\x0B\f\r\p{Z}]++"
 LINK_RE = r"https?://[^ ]+"
 LETTER_RE = r"[a-zA-Z]"
 PUNCT_RE = r"\p{Punct}"
@@ -34,10 +35,10 @@ PUNCT_RE = r"\p{Punct}"
 APART_RE = r"[\[\](){}<>;@#$%&?!\"]|--+|\.\.\.+"
 # a comma or colon, unless a digit follows
 COMMA_RE = r"[:,]([^0-9]|$)"
-# the ending of a contraction is a word of its own
-ENDING_RE = r"(?i)('ll|'re|'ve|n't|'s|'m|'d)([^a-zA-Z]|$)"
-# a whole space-delimited token without an ASCII letter
-NO_LETTER_TOKEN_RE = r"(?<![^ ])[^a-zA-Z ]+(?![^ ])"
+# the ending of a contraction is a word of its own (the first look is at one character, which most places fail)
+ENDING_RE = r"(?i)(?=['n])('ll|'re|'ve|n't|'s|'m|'d)([^a-zA-Z]|$)"
+# a whole space-delimited token without an ASCII letter, after its space
+NO_LETTER_TOKEN_RE = r" [^a-zA-Z ]++(?![^ ])"
 
 
 def _c(col) -> Column:
@@ -105,7 +106,7 @@ def word_tokens(col) -> Column:
     s = F.regexp_replace(s, COMMA_RE, " $1")
     s = F.regexp_replace(s, ENDING_RE, " $1$2")
     s = F.regexp_replace(s, PUNCT_RE, "")
-    s = F.regexp_replace(s, NO_LETTER_TOKEN_RE, "")
+    s = F.regexp_replace(F.concat(F.lit(" "), s), NO_LETTER_TOKEN_RE, "")
     return F.array_remove(F.split(F.lower(s), " "), "")
 
 

@@ -71,8 +71,9 @@ def _possible(docs: DataFrame, tokens_col: str, keys: list[str], tokens: DataFra
     """(keys, pos, token): the occurrences whose hash is in the bitmap, tested before anything is exploded."""
     named = [f"`{k}`" for k in keys]
     held = docs.select(*named, F.col(tokens_col).alias("_tokens"), hash_bitmap(tokens).alias("_bitmap"))
-    return held.selectExpr(*named, f"""explode_outer(filter(
-        transform(_tokens, (t, i) -> struct(i AS pos, t AS token)), x -> {in_bitmap('x.token', '_bitmap')})) AS o""").selectExpr(
+    # structs are made for the hits only
+    return held.selectExpr(*named, f"""explode_outer(filter(transform(_tokens, (t, i) ->
+        if({in_bitmap('t', '_bitmap')}, struct(i AS pos, t AS token), NULL)), x -> x IS NOT NULL)) AS o""").selectExpr(
         *named, "o.pos AS pos", "o.token AS token")
 
 
@@ -81,10 +82,13 @@ def _grams(occurrences: DataFrame, keys: list[str], taxonomy: DataFrame) -> Data
     named = [f"`{k}`" for k in keys]
     longest = taxonomy.agg(F.max("n_tokens")).scalar()
     per_doc = occurrences.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("_at"))
-    grams = """flatten(transform(_at, (x, i) -> transform(
-        filter(sequence(1, _longest), n -> get(_at, i + n - 1).pos = x.pos + n - 1),
-        n -> struct(x.pos AS start, -n AS neg_len, array_join(slice(_at, i + 1, n).stem, ' ') AS gram))))"""
-    return per_doc.withColumn("_longest", longest).selectExpr(*named, f"explode_outer({grams}) AS g").filter(
+    # a single word is its own gram; longer ones start where the next occurrence is adjacent
+    ones = "transform(_at, x -> struct(x.pos AS start, -1 AS neg_len, x.stem AS gram))"
+    more = """flatten(transform(filter(transform(_at, (x, i) -> if(get(_at, i + 1).pos = x.pos + 1, struct(x.pos AS pos, i AS i), NULL)),
+        y -> y IS NOT NULL), y -> transform(
+        filter(if(_longest > 1, sequence(2, _longest), CAST(array() AS array<int>)), n -> get(_at, y.i + n - 1).pos = y.pos + n - 1),
+        n -> struct(y.pos AS start, -n AS neg_len, array_join(slice(_at, y.i + 1, n).stem, ' ') AS gram))))"""
+    return per_doc.withColumn("_longest", longest).selectExpr(*named, f"explode_outer(concat({ones}, {more})) AS g").filter(
         "g IS NOT NULL").selectExpr(*named, "g.*")
 
 

@@ -1,3 +1,6 @@
+import re
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +143,21 @@ def test_sentences_with_learned_abbreviations(spark):
         1: ["We met Dr. Smith at approx. 5 p.m. Then he left!", "Why?", '"No idea."', "(It rained.) v1.2 is out."],
         2: ["Ask Dr. Jones.", "Dr. Who came at approx. noon, or approx. 1 p.m. on Monday, 3 p.m. Tuesday."],
         5: ["no mark at all"], 6: ["The idea.", "The idea. the idea, an idea; Idea One idea"]}
+
+
+def test_tokens_equal_plain_rules_on_odd_spacing(spark):
+    """Tokens without a letter at the ends, in a row
+    and before a letter, runs of mixed white space, and endings of contractions in both cases."""
+    texts = ["12 34 a 5 6", "1", "", " ", "a", "\n 7\t8  b9  　 9b\r\n", "x  \n\n   y", "1234a 12.5 3,4 a1 да été z",
+             "Don'T we'LL 'tis it's, 5's n't", "a 2 b", "  lead 1 2 3", "trail 1 2 3  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    got = {r["id"]: r["t"] for r in df.select("id", clean_tokens("s").alias("t")).collect()}
+
+    def plain(s):
+        s = re.sub("[\t\n\x0b\f\r   -  　]+", " ", s)
+        s = re.sub(r"[\[\](){}<>;@#$%&?!\"]|--+|\.\.\.+", " ", s)
+        s = re.sub("[:,]([^0-9]|$)", r" \1", s)
+        s = re.sub("(?i)('ll|'re|'ve|n't|'s|'m|'d)([^a-zA-Z]|$)", r" \1\2", s)
+        words = ["".join(c for c in w if c not in string.punctuation) for w in s.split(" ")]
+        return [w.lower() for w in words if re.search("[a-zA-Z]", w)]
+    assert got == {i: plain(s) for i, s in enumerate(texts)}
