@@ -25,6 +25,7 @@ from .readers import DriverTables
 # - messages: topic = doc_id // 20, forum = topic // 10, author = doc_id // 2 (none when doc_id % 17 = 0)
 ACHIEVEMENT_FLAGS = (("A", "Competitions"), ("N", "Discussion"), ("R", "Scripts"))
 GOLD_QTY, SILVER_QTY, BRONZE_QTY = 50.0, 49.0, 48.0
+_RANKED, _BRONZE, _SILVER, _GOLD = 1, 2, 3, 4      # what a line's quantity brings; 0: nothing
 
 
 def users(t: DriverTables) -> DataFrame:
@@ -66,17 +67,24 @@ def user_achievements(t: DriverTables) -> DataFrame:
 
     Per-owner statistics are pivoted by flag in one aggregation, then
     unpivoted into three rows per customer (no cross join)."""
-    lines = _owned_lines(t, "l_returnflag", "l_quantity", "l_extendedprice")
+    q, flag = F.col("l_quantity"), F.col("l_returnflag")
+    # flag and medal of a line in one number: lines are shuffled by order, so their rows are kept small
+    medal = (F.when(q == GOLD_QTY, _GOLD).when(q == SILVER_QTY, _SILVER).when(q == BRONZE_QTY, _BRONZE)
+             .when(q >= BRONZE_QTY, _RANKED).otherwise(0))
+    number = F.coalesce(*[F.when(flag == f, i) for i, (f, _) in enumerate(ACHIEVEMENT_FLAGS)])
+    li = t.lineitem.filter(flag.isin(*[f for f, _ in ACHIEVEMENT_FLAGS])).select(
+        "l_orderkey", (number * 8 + medal).alias("code"), "l_extendedprice")
+    o = owned_orders(t).select("o_orderkey", "owner")
+    lines = o.join(li, o.o_orderkey == li.l_orderkey, "inner")
     aggs = []
-    for flag, _ in ACHIEVEMENT_FLAGS:
-        is_f = F.col("l_returnflag") == flag
-        q = F.col("l_quantity")
+    for i, (f, _) in enumerate(ACHIEVEMENT_FLAGS):
+        is_f, m = F.shiftright("code", 3) == i, F.col("code").bitwiseAND(7)
         aggs += [
-            F.count(F.when(is_f & (q == GOLD_QTY), 1)).alias(f"g_{flag}"),
-            F.count(F.when(is_f & (q == SILVER_QTY), 1)).alias(f"s_{flag}"),
-            F.count(F.when(is_f & (q == BRONZE_QTY), 1)).alias(f"b_{flag}"),
-            F.max(F.when(is_f, q)).alias(f"mq_{flag}"),
-            F.min(F.when(is_f, F.col("l_extendedprice"))).alias(f"mp_{flag}"),
+            F.count(F.when(is_f & (m == _GOLD), 1)).alias(f"g_{f}"),
+            F.count(F.when(is_f & (m == _SILVER), 1)).alias(f"s_{f}"),
+            F.count(F.when(is_f & (m == _BRONZE), 1)).alias(f"b_{f}"),
+            F.max(F.when(is_f, m)).alias(f"m_{f}"),
+            F.min(F.when(is_f, F.col("l_extendedprice"))).alias(f"mp_{f}"),
         ]
     per_owner = lines.groupBy("owner").agg(*aggs)
     cust = t.customer.select("c_custkey")
@@ -90,7 +98,7 @@ def user_achievements(t: DriverTables) -> DataFrame:
             F.coalesce(F.col(f"g_{flag}"), F.lit(0)).cast("long").alias("TotalGold"),
             F.coalesce(F.col(f"s_{flag}"), F.lit(0)).cast("long").alias("TotalSilver"),
             F.coalesce(F.col(f"b_{flag}"), F.lit(0)).cast("long").alias("TotalBronze"),
-            F.when(F.col(f"mq_{flag}") >= BRONZE_QTY, F.floor(F.col(f"mp_{flag}"))).cast("long").alias("HighestRanking"),
+            F.when(F.col(f"m_{flag}") > 0, F.floor(F.col(f"mp_{flag}"))).cast("long").alias("HighestRanking"),
         ))
     return joined.select(F.explode(F.array(*entries)).alias("a")).select("a.*")
 
