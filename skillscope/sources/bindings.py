@@ -127,10 +127,14 @@ def tags(t: DriverTables) -> DataFrame:
 
 def kernel_tags(t: DriverTables, tag_df: DataFrame | None = None) -> DataFrame:
     tag_df = tag_df if tag_df is not None else tags(t)
-    lines = _owned_lines(t, "l_partkey")
     p = t.part.select("p_partkey", "p_name")
-    j = lines.join(p, lines.l_partkey == p.p_partkey).join(tag_df, F.col("p_name") == F.col("Name"))
-    return j.select(F.col("o_orderkey").alias("KernelId"), "TagId").distinct()
+    named = p.join(tag_df, F.col("p_name") == F.col("Name")).select("p_partkey", "TagId")
+    lines = t.lineitem.select("l_orderkey", "l_partkey").join(named, F.col("l_partkey") == F.col("p_partkey"))
+    # the orders last: their partitioning serves the distinct and later joins by kernel.  No semi join, which would be
+    # pushed below the join with the parts; the distinct drops the rows of repeated orders
+    orders = t.orders.select(F.col("o_orderkey").alias("KernelId"))
+    held = lines.join(orders, F.col("l_orderkey") == F.col("KernelId"))
+    return held.select("KernelId", "TagId").distinct()
 
 
 def teams(t: DriverTables) -> DataFrame:

@@ -1,7 +1,8 @@
-"""What the order lines carry through the shuffles: narrow rows, the same results."""
+"""What the order lines carry through the shuffles: few and narrow rows, the same results."""
 
 from __future__ import annotations
 
+import re
 from types import SimpleNamespace
 
 import pytest
@@ -31,9 +32,22 @@ def _tables(spark):
         lineitem=spark.createDataFrame(
             lines, "l_orderkey long, l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double"),
         orders=spark.createDataFrame(orders, "o_orderkey long, o_custkey long"),
+        part=spark.createDataFrame([(7, "a"), (7, "a"), (8, "a"), (9, "b"), (10, None)], "p_partkey long, p_name string"),
         customer=spark.createDataFrame([(10,), (11,), (22,), (23,)], "c_custkey long"))
 
 
+def test_kernel_tags_meet_their_orders_last(shuffled):
+    t = _tables(shuffled)
+    tags = shuffled.createDataFrame([(1, "a"), (2, "b")], "TagId long, Name string")
+    out = b.kernel_tags(t, tags)
+    assert sorted(map(tuple, out.collect())) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (4, 1)]
+    joined = out.join(t.orders.select("o_orderkey"), out.KernelId == t.orders.o_orderkey)
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", _plan(joined))
+    assert not [e for e in exchanges if "TagId" in e]
+    # orders twice, the lines by part and by order, the parts by name and by key, the tags: each once
+    assert len(exchanges) == 7, exchanges
+
+
 def test_achievement_lines_are_shuffled_as_one_code(shuffled):
     out = b.user_achievements(_tables(shuffled))
     got = [(r.UserId, r.AchievementType, r.TotalGold, r.TotalSilver, r.TotalBronze, r.HighestRanking) for r in out.collect()]
